@@ -60,8 +60,7 @@ def freshness(view: DataFrame, time_column: str, as_of=None) -> DataFrame:
         .withColumn("lag", moment(as_of) - F.col("latest"))
         .withColumn(
             "lag_seconds",
-            F.expr("CAST(EXTRACT(DAY FROM lag) * 86400 + EXTRACT(HOUR FROM lag) * 3600"
-                   " + EXTRACT(MINUTE FROM lag) * 60 + EXTRACT(SECOND FROM lag) AS BIGINT)"),
+            F.floor(F.expr("CAST(CAST(lag AS INTERVAL SECOND) AS DECIMAL(24,6))")).cast("bigint"),
         )
         .select("latest", "lag", "lag_seconds")
     )

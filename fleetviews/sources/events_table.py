@@ -146,7 +146,8 @@ def _envelope(kind: str) -> dict[str, Column]:
 
 def _body_text(body: dict[str, Column]) -> Column:
     """JSON text of a message body; fields that hold JSON become nested objects."""
-    nested = {k: F.parse_json(v) if k in ("payload", "parameters") else v for k, v in body.items()}
+    json_fields = {"payload": "current_value double, metric string", "parameters": "priority bigint"}
+    nested = {k: F.from_json(v, json_fields[k]) if k in json_fields else v for k, v in body.items()}
     return F.to_json(F.struct(*_named(nested)))
 
 
