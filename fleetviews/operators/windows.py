@@ -182,12 +182,14 @@ def versus_fleet(
         F.try_divide(F.col("_fleet_squares"), F.col("_fleet_n")) - F.col("fleet_avg") * F.col("fleet_avg"),
         F.lit(0.0),
     )
+    # Less spread than a millionth of the mean is rounding noise: no score then.
+    spread = F.col("_deviation") > F.abs("fleet_avg") * 1e-6
     return (
         per_vehicle.join(fleet, "window_start")
         .withColumn("vehicle_avg", F.try_divide(F.col("_sum"), F.col("_n")))
         .withColumn("fleet_avg", fleet_avg)
         .withColumn("difference", F.col("vehicle_avg") - F.col("fleet_avg"))
         .withColumn("_deviation", F.sqrt(variance))
-        .withColumn("z_score", F.try_divide(F.col("difference"), F.col("_deviation")))
+        .withColumn("z_score", F.when(spread, F.col("difference") / F.col("_deviation")))
         .select("vehicle_id", "window_start", "vehicle_avg", "fleet_avg", "difference", "z_score")
     )

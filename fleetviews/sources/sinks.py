@@ -54,7 +54,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         F.col(f.name).cast("string").alias(f.name) if f.dataType.typeName() in ("interval", "variant") else F.col(f.name)
         for f in df.schema.fields
     ])
-    flat.write.mode(mode).option("header", True).csv(path)
+    writer = flat.write.mode(mode).option("header", True)
+    writer.option("timestampFormat", JSON_TIMES["timestampFormat"]).csv(path)
 
 
 def save_view(view: DataFrame, path: str, time_column: str | None = None, mode: str = "overwrite") -> None:

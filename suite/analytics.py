@@ -140,14 +140,14 @@ def _(f):
 @check("w05_versus_fleet", """, w AS (SELECT vehicle_id, speed, time_bucket(INTERVAL 5 MINUTE, recorded_at, TIMESTAMP '1970-01-01') AS window_start FROM telemetry),
   fleet AS (SELECT window_start, avg(speed) AS fleet_avg, stddev_pop(speed) AS dev FROM w GROUP BY ALL),
   v AS (SELECT vehicle_id, window_start, avg(speed) AS vehicle_avg FROM w GROUP BY ALL)
-  SELECT vehicle_id, window_start, round(vehicle_avg, 4) AS vehicle_avg, round(fleet_avg, 4) AS fleet_avg,
-    round(vehicle_avg - fleet_avg, 4) AS difference,
-    CASE WHEN dev > 0.001 THEN round((vehicle_avg - fleet_avg) / dev, 4) END AS z_score
+  SELECT vehicle_id, window_start, round(vehicle_avg, 9) AS vehicle_avg, round(fleet_avg, 9) AS fleet_avg,
+    round(vehicle_avg - fleet_avg, 9) AS difference,
+    CASE WHEN dev > 0.001 THEN round((vehicle_avg - fleet_avg) / dev, 6) END AS z_score
   FROM v JOIN fleet USING (window_start)""")
 def _(f):
     out = windows.versus_fleet(f.telemetry)
-    places = {c: F.round(c, 4) for c in ("vehicle_avg", "fleet_avg", "difference", "z_score")}
-    return out.withColumns(places)
+    places = {"vehicle_avg": 9, "fleet_avg": 9, "difference": 9, "z_score": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 # --- joins ---
