@@ -38,7 +38,8 @@ def interval_join(
 
     ``max_group_rows`` also splits single (key, bin) groups that hold more right rows
     than that: the right rows of such a group are dealt into as many parts as needed
-    and the left rows are repeated for each. Groups that stay below pass unchanged.
+    and the left rows are repeated for each. Groups that stay below pass unchanged. It
+    is meant for batches and costs one counting pass, which runs at once.
     Column names other than ``key`` must differ between the two sides.
     """
     width = max(1, math.ceil(span.total_seconds() * 1_000_000 / bins_per_span))
@@ -57,14 +58,20 @@ def interval_join(
     return lefts.join(rights, on).where(in_span).drop("_bin", "_part")
 
 
+# Most hot groups that are listed for a broadcast: a few megabytes at any data size.
+HOT_GROUP_LIST = 100_000
+
+
 def _split_hot_groups(
     lefts: DataFrame, rights: DataFrame, on: list[str], right_time: str, max_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Adds ``_part`` to both sides.
 
-    The hot groups are counted with map-side combine. There are at most
-    rows / max_rows of them; the join with that list is left to adaptive execution,
-    which broadcasts it only when its measured size allows.
+    The group sizes are counted with map-side combine, reading only the join columns.
+    The list of hot groups is broadcast when it is short enough, which the count
+    establishes first; a longer one is joined as it is, whichever way its size allows.
+    Rows are dealt by a hash of their values, so a task that runs again deals alike;
+    exact copies stay together and are left to adaptive skew handling.
     """
     hot = (
         rights.groupBy(*on)
@@ -72,6 +79,11 @@ def _split_hot_groups(
         .where(F.col("_rows") > max_rows)
         .select(*on, F.ceil(F.col("_rows") / F.lit(max_rows)).cast("int").alias("_parts"))
     )
+    listed = hot.limit(HOT_GROUP_LIST + 1).collect()
+    if not listed:
+        return lefts.withColumn("_part", F.lit(0)), rights.withColumn("_part", F.lit(0))
+    if len(listed) <= HOT_GROUP_LIST:
+        hot = F.broadcast(rights.sparkSession.createDataFrame(listed, hot.schema))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     dealt = F.pmod(F.xxhash64(*rights.columns), parts).cast("int")
     rights = rights.join(hot, on, "left").withColumn("_part", dealt).drop("_parts")

@@ -120,30 +120,30 @@ def consecutive_runs(
     inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    hit = F.coalesce(condition, F.lit(False))
+    rows = df.where(F.col(time_column).isNotNull()).select(
+        key, time_column, *([tie_breaker] if tie_breaker else []),
+        F.coalesce(condition, F.lit(False)).alias("_hit"),
+        F.floor(F.unix_micros(time_column) / F.lit(micros)).alias("_chunk"),
+    )
     pieces = (
-        df.where(F.col(time_column).isNotNull())
-        .select(
-            key, time_column, *([tie_breaker] if tie_breaker else []),
-            hit.alias("_hit"),
-            F.floor(F.unix_micros(time_column) / F.lit(micros)).alias("_chunk"),
-        )
-        .withColumn("_breaks", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(inside))
+        rows.withColumn("_breaks", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(inside))
+        .where("_hit")
         .groupBy(key, "_chunk", "_breaks")
         .agg(
-            F.count_if("_hit").alias("_n"),
-            F.min(F.when(F.col("_hit"), F.col(time_column))).alias("_first"),
-            F.max(F.when(F.col("_hit"), F.col(time_column))).alias("_last"),
+            F.count(F.lit(1)).alias("_n"),
+            F.min(time_column).alias("_first"),
+            F.max(time_column).alias("_last"),
         )
     )
-    chunks = pieces.groupBy(key, "_chunk").agg(F.max("_breaks").alias("_total"))
+    # The totals come from the rows, not the pieces: counted before they travel, they
+    # cost a scan of three columns instead of a second sort of everything.
+    totals = rows.groupBy(key, "_chunk").agg(F.count_if(~F.col("_hit")).alias("_total"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(
+    offsets = totals.select(
         key, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
     return (
-        pieces.where(F.col("_n") > 0)
-        .join(offsets, [key, "_chunk"])
+        pieces.join(offsets, [key, "_chunk"])
         .groupBy(key, (F.col("_offset") + F.col("_breaks")).alias("_run"))
         .agg(
             F.sum("_n").alias("run_length"),

@@ -124,13 +124,14 @@ class FleetClient:
 
     def _enriched(self, entry: Mapping, pattern: str, since, limit: int, strict: bool) -> DataFrame:
         span = parse_duration(since) if since else None
-        if entry.enriched == "alerts_with_context" and (not strict or entry.pattern == pattern):
-            return topk.newest(presets.context_top(self.views, limit, span), "alert_time", limit)
+        if entry.enriched == "alerts_with_context":
+            narrow = pattern if strict and entry.pattern != pattern else None
+            rows = presets.context_top(self.views, limit, span, pattern=narrow)
+            return topk.newest(rows, "alert_time", limit)
         rows = self._narrowed(self.views[entry.enriched], entry, pattern, strict)
-        time_column = "alert_time" if entry.enriched == "alerts_with_context" else entry.time_column
         if span:
-            rows = rows.where(newer_than(time_column, span, self.as_of))
-        return topk.newest(rows, time_column, limit)
+            rows = rows.where(newer_than(entry.time_column, span, self.as_of))
+        return topk.newest(rows, entry.time_column, limit)
 
     def topic_info(self, pattern: str) -> DataFrame:
         return Registry([self.registry.resolve(pattern)]).topics(self.spark)

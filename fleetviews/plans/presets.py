@@ -13,6 +13,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timing import interval, moment, preset_duration
+from ..functions.topics import topic_matches
 from ..functions.values import rounded
 from ..operators import joins, topk
 from ..operators.views import all_of, carries_alert, carries_metric, equals
@@ -108,13 +109,18 @@ def context_top(
     since: timedelta | None = None,
     vehicle_id: str | None = None,
     severity: str | None = None,
+    pattern: str | None = None,
 ) -> DataFrame:
-    """Candidates for the k newest alert-context rows, with the filters below the join."""
+    """Candidates for the k newest alert-context rows, with the filters below the join.
+
+    ``pattern`` keeps alerts whose own topic it covers.
+    """
     bound = moment(views.as_of) - interval(since) if since else None
     events = views["fleet_events_raw"].where(all_of(
         equals("vehicle_id", vehicle_id),
         equals("severity", severity),
         F.col("occurred_at") > bound if since else None,
+        topic_matches(F.col("topic"), pattern) if pattern else None,
     ))
     telemetry = views["fleet_telemetry_raw"].where(all_of(
         equals("vehicle_id", vehicle_id),

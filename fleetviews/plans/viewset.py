@@ -30,6 +30,9 @@ DEPENDENCIES: dict[str, tuple[str, ...]] = {
     "vehicle_event_counts_1h": ("fleet_events_raw",),
 }
 
+# A source stream, or a function that gives it when a view first needs it.
+Source = DataFrame | Callable[[], DataFrame]
+
 ROUTING = ("fleet_telemetry_raw", "fleet_events_raw", "fleet_commands_raw")
 
 
@@ -43,19 +46,21 @@ class ViewSet:
 
     def __init__(
         self,
-        telemetry: DataFrame,
-        events: DataFrame,
-        commands: DataFrame,
+        telemetry: Source,
+        events: Source,
+        commands: Source,
         as_of=None,
         time_column: str = "ts",
     ):
+        def routing(view, source: Source) -> Callable[[], DataFrame]:
+            return lambda: view(source() if callable(source) else source, time_column)
+
         self.as_of = as_of
-        self._built: dict[str, DataFrame] = {
-            "fleet_telemetry_raw": views.telemetry_raw(telemetry, time_column),
-            "fleet_events_raw": views.events_raw(events, time_column),
-            "fleet_commands_raw": views.commands_raw(commands, time_column),
-        }
+        self._built: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[..., DataFrame]] = {
+            "fleet_telemetry_raw": routing(views.telemetry_raw, telemetry),
+            "fleet_events_raw": routing(views.events_raw, events),
+            "fleet_commands_raw": routing(views.commands_raw, commands),
             "vehicle_alert": views.vehicle_alert,
             "vehicle_command": views.vehicle_command,
             "vehicle_telemetry": views.vehicle_telemetry,
@@ -77,7 +82,9 @@ class ViewSet:
     @classmethod
     def over(cls, table, as_of=None, since=None) -> "ViewSet":
         """Views over the streams of a table adapter (``telemetry/events/commands``)."""
-        return cls(table.telemetry(since), table.events(since), table.commands(since), as_of)
+        return cls(
+            lambda: table.telemetry(since), lambda: table.events(since), lambda: table.commands(since), as_of
+        )
 
     def names(self) -> list[str]:
         return list(self.dependencies)

@@ -5,6 +5,9 @@ vehicles and time is compressed sixty-fold, so that readings are dense enough fo
 two-minute correlations. ``view``, ``click`` and ``purchase`` rows become telemetry,
 ``error`` rows alerts and ``signup`` rows commands. Every column is an expression over
 the row, so scans keep column pruning and the filter on ``event_type`` is pushed down.
+
+The derivation is written in SQL expressions: it is long, and one ``selectExpr`` reaches
+the JVM in one call.
 """
 
 from __future__ import annotations
@@ -13,9 +16,8 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.topics import build_topic
-from ..schemas import SENSOR_UNITS
 from ..operators.views import telemetry_long
+from ..schemas import SENSOR_UNITS
 from .messages import unified
 
 # Time origin and compression, and the instant the data's "now" lies at.
@@ -28,127 +30,95 @@ KINDS = {
     "events": ("error",),
     "commands": ("signup",),
 }
-# Alert kinds by event_id modulo 6 and the sensor each speaks about.
-ALERT_KINDS = (
-    ("low_fuel", "fuel_level"),
-    ("high_engine_temp", "engine_temp"),
-    ("tire_pressure_warning", "tire_pressure"),
-    ("speed_limit_exceeded", "speed"),
-    ("maintenance_due", None),
-    ("battery_voltage_low", "battery_voltage"),
+VEHICLE = "concat('vehicle_', lpad(CAST(user_id % 10 + 1 AS STRING), 3, '0'))"
+TIME = (
+    f"timestamp_micros((unix_micros(CAST(ts AS TIMESTAMP)) - {ORIGIN_MICROS}) div {COMPRESSION}"
+    f" + {ORIGIN_MICROS})"
 )
-DESCRIPTIONS = {
-    "low_fuel": "Fuel level critical: %.1f%%",
-    "high_engine_temp": "Engine temp elevated: %.1f F",
-    "tire_pressure_warning": "Tire pressure anomaly: %.1f psi",
-    "speed_limit_exceeded": "Speed %.1f mph exceeds posted limit",
-    "maintenance_due": "Scheduled maintenance interval reached",
-    "battery_voltage_low": "Battery voltage low: %.2fV",
+READINGS = {
+    "speed": "CAST(event_id * 29 % 900 AS DOUBLE) / CAST(10 AS DOUBLE)",
+    "fuel_level": "CAST(5 AS DOUBLE) + CAST(event_id * 31 % 900 AS DOUBLE) / CAST(10 AS DOUBLE)",
+    "engine_temp": "CAST(150 AS DOUBLE) + CAST(event_id * 53 % 1100 AS DOUBLE) / CAST(10 AS DOUBLE)",
+    "tire_pressure": "CAST(22 AS DOUBLE) + CAST(event_id * 17 % 160 AS DOUBLE) / CAST(10 AS DOUBLE)",
+    "battery_voltage": "CAST(11 AS DOUBLE) + CAST(event_id * 13 % 40 AS DOUBLE) / CAST(10 AS DOUBLE)",
+}
+POSITION = {
+    "latitude": "CAST(42 AS DOUBLE) + CAST(event_id * 37 % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE)",
+    "longitude": "CAST(-71.5 AS DOUBLE) + CAST(event_id * 41 % 997 AS DOUBLE) / CAST(1000 AS DOUBLE)",
 }
-COMMAND_TYPES = ("return_to_base", "reduce_speed", "diagnostic_check")
+SEVERITY = "CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END"
+COMMAND = (
+    "CASE event_id % 3 WHEN 0 THEN 'return_to_base' WHEN 1 THEN 'reduce_speed'"
+    " ELSE 'diagnostic_check' END"
+)
+# Alert kinds by event_id modulo 6: name, the sensor it speaks about, description.
+ALERT_KINDS = (
+    ("low_fuel", "fuel_level", "Fuel level critical: %.1f%%"),
+    ("high_engine_temp", "engine_temp", "Engine temp elevated: %.1f F"),
+    ("tire_pressure_warning", "tire_pressure", "Tire pressure anomaly: %.1f psi"),
+    ("speed_limit_exceeded", "speed", "Speed %.1f mph exceeds posted limit"),
+    ("maintenance_due", None, "Scheduled maintenance interval reached"),
+    ("battery_voltage_low", "battery_voltage", "Battery voltage low: %.2fV"),
+)
 # End of fixed values.
 
 
-def _ramp(start: float, step: int, modulus: int, divisor: int = 10) -> Column:
-    rest = (F.col("event_id") * step % modulus).cast("double") / F.lit(float(divisor))
-    return F.lit(float(start)) + rest if start else rest
-
-
-def _sensors() -> dict[str, Column]:
-    return {
-        "speed": _ramp(0, 29, 900),
-        "fuel_level": _ramp(5, 31, 900),
-        "engine_temp": _ramp(150, 53, 1100),
-        "tire_pressure": _ramp(22, 17, 160),
-        "battery_voltage": _ramp(11, 13, 40),
-    }
-
-
-def _vehicle() -> Column:
-    number = (F.col("user_id") % 10 + 1).cast("string")
-    return F.concat(F.lit("vehicle_"), F.lpad(number, 3, "0"))
-
-
-def _time() -> Column:
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN_MICROS
-    return F.timestamp_micros(F.floor(micros / F.lit(COMPRESSION)) + ORIGIN_MICROS)
-
-
-def _by_modulus(modulus: int, outcomes: list[Column]) -> Column:
-    chosen = F.when(F.col("event_id") % modulus == 0, outcomes[0])
-    for i, outcome in enumerate(outcomes[1:-1], start=1):
-        chosen = chosen.when(F.col("event_id") % modulus == i, outcome)
-    return chosen.otherwise(outcomes[-1])
-
-
-def _severity() -> Column:
-    return _by_modulus(3, [F.lit("low"), F.lit("medium"), F.lit("high")])
+def _per_alert_kind(outcome) -> str:
+    """CASE over the alert kinds; ``outcome(name, sensor, description)`` gives each branch."""
+    branches = [f"WHEN {i} THEN {outcome(*kind)}" for i, kind in enumerate(ALERT_KINDS)]
+    return f"CASE event_id % {len(ALERT_KINDS)} {' '.join(branches)} END"
 
 
-def _metric_json(sensor: str | None) -> Column:
+def _payload(_name: str, sensor: str | None, _description: str) -> str:
     if sensor is None:
-        return F.lit("{}")
-    value = _sensors()[sensor]
-    return F.to_json(F.struct(value.alias("current_value"), F.lit(sensor).alias("metric")))
-
-
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [value.alias(name) for name, value in columns.items()]
-
-
-def _telemetry_body() -> dict[str, Column]:
-    return {
-        "vehicle_id": _vehicle(),
-        **_sensors(),
-        "latitude": _ramp(42, 37, 1000, 1000),
-        "longitude": _ramp(-71.5, 41, 997, 1000),
-    }
+        return "'{}'"
+    return f"to_json(named_struct('current_value', {READINGS[sensor]}, 'metric', '{sensor}'))"
+
+
+def _description(_name: str, sensor: str | None, description: str) -> str:
+    return f"format_string('{description}', {READINGS[sensor]})" if sensor else f"'{description}'"
+
+
+BODIES: dict[str, dict[str, str]] = {
+    "telemetry": {"vehicle_id": VEHICLE, **READINGS, **POSITION},
+    "events": {
+        "vehicle_id": VEHICLE,
+        "event_type": _per_alert_kind(lambda name, _s, _d: f"'{name}'"),
+        "severity": SEVERITY,
+        "description": _per_alert_kind(_description),
+        "payload": _per_alert_kind(_payload),
+    },
+    "commands": {
+        "vehicle_id": VEHICLE,
+        "command_type": COMMAND,
+        "parameters": "to_json(named_struct('priority', event_id % 5 + 1))",
+        "issued_by": "concat('operator_', CAST(user_id % 5 + 1 AS STRING))",
+    },
+}
+TOPICS = {
+    "telemetry": f"concat_ws('/', 'fleet/telemetry', {VEHICLE}, 'metrics')",
+    "events": f"concat_ws('/', 'fleet/events', {VEHICLE}, 'alerts', {SEVERITY})",
+    "commands": f"concat_ws('/', 'fleet/commands', {VEHICLE}, {COMMAND})",
+}
+# Body fields that hold JSON and therefore nest in a message.
+NESTED = {"payload": "current_value double, metric string", "parameters": "priority bigint"}
 
 
-def _event_body() -> dict[str, Column]:
-    sensors = _sensors()
-    descriptions = [
-        F.format_string(DESCRIPTIONS[kind], sensors[sensor]) if sensor else F.lit(DESCRIPTIONS[kind])
-        for kind, sensor in ALERT_KINDS
+def _body_text(kind: str) -> str:
+    """JSON text of a message body."""
+    fields = [
+        f"'{name}', from_json({value}, '{NESTED[name]}')" if name in NESTED else f"'{name}', {value}"
+        for name, value in BODIES[kind].items()
     ]
-    return {
-        "vehicle_id": _vehicle(),
-        "event_type": _by_modulus(6, [F.lit(kind) for kind, _ in ALERT_KINDS]),
-        "severity": _severity(),
-        "description": _by_modulus(6, descriptions),
-        "payload": _by_modulus(6, [_metric_json(sensor) for _, sensor in ALERT_KINDS]),
-    }
-
-
-def _command_type() -> Column:
-    return _by_modulus(3, [F.lit(c) for c in COMMAND_TYPES])
-
+    return f"to_json(named_struct({', '.join(fields)}))"
 
-def _command_body() -> dict[str, Column]:
-    return {
-        "vehicle_id": _vehicle(),
-        "command_type": _command_type(),
-        "parameters": F.to_json(F.struct((F.col("event_id") % 5 + 1).alias("priority"))),
-        "issued_by": F.concat(F.lit("operator_"), (F.col("user_id") % 5 + 1).cast("string")),
-    }
 
-
-def _envelope(kind: str) -> dict[str, Column]:
-    tail = {
-        "telemetry": ["metrics"], "events": ["alerts", _severity()], "commands": [_command_type()]
-    }[kind]
-    return {
-        "ts": _time(),
-        "topic": build_topic("fleet", kind, _vehicle(), *tail),
-        "seq": F.col("event_id"),
-    }
-
-
-def _body_text(body: dict[str, Column]) -> Column:
-    """JSON text of a message body; fields that hold JSON become nested objects."""
-    json_fields = {"payload": "current_value double, metric string", "parameters": "priority bigint"}
-    nested = {k: F.from_json(v, json_fields[k]) if k in json_fields else v for k, v in body.items()}
-    return F.to_json(F.struct(*_named(nested)))
+def _by_kind(outcomes: dict[str, str]) -> str:
+    branches = [
+        f"WHEN event_type IN ({', '.join(repr(k) for k in KINDS[kind])}) THEN {value}"
+        for kind, value in outcomes.items()
+    ]
+    return f"CASE {' '.join(branches)} END"
 
 
 class EventsTable:
@@ -156,7 +126,6 @@ class EventsTable:
 
     def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self.spark = spark
-        self.streaming = streaming
         path = f"{sf_dir}/events.parquet"
         if streaming:
             # A stream wants a folder or a glob; the bracket makes one of a single file.
@@ -173,54 +142,38 @@ class EventsTable:
         rows = self.raw
         if kind:
             rows = rows.where(F.col("event_type").isin(*KINDS[kind]))
-        ts = F.col("ts")
         if since:
-            rows = rows.where(ts >= _stored(since))
+            rows = rows.where(F.col("ts") >= _stored(since))
         if until:
-            rows = rows.where(ts < _stored(until))
+            rows = rows.where(F.col("ts") < _stored(until))
         return rows
 
+    def stream_of(self, kind: str, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Typed rows of one kind, with envelope columns and a sequence number."""
+        body = [f"{value} AS {name}" for name, value in BODIES[kind].items()]
+        envelope = [f"{TIME} AS ts", f"{TOPICS[kind]} AS topic", "event_id AS seq"]
+        return self._rows(kind, since, until).selectExpr(*body, *envelope)
+
     def telemetry(self, since=None, until=None) -> DataFrame:
-        return self._rows("telemetry", since, until).select(
-            *_named(_telemetry_body()), *_named(_envelope("telemetry"))
-        )
+        return self.stream_of("telemetry", since, until)
 
     def events(self, since=None, until=None) -> DataFrame:
-        return self._rows("events", since, until).select(
-            *_named(_event_body()), *_named(_envelope("events"))
-        )
+        return self.stream_of("events", since, until)
 
     def commands(self, since=None, until=None) -> DataFrame:
-        return self._rows("commands", since, until).select(
-            *_named(_command_body()), *_named(_envelope("commands"))
-        )
-
-    def stream_of(self, kind: str, since=None, until=None) -> DataFrame:
-        return {"telemetry": self.telemetry, "events": self.events, "commands": self.commands}[kind](since, until)
+        return self.stream_of("commands", since, until)
 
     def messages(self, since=None, until=None) -> DataFrame:
         """All kinds as one message frame with JSON bodies, plus their sequence number.
 
         One scan: what a row becomes depends on its own ``event_type``.
         """
-        bodies = {
-            "telemetry": _telemetry_body(), "events": _event_body(), "commands": _command_body()
-        }
-
-        def by_kind(outcome) -> Column:
-            telemetry, events, commands = (outcome(kind) for kind in bodies)
-            return (
-                F.when(F.col("event_type").isin(*KINDS["telemetry"]), telemetry)
-                .when(F.col("event_type").isin(*KINDS["events"]), events)
-                .when(F.col("event_type").isin(*KINDS["commands"]), commands)
-            )
-
-        return self._rows(None, since, until).select(
-            by_kind(lambda kind: _envelope(kind)["topic"]).alias("topic"),
-            _time().alias("ts"),
-            F.lit(None).cast("map<string,string>").alias("headers"),
-            by_kind(lambda kind: _body_text(bodies[kind])).alias("value"),
-            F.col("event_id").alias("seq"),
+        return self._rows(None, since, until).selectExpr(
+            f"{_by_kind(TOPICS)} AS topic",
+            f"{TIME} AS ts",
+            "CAST(NULL AS MAP<STRING, STRING>) AS headers",
+            f"{_by_kind({kind: _body_text(kind) for kind in BODIES})} AS value",
+            "event_id AS seq",
         )
 
     def unified(self, since=None, until=None) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from fleetviews.functions.timing import preset_duration
 from fleetviews.operators import joins, rolling, topk, windows
 from fleetviews.plans import presets
 from fleetviews.sources.events_table import AS_OF
@@ -101,6 +102,7 @@ def _(f):
         F.to_timestamp(F.lit("2024-01-01 00:00:00")).alias("sample_time"), F.lit(0).cast("bigint").alias("n")
     )
     total = f.telemetry.agg(F.count(F.lit(1))).scalar()
+    # One row per hour of data reaches this window, not one per reading.
     drained = F.sum("n").over(Window.orderBy("sample_time"))
     samples = hourly.unionByName(start).select("sample_time", (total - drained).alias("depth"))
     return six(drain_progress(samples), "percent", "rate")
@@ -395,8 +397,18 @@ _PRESETS = {
         ("boston_region", {"since": "24h", "vehicle_id": "ignored"}),
         position_oracle(4, f"{BOSTON} AND recorded_at > {NOW} - INTERVAL 24 HOUR", 100)),
 }
+def _run_preset(f, name: str, args: dict):
+    """A bounded preset scans only its span, and the reach of a window or context before it."""
+    views = f.views
+    if "since" in args:
+        views = f.recent_views(preset_duration(args["since"]) + timedelta(minutes=5))
+    elif name in ("fleet_alert_summary", "vehicle_activity"):
+        views = f.recent_views(HOUR)
+    return presets.preset(views, name, **args)
+
+
 for _name, ((_preset, _args), _sql) in _PRESETS.items():
-    check(_name, _sql)(lambda f, p=_preset, a=_args: f.client.preset(p, **a))
+    check(_name, _sql)(lambda f, p=_preset, a=_args: _run_preset(f, p, a))
 
 _TOOLS = {
     "q40_tool_fleet_alert_summary": (("get_fleet_alert_summary", {}), BY_SEVERITY),

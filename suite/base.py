@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import timedelta
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from fleetviews.plans.client import FleetClient
 from fleetviews.plans.viewset import ViewSet
@@ -147,23 +147,22 @@ class Fleet:
         return self.views["fleet_commands_raw"]
 
 
+def _portable(f: T.StructField) -> str:
+    name, kind = f"`{f.name}`", f.dataType
+    if isinstance(kind, T.TimestampType):
+        return f"CAST({name} AS TIMESTAMP_NTZ) AS {name}"
+    if isinstance(kind, T.DecimalType):
+        return f"CAST({name} AS DOUBLE) AS {name}"
+    if isinstance(kind, T.DayTimeIntervalType):
+        return f"CAST(CAST(CAST({name} AS INTERVAL SECOND) AS DECIMAL(24,6)) * 1000000 AS BIGINT) AS {name}"
+    if isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
+        return f"CAST({name} AS BIGINT) AS {name}"
+    return name
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Portable output types: zone-less times, floating decimals, microsecond intervals."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, T.DayTimeIntervalType):
-            c = F.expr(f"CAST(CAST(CAST(`{f.name}` AS INTERVAL SECOND) AS DECIMAL(24,6)) * 1000000 AS BIGINT)")
-        elif isinstance(f.dataType, T.VariantType):
-            c = F.to_json(c)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    return df.selectExpr(*[_portable(f) for f in df.schema.fields])
 
 
 def check(name: str, oracle: str | None = None):

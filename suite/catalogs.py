@@ -9,6 +9,7 @@ from fleetviews.functions.values import schema_columns
 from fleetviews.operators import sets
 from fleetviews.plans import catalog
 from fleetviews.plans.registry import STATIC_MAPPINGS, Registry
+from fleetviews.sources.events_table import SEVERITY
 from .base import check
 from .rows import EVENT_ROW, TELEMETRY_ROW
 
@@ -89,9 +90,7 @@ _SCHEMAS = {
 
 
 def _catalog(f):
-    from fleetviews.sources.events_table import _severity
-
-    found = f.table.raw.select(F.col("event_type").alias("kind"), _severity().alias("severity")).distinct()
+    found = f.table.raw.selectExpr("event_type AS kind", f"{SEVERITY} AS severity").distinct()
     key = F.concat_ws("-", F.lit("ev"), "kind", "severity")
     events = found.select(key.alias("id"), F.concat(F.upper("kind"), F.lit(" "), "severity", F.lit("-Event")).alias("name"))
 

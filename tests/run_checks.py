@@ -6,9 +6,9 @@ import sys
 import time
 from pathlib import Path
 
-sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parents[1])]
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from compare import differences, oracle  # noqa: E402
+from tests.compare import differences, oracle  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from fleetviews import build_session  # noqa: E402
