@@ -24,7 +24,7 @@ def interval_join(
     left_time: str,
     right_time: str,
     span: timedelta = TWO_MINUTES,
-    bins_per_span: int = 4,
+    bins_per_span: int = 2,
     max_group_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key`` with ``right_time`` in ``[left_time - span, left_time]``.
@@ -33,8 +33,8 @@ def interval_join(
     busy vehicle into one task. Time is cut into bins of a fraction of the span and the
     bin joins the key, so the join is an equi-join on (key, bin). The left side, the
     rarer one, is repeated for the bins its interval touches; each right row stays in
-    its one bin, so no pair appears twice. Bins finer than the span waste fewer
-    comparisons and spread a busy vehicle wider.
+    its one bin, so no pair appears twice. Finer bins waste fewer comparisons and spread a
+    busy vehicle wider, but repeat the left side more often.
 
     ``max_group_rows`` also splits single (key, bin) groups that hold more right rows
     than that: the right rows of such a group are dealt into as many parts as needed
@@ -149,13 +149,15 @@ def alerts_that_have_context(
         .groupBy("vehicle_id", _bin(F.col("recorded_at"), width).alias("_bin"))
         .agg(F.min("recorded_at").alias("_earliest"), F.max("recorded_at").alias("_latest"))
     )
-    here = bounds.select("vehicle_id", "_bin", "_earliest", F.lit(None).cast("timestamp").alias("_previous"))
-    ahead = bounds.select(
-        "vehicle_id", (F.col("_bin") + 1).alias("_bin"),
-        F.lit(None).cast("timestamp").alias("_earliest"), F.col("_latest").alias("_previous"),
+    unknown = F.lit(None).cast("timestamp")
+    seen_from = F.array(
+        F.struct(F.col("_bin"), F.col("_earliest"), unknown.alias("_previous")),
+        F.struct((F.col("_bin") + 1).alias("_bin"), unknown.alias("_earliest"), F.col("_latest").alias("_previous")),
     )
-    reach = here.unionByName(ahead).groupBy("vehicle_id", "_bin").agg(
-        F.min("_earliest").alias("_earliest"), F.max("_previous").alias("_previous")
+    reach = (
+        bounds.select("vehicle_id", F.inline(seen_from))
+        .groupBy("vehicle_id", "_bin")
+        .agg(F.min("_earliest").alias("_earliest"), F.min("_previous").alias("_previous"))
     )
     alerts = events.withColumn("_bin", _bin(F.col("occurred_at"), width))
     touched = (F.col("_earliest") <= F.col("occurred_at")) | (

@@ -5,9 +5,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timing import moment, newer_than
 from ..schemas import SEVERITIES
@@ -60,7 +58,7 @@ def freshness(view: DataFrame, time_column: str, as_of=None) -> DataFrame:
         .withColumn("lag", moment(as_of) - F.col("latest"))
         .withColumn(
             "lag_seconds",
-            F.floor(F.expr("CAST(CAST(lag AS INTERVAL SECOND) AS DECIMAL(24,6))")).cast("bigint"),
+            F.expr("CAST(CAST(CAST(lag AS INTERVAL SECOND) AS DECIMAL(24,6)) AS BIGINT)"),
         )
         .select("latest", "lag", "lag_seconds")
     )

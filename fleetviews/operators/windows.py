@@ -163,8 +163,9 @@ def versus_fleet(
 ) -> DataFrame:
     """Each vehicle's window average next to the fleet's, with difference and z-score.
 
-    The rows are first folded to one partial state per vehicle and window; the fleet's
-    figures are folded from those, so no task ever sees a window of raw rows.
+    Readings are first folded to one partial state per vehicle and window. The fleet's
+    figures are sums over those states, at most one per vehicle in a window, so the
+    readings are scanned once and never meet unfolded.
     """
     x = F.col(value)
     per_vehicle = (
@@ -172,24 +173,16 @@ def versus_fleet(
         .agg(F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares"), F.count(x).alias("_n"))
         .select("vehicle_id", F.col("_window.start").alias("window_start"), "_sum", "_squares", "_n")
     )
-    fleet = per_vehicle.groupBy("window_start").agg(
-        F.sum("_sum").alias("_fleet_sum"),
-        F.sum("_squares").alias("_fleet_squares"),
-        F.sum("_n").alias("_fleet_n"),
-    )
-    fleet_avg = F.try_divide(F.col("_fleet_sum"), F.col("_fleet_n"))
-    variance = F.greatest(
-        F.try_divide(F.col("_fleet_squares"), F.col("_fleet_n")) - F.col("fleet_avg") * F.col("fleet_avg"),
-        F.lit(0.0),
-    )
+    fleet = Window.partitionBy("window_start")
+    fleet_n = F.sum("_n").over(fleet)
+    variance = F.try_divide(F.sum("_squares").over(fleet), fleet_n) - F.col("fleet_avg") * F.col("fleet_avg")
     # Less spread than a millionth of the mean is rounding noise: no score then.
     spread = F.col("_deviation") > F.abs("fleet_avg") * 1e-6
     return (
-        per_vehicle.join(fleet, "window_start")
-        .withColumn("vehicle_avg", F.try_divide(F.col("_sum"), F.col("_n")))
-        .withColumn("fleet_avg", fleet_avg)
+        per_vehicle.withColumn("vehicle_avg", F.try_divide(F.col("_sum"), F.col("_n")))
+        .withColumn("fleet_avg", F.try_divide(F.sum("_sum").over(fleet), fleet_n))
         .withColumn("difference", F.col("vehicle_avg") - F.col("fleet_avg"))
-        .withColumn("_deviation", F.sqrt(variance))
+        .withColumn("_deviation", F.sqrt(F.greatest(variance, F.lit(0.0))))
         .withColumn("z_score", F.when(spread, F.col("difference") / F.col("_deviation")))
         .select("vehicle_id", "window_start", "vehicle_avg", "fleet_avg", "difference", "z_score")
     )

@@ -68,12 +68,20 @@ class FleetClient:
     def _narrowed(self, rows: DataFrame, entry: Mapping, pattern: str, strict: bool) -> DataFrame:
         """Only the rows whose topic the asked pattern covers.
 
-        An entry may be wider than the pattern that led to it. Views without a topic get
-        one rebuilt from the entry's pattern.
+        An entry may be wider than the pattern that led to it. A view's own topic is
+        tested as it is, so that scans can skip by its prefix; a view without one gets
+        it rebuilt from the entry's pattern.
         """
         if not strict or entry.pattern == pattern:
             return rows
-        return rows.where(topic_matches(rebuilt_topic(entry.pattern, rows.columns), pattern))
+        own = "topic" in rows.columns
+        topic = F.col("topic") if own else rebuilt_topic(entry.pattern, rows.columns)
+        return rows.where(topic_matches(topic, pattern))
+
+    def narrowed(self, pattern: str) -> DataFrame:
+        """All rows behind a pattern, unordered: batch or streaming, as the views are."""
+        entry = self.registry.resolve(pattern)
+        return self._narrowed(self.views[entry.mv], entry, pattern, True)
 
     def query(
         self,
@@ -173,8 +181,7 @@ class FleetClient:
         """
         entry = self.registry.resolve(pattern)
         column = entry.time_column
-        after = live_views.subscribed(replay.live_slice(live, column, cut), pattern) if "topic" in live.columns \
-            else self._narrowed(replay.live_slice(live, column, cut), entry, pattern, True)
+        after = self._narrowed(replay.live_slice(live, column, cut), entry, pattern, True)
         after = replay.rendered(after, "live", entry.pattern, column).drop("source")
         if since is None:
             return replay.append_stream(after, f"{path}/source=live", checkpoint, available_now)

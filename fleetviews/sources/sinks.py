@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.topics import build_topic
 from ..functions.values import JSON_TIMES, row_json
@@ -74,7 +74,7 @@ def save_view(view: DataFrame, path: str, time_column: str | None = None, mode:
 def append_stream(view: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Stateless or append-mode view into a Parquet table; the file sink is exactly-once."""
     writer = view.writeStream.format("parquet").outputMode("append").option("path", path)
-    return _started(writer.option("checkpointLocation", checkpoint), available_now)
+    return started(view, writer.option("checkpointLocation", checkpoint), available_now)
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -99,7 +99,7 @@ def update_stream(view: DataFrame, path: str, checkpoint: str, available_now: bo
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, path))
     )
-    return _started(writer, available_now)
+    return started(view, writer, available_now)
 
 
 def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -110,5 +110,18 @@ def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def _started(writer, available_now: bool) -> StreamingQuery:
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def started(
+    stream: DataFrame, writer: DataStreamWriter, available_now: bool = False, state_partitions: int | None = None
+) -> StreamingQuery:
+    """Start a stream whose state is as wide as the cluster (or as told).
+
+    Adaptive execution does not resize streaming state, and the width it starts with
+    stays with its checkpoint. So it follows the number of cores, not the batch setting.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    batch_width = conf.get(key)
+    conf.set(key, state_partitions or stream.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(key, batch_width)

@@ -18,6 +18,7 @@ from ..operators.joins import TWO_MINUTES, alerts_with_context
 from ..operators.rolling import HOUR, fleet_alert_summary, vehicle_event_counts
 from ..operators.views import all_of, severity_is
 from ..operators.windows import FIVE_MINUTES, vehicle_speed_avg
+from ..sources.sinks import started
 
 DELAY = "10 minutes"
 ALERT_TREE = "fleet/events/>"
@@ -69,7 +70,7 @@ def start_rolling_table(
         rows.writeStream.format("parquet").outputMode("append").partitionBy("event_hour")
         .option("path", path).option("checkpointLocation", checkpoint)
     )
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return started(rows, writer, available_now)
 
 
 def rolling_rows(spark: SparkSession, path: str, as_of=None, span=HOUR) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -48,3 +50,9 @@ def state_rows(progress: list) -> int:
     return max(
         (sum(s["numRowsTotal"] for s in report["stateOperators"]) for report in progress), default=0
     )
+
+
+def event_time_lag(progress: list, now: datetime) -> timedelta | None:
+    """Age of the newest event time a running query has seen; None before the first."""
+    times = [r["eventTime"]["max"] for r in progress if "max" in r.get("eventTime", {})]
+    return now - datetime.fromisoformat(max(times)) if times else None

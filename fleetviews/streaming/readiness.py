@@ -19,7 +19,7 @@ from ..functions.topics import build_topic
 from ..operators.rolling import all_ready
 from ..schemas import CONNECTOR_STATUS, MESSAGE
 from ..sources.messages import header
-from ..sources.sinks import BATCH, current_rows, to_messages, write_batch
+from ..sources.sinks import BATCH, current_rows, started, to_messages, write_batch
 
 # How a marker is recognised and where readiness is announced.
 MARKER_HEADER = "x-backfill-sentinel"
@@ -273,4 +273,4 @@ class Connector:
         writer = messages.writeStream.foreachBatch(self._on_batch).option(
             "checkpointLocation", f"{self.root}/checkpoint"
         )
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
+        return started(messages, writer, available_now)

@@ -10,7 +10,7 @@ from fleetviews.functions.timing import (
 )
 from fleetviews.operators import rolling, sets, views
 from fleetviews.operators.views import all_of, equals
-from fleetviews.schemas import COMMAND_BODY, EVENT_BODY, SENSORS, TELEMETRY_BODY, valid_event, valid_telemetry
+from fleetviews.schemas import SENSORS, TELEMETRY_BODY, valid_event, valid_telemetry
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming.replay import rendered

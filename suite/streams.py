@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
 from fleetviews.functions.timing import moment
-from fleetviews.operators import rolling, views
+from fleetviews.operators import rolling, views, windows
 from fleetviews.plans.lifecycle import LiveViews
-from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
+from fleetviews.schemas import EVENT_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming import live, readiness, replay
@@ -125,18 +123,19 @@ def _(f):
     return _maintained(f, "r20", replay.once_per_key(twice, ["vehicle_id", "occurred_at"], "occurred_at"))
 
 
+@check("r21_live_latest_position", """SELECT vehicle_id, arg_max(latitude, recorded_at) AS latitude, arg_max(longitude, recorded_at) AS longitude,
+  arg_max(speed, recorded_at) AS speed_mph, max(recorded_at) AS recorded_at FROM telemetry GROUP BY vehicle_id""")
+def _(f):
+    return _maintained(f, "r21", windows.last_known_position(f.live["fleet_telemetry_raw"]), ["vehicle_id"])
+
+
 @check("s09_exactly_once_sink", "SELECT topic, seq FROM alerts")
 def _(f):
     """The sink runs twice from one checkpoint; the second run finds nothing new."""
     root = f.work("s09")
     for _run in range(2):
         rows = f.stream.events().select("topic", "seq")
-        query = (
-            rows.writeStream.option("checkpointLocation", f"{root}/checkpoint")
-            .foreachBatch(lambda df, batch_id: sinks.write_batch(df, batch_id, f"{root}/table"))
-            .trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        sinks.update_stream(rows, f"{root}/table", f"{root}/checkpoint", available_now=True).awaitTermination()
     return f.spark.read.parquet(f"{root}/table").drop(sinks.BATCH)
 
 

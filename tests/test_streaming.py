@@ -16,7 +16,7 @@ from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
 from fleetviews.streaming import live, readiness, replay
-from fleetviews.streaming.progress import drain_progress, query_samples, state_rows
+from fleetviews.streaming.progress import drain_progress, event_time_lag, query_samples, state_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1, 12)
@@ -50,6 +50,10 @@ def test_open_windows_are_visible_in_update_mode(spark, views, stream):
     running = LiveViews(spark)
     running.start("speed", live.live_speed_avg(stream["fleet_telemetry_raw"]), ["vehicle_id", "window_start"], True)
     assert running.wait()
+    progress = running._queries["speed"].recentProgress
+    lag = event_time_lag(progress, AS_OF)
+    assert timedelta(0) <= lag < timedelta(hours=1)
+    assert event_time_lag([], AS_OF) is None
     assert rows(running.read("speed")) == rows(views["vehicle_speed_5min_avg"].select(*running.read("speed").columns))
 
 
