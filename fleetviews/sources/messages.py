@@ -67,6 +67,14 @@ def routed(messages: DataFrame, pattern: str) -> DataFrame:
     return messages.where(topic_matches(F.col("topic"), pattern))
 
 
+def stream_name() -> Column:
+    """Stream a message belongs to by its topic, NULL for none: all routes in one pass."""
+    return F.coalesce(*[
+        F.when(topic_matches(F.col("topic"), pattern), F.lit(name))
+        for name, (pattern, _) in STREAMS.items()
+    ])
+
+
 def decoded(messages: DataFrame, body: T.StructType) -> DataFrame:
     """Body fields as columns, envelope columns kept, undecodable text in ``_corrupt_record``.
 
@@ -75,9 +83,12 @@ def decoded(messages: DataFrame, body: T.StructType) -> DataFrame:
     schema = T.StructType([*body.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     others = [c for c in messages.columns if c != "value"]
-    out = messages.select(*others, "value", parsed.alias("_body"))
+    # Exploding a one-element array pins the parsed body to a column. As a plain
+    # expression it would be repeated, and every message parsed again, in each filter
+    # on the corrupt text.
+    out = messages.select(*others, "value", F.explode(F.array(parsed)).alias("_body"))
     # A missing body decodes to nothing at all; it is as undecodable as bad text.
-    bad = F.when(F.col("_body").isNull() | F.col("value").isNull(), F.coalesce("value", F.lit("")))
+    bad = F.when(F.col("_body").isNull(), F.coalesce("value", F.lit("")))
     return out.select(
         *[F.col(f"_body.{f.name}").alias(f.name) for f in body.fields],
         *others,

@@ -57,12 +57,12 @@ def _(f):
 @check("s06_topic_split", """SELECT 'telemetry' AS stream, topic, seq FROM telemetry
   UNION ALL SELECT 'events', topic, seq FROM alerts UNION ALL SELECT 'commands', topic, seq FROM commands""")
 def _(f):
-    everything = f.table.messages().select("topic", "seq")
-    parts = [
-        messages.routed(everything, pattern).select(F.lit(name).alias("stream"), "topic", "seq")
-        for name, (pattern, _) in messages.STREAMS.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return f.table.messages().select(messages.stream_name().alias("stream"), "topic", "seq")
+
+
+@check("s06_routed_events", "SELECT topic, seq FROM alerts")
+def _(f):
+    return messages.routed(f.table.messages().select("topic", "seq"), "fleet/events/>")
 
 
 def _damaged(f):
