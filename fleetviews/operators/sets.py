@@ -24,12 +24,12 @@ def history_and_live(history: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
-def _known(history: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def known_keys(history: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Distinct history keys under names of their own."""
     return history.select(*[F.col(k).alias(f"_known_{k}") for k in keys]).distinct()
 
 
-def _same_key(keys: tuple[str, ...]) -> Column:
+def same_key(keys: tuple[str, ...]) -> Column:
     """Key equality in which NULL equals NULL; still an equi-join for the planner."""
     return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys])
 
@@ -52,7 +52,7 @@ def live_not_in_history(
         once = folded.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
     else:
         once = live.distinct()
-    return once.join(_known(history, keys), _same_key(keys), "left_anti").select(*live.columns)
+    return once.join(known_keys(history, keys), same_key(keys), "left_anti").select(*live.columns)
 
 
 def live_minus_first_repeat(
@@ -67,7 +67,7 @@ def live_minus_first_repeat(
     minimum arrival of each known key; they leave by a join on that unique number.
     """
     first = live.groupBy(*keys).agg(F.min(arrival).alias("_first"))
-    suppressed = first.join(_known(history, keys), _same_key(keys), "left_semi").select(
+    suppressed = first.join(known_keys(history, keys), same_key(keys), "left_semi").select(
         F.col("_first").alias("_suppressed")
     )
     return live.join(suppressed, F.col(arrival) == F.col("_suppressed"), "left_anti")

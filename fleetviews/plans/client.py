@@ -9,7 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timing import interval, moment, newer_than, parse_duration, preset_duration
+from ..functions.timing import newer_than, parse_duration, preset_duration
 from ..functions.topics import rebuilt_topic, topic_matches
 from ..operators import rolling, topk
 from ..operators.views import all_of, equals
@@ -265,10 +265,6 @@ class FleetClient:
     def vehicle_rows(self, view: str, vehicle_id: str | None = None) -> DataFrame:
         return self.views[view].where(all_of(equals("vehicle_id", vehicle_id)))
 
-    def recent(self, view: str, time_column: str, span) -> DataFrame:
-        bound = moment(self.as_of) - interval(parse_duration(span))
-        return self.views[view].where(F.col(time_column) > bound)
-
     # --- readiness ---
 
     @property

@@ -16,7 +16,7 @@ from ..functions.timing import interval, moment, parse_duration
 from ..functions.topics import rebuilt_topic
 from ..functions.values import event_json, event_line
 from ..operators.joins import TWO_MINUTES, alerts_with_context
-from ..operators.sets import tagged
+from ..operators.sets import known_keys, same_key, tagged
 from ..operators.topk import oldest_first
 from ..sources.sinks import append_stream
 from .live import DELAY, live_alerts_with_context, watermarked
@@ -24,18 +24,23 @@ from .live import DELAY, live_alerts_with_context, watermarked
 
 def history_slice(
     view: DataFrame, time_column: str, since: timedelta | str | None = None, cut=None, as_of=None,
-    limit: int | None = None,
+    limit: int | None = None, cut_column: str | None = None,
 ) -> DataFrame:
-    """Oldest-first rows after ``now - since`` and up to the cut."""
+    """Oldest-first rows after ``now - since`` and up to the cut.
+
+    The cut is on the event time, or on ``cut_column``. Where rows can arrive late, cut
+    on an arrival time: a late row is then live, and not lost between the two parts.
+    """
     rows = view
     if since is not None:
         rows = rows.where(F.col(time_column) > moment(as_of) - interval(parse_duration(since)))
     if cut is not None:
-        rows = rows.where(F.col(time_column) <= moment(cut))
+        rows = rows.where(F.col(cut_column or time_column) <= moment(cut))
     return oldest_first(rows, time_column, limit)
 
 
 def live_slice(stream: DataFrame, time_column: str, cut) -> DataFrame:
+    """Rows after the cut; cut both parts on the same column."""
     return stream.where(F.col(time_column) > moment(cut))
 
 
@@ -75,6 +80,23 @@ def once_per_key(live: DataFrame, keys: list[str], time_column: str, delay: str
     return watermarked(live, time_column, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def start_overlapping_replay(
+    spark: SparkSession, history: DataFrame, live: DataFrame, keys: list[str], time_column: str,
+    overlap_from, path: str, checkpoint: str, delay: str = DELAY, available_now: bool = False,
+) -> StreamingQuery:
+    """History and a live stream that repeats rows: each key is kept once, history first.
+
+    Only history after ``overlap_from``, where the live stream begins, can be repeated.
+    The keys of that stretch are written once, so that the stream does not scan history
+    again with every batch.
+    """
+    in_overlap = history.where(F.col(time_column) > moment(overlap_from))
+    known_keys(in_overlap, tuple(keys)).write.mode("overwrite").parquet(f"{checkpoint}-keys")
+    known = spark.read.parquet(f"{checkpoint}-keys")
+    fresh = once_per_key(live, keys, time_column, delay).join(known, same_key(tuple(keys)), "left_anti")
+    return start_replay(spark, history, fresh, path, checkpoint, available_now)
+
+
 def context_then_live(
     spark: SparkSession, history: tuple[DataFrame, DataFrame], live: tuple[DataFrame, DataFrame],
     cut, path: str, checkpoint: str, span: timedelta = TWO_MINUTES, delay: str = DELAY,
@@ -84,7 +106,8 @@ def context_then_live(
 
     Alerts up to the cut are joined as a batch. Later alerts are joined as streams,
     together with readings from one span before the cut on, since an early live alert
-    reaches back over it. State size depends on the watermark, not on history.
+    reaches back over it. State size depends on the watermark, not on history. The cut
+    must be old enough for everything before it to have arrived.
     ``history`` and ``live`` are (events, telemetry) routing views.
     """
     events, telemetry = history

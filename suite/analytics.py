@@ -315,7 +315,7 @@ def _(f):
 
 @check("q18_fleet_stats", """SELECT coalesce(sum(alert_count) FILTER (severity = 'high'), 0)::BIGINT AS high,
   coalesce(sum(alert_count) FILTER (severity = 'medium'), 0)::BIGINT AS medium,
-  coalesce(sum(alert_count) FILTER (severity = 'low'), 0)::BIGINT AS low, 10 AS vehicles, true AS backfill_ready FROM summary""")
+  coalesce(sum(alert_count) FILTER (severity = 'low'), 0)::BIGINT AS low, 10::BIGINT AS vehicles, true AS backfill_ready FROM summary""")
 def _(f):
     return f.client.fleet_stats(10)
 

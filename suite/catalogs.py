@@ -191,6 +191,7 @@ def _(f):
     from pyspark.sql import Window
 
     rows = catalog.registry_rows(catalog.definitions(catalog.assembled(*_catalog(f))))
+    # The generated entries are registry configuration: one row per catalog event.
     place = F.row_number().over(Window.orderBy("mv")) - 1
     generated = rows.withColumn("position", place)
     static = Registry(STATIC_MAPPINGS).to_df(f.spark)

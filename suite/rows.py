@@ -306,7 +306,7 @@ def _(f):
     )
 
 
-@check("f02_case_rank", "SELECT seq, CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank FROM alerts")
+@check("f02_case_rank", "SELECT seq, CAST(CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS BIGINT) AS severity_rank FROM alerts")
 def _(f):
     return f.table.events().select("seq", values.severity_rank(F.col("severity")).alias("severity_rank"))
 

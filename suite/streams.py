@@ -93,6 +93,24 @@ def _(f):
     return replay.read_replay(f.spark, f"{root}/table").drop("event")
 
 
+OVERLAP_FROM, OVERLAP_TO = "2024-01-01 11:00:00", "2024-01-01 11:10:00"
+
+
+@check("r06_overlap_deduplicated", f"""SELECT vehicle_id, occurred_at, event_type,
+  CASE WHEN occurred_at <= TIMESTAMP '{OVERLAP_TO}' THEN 'history' ELSE 'live' END AS source FROM alerts""")
+def _(f):
+    """Ten minutes arrive from both sides, and live rows arrive twice; each is kept once."""
+    root, columns = f.work("r06o"), ["vehicle_id", "occurred_at", "event_type"]
+    history = f.events.select(*columns).where(F.col("occurred_at") <= moment(OVERLAP_TO))
+    coming = replay.live_slice(f.live["fleet_events_raw"].select(*columns), "occurred_at", OVERLAP_FROM)
+    twice = coming.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    replay.start_overlapping_replay(
+        f.spark, history, twice, columns[:2], "occurred_at", OVERLAP_FROM,
+        f"{root}/table", f"{root}/checkpoint", available_now=True,
+    ).awaitTermination()
+    return replay.read_replay(f.spark, f"{root}/table")
+
+
 @check("r07_live_subscription", f"SELECT {EVENT_ROW} FROM alerts WHERE topic LIKE 'fleet/events/vehicle_004/%'")
 def _(f):
     return _maintained(f, "r07", live.subscribed(f.live["fleet_events_raw"], "fleet/events/vehicle_004/>"))
@@ -166,13 +184,13 @@ def _connected(f, name):
 BEFORE = f"count(*) FILTER (t < TIMESTAMP '{MARKER_AT}')"
 
 
-@check("a11_boundary_counts", f"SELECT TIMESTAMP '{MARKER_AT}' AS sentinel_detected_at, {BEFORE} AS events_before_sentinel, count(*) AS total_events_consumed, 0 AS duplicate_markers FROM base")
+@check("a11_boundary_counts", f"SELECT TIMESTAMP '{MARKER_AT}' AS sentinel_detected_at, {BEFORE} AS events_before_sentinel, count(*) AS total_events_consumed, 0::BIGINT AS duplicate_markers FROM base")
 def _(f):
     rows = f.table.messages().drop("seq").unionByName(readiness.marker(f.spark, MARKER_AT))
     return readiness.boundary_counts(rows, "ts")
 
 
-@check("s19_marked_messages", "SELECT (SELECT count(*) FROM base) AS business, 1 AS markers")
+@check("s19_marked_messages", "SELECT (SELECT count(*) FROM base) AS business, 1::BIGINT AS markers")
 def _(f):
     rows = f.table.messages().drop("seq").unionByName(readiness.marker(f.spark, MARKER_AT))
     return rows.agg(
