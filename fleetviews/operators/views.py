@@ -136,10 +136,10 @@ def over_alert_budget(event_counts: DataFrame, limit: int) -> DataFrame:
 # --- the unified long stream: all kinds in one relation ---
 
 def telemetry_long(telemetry: DataFrame, units: dict[str, str], time_column: str = "ts") -> DataFrame:
-    """One row per metric of each reading."""
+    """One row per metric of each reading, addressed to the metric's own topic."""
     long = telemetry.unpivot(
         ["vehicle_id", *POSITION, "topic", time_column], list(SENSORS), "metric_type", "value"
-    )
+    ).withColumn("topic", F.concat_ws("/", "topic", "metric_type"))
     unit = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])[F.col("metric_type")]
     return long.withColumn("unit", unit).withColumnRenamed(time_column, "ts")
 

@@ -247,6 +247,18 @@ class FleetClient:
     def preset(self, name: str, since=None, vehicle_id=None, severity=None, limit: int = 100) -> DataFrame:
         return presets.preset(self.views, name, since, vehicle_id, severity, limit)
 
+    def preset_list(self) -> DataFrame:
+        """The presets with the filters each supports."""
+        rows = [
+            (name, p.label, p.category, p.time_column is not None, p.by_vehicle, p.by_severity)
+            for name, p in presets.PRESETS.items()
+        ]
+        return self.spark.createDataFrame(
+            rows,
+            "id string, label string, category string, supports_since boolean,"
+            " supports_vehicle boolean, supports_severity boolean",
+        )
+
     def tool(self, name: str, **arguments) -> DataFrame:
         return presets.TOOLS[name](self.views, **arguments)
 

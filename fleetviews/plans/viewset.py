@@ -80,10 +80,16 @@ class ViewSet:
         self.dependencies = dict(DEPENDENCIES)
 
     @classmethod
-    def over(cls, table, as_of=None, since=None) -> "ViewSet":
-        """Views over the streams of a table adapter (``telemetry/events/commands``)."""
+    def over(cls, table, as_of=None, since=None, until=None) -> "ViewSet":
+        """Views over the streams of a table adapter (``telemetry/events/commands``).
+
+        ``since`` (exclusive) and ``until`` bound what the adapter scans.
+        """
         return cls(
-            lambda: table.telemetry(since), lambda: table.events(since), lambda: table.commands(since), as_of
+            lambda: table.telemetry(since, until),
+            lambda: table.events(since, until),
+            lambda: table.commands(since, until),
+            as_of,
         )
 
     def names(self) -> list[str]:

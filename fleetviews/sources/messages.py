@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.topics import topic_level, topic_matches
 from ..functions.timing import interval
-from ..schemas import COMMAND_BODY, EVENT_BODY, MESSAGE, TELEMETRY_BODY
+from ..schemas import COMMAND_BODY, EVENT_BODY, MESSAGE, TELEMETRY_BODY, UNIFIED
 
 # Topic trees of the three streams, and the queue time-to-live.
 STREAMS = {
@@ -40,10 +40,7 @@ def stream_messages(spark: SparkSession, path: str, max_files_per_trigger: int |
 
 
 def kafka_messages(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
-    """Stream from Kafka, whose records become message frames (needs the Kafka package).
-
-    The hierarchical topic travels in the record key.
-    """
+    """Stream from Kafka (needs the Kafka package)."""
     records = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -52,6 +49,11 @@ def kafka_messages(spark: SparkSession, servers: str, topics: str, **options: st
         .options(**options)
         .load()
     )
+    return from_kafka(records)
+
+
+def from_kafka(records: DataFrame) -> DataFrame:
+    """Kafka records as message frames. The hierarchical topic travels in the record key."""
     return records.select(
         F.coalesce(F.col("key").cast("string"), F.col("topic")).alias("topic"),
         F.col("timestamp").alias("ts"),
@@ -136,6 +138,5 @@ def header(name: str) -> Column:
 
 def unified(telemetry_long: DataFrame, events: DataFrame, commands: DataFrame) -> DataFrame:
     """One wide, mostly-NULL relation of all message kinds."""
-    return telemetry_long.unionByName(events, allowMissingColumns=True).unionByName(
-        commands, allowMissingColumns=True
-    )
+    parts = telemetry_long.unionByName(events, allowMissingColumns=True)
+    return parts.unionByName(commands, allowMissingColumns=True).to(UNIFIED)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -87,7 +87,7 @@ metrics AS (
   SELECT vehicle_id, metric_type, value, CASE metric_type WHEN 'speed' THEN 'mph'
       WHEN 'fuel_level' THEN 'percent' WHEN 'engine_temp' THEN 'fahrenheit'
       WHEN 'tire_pressure' THEN 'psi' ELSE 'volts' END AS unit,
-    latitude, longitude, topic, recorded_at AS ts
+    latitude, longitude, topic || '/' || metric_type AS topic, recorded_at AS ts
   FROM (UNPIVOT telemetry ON speed, fuel_level, engine_temp, tire_pressure, battery_voltage
         INTO NAME metric_type VALUE value))
 """
@@ -123,6 +123,13 @@ class Fleet:
     def live(self) -> ViewSet:
         return ViewSet.over(self.stream, AS_OF)
 
+    def live_after(self, cut: datetime, reach: timedelta = timedelta(0)) -> ViewSet:
+        """Streaming views whose scans skip what lies before the cut, or ``reach`` before it."""
+        return ViewSet.over(self.stream, AS_OF, since=cut - reach - timedelta(microseconds=1))
+
+    def until(self, cut: datetime) -> ViewSet:
+        return ViewSet.over(self.table, AS_OF, until=cut)
+
     @cached_property
     def client(self) -> FleetClient:
         return FleetClient(self.spark, self.views)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from fleetviews.functions.timing import moment
+from fleetviews.operators.joins import TWO_MINUTES
 from fleetviews.operators import rolling, views, windows
 from fleetviews.plans.lifecycle import LiveViews
 from fleetviews.schemas import EVENT_BODY
@@ -15,8 +18,8 @@ from .analytics import CONTEXT_ROW, WINDOW_ROW, six
 from .base import NOW, check
 from .rows import EVENT_ROW
 
-CUT = "2024-01-01 11:00:00"
-CUT_SQL = f"TIMESTAMP '{CUT}'"
+CUT = AS_OF - timedelta(hours=1)
+CUT_SQL = "TIMESTAMP '2024-01-01 11:00:00'"
 MARKER_AT = "2024-01-01 06:00:00"
 
 
@@ -59,11 +62,11 @@ def _(f):
 @check("r04_live_interval_join", f"SELECT {CONTEXT_ROW}, CASE WHEN alert_time <= {CUT_SQL} THEN 'history' ELSE 'live' END AS source FROM context")
 def _(f):
     """The past joins as a batch, alerts after the cut as streams with bounded state."""
-    root = f.work("r04")
+    root, past, present = f.work("r04"), f.until(CUT), f.live_after(CUT, TWO_MINUTES)
     replay.context_then_live(
         f.spark,
-        (f.events, f.telemetry),
-        (f.live["fleet_events_raw"], f.live["fleet_telemetry_raw"]),
+        (past["fleet_events_raw"], past["fleet_telemetry_raw"]),
+        (present["fleet_events_raw"], present["fleet_telemetry_raw"]),
         CUT, f"{root}/table", f"{root}/checkpoint", available_now=True,
     ).awaitTermination()
     return replay.read_replay(f.spark, f"{root}/table")
@@ -87,7 +90,7 @@ def _(f):
 def _(f):
     root = f.work("r06")
     f.client.subscribe(
-        "fleet/events/*/alerts/high", f.live["high_severity_alerts"], f"{root}/table", f"{root}/checkpoint",
+        "fleet/events/*/alerts/high", f.live_after(CUT)["high_severity_alerts"], f"{root}/table", f"{root}/checkpoint",
         cut=CUT, since="4h", available_now=True,
     ).awaitTermination()
     return replay.read_replay(f.spark, f"{root}/table").drop("event")

@@ -78,6 +78,16 @@ def test_message_files_round_trip(spark):
     assert rows(running.read("commands")) == rows(want)
 
 
+def test_kafka_records(spark):
+    records = spark.createDataFrame(
+        [(b"fleet/events/v/alerts/low", b"{}", "t", T0, [("x-event", b"y")]), (None, b"{}", "plain", T0, None)],
+        "key binary, value binary, topic string, timestamp timestamp, headers array<struct<key string, value binary>>",
+    )
+    got = messages.from_kafka(records).collect()
+    assert [r["topic"] for r in got] == ["fleet/events/v/alerts/low", "plain"]
+    assert got[0]["headers"] == {"x-event": "y"} and got[1]["headers"] is None and got[0]["value"] == "{}"
+
+
 def test_dead_letters(spark):
     bodies = ['{"vehicle_id":"v","speed":1.5}', '{"vehicle_id":"v","speed":"fast"}', "not json", "", None, '{"vehicle_id":"w"}']
     frame = spark.createDataFrame([("fleet/telemetry/v/metrics", T0, None, b) for b in bodies], MESSAGE)
@@ -303,6 +313,10 @@ def test_query_errors_and_options(spark, views):
     assert {(r["vehicle_id"], r["severity"]) for r in context.collect()} <= {("vehicle_002", "high")}
     assert client.topic_info("fleet/events/*/alerts/high").first()["enriched"] == "alerts_with_context"
     assert client.topic_list(backed=True).count() == 6
+    flags = {r["id"]: r[3:] for r in client.preset_list().collect()}
+    assert len(flags) == 12 and flags["fleet_alert_summary"] == (False, False, False)
+    assert flags["vehicle_activity"] == (False, True, True) and flags["boston_region"] == (True, False, False)
+    assert flags["alerts_context"] == (True, True, True) and flags["speed_averages"] == (True, True, False)
 
 
 def test_preset_ignores_unknown_duration(spark, views):
