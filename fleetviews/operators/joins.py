@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timing import interval
 from ..schemas import SENSORS
+from .skew import PARTS, oversized, with_parts
 
 TWO_MINUTES = timedelta(minutes=2)
 
@@ -52,47 +53,27 @@ def interval_join(
     )
     on = [key, "_bin"]
     if max_group_rows:
-        lefts, rights = _split_hot_groups(lefts, rights, on, right_time, max_group_rows)
+        lefts, rights = _split_hot_groups(lefts, rights, on, max_group_rows)
         on = [*on, "_part"]
     in_span = F.col(right_time).between(F.col(left_time) - interval(span), F.col(left_time))
     return lefts.join(rights, on).where(in_span).drop("_bin", "_part")
 
 
-# Most hot groups that are listed for a broadcast: a few megabytes at any data size.
-HOT_GROUP_LIST = 100_000
-
-
 def _split_hot_groups(
-    lefts: DataFrame, rights: DataFrame, on: list[str], right_time: str, max_rows: int
+    lefts: DataFrame, rights: DataFrame, on: list[str], max_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Adds ``_part`` to both sides.
+    """Adds ``_part`` to both sides: right rows are dealt, left rows repeated.
 
-    The group sizes are counted with map-side combine, reading only the join columns.
-    The list of hot groups is broadcast when it is short enough, which the count
-    establishes first; a longer one is joined as it is, whichever way its size allows.
     Rows are dealt by a hash of their values, so a task that runs again deals alike;
     exact copies stay together and are left to adaptive skew handling.
     """
-    hot = (
-        rights.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_rows)
-        .select(*on, F.ceil(F.col("_rows") / F.lit(max_rows)).cast("int").alias("_parts"))
-    )
-    listed = hot.limit(HOT_GROUP_LIST + 1).collect()
-    if not listed:
-        return lefts.withColumn("_part", F.lit(0)), rights.withColumn("_part", F.lit(0))
-    if len(listed) <= HOT_GROUP_LIST:
-        hot = F.broadcast(rights.sparkSession.createDataFrame(listed, hot.schema))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    dealt = F.pmod(F.xxhash64(*rights.columns), parts).cast("int")
-    rights = rights.join(hot, on, "left").withColumn("_part", dealt).drop("_parts")
-    lefts = (
-        lefts.join(hot, on, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+    groups = oversized(rights, on, max_rows)
+    dealt = F.pmod(F.xxhash64(*rights.columns), F.col(PARTS)).cast("int")
+    repeated = F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1))
+    return (
+        with_parts(lefts, groups, on).withColumn("_part", repeated).drop(PARTS),
+        with_parts(rights, groups, on).withColumn("_part", dealt).drop(PARTS),
     )
-    return lefts, rights
 
 
 def _alert_side(events: DataFrame) -> DataFrame:

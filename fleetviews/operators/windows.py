@@ -11,6 +11,8 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .skew import PARTS, oversized, with_parts
+
 FIVE_MINUTES = "5 minutes"
 
 
@@ -108,12 +110,15 @@ def consecutive_runs(
     time_column: str = "recorded_at",
     tie_breaker: str | None = None,
     chunk: timedelta = timedelta(minutes=10),
+    max_chunk_rows: int | None = None,
 ) -> DataFrame:
     """Maximal runs of consecutive readings of a key that satisfy ``condition``.
 
     A run is numbered by how many breaks precede it. That running count is built in
     two levels: inside a (key, time chunk) window, and over the per-chunk totals, of
     which there are as many as chunks, not rows. Runs may cross any number of chunks.
+    ``max_chunk_rows`` cuts (key, chunk) groups that hold more rows into shorter chunks;
+    it is meant for batches and costs one counting pass, which runs at once.
     """
     micros = int(chunk.total_seconds() * 1_000_000)
     order = [F.col(time_column).asc()] + ([F.col(tie_breaker).asc()] if tie_breaker else [])
@@ -125,6 +130,12 @@ def consecutive_runs(
         F.coalesce(condition, F.lit(False)).alias("_hit"),
         F.floor(F.unix_micros(time_column) / F.lit(micros)).alias("_chunk"),
     )
+    if max_chunk_rows:
+        group = [key, "_chunk"]
+        into = F.unix_micros(time_column) - F.col("_chunk") * micros
+        rows = with_parts(rows, oversized(rows, group, max_chunk_rows), group).withColumn(
+            "_chunk", F.struct("_chunk", F.floor(into * F.col(PARTS) / F.lit(micros)).alias("_shorter"))
+        ).drop(PARTS)
     pieces = (
         rows.withColumn("_breaks", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(inside))
         .where("_hit")

@@ -126,7 +126,7 @@ def context_top(
         equals("vehicle_id", vehicle_id),
         F.col("recorded_at") > bound - interval(joins.TWO_MINUTES) if since else None,
     ))
-    return joins.newest_alerts_with_context(events, telemetry, k)
+    return joins.newest_alerts_with_context(events, telemetry, k, max_group_rows=views.max_group_rows)
 
 
 def _recent_windows(views: ViewSet, since: timedelta | None) -> DataFrame:

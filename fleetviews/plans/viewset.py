@@ -41,7 +41,8 @@ class ViewSet:
 
     Views stack by composing DataFrames, so the optimizer sees through the whole stack
     and prunes columns and rows at the scan. A view that must persist is written by
-    :mod:`fleetviews.plans.lifecycle`.
+    :mod:`fleetviews.plans.lifecycle`. ``max_group_rows`` splits oversized groups of the
+    context join (batch views only).
     """
 
     def __init__(
@@ -51,11 +52,13 @@ class ViewSet:
         commands: Source,
         as_of=None,
         time_column: str = "ts",
+        max_group_rows: int | None = None,
     ):
         def routing(view, source: Source) -> Callable[[], DataFrame]:
             return lambda: view(source() if callable(source) else source, time_column)
 
         self.as_of = as_of
+        self.max_group_rows = max_group_rows
         self._built: dict[str, DataFrame] = {}
         self._makers: dict[str, Callable[..., DataFrame]] = {
             "fleet_telemetry_raw": routing(views.telemetry_raw, telemetry),
@@ -72,7 +75,7 @@ class ViewSet:
             "fleet_alert_summary": lambda e: rolling.fleet_alert_summary(e, as_of),
             "vehicle_fuel_levels": views.vehicle_fuel_levels,
             "high_engine_temp_vehicles": views.high_engine_temp_vehicles,
-            "alerts_with_context": joins.alerts_with_context,
+            "alerts_with_context": lambda e, t: joins.alerts_with_context(e, t, max_group_rows=max_group_rows),
             "vehicles_in_region_boston": views.vehicles_in_region,
             "vehicle_last_known_position": views.vehicle_positions,
             "vehicle_event_counts_1h": lambda e: rolling.vehicle_event_counts(e, as_of),

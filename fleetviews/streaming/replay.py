@@ -60,13 +60,18 @@ def start_replay(
     spark: SparkSession, history: DataFrame, live: DataFrame, path: str, checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Write the history part, then start the live part behind it.
+    """Start the live part, and write the history part while it runs.
 
-    Both land in one table, told apart by ``source``. Writing history again after a
-    failure replaces it.
+    Both land in one table, told apart by ``source``. Returns when history is complete.
+    Writing history again after a failure replaces it.
     """
-    history.write.mode("overwrite").parquet(f"{path}/source=history")
-    return append_stream(live, f"{path}/source=live", checkpoint, available_now)
+    query = append_stream(live, f"{path}/source=live", checkpoint, available_now)
+    try:
+        history.write.mode("overwrite").parquet(f"{path}/source=history")
+    except Exception:
+        query.stop()
+        raise
+    return query
 
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:

@@ -122,15 +122,23 @@ def _(f):
     return windows.last_known_position(f.telemetry)
 
 
-@check("w03_consecutive_high_temp", """, numbered AS (SELECT vehicle_id, recorded_at, engine_temp > 220 AS hot,
+RUNS = """, numbered AS (SELECT vehicle_id, recorded_at, engine_temp > 220 AS hot,
     row_number() OVER (PARTITION BY vehicle_id ORDER BY recorded_at) AS n,
     row_number() OVER (PARTITION BY vehicle_id, engine_temp > 220 ORDER BY recorded_at) AS m FROM telemetry)
   SELECT vehicle_id, count(*) AS run_length, min(recorded_at) AS run_start, max(recorded_at) AS run_end
-  FROM numbered WHERE hot GROUP BY vehicle_id, n - m HAVING count(*) >= 4""")
+  FROM numbered WHERE hot GROUP BY vehicle_id, n - m HAVING count(*) >= 4"""
+
+
+@check("w03_consecutive_high_temp", RUNS)
 def _(f):
     return windows.consecutive_runs(f.telemetry, F.col("engine_temp") > 220, 4)
 
 
+@check("w03_hot_chunks_split", RUNS)
+def _(f):
+    return windows.consecutive_runs(f.telemetry, F.col("engine_temp") > 220, 4, max_chunk_rows=5)
+
+
 @check("w04_hopping_avg", """, hop AS (SELECT t.*, time_bucket(INTERVAL 1 MINUTE, recorded_at, TIMESTAMP '1970-01-01') - to_minutes(CAST(k AS INTEGER)) AS window_start
     FROM telemetry t, range(5) r(k))
   SELECT vehicle_id, window_start, window_start + INTERVAL 5 MINUTE AS window_end, round(avg(speed), 6) AS avg_speed_mph,

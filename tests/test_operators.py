@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetviews.functions import timing, values
-from fleetviews.operators import joins, rolling, sets, topk, views, windows
+from fleetviews.operators import joins, rolling, sets, skew, topk, views, windows
 from fleetviews.schemas import valid_event
 
 T0 = datetime(2024, 1, 1, 12)
@@ -73,6 +73,16 @@ def test_bbox_corners_and_limits(spark):
     assert [r[0] for r in df.orderBy("vehicle_id").select(views.region_of()).collect()] == [["boston"], ["boston"], [], []]
 
 
+def test_long_lists_of_oversized_groups_are_not_broadcast(spark, monkeypatch):
+    df = spark.range(60).selectExpr("id % 6 AS k", "id AS v")
+    assert skew.oversized(df, ["k"], 10) is None
+    listed = skew.oversized(df, ["k"], 4)
+    assert sorted(map(tuple, listed.collect())) == [(k, 3) for k in range(6)]
+    monkeypatch.setattr(skew, "LISTED", 3)
+    assert sorted(map(tuple, skew.oversized(df, ["k"], 4).collect())) == [(k, 3) for k in range(6)]
+    assert skew.with_parts(df, skew.oversized(df, ["k"], 4), ["k"]).count() == 60
+
+
 def random_fleet(seed, vehicles=3, n=150, span=1800):
     rng = random.Random(seed)
     # One vehicle holds most rows, and times repeat.
@@ -118,8 +128,11 @@ def test_runs_against_brute_force(spark, seed, chunk):
                 want.append((vehicle, len(run), run[0], run[-1]))
             run = []
     df = spark.createDataFrame(tel, READING)
-    got = windows.consecutive_runs(df, F.col("engine_temp") > 220, 3, tie_breaker="speed", chunk=chunk)
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for most in (None, 4):
+        got = windows.consecutive_runs(
+            df, F.col("engine_temp") > 220, 3, tie_breaker="speed", chunk=chunk, max_chunk_rows=most
+        )
+        assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_latest_per_key(spark):
