@@ -16,7 +16,6 @@ from ..operators.views import all_of, equals
 from ..streaming import live as live_views
 from ..streaming import readiness, replay
 from . import presets
-from .lifecycle import ensure_views
 from .registry import Mapping, Registry, UnknownPattern
 from .viewset import ViewSet
 
@@ -101,8 +100,7 @@ class FleetClient:
         as it is. ``strict=False`` returns the whole view for a concrete pattern.
         """
         if sql:
-            ensure_views(self.spark, self.views)
-            return self.spark.sql(sql)
+            return self.sql(sql)
         if not pattern:
             raise ValueError("a pattern is required unless sql is given")
         entry = self.registry.resolve(pattern)
@@ -266,12 +264,15 @@ class FleetClient:
         """Guarded ad-hoc SELECT over the registered views."""
         if not is_safe_select(sql):
             raise ValueError("only a single SELECT statement is allowed")
-        ensure_views(self.spark, self.views)
-        return self.spark.sql(sql.strip().rstrip(";")).limit(topk.clamped(limit))
+        return self.sql(sql.strip().rstrip(";")).limit(topk.clamped(limit))
 
     def sql(self, statement: str, args: dict | list | None = None) -> DataFrame:
-        """Parameterised SQL (``:name`` or ``?`` markers)."""
-        ensure_views(self.spark, self.views)
+        """Parameterised SQL (``:name`` or ``?`` markers) over this client's views.
+
+        The views a statement mentions are registered again each time: another client
+        of the session may have registered its own under the same names.
+        """
+        self.views.register(self.spark, [n for n in self.views.names() if n in statement])
         return self.spark.sql(statement, args)
 
     def vehicle_rows(self, view: str, vehicle_id: str | None = None) -> DataFrame:

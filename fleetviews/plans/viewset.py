@@ -146,6 +146,7 @@ class ViewSet:
 
     def register(self, spark: SparkSession, names: list[str] | None = None) -> list[str]:
         """Temp views, for SQL. Re-registering replaces."""
-        for name in names or self.names():
+        chosen = self.names() if names is None else names
+        for name in chosen:
             self[name].createOrReplaceTempView(name)
-        return names or self.names()
+        return chosen

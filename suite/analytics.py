@@ -243,7 +243,7 @@ HIGH_ROW = "vehicle_id, event_type, description, payload, occurred_at, topic"
 @check("q01_query_since", f"""SELECT {HIGH_ROW} FROM alerts WHERE severity = 'high' AND occurred_at > {NOW} - INTERVAL 1 HOUR
   ORDER BY occurred_at DESC, vehicle_id LIMIT 20""")
 def _(f):
-    return f.client.query("fleet/events/*/alerts/high", since="1h")
+    return f.recent_client(1).query("fleet/events/*/alerts/high", since="1h")
 
 
 @check("q01_query_concrete_topic", f"""SELECT {HIGH_ROW} FROM alerts WHERE topic = 'fleet/events/vehicle_005/alerts/high'
@@ -267,7 +267,7 @@ def _(f):
 @check("q03_query_enrich", f"""SELECT {CONTEXT_ROW} FROM context WHERE alert_time > {NOW} - INTERVAL 4 HOUR
   ORDER BY alert_time DESC, vehicle_id, event_type, severity, description, speed LIMIT 30""")
 def _(f):
-    return f.client.query("fleet/events/*/alerts/high", enrich="context", since="4h", limit=30)
+    return f.recent_client(4).query("fleet/events/*/alerts/high", enrich="context", since="4h", limit=30)
 
 
 @check("q04_query_region", f"SELECT vehicle_id, latitude, longitude, speed AS speed_mph, recorded_at FROM telemetry WHERE {BOSTON} ORDER BY recorded_at DESC, vehicle_id LIMIT 20")
@@ -299,13 +299,13 @@ def _(f):
 
 @check("q12_alert_history", f"SELECT {EVENT_ROW} FROM alerts WHERE occurred_at > {NOW} - INTERVAL 4 HOUR ORDER BY occurred_at DESC, vehicle_id LIMIT 50")
 def _(f):
-    return f.client.alert_history()
+    return f.recent_client(4).alert_history()
 
 
 @check("q12_alert_history_enriched", f"""SELECT {CONTEXT_ROW} FROM context WHERE alert_time > {NOW} - INTERVAL 4 HOUR AND severity = 'high'
   ORDER BY alert_time DESC, vehicle_id, event_type, severity, description, speed LIMIT 50""")
 def _(f):
-    return f.client.alert_history(severity="high", enrich=True)
+    return f.recent_client(4).alert_history(severity="high", enrich=True)
 
 
 @check("q14_guarded_select", "SELECT vehicle_id, count(*) AS n FROM telemetry WHERE engine_temp > 220 GROUP BY vehicle_id")
@@ -325,7 +325,7 @@ def _(f):
   coalesce(sum(alert_count) FILTER (severity = 'medium'), 0)::BIGINT AS medium,
   coalesce(sum(alert_count) FILTER (severity = 'low'), 0)::BIGINT AS low, 10::BIGINT AS vehicles, true AS backfill_ready FROM summary""")
 def _(f):
-    return f.client.fleet_stats(10)
+    return f.recent_client(1).fleet_stats(10)
 
 
 # --- presets ---

@@ -134,6 +134,10 @@ class Fleet:
     def client(self) -> FleetClient:
         return FleetClient(self.spark, self.views)
 
+    def recent_client(self, hours: int) -> FleetClient:
+        """A client over the last hours, and the reach of a window or context before them."""
+        return FleetClient(self.spark, self.recent_views(timedelta(hours=hours, minutes=5)))
+
     @cached_property
     def unified(self) -> DataFrame:
         return self.table.unified()

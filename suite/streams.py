@@ -89,7 +89,7 @@ def _(f):
   FROM alerts WHERE severity = 'high' AND occurred_at > {NOW} - INTERVAL 4 HOUR""")
 def _(f):
     root = f.work("r06")
-    f.client.subscribe(
+    f.recent_client(4).subscribe(
         "fleet/events/*/alerts/high", f.live_after(CUT)["high_severity_alerts"], f"{root}/table", f"{root}/checkpoint",
         cut=CUT, since="4h", available_now=True,
     ).awaitTermination()
@@ -239,7 +239,7 @@ def _(f):
   SELECT 'backfill_status' AS type, 1 AS n UNION ALL SELECT 'history_start', 1 UNION ALL SELECT 'history_done', 1
   UNION ALL SELECT 'history', count(*) FROM h HAVING count(*) > 0""")
 def _(f):
-    records = f.client.subscription_log("fleet/events/*/alerts/high", "4h")
+    records = f.recent_client(4).subscription_log("fleet/events/*/alerts/high", "4h")
     return records.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 

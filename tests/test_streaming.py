@@ -319,6 +319,15 @@ def test_query_errors_and_options(spark, views):
     assert flags["alerts_context"] == (True, True, True) and flags["speed_averages"] == (True, True, False)
 
 
+def test_clients_do_not_see_each_others_views(spark, views):
+    other = ViewSet.over(EventsTable(spark, "/root/testdata/sf0.01"), AS_OF)
+    counts = [
+        FleetClient(spark, v).query(sql="SELECT count(*) AS n FROM fleet_events_raw").first()["n"]
+        for v in (views, other, views)
+    ]
+    assert counts == [201, 2014, 201]
+
+
 def test_preset_ignores_unknown_duration(spark, views):
     client = FleetClient(spark, views)
     assert rows(client.preset("fuel_levels", since="2h")) == rows(client.preset("fuel_levels"))
