@@ -272,7 +272,7 @@ class FleetClient:
         The views a statement mentions are registered again each time: another client
         of the session may have registered its own under the same names.
         """
-        self.views.register(self.spark, [n for n in self.views.names() if n in statement])
+        self.views.register(self.spark, [n for n in self.views.names() if n in statement.lower()])
         return self.spark.sql(statement, args)
 
     def vehicle_rows(self, view: str, vehicle_id: str | None = None) -> DataFrame:

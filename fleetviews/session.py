@@ -8,11 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "fleetviews", master: str | None = None, **conf: str) -> SparkSession:
+# Bytes one shuffle partition should hold: a task sorts that much in memory.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def build_session(
+    app_name: str = "fleetviews", master: str | None = None, shuffled_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the library is tested with.
 
-    Shuffle width is left to adaptive execution: start wide, let it coalesce small
-    partitions and split skewed ones.
+    Adaptive execution makes shuffles narrower, never wider than they start. So for
+    large inputs give ``shuffled_bytes``, the size of the largest shuffle expected:
+    shuffles then start wide enough for it, and small ones are coalesced.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -25,6 +32,9 @@ def build_session(app_name: str = "fleetviews", master: str | None = None, **con
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
     )
+    if shuffled_bytes:
+        width = max(200, -(-shuffled_bytes // PARTITION_BYTES))
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(width))
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

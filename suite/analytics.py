@@ -257,11 +257,10 @@ def _(f):
     return f.client.query("fleet/events/>", limit=30)
 
 
-@check("q02_query_window", "SELECT count(*) AS n FROM (SELECT * FROM windows LIMIT 1000)")
+@check("q02_query_window", f"SELECT {WINDOW_ROW} FROM windows")
 def _(f):
-    """The aggregate is unordered, so only the number of rows is comparable."""
-    rows = f.client.query("fleet/telemetry/*/metrics", window="5min", limit=1000)
-    return rows.agg(F.count(F.lit(1)).alias("n"))
+    """Ten vehicles in half a day have at most 1440 windows, so the limit keeps them all."""
+    return six(f.client.query("fleet/telemetry/*/metrics", window="5min", limit=2000), "avg_speed_mph")
 
 
 @check("q03_query_enrich", f"""SELECT {CONTEXT_ROW} FROM context WHERE alert_time > {NOW} - INTERVAL 4 HOUR

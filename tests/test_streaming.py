@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetviews import FleetClient, Registry, ViewSet, work_dir
+from fleetviews.operators import joins
 from fleetviews.operators import views as ops
 from fleetviews.plans.client import is_safe_select
 from fleetviews.plans.lifecycle import LiveViews, drop_registered, ensure_views, persist_view
@@ -46,6 +47,14 @@ def test_whole_stream_join_equals_batch(spark, views, stream):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < state_rows(query.recentProgress)
 
 
+def test_unified_stream_joins_itself(spark, views):
+    unified = EventsTable(spark, SF_DIR).unified()
+    coming = live.watermarked(EventsTable(spark, SF_DIR, streaming=True).unified(), "ts")
+    running = LiveViews(spark)
+    running.start("long", joins.unified_alerts_with_context(coming), available_now=True).awaitTermination()
+    assert rows(running.read("long")) == rows(joins.unified_alerts_with_context(unified))
+
+
 def test_open_windows_are_visible_in_update_mode(spark, views, stream):
     running = LiveViews(spark)
     running.start("speed", live.live_speed_avg(stream["fleet_telemetry_raw"]), ["vehicle_id", "window_start"], True)
@@ -57,6 +66,27 @@ def test_open_windows_are_visible_in_update_mode(spark, views, stream):
     assert rows(running.read("speed")) == rows(views["vehicle_speed_5min_avg"].select(*running.read("speed").columns))
 
 
+def test_many_small_batches_equal_one(spark, views):
+    """Three-hour slices arriving one by one: watermarks move, state is evicted, nothing is lost."""
+    source, table = work_dir(spark, "slices"), EventsTable(spark, SF_DIR).messages().drop("seq").cache()
+    for hour in range(0, 12, 3):
+        lo, hi = (datetime(2024, 1, 1) + timedelta(hours=h) for h in (hour, hour + 3))
+        part = table.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1)
+        part.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(source)
+    frame = messages.stream_messages(spark, source, max_files_per_trigger=1)
+    coming = ViewSet(*[messages.typed_source(frame, s) for s in messages.STREAMS])
+    running = LiveViews(spark)
+    joined = live.live_alerts_with_context(coming["fleet_events_raw"], coming["fleet_telemetry_raw"])
+    query = running.start("context", joined, available_now=True)
+    running.start("speed", live.live_speed_avg(coming["fleet_telemetry_raw"]), ["vehicle_id", "window_start"], True)
+    assert running.wait()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    assert rows(running.read("context")) == rows(views["alerts_with_context"])
+    speed = running.read("speed")
+    assert rows(speed) == rows(views["vehicle_speed_5min_avg"].select(*speed.columns))
+    assert state_rows(query.recentProgress[-2:]) < state_rows(query.recentProgress)
+
+
 def test_update_table_keeps_the_last_batch(spark):
     path = work_dir(spark, "update")
     frame = lambda *r: spark.createDataFrame(r, "k string, n long")
