@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import csv
+import json
 import sys
 from itertools import islice
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.values import row_json
 from .operators import views as ops
+from .plans import catalog
 from .plans.client import FleetClient
 from .plans.presets import PRESETS, TOOLS
 from .plans.registry import Registry, UnknownPattern
@@ -22,8 +24,8 @@ from .plans.viewset import ViewSet
 from .session import build_session
 from .sources import messages
 from .sources.events_table import EventsTable
-from .sources.sinks import started
-from .streaming import live, replay
+from .sources.sinks import publish, started
+from .streaming import live, readiness, replay
 
 ROUTES = {"telemetry": ops.telemetry_raw, "events": ops.events_raw, "commands": ops.commands_raw}
 
@@ -125,11 +127,48 @@ def parser() -> argparse.ArgumentParser:
     tool.add_argument("name", choices=TOOLS)
     tool.add_argument("--vehicle")
     tool.add_argument("--limit", type=int)
+    generate = commands.add_parser("generate", help="views and registry from an event catalog")
+    generate.add_argument("--catalog", help="folder of catalog tables (default: static entries only)")
+    generate.add_argument("--dry-run", action="store_true", help="only show the view statements")
+    generate.add_argument("--out", help="folder to write the registry to")
+    marker = commands.add_parser("marker", help="append the backfill boundary to the message folder")
+    marker.add_argument("--topic", default=readiness.MARKER_TOPIC)
+    status = commands.add_parser("status", help="readiness of the connectors")
+    status.add_argument("--table", required=True, help="folder of the status table")
+    status.add_argument("--connector")
+    status.add_argument("--wait", type=float, metavar="SECONDS", help="wait until the connector is ready")
     return top
 
 
+def administer(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """Commands about views, registry and readiness rather than rows."""
+    if args.command == "generate":
+        defs = catalog.definitions(catalog.assembled(*catalog.read_catalog(spark, args.catalog))) if args.catalog else None
+        if args.dry_run:
+            empty = spark.createDataFrame([], "view_name string, statement string")
+            return catalog.view_sql(defs).orderBy("view_name") if defs is not None else empty
+        _, registry = catalog.generate(views_over(spark, args), defs)
+        if args.out:
+            registry.write(spark, args.out)
+        return registry.topics(spark)
+    if args.command == "marker":
+        if not args.messages:
+            raise ValueError("a marker needs --messages")
+        publish(readiness.marker(spark, args.as_of, args.topic), args.messages)
+        return None
+    read = readiness.StatusTable(spark, args.table).read
+    if args.wait is not None:
+        if not args.connector:
+            raise ValueError("--wait needs --connector")
+        readiness.wait_for_ready(read, args.connector, args.wait)
+    print(json.dumps(readiness.status_report(read, args.connector), default=str))
+    return None
+
+
 def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     """The result of a command; None when it printed a stream itself."""
+    if args.command in ("generate", "marker", "status"):
+        return administer(spark, args)
     registry = Registry.read(spark, args.registry) if args.registry else Registry()
     client = FleetClient(spark, views_over(spark, args), registry)
     if args.command == "query":
@@ -173,7 +212,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or build_session()
     try:
         result = answer(spark, args)
-    except (UnknownPattern, ValueError) as error:
+    except (UnknownPattern, ValueError, TimeoutError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
     if result is not None:
