@@ -193,12 +193,16 @@ class Connector:
     failure changes nothing.
 
     ``views`` maps a name to a function from business messages to the view's rows;
-    ``order`` is the column that orders messages within the stream.
+    ``order`` is the column that orders messages within the stream. ``cache_batches``
+    keeps a batch while its views are written: worth it for many views over small live
+    batches, not for a backlog that arrives as one large batch.
     """
 
     def __init__(self, spark: SparkSession, name: str, root: str,
-                 views: dict[str, Callable[[DataFrame], DataFrame]], order: str):
+                 views: dict[str, Callable[[DataFrame], DataFrame]], order: str,
+                 cache_batches: bool = False):
         self.spark, self.name, self.root, self.views, self.order = spark, name, root, views, order
+        self.cache_batches = cache_batches
         self.status = StatusTable(spark, f"{root}/status")
 
     def view(self, name: str) -> DataFrame:
@@ -216,13 +220,15 @@ class Connector:
             raise
 
     def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        if self.cache_batches:
+            batch = batch.persist()
         try:
             for name, build in self.views.items():
                 write_batch(build(business(batch)), batch_id, f"{self.root}/views/{name}")
             write_batch(boundary_counts(batch, self.order), batch_id, f"{self.root}/log")
         finally:
-            batch.unpersist()
+            if self.cache_batches:
+                batch.unpersist()
         self._report(batch_id)
 
     def _report(self, batch_id: int) -> None:

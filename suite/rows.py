@@ -65,7 +65,7 @@ def _(f):
     return messages.routed(f.table.messages().select("topic", "seq"), "fleet/events/>")
 
 
-def _damaged(f):
+def damaged(frame):
     """Telemetry messages of which some are cut short, mistyped or empty."""
     turn = F.col("seq") % 50
     value = (
@@ -73,19 +73,19 @@ def _damaged(f):
         .when(turn == 9, F.regexp_replace("value", '"speed":[0-9.]+', '"speed":"fast"'))
         .when(turn != 11, F.col("value"))
     )
-    return messages.routed(f.table.messages(), "fleet/telemetry/>").withColumn("value", value)
+    return messages.routed(frame, "fleet/telemetry/>").withColumn("value", value)
 
 
 @check("s07_dead_letters", "SELECT topic, recorded_at AS ts, count(*) AS n FROM telemetry WHERE seq % 50 IN (7, 9, 11) GROUP BY ALL")
 def _(f):
-    _, dead = messages.split_dead_letters(messages.decoded(_damaged(f), TELEMETRY_BODY))
+    _, dead = messages.split_dead_letters(messages.decoded(damaged(f.table.messages()), TELEMETRY_BODY))
     return dead.groupBy("topic", "ts").agg(F.count("value").alias("n"))
 
 
 @check("s07_good_rows", f"""SELECT vehicle_id, {SENSOR_LIST}, latitude, longitude, topic, recorded_at AS ts
   FROM telemetry WHERE seq % 50 NOT IN (7, 9, 11)""")
 def _(f):
-    good, _ = messages.split_dead_letters(messages.decoded(_damaged(f), TELEMETRY_BODY))
+    good, _ = messages.split_dead_letters(messages.decoded(damaged(f.table.messages()), TELEMETRY_BODY))
     return good.drop("headers", "seq")
 
 

@@ -10,13 +10,13 @@ from fleetviews.functions.timing import moment
 from fleetviews.operators.joins import TWO_MINUTES
 from fleetviews.operators import rolling, views, windows
 from fleetviews.plans.lifecycle import LiveViews
-from fleetviews.schemas import EVENT_BODY
+from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming import live, readiness, replay
 from .analytics import CONTEXT_ROW, WINDOW_ROW, six
 from .base import NOW, check
-from .rows import EVENT_ROW
+from .rows import EVENT_ROW, damaged
 
 CUT = AS_OF - timedelta(hours=1)
 CUT_SQL = "TIMESTAMP '2024-01-01 11:00:00'"
@@ -160,6 +160,18 @@ def _(f):
     return f.spark.read.parquet(f"{root}/table").drop(sinks.BATCH)
 
 
+@check("s07_live_dead_letters", """SELECT CASE WHEN seq % 50 IN (7, 9, 11) THEN 'dead' ELSE 'good' END AS part, topic, recorded_at AS ts FROM telemetry""")
+def _(f):
+    """Good rows and dead letters of one stream, written by the same batches."""
+    def part(index):
+        return lambda m: messages.split_dead_letters(messages.decoded(m, TELEMETRY_BODY))[index].select("topic", "ts")
+
+    connector = readiness.Connector(f.spark, "telemetry", f.work("s07"), {"good": part(0), "dead": part(1)}, order="ts")
+    connector.start(damaged(f.stream.messages()).drop("seq"), available_now=True).awaitTermination()
+    good, dead = (connector.view(n).select(F.lit(n).alias("part"), "topic", "ts") for n in ("good", "dead"))
+    return good.unionByName(dead)
+
+
 # --- readiness ---
 
 def _with_marker(f):

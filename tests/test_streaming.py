@@ -211,12 +211,13 @@ def write_messages(spark, path, *entries):
     frame.coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
-def test_connector_over_restarts(spark):
+@pytest.mark.parametrize("cached", [False, True])
+def test_connector_over_restarts(spark, cached):
     source, root = work_dir(spark, "source"), work_dir(spark, "connector")
 
     def run():
         connector = readiness.Connector(
-            spark, "fleet", root, {"alerts": lambda m: ops.events_raw(messages.typed_source(m, "events"))}, "ts"
+            spark, "fleet", root, {"alerts": lambda m: ops.events_raw(messages.typed_source(m, "events"))}, "ts", cached
         )
         connector.start(messages.stream_messages(spark, source), available_now=True).awaitTermination()
         state = connector.status.read().first()
