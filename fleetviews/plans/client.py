@@ -51,11 +51,13 @@ class FleetClient:
         registry: Registry | None = None,
         status: Callable[[], DataFrame | None] | None = None,
         connector: str = "fleet_events",
+        topic_as: str = "topic",
     ):
         self.spark = spark
         self.views = views
         self.registry = registry or Registry()
         self.connector = connector
+        self.topic_as = topic_as
         self._status = status or (lambda: None)
 
     @property
@@ -272,7 +274,8 @@ class FleetClient:
         The views a statement mentions are registered again each time: another client
         of the session may have registered its own under the same names.
         """
-        self.views.register(self.spark, [n for n in self.views.names() if n in statement.lower()])
+        mentioned = [n for n in self.views.names() if n in statement.lower()]
+        self.views.register(self.spark, mentioned, self.topic_as)
         return self.spark.sql(statement, args)
 
     def vehicle_rows(self, view: str, vehicle_id: str | None = None) -> DataFrame:

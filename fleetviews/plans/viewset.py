@@ -144,9 +144,14 @@ class ViewSet:
             self._makers.pop(view, None)
         return dropped
 
-    def register(self, spark: SparkSession, names: list[str] | None = None) -> list[str]:
-        """Temp views, for SQL. Re-registering replaces."""
+    def register(
+        self, spark: SparkSession, names: list[str] | None = None, topic_as: str = "topic"
+    ) -> list[str]:
+        """Temp views, for SQL. Re-registering replaces.
+
+        ``topic_as`` renames the topic column, for statements that know it by another name.
+        """
         chosen = self.names() if names is None else names
         for name in chosen:
-            self[name].createOrReplaceTempView(name)
+            self[name].withColumnRenamed("topic", topic_as).createOrReplaceTempView(name)
         return chosen

@@ -359,6 +359,12 @@ def test_clients_do_not_see_each_others_views(spark, views):
     assert counts == [201, 2014, 201]
 
 
+def test_topic_column_under_another_name(spark, views):
+    client = FleetClient(spark, views, topic_as="message_topic")
+    found = client.sql("SELECT count(*) AS n FROM fleet_events_raw WHERE message_topic LIKE 'fleet/events/%/alerts/high'")
+    assert found.first()["n"] == 65
+
+
 def test_preset_ignores_unknown_duration(spark, views):
     client = FleetClient(spark, views)
     assert rows(client.preset("fuel_levels", since="2h")) == rows(client.preset("fuel_levels"))
