@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import work_dir
@@ -49,24 +49,25 @@ class LiveViews:
         return f"{self.root}/{name}/gen-{self._generation.get(name, 0)}"
 
     def start(self, name: str, view: DataFrame, keys: list[str] | None = None,
-              available_now: bool = False) -> StreamingQuery:
+              available_now: bool = False, day_of: str | None = None) -> StreamingQuery:
         """Start maintaining a view; returns at once. A running view is left alone.
 
         With ``keys`` the view changes rows in place (update mode), without it only
-        appends.
+        appends. ``day_of`` names a time among the keys by whose day an update table is
+        partitioned.
         """
         running = self._queries.get(name)
         if running is not None and running.isActive:
             return running
         folder = self._folder(name)
         args = (view, f"{folder}/table", f"{folder}/checkpoint", available_now)
-        query = update_stream(*args) if keys else append_stream(*args)
+        query = update_stream(*args, day_of) if keys else append_stream(*args)
         self._queries[name], self._keys[name] = query, keys
         return query
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, first_day: Column | None = None) -> DataFrame:
         path, keys = f"{self._folder(name)}/table", self._keys[name]
-        return current_rows(self.spark, path, keys) if keys else self.spark.read.parquet(path)
+        return current_rows(self.spark, path, keys, first_day) if keys else self.spark.read.parquet(path)
 
     def running(self) -> list[str]:
         return [name for name, query in self._queries.items() if query.isActive]

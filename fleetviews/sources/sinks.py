@@ -9,6 +9,7 @@ from ..functions.topics import build_topic
 from ..functions.values import JSON_TIMES, row_json
 
 BATCH = "_batch_id"
+DAY = "event_date"
 
 
 def to_messages(df: DataFrame, topic: Column, time_column: str, headers: Column | None = None) -> DataFrame:
@@ -67,8 +68,8 @@ def save_view(view: DataFrame, path: str, time_column: str | None = None, mode:
     if not time_column:
         view.write.mode(mode).parquet(path)
         return
-    dated = view.withColumn("event_date", F.to_date(time_column))
-    dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+    dated = view.withColumn(DAY, F.to_date(time_column))
+    dated.hint("rebalance", DAY).write.mode(mode).partitionBy(DAY).parquet(path)
 
 
 def append_stream(view: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
@@ -77,35 +78,45 @@ def append_stream(view: DataFrame, path: str, checkpoint: str, available_now: bo
     return started(view, writer.option("checkpointLocation", checkpoint), available_now)
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
-    """One micro-batch into its own partition.
+def write_batch(df: DataFrame, batch_id: int, path: str, day_of: str | None = None) -> None:
+    """One micro-batch into its own partition, below the day of a time column if given.
 
-    A batch that is run again after a failure replaces the partition it wrote before,
+    A batch that is run again after a failure replaces the partitions it wrote before,
     so rows are neither lost nor doubled.
     """
+    rows = df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    if day_of:
+        rows = rows.withColumn(DAY, F.to_date(day_of))
     (
-        df.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH)
+        .partitionBy(*([DAY] if day_of else []), BATCH)
         .parquet(path)
     )
 
 
-def update_stream(view: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def update_stream(
+    view: DataFrame, path: str, checkpoint: str, available_now: bool = False, day_of: str | None = None
+) -> StreamingQuery:
     """Changed rows of an aggregate view after each batch; read with :func:`current_rows`."""
     writer = (
         view.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, path))
+        .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, path, day_of))
     )
     return started(view, writer, available_now)
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """State of an update table: each key's row from the last batch that changed it."""
+def current_rows(spark: SparkSession, path: str, keys: list[str], first_day: Column | None = None) -> DataFrame:
+    """State of an update table: each key's row from the last batch that changed it.
+
+    In a table partitioned by day, ``first_day`` bounds which days are read at all. The
+    day must follow from the key, as a window's start does.
+    """
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys and c != BATCH]
+    if first_day is not None:
+        rows = rows.where(F.col(DAY) >= first_day)
+    rest = [c for c in rows.columns if c not in (*keys, BATCH, DAY)]
     last = rows.groupBy(*keys).agg(F.max(F.struct(BATCH, *rest)).alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 

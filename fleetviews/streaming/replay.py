@@ -80,9 +80,19 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
-def once_per_key(live: DataFrame, keys: list[str], time_column: str, delay: str = DELAY) -> DataFrame:
-    """Streaming de-duplication with state bounded by the watermark."""
-    return watermarked(live, time_column, delay).dropDuplicatesWithinWatermark(keys)
+def once_per_key(
+    live: DataFrame, keys: list[str], time_column: str, delay: str = DELAY, spread: bool = False
+) -> DataFrame:
+    """Streaming de-duplication with state bounded by the watermark.
+
+    Copies of one key meet in one task. Where a key may have very many, ``spread`` first
+    folds them per input partition, in as many tasks, at the price of a second state.
+    """
+    rows = watermarked(live, time_column, delay)
+    if spread:
+        marked = rows.withColumn("_partition", F.spark_partition_id())
+        rows = marked.dropDuplicatesWithinWatermark([*keys, "_partition"]).drop("_partition")
+    return rows.dropDuplicatesWithinWatermark(keys)
 
 
 def start_overlapping_replay(

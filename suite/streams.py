@@ -23,10 +23,10 @@ CUT_SQL = "TIMESTAMP '2024-01-01 11:00:00'"
 MARKER_AT = "2024-01-01 06:00:00"
 
 
-def _maintained(f, name, view, keys=None):
+def _maintained(f, name, view, keys=None, day_of=None):
     """A streaming view run over all there is, then read back."""
     running = LiveViews(f.spark, f.work(name))
-    running.start(name, view, keys, available_now=True).awaitTermination()
+    running.start(name, view, keys, True, day_of).awaitTermination()
     return running.read(name)
 
 
@@ -38,7 +38,7 @@ def _(f):
 @check("r02_live_tumbling_avg", f"SELECT {WINDOW_ROW} FROM windows")
 def _(f):
     view = live.live_speed_avg(f.live["fleet_telemetry_raw"])
-    return six(_maintained(f, "r02", view, ["vehicle_id", "window_start"]), "avg_speed_mph")
+    return six(_maintained(f, "r02", view, ["vehicle_id", "window_start"], "window_start"), "avg_speed_mph")
 
 
 def _rolling_table(f, name):
@@ -144,6 +144,14 @@ def _(f):
     return _maintained(f, "r20", replay.once_per_key(twice, ["vehicle_id", "occurred_at"], "occurred_at"))
 
 
+@check("r20_once_per_key_spread", "SELECT vehicle_id, occurred_at, event_type FROM alerts")
+def _(f):
+    rows = f.live["fleet_events_raw"].select("vehicle_id", "occurred_at", "event_type")
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    once = replay.once_per_key(twice, ["vehicle_id", "occurred_at"], "occurred_at", spread=True)
+    return _maintained(f, "r20s", once)
+
+
 @check("r21_live_latest_position", """SELECT vehicle_id, arg_max(latitude, recorded_at) AS latitude, arg_max(longitude, recorded_at) AS longitude,
   arg_max(speed, recorded_at) AS speed_mph, max(recorded_at) AS recorded_at FROM telemetry GROUP BY vehicle_id""")
 def _(f):
@@ -163,12 +171,12 @@ def _(f):
 @check("s07_live_dead_letters", """SELECT CASE WHEN seq % 50 IN (7, 9, 11) THEN 'dead' ELSE 'good' END AS part, topic, recorded_at AS ts FROM telemetry""")
 def _(f):
     """Good rows and dead letters of one stream, written by the same batches."""
-    def part(index):
-        return lambda m: messages.split_dead_letters(messages.decoded(m, TELEMETRY_BODY))[index].select("topic", "ts")
-
-    connector = readiness.Connector(f.spark, "telemetry", f.work("s07"), {"good": part(0), "dead": part(1)}, order="ts")
+    connector = readiness.Connector(
+        f.spark, "telemetry", f.work("s07"), {"decoded": lambda m: messages.decoded(m, TELEMETRY_BODY)}, order="ts"
+    )
     connector.start(damaged(f.stream.messages()).drop("seq"), available_now=True).awaitTermination()
-    good, dead = (connector.view(n).select(F.lit(n).alias("part"), "topic", "ts") for n in ("good", "dead"))
+    parts = zip(("good", "dead"), messages.split_dead_letters(connector.view("decoded")))
+    good, dead = (part.select(F.lit(name).alias("part"), "topic", "ts") for name, part in parts)
     return good.unionByName(dead)
 
 

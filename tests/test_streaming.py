@@ -96,6 +96,18 @@ def test_update_table_keeps_the_last_batch(spark):
     assert sorted(map(tuple, sinks.current_rows(spark, path, ["k"]).collect())) == [("a", 7), ("b", 1)]
 
 
+def test_update_table_by_day(spark):
+    path = work_dir(spark, "daily")
+    frame = lambda *r: spark.createDataFrame(r, "k string, t timestamp, n long")
+    sinks.write_batch(frame(("a", T0, 1), ("a", T0 + timedelta(days=1), 2)), 0, path, "t")
+    sinks.write_batch(frame(("a", T0, 3)), 1, path, "t")
+    read = lambda first=None: sorted(r["n"] for r in sinks.current_rows(spark, path, ["k", "t"], first).collect())
+    assert read() == [2, 3]
+    assert read(F.to_date(F.lit("2024-01-02"))) == [2]
+    plan = sinks.current_rows(spark, path, ["k", "t"], F.to_date(F.lit("2024-01-02")))._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def test_message_files_round_trip(spark):
     path = work_dir(spark, "messages")
     table = EventsTable(spark, SF_DIR)
