@@ -60,6 +60,46 @@ def vehicle_speed_avg(
     )
 
 
+def hopping_speed_avg(
+    telemetry: DataFrame,
+    width: timedelta = timedelta(minutes=5),
+    slide: timedelta = timedelta(minutes=1),
+    time_column: str = "recorded_at",
+) -> DataFrame:
+    """Hopping windows of a batch, built from panes.
+
+    A hopping window over rows copies every row into each window it falls in. Here rows
+    are folded once, to panes as long as the slide, and only the panes are copied. The
+    slide must divide the width. Streams use :func:`vehicle_speed_avg` with ``slide``.
+    """
+    if width % slide:
+        raise ValueError("the slide must divide the width")
+    length, step = (f"{span // timedelta(microseconds=1)} microseconds" for span in (width, slide))
+    panes = (
+        telemetry.groupBy("vehicle_id", F.window(time_column, step).alias("_pane"))
+        .agg(
+            F.sum("speed").alias("_sum"), F.count("speed").alias("_n"), F.max("speed").alias("_max"),
+            F.min("speed").alias("_min"), F.count(F.lit(1)).alias("_rows"),
+        )
+        .withColumn("_start", F.col("_pane.start"))
+    )
+    return (
+        panes.groupBy("vehicle_id", F.window("_start", length, step).alias("_window"))
+        .agg(
+            F.try_divide(F.sum("_sum"), F.sum("_n")).alias("avg_speed_mph"),
+            F.max("_max").alias("max_speed_mph"),
+            F.min("_min").alias("min_speed_mph"),
+            F.sum("_rows").alias("sample_count"),
+        )
+        .select(
+            "vehicle_id",
+            F.col("_window.start").alias("window_start"),
+            F.col("_window.end").alias("window_end"),
+            "avg_speed_mph", "max_speed_mph", "min_speed_mph", "sample_count",
+        )
+    )
+
+
 def unified_speed_avg(unified: DataFrame, width: str = FIVE_MINUTES) -> DataFrame:
     """Tumbling average, maximum and count of the speed metric of the long stream."""
     return (

@@ -139,12 +139,15 @@ def _(f):
     return windows.consecutive_runs(f.telemetry, F.col("engine_temp") > 220, 4, max_chunk_rows=5)
 
 
-@check("w04_hopping_avg", """, hop AS (SELECT t.*, time_bucket(INTERVAL 1 MINUTE, recorded_at, TIMESTAMP '1970-01-01') - to_minutes(CAST(k AS INTEGER)) AS window_start
+HOPPING = """, hop AS (SELECT t.*, time_bucket(INTERVAL 1 MINUTE, recorded_at, TIMESTAMP '1970-01-01') - to_minutes(CAST(k AS INTEGER)) AS window_start
     FROM telemetry t, range(5) r(k))
   SELECT vehicle_id, window_start, window_start + INTERVAL 5 MINUTE AS window_end, round(avg(speed), 6) AS avg_speed_mph,
-    max(speed) AS max_speed_mph, min(speed) AS min_speed_mph, count(*) AS sample_count FROM hop GROUP BY vehicle_id, window_start""")
+    max(speed) AS max_speed_mph, min(speed) AS min_speed_mph, count(*) AS sample_count FROM hop GROUP BY vehicle_id, window_start"""
+
+
+@check("w04_hopping_avg", HOPPING)
 def _(f):
-    return six(windows.vehicle_speed_avg(f.telemetry, slide="1 minute"), "avg_speed_mph")
+    return six(windows.hopping_speed_avg(f.telemetry), "avg_speed_mph")
 
 
 @check("w05_versus_fleet", """, w AS (SELECT vehicle_id, speed, time_bucket(INTERVAL 5 MINUTE, recorded_at, TIMESTAMP '1970-01-01') AS window_start FROM telemetry),

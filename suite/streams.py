@@ -14,7 +14,7 @@ from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming import live, readiness, replay
-from .analytics import CONTEXT_ROW, WINDOW_ROW, six
+from .analytics import CONTEXT_ROW, HOPPING, WINDOW_ROW, six
 from .base import NOW, check
 from .rows import EVENT_ROW, damaged
 
@@ -41,6 +41,13 @@ def _(f):
     return six(_maintained(f, "r02", view, ["vehicle_id", "window_start"], "window_start"), "avg_speed_mph")
 
 
+@check("w04_live_hopping_avg", HOPPING)
+def _(f):
+    stream = live.watermarked(f.live["fleet_telemetry_raw"], "recorded_at")
+    view = windows.vehicle_speed_avg(stream, slide="1 minute")
+    return six(_maintained(f, "w04", view, ["vehicle_id", "window_start"], "window_start"), "avg_speed_mph")
+
+
 def _rolling_table(f, name):
     root = f.work(name)
     live.start_rolling_table(

@@ -212,8 +212,12 @@ def test_values(spark):
 
 
 def test_hopping_counts_each_row_once_per_window(spark):
-    df = readings(spark, [("v", T0 + timedelta(seconds=30), 1.0)])
-    assert windows.vehicle_speed_avg(df, slide="1 minute").count() == 5
+    df = readings(spark, [("v", T0 + timedelta(seconds=30), 1.0), ("w", T0, None), ("w", T0 + timedelta(minutes=4), 3.0)])
+    direct, paned = windows.vehicle_speed_avg(df, slide="1 minute"), windows.hopping_speed_avg(df)
+    assert direct.where("vehicle_id = 'v'").count() == 5
+    assert sorted(map(str, paned.collect())) == sorted(map(str, direct.collect()))
+    with pytest.raises(ValueError):
+        windows.hopping_speed_avg(df, slide=timedelta(minutes=2))
 
 
 def test_conditions(spark):
