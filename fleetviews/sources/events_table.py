@@ -15,6 +15,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.views import telemetry_long
 from ..schemas import SENSOR_UNITS
@@ -124,15 +125,20 @@ def _by_kind(outcomes: dict[str, str]) -> str:
 class EventsTable:
     """Batch or streaming access to the derived streams of one data folder."""
 
+    # Schemas by path: read from the file footers once, not by a job with every query.
+    _schemas: dict[str, StructType] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self.spark = spark
         path = f"{sf_dir}/events.parquet"
+        if path not in self._schemas:
+            self._schemas[path] = spark.read.parquet(path).schema
+        schema = self._schemas[path]
         if streaming:
             # A stream wants a folder or a glob; the bracket makes one of a single file.
-            schema = spark.read.parquet(path).schema
             self.raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
         else:
-            self.raw = spark.read.parquet(path)
+            self.raw = spark.read.schema(schema).parquet(path)
 
     def _rows(self, kind: str | None, since: datetime | None, until: datetime | None) -> DataFrame:
         """Rows of a kind with event time in (since, until].
