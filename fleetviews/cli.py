@@ -66,6 +66,12 @@ def views_over(spark: SparkSession, args: argparse.Namespace, streaming: bool =
     return ViewSet(*[messages.typed_source(frame, s) for s in messages.STREAMS], as_of=args.as_of)
 
 
+def live_messages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if args.events:
+        return EventsTable(spark, args.events, streaming=True).messages()
+    return messages.stream_messages(spark, args.messages)
+
+
 def follow(events: DataFrame, checkpoint: str, once: bool) -> None:
     """Print the records of a stream of rendered events as they come."""
 
@@ -189,21 +195,18 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     if args.command == "alert" and args.action == "history":
         return client.alert_history(args.since, args.severity, args.enrich)
     form = "line" if args.line else "json"
-    coming = views_over(spark, args, streaming=True)
     if args.command == "alert":
-        rows = live.alert_watch(coming["fleet_events_raw"], args.severity)
+        rows = live.alert_watch(views_over(spark, args, streaming=True)["fleet_events_raw"], args.severity)
         follow(replay.rendered(rows, "live", live.ALERT_TREE, "occurred_at", form), args.checkpoint, args.once)
         return None
-    entry = registry.resolve(args.pattern)
-    if args.since:
-        past = client.narrowed(args.pattern)
-        past = replay.history_slice(past, entry.time_column, args.since, args.cut, args.as_of)
-        for row in replay.rendered(past, "history", entry.pattern, entry.time_column, form).toLocalIterator():
+    past = client.history(args.pattern, args.since, args.cut, form=form) if args.since else None
+    if past is not None:
+        for row in past.toLocalIterator():
             print(row["event"])
-    after = FleetClient(spark, coming, registry).narrowed(args.pattern)
+    coming = messages.routed(live_messages(spark, args), args.pattern)
     if args.cut:
-        after = replay.live_slice(after, entry.time_column, args.cut)
-    follow(replay.rendered(after, "live", entry.pattern, entry.time_column, form), args.checkpoint, args.once)
+        coming = replay.live_slice(coming, "ts", args.cut)
+    follow(replay.rendered_messages(coming, form=form), args.checkpoint, args.once)
     return None
 
 

@@ -89,6 +89,33 @@ def event_line(df: DataFrame, source: str, topic: Column, event_time: Column) ->
     )
 
 
+def message_json(source: str, topic: Column, event_time: Column, body: Column) -> Column:
+    """The same record for a raw message body."""
+    return F.to_json(
+        F.struct(
+            F.lit(source).alias("source"),
+            topic.alias("topic"),
+            event_time.alias("event_time"),
+            decoded_or_raw(body).alias("payload"),
+        ),
+        JSON_TIMES,
+    )
+
+
+def message_line(source: str, topic: Column, event_time: Column, body: Column) -> Column:
+    """The same line for a raw message body: its top-level fields as ``key=value``."""
+    fields = F.map_entries(F.from_json(body, "map<string,string>"))
+    shown = F.filter(fields, lambda e: e["value"].isNotNull() & ~e["key"].isin("topic", "vehicle_id"))
+    pairs = F.transform(shown, lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.concat_ws(
+        "  ",
+        F.concat(F.lit(f"[{source:7}] "), F.date_format(event_time, JSON_TIMES["timestampFormat"])),
+        topic,
+        F.concat(F.lit("vehicle="), F.coalesce(F.get_json_object(body, "$.vehicle_id"), F.lit(""))),
+        F.array_join(pairs, "  "),
+    )
+
+
 def schema_columns(content: Column, canonical: list[str]) -> Column:
     """Columns a JSON Schema declares, in canonical order.
 

@@ -13,6 +13,7 @@ from ..functions.timing import newer_than, parse_duration, preset_duration
 from ..functions.topics import rebuilt_topic, topic_matches
 from ..operators import rolling, topk
 from ..operators.views import all_of, equals
+from ..sources.messages import routed
 from ..streaming import live as live_views
 from ..streaming import readiness, replay
 from . import presets
@@ -79,11 +80,6 @@ class FleetClient:
         topic = F.col("topic") if own else rebuilt_topic(entry.pattern, rows.columns)
         return rows.where(topic_matches(topic, pattern))
 
-    def narrowed(self, pattern: str) -> DataFrame:
-        """All rows behind a pattern, unordered: batch or streaming, as the views are."""
-        entry = self.registry.resolve(pattern)
-        return self._narrowed(self.views[entry.mv], entry, pattern, True)
-
     def query(
         self,
         pattern: str | None = None,
@@ -171,26 +167,41 @@ class FleetClient:
 
     # --- subscriptions ---
 
-    def subscribe(self, pattern: str, live: DataFrame, path: str, checkpoint: str, cut,
+    def history(self, pattern: str, since: str | timedelta, cut=None, limit: int | None = None,
+                form: str = "json") -> DataFrame | None:
+        """Event records of the span, oldest first.
+
+        None when the pattern has no view, or a view without a time: then there is
+        nothing to replay and a subscription is live only.
+        """
+        span = parse_duration(since)
+        try:
+            entry = self.registry.resolve(pattern)
+        except UnknownPattern:
+            return None
+        if not entry.time_column:
+            return None
+        rows = self._narrowed(self.views[entry.mv], entry, pattern, True)
+        past = replay.history_slice(rows, entry.time_column, span, cut, self.as_of, limit)
+        return replay.rendered(past, "history", entry.pattern, entry.time_column, form)
+
+    def subscribe(self, pattern: str, live: DataFrame, path: str, checkpoint: str, cut=None,
                   since: str | timedelta | None = None, limit: int | None = None,
                   available_now: bool = False) -> StreamingQuery:
-        """History of the span up to ``cut`` and the live stream after it, as event records.
+        """History of the span up to ``cut`` and the live messages after it, as event records.
 
-        ``live`` is the streaming form of the view behind the pattern. Without ``since``
-        there is no history. Read the result with :func:`replay.read_replay`.
+        ``live`` is a streaming message frame: any topic can be subscribed to, whether or
+        not a view is mapped to it. Without ``since`` there is no history. Read the
+        result with :func:`replay.read_replay`.
         """
-        entry = self.registry.resolve(pattern)
-        column = entry.time_column
-        after = self._narrowed(replay.live_slice(live, column, cut), entry, pattern, True)
-        after = replay.rendered(after, "live", entry.pattern, column).drop("source")
-        if since is None:
+        coming = routed(live, pattern)
+        if cut is not None:
+            coming = replay.live_slice(coming, "ts", cut)
+        after = replay.rendered_messages(coming).drop("source")
+        before = self.history(pattern, since, cut, limit) if since is not None else None
+        if before is None:
             return replay.append_stream(after, f"{path}/source=live", checkpoint, available_now)
-        rows = self._narrowed(self.views[entry.mv], entry, pattern, True)
-        before = replay.rendered(
-            replay.history_slice(rows, column, since, cut, self.as_of, limit),
-            "history", entry.pattern, column,
-        ).drop("source")
-        return replay.start_replay(self.spark, before, after, path, checkpoint, available_now)
+        return replay.start_replay(self.spark, before.drop("source"), after, path, checkpoint, available_now)
 
     def subscription_log(self, pattern: str, since: str, limit: int = REPLAY_LIMIT) -> DataFrame:
         """Records a web subscriber receives before live ones: readiness, a count, history.

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timing import interval, moment, parse_duration
 from ..functions.topics import rebuilt_topic
-from ..functions.values import event_json, event_line
+from ..functions.values import event_json, event_line, message_json, message_line
 from ..operators.joins import TWO_MINUTES, alerts_with_context
 from ..operators.sets import known_keys, same_key, tagged
 from ..operators.topk import oldest_first
@@ -56,6 +56,18 @@ def rendered(view: DataFrame, source: str, pattern: str, time_column: str, form:
     )
 
 
+def rendered_messages(frame: DataFrame, source: str = "live", form: str = "json") -> DataFrame:
+    """Messages as emitted events, with whatever their body holds as payload."""
+    topic, time = F.col("topic"), F.col("ts")
+    if form == "json":
+        event = message_json(source, topic, time, F.col("value"))
+    else:
+        event = message_line(source, topic, time, F.col("value"))
+    return frame.select(
+        F.lit(source).alias("source"), "topic", time.alias("event_time"), event.alias("event")
+    )
+
+
 def start_replay(
     spark: SparkSession, history: DataFrame, live: DataFrame, path: str, checkpoint: str,
     available_now: bool = False,

@@ -127,6 +127,10 @@ class Fleet:
         """Streaming views whose scans skip what lies before the cut, or ``reach`` before it."""
         return ViewSet.over(self.stream, AS_OF, since=cut - reach - timedelta(microseconds=1))
 
+    def live_messages(self, cut: datetime) -> DataFrame:
+        """The message stream, whose scan skips what lies before the cut."""
+        return self.stream.messages(since=cut - timedelta(microseconds=1)).drop("seq")
+
     def until(self, cut: datetime) -> ViewSet:
         return ViewSet.over(self.table, AS_OF, until=cut)
 

@@ -97,7 +97,7 @@ def _(f):
 def _(f):
     root = f.work("r06")
     f.recent_client(4).subscribe(
-        "fleet/events/*/alerts/high", f.live_after(CUT)["high_severity_alerts"], f"{root}/table", f"{root}/checkpoint",
+        "fleet/events/*/alerts/high", f.live_messages(CUT), f"{root}/table", f"{root}/checkpoint",
         cut=CUT, since="4h", available_now=True,
     ).awaitTermination()
     return replay.read_replay(f.spark, f"{root}/table").drop("event")
@@ -106,6 +106,19 @@ def _(f):
 OVERLAP_FROM, OVERLAP_TO = "2024-01-01 11:00:00", "2024-01-01 11:10:00"
 
 
+@check("q06_subscribe_any_topic", f"""SELECT topic, issued_at AS event_time, command_type, vehicle_id FROM commands
+  WHERE command_type = 'reduce_speed' AND issued_at > {CUT_SQL}""")
+def _(f):
+    """No view is mapped to this topic; live messages of it arrive all the same."""
+    root = f.work("q06")
+    f.client.subscribe(
+        "fleet/commands/*/reduce_speed", f.live_messages(CUT), root, f"{root}-checkpoint", CUT, "4h", available_now=True
+    ).awaitTermination()
+    got = f.spark.read.parquet(f"{root}/source=live")
+    fields = [F.get_json_object("event", f"$.payload.{n}").alias(n) for n in ("command_type", "vehicle_id")]
+    return got.select("topic", "event_time", *fields)
+
+
 @check("r06_overlap_deduplicated", f"""SELECT vehicle_id, occurred_at, event_type,
   CASE WHEN occurred_at <= TIMESTAMP '{OVERLAP_TO}' THEN 'history' ELSE 'live' END AS source FROM alerts""")
 def _(f):

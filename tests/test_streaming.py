@@ -392,11 +392,25 @@ def test_subscription_errors(spark, views):
     assert [r["type"] for r in log] == ["backfill_status", "status", "history_start", "history", "history", "history", "history_done"]
 
 
-def test_live_only_subscription(spark, views, stream):
+def test_message_forms(spark):
+    frame = spark.createDataFrame(
+        [("a/v", T0, None, '{"vehicle_id":"v","topic":"x","n":1.5,"none":null,"p":{"q":[1]}}'), ("b", T0, None, "junk"), ("c", T0, None, None)],
+        MESSAGE,
+    )
+    lines = [r["event"] for r in replay.rendered_messages(frame, form="line").orderBy("topic").collect()]
+    stamp = "[live   ] 2024-01-01T12:00:00.000000Z"
+    assert lines[0] == f'{stamp}  a/v  vehicle=v  n=1.5  p={{"q":[1]}}'
+    assert lines[1].startswith(f"{stamp}  b  vehicle=") and lines[2].startswith(f"{stamp}  c  vehicle=")
+    texts = [json.loads(r["event"]) for r in replay.rendered_messages(frame).orderBy("topic").collect()]
+    assert [t["payload"] for t in texts[1:]] == [{"raw": "junk"}, {}]
+    assert texts[0]["payload"]["p"] == {"q": [1]} and texts[0]["source"] == "live"
+
+
+def test_live_only_subscription(spark, views):
     root = work_dir(spark, "liveonly")
     client = FleetClient(spark, views)
-    client.subscribe("fleet/events/vehicle_003/alerts/high", stream["high_severity_alerts"], f"{root}/t", f"{root}/c",
-                     cut=datetime(2024, 1, 1), available_now=True).awaitTermination()
+    client.subscribe("fleet/events/vehicle_003/alerts/high", EventsTable(spark, SF_DIR, streaming=True).messages(),
+                     f"{root}/t", f"{root}/c", available_now=True).awaitTermination()
     got = spark.read.parquet(f"{root}/t/source=live")
     assert got.count() == views["high_severity_alerts"].where("vehicle_id = 'vehicle_003'").count()
 
