@@ -27,6 +27,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Shuffled partitions known to be this small are hashed instead of sorted.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(PARTITION_BYTES))
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
