@@ -225,3 +225,36 @@ def test_conditions(spark):
     assert df.where(views.all_of()).count() == 2
     assert df.where(views.all_of(views.equals("vehicle_id", ""), views.severity_is("all"))).count() == 2
     assert df.where(views.all_of(views.equals("vehicle_id", "a"), views.severity_is("low"))).count() == 0
+
+
+def test_one_bucket_with_most_rows_is_split(spark):
+    """A third of all readings in one (vehicle, bin): adaptive execution cuts the partition."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        n = 120_000
+        tel = sensors(spark.range(0, n, 1, 8).selectExpr(
+            "IF(id % 3 = 0, 'hot', concat('v', id % 997)) AS vehicle_id",
+            "timestamp_micros(1704110400000000 + IF(id % 3 = 0, id % 1000, id * 1000)) AS recorded_at",
+            "CAST(id AS DOUBLE) AS speed", "0D AS engine_temp", "0D AS latitude", "0D AS longitude",
+        ))
+        ev = alerts(spark, [("hot", "high", T0 + timedelta(seconds=1)), ("v5", "low", T0 + timedelta(seconds=60))])
+        joined = joins.alerts_with_context(ev, tel)
+        got = joined.groupBy("vehicle_id").count().collect()
+        want = tel.where("vehicle_id = 'v5' AND recorded_at <= timestamp_micros(1704110460000000)").count()
+        assert {r["vehicle_id"]: r["count"] for r in got} == {"hot": n // 3, "v5": want}
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
