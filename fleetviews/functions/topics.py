@@ -141,10 +141,8 @@ def rebuilt_topic(pattern: str, columns: list[str]) -> Column:
     detail = F.coalesce(
         *present("severity"), *present("metric_type"), *present("command_type"), F.lit("unknown")
     )
-    pieces = pattern.split(ONE_LEVEL, 2)
-    parts: list[Column] = []
-    for piece, filler in zip(pieces, (vehicle, detail, None)):
-        parts.append(F.lit(piece))
-        if filler is not None and len(parts) // 2 < len(pieces) - 1:
-            parts.append(filler)
+    first, *others = pattern.split(ONE_LEVEL, 2)
+    parts = [F.lit(first)]
+    for filler, piece in zip((vehicle, detail), others):
+        parts += [filler, F.lit(piece)]
     return F.coalesce(*present("topic"), F.concat(*parts))
