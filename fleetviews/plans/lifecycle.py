@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..session import work_dir
-from ..sources.sinks import append_stream, current_rows, save_view, update_stream
+from ..sources.sinks import append_stream, batch_schema, current_rows, save_view, stored, update_stream
 from .viewset import ROUTING, ViewSet
 
 
@@ -43,6 +44,7 @@ class LiveViews:
         self.root = root or work_dir(spark, "live")
         self._queries: dict[str, StreamingQuery] = {}
         self._keys: dict[str, list[str] | None] = {}
+        self._schemas: dict[str, StructType] = {}
         self._generation: dict[str, int] = {}
 
     def _folder(self, name: str) -> str:
@@ -62,12 +64,14 @@ class LiveViews:
         folder = self._folder(name)
         args = (view, f"{folder}/table", f"{folder}/checkpoint", available_now)
         query = update_stream(*args, day_of) if keys else append_stream(*args)
-        self._queries[name], self._keys[name] = query, keys
+        schema = batch_schema(view.schema, day_of) if keys else view.schema
+        self._queries[name], self._keys[name], self._schemas[name] = query, keys, schema
         return query
 
     def read(self, name: str, first_day: Column | None = None) -> DataFrame:
-        path, keys = f"{self._folder(name)}/table", self._keys[name]
-        return current_rows(self.spark, path, keys, first_day) if keys else self.spark.read.parquet(path)
+        """Rows so far; none before the first batch."""
+        path, keys, schema = f"{self._folder(name)}/table", self._keys[name], self._schemas[name]
+        return current_rows(self.spark, path, keys, first_day, schema) if keys else stored(self.spark, path, schema)
 
     def running(self) -> list[str]:
         return [name for name, query in self._queries.items() if query.isActive]
@@ -88,6 +92,7 @@ class LiveViews:
         self.stop(name)
         self._queries.pop(name, None)
         self._keys.pop(name, None)
+        self._schemas.pop(name, None)
         self._generation[name] = self._generation.get(name, 0) + 1
 
     def ensure(self, wanted: dict[str, tuple[DataFrame, list[str] | None]]) -> list[str]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..functions.topics import build_topic
@@ -107,13 +108,38 @@ def update_stream(
     return started(view, writer, available_now)
 
 
-def current_rows(spark: SparkSession, path: str, keys: list[str], first_day: Column | None = None) -> DataFrame:
+def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table as it was written so far.
+
+    With its schema given, a table without files, or not yet there, has no rows; without
+    it that is an error.
+    """
+    if schema is None:
+        return spark.read.parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def batch_schema(rows: T.StructType, day_of: str | None = None) -> T.StructType:
+    """Schema of what :func:`write_batch` writes."""
+    day = [T.StructField(DAY, T.DateType())] if day_of else []
+    return T.StructType([*rows.fields, *day, T.StructField(BATCH, T.LongType())])
+
+
+def current_rows(
+    spark: SparkSession, path: str, keys: list[str], first_day: Column | None = None,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """State of an update table: each key's row from the last batch that changed it.
 
     In a table partitioned by day, ``first_day`` bounds which days are read at all. The
     day must follow from the key, as a window's start does.
     """
-    rows = spark.read.parquet(path)
+    rows = stored(spark, path, schema)
     if first_day is not None:
         rows = rows.where(F.col(DAY) >= first_day)
     rest = [c for c in rows.columns if c not in (*keys, BATCH, DAY)]

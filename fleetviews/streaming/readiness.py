@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.timing import moment
 from ..functions.topics import build_topic
 from ..operators.rolling import all_ready
 from ..schemas import CONNECTOR_STATUS, MESSAGE
 from ..sources.messages import header
-from ..sources.sinks import BATCH, current_rows, started, to_messages, write_batch
+from ..sources.sinks import BATCH, batch_schema, current_rows, started, stored, to_messages, write_batch
 
 # How a marker is recognised and where readiness is announced.
 MARKER_HEADER = "x-backfill-sentinel"
@@ -204,9 +205,11 @@ class Connector:
         self.spark, self.name, self.root, self.views, self.order = spark, name, root, views, order
         self.cache_batches = cache_batches
         self.status = StatusTable(spark, f"{root}/status")
+        self._schemas: dict[str, StructType] = {}
 
     def view(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/views/{name}").drop(BATCH)
+        """Rows of a view so far. Once started, a view that got no rows yet is empty."""
+        return stored(self.spark, f"{self.root}/views/{name}", self._schemas.get(name)).drop(BATCH)
 
     def announcements(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/ready").drop(BATCH)
@@ -269,6 +272,9 @@ class Connector:
     def start(self, messages: DataFrame, available_now: bool = False) -> StreamingQuery:
         """Run from the checkpoint on. If the marker was already seen, readiness is
         announced again for subscribers that came later."""
+        self._schemas = {
+            name: batch_schema(build(business(messages)).schema) for name, build in self.views.items()
+        }
         history = self._log()
         if history is not None:
             last = history.agg(F.max(BATCH)).first()[0]

@@ -18,7 +18,7 @@ from ..functions.values import event_json, event_line, message_json, message_lin
 from ..operators.joins import TWO_MINUTES, alerts_with_context
 from ..operators.sets import known_keys, same_key, tagged
 from ..operators.topk import oldest_first
-from ..sources.sinks import append_stream
+from ..sources.sinks import append_stream, stored
 from .live import DELAY, live_alerts_with_context, watermarked
 
 
@@ -87,9 +87,10 @@ def start_replay(
 
 
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
-    """History and live rows with their ``source``."""
-    parts = [tagged(spark.read.parquet(f"{path}/source={s}"), s) for s in ("history", "live")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+    """History and live rows with their ``source``; there may be no live rows yet."""
+    history = spark.read.parquet(f"{path}/source=history")
+    live = stored(spark, f"{path}/source=live", history.schema)
+    return tagged(history, "history").unionByName(tagged(live, "live"))
 
 
 def once_per_key(

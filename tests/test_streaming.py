@@ -317,6 +317,26 @@ def test_live_views(spark, stream):
     assert client.query_new_view(query, lambda: running.read("high"), timeout=60).count() == 65
 
 
+def test_views_without_rows_yet(spark, stream):
+    running = LiveViews(spark)
+    nobody = stream["high_severity_alerts"].where("vehicle_id = 'nobody'")
+    counts = stream["high_severity_alerts"].where("vehicle_id = 'nobody'").groupBy("vehicle_id").count()
+    running.start("rows", nobody, available_now=True)
+    running.start("counts", counts, ["vehicle_id"], available_now=True)
+    running.start("daily", live.live_speed_avg(stream["fleet_telemetry_raw"].where("vehicle_id = 'nobody'")),
+                  ["vehicle_id", "window_start"], True, "window_start")
+    assert running.wait()
+    assert [running.read(n).count() for n in ("rows", "counts", "daily")] == [0, 0, 0]
+    assert running.read("rows").columns == nobody.columns and set(running.read("counts").columns) == {"vehicle_id", "count"}
+    assert running.read("daily", F.to_date(F.lit("2024-01-01"))).count() == 0
+    connector = readiness.Connector(
+        spark, "c", work_dir(spark, "none"),
+        {"none": lambda m: ops.events_raw(messages.typed_source(m, "events")).where("vehicle_id = 'nobody'")}, "ts")
+    connector.start(EventsTable(spark, SF_DIR, streaming=True).messages(), available_now=True).awaitTermination()
+    assert connector.view("none").count() == 0
+    assert not connector.status.read().first()["is_ready"]
+
+
 def test_persisted_view(spark, views):
     kept = persist_view(spark, views["high_severity_alerts"], "high")
     assert rows(kept) == rows(views["high_severity_alerts"])
@@ -425,6 +445,15 @@ def test_replay_history_can_be_written_again(spark, views, stream):
     assert replay.read_replay(spark, f"{root}/t").count() == 65
 
 
+def test_replay_without_live_rows(spark, views, stream):
+    root, cut = work_dir(spark, "quiet"), datetime(2024, 1, 2)
+    history = replay.history_slice(views["high_severity_alerts"], "occurred_at", None, cut)
+    after = replay.live_slice(stream["high_severity_alerts"], "occurred_at", cut)
+    replay.start_replay(spark, history, after, f"{root}/t", f"{root}/c", True).awaitTermination()
+    got = replay.read_replay(spark, f"{root}/t").groupBy("source").count().collect()
+    assert [tuple(r) for r in got] == [("history", 65)]
+
+
 def test_context_across_the_cut(spark, views, stream):
     root = work_dir(spark, "cut")
     replay.context_then_live(
