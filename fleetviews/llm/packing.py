@@ -19,9 +19,13 @@ length stream through in bounded buffers, but for the ids of one document.
 from __future__ import annotations
 
 import heapq
+import os
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,32 +43,56 @@ END = 2
 BUFFER = 2_000_000
 #: Tokens of a training step, a multiple of the longest window.
 STEP = 8 * 4096
-CACHE = 400_000
+#: Words in a generation of a worker's cache.
+CACHE = 300_000
+ENDED = END.to_bytes(4, sys.byteorder)
+STOPS = frozenset([b".", b","])
 
 
 class Encoder:
-    """Ids of texts. Words are encoded once while the cache lasts: no token spans white space."""
+    """Ids of texts as unsigned 32-bit numbers, the end token last.
+
+    Words are encoded once while the cache lasts: no token spans white space. The cache has two
+    generations, so that frequent words outlive rare ones.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [text.split() for text in texts]  # bytes split at the six ASCII spaces only
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for ws in words for w in ws if w not in known})
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        # The tokenizer ignores case, but not in the names of its special tokens. Bytes are split at
+        # the six ASCII spaces only.
+        words = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        known, new, stopped = self.young, set(), []
+        for word in set().union(*words).difference(known):
+            if ids := self.old.get(word):
+                known[word] = ids
+            elif word[-1:] in STOPS and b"a" <= word[-2:-1] <= b"z":  # a letter ends its token here
+                stopped.append(word)
+                if word[:-1] not in known:
+                    new.add(word[:-1])
+            else:
+                new.add(word)
+        new = [*new, *STOPS.difference(known)]
         codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((word, code.ids) for word, code in zip(new, codes))
-        return [self._joined(ws) for ws in words]
+        known.update(zip(new, [array("I", code.ids).tobytes() for code in codes]))
+        known.update([(word, known[word[:-1]] + known[word[-1:]]) for word in stopped])
+        return [b"".join([*map(known.__getitem__, ws), ENDED]) for ws in words]
+
+
+def little_endian(ids: bytes) -> bytes:
+    return ids if sys.byteorder == "little" else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
+
 
-    def _joined(self, words: list[bytes]) -> np.ndarray:
-        ids: list[int] = []
-        for word in words:
-            ids += self.known[word]
-        ids.append(END)
-        return np.array(ids, "<u4")
+@cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process, however many tasks it runs."""
+    return Encoder(path)
 
 
 class Piece(NamedTuple):
@@ -165,10 +193,10 @@ def sequences(docs: DataFrame, path: str, tiers=TIERS, buffer: int = BUFFER, ste
     """One row per piece. Sequence and step numbers are unique over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encode = encoder(path).batch
         first = TaskContext.get().partitionId() << 36
         number = steps_done = held = 0
-        ids: list[tuple[int | None, np.ndarray]] = []
+        ids: list[tuple[int | None, bytes]] = []
 
         def rows(windows):
             nonlocal number, steps_done
@@ -178,9 +206,9 @@ def sequences(docs: DataFrame, path: str, tiers=TIERS, buffer: int = BUFFER, ste
                 offset = 0
                 for length, doc, start in window:
                     doc_id, tokens = ids[doc]
-                    code = zlib.crc32(tokens[start : start + length].tobytes())
+                    code = zlib.crc32(little_endian(tokens[4 * start : 4 * (start + length)]))
                     out.append(
-                        (doc_id, start, length, code, len(tokens), first + number, offset, size,
+                        (doc_id, start, length, code, len(tokens) // 4, first + number, offset, size,
                          first + steps_done + group)
                     )
                     offset += length
@@ -193,14 +221,14 @@ def sequences(docs: DataFrame, path: str, tiers=TIERS, buffer: int = BUFFER, ste
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for at in range(0, len(texts), 256):
-                for doc_id, tokens in zip(doc_ids[at : at + 256], encoder.batch(texts[at : at + 256])):
+                for doc_id, tokens in zip(doc_ids[at : at + 256], encode(texts[at : at + 256])):
                     ids.append((doc_id, tokens))
-                    held += len(tokens)
+                    held += len(tokens) // 4
                 if held >= buffer:
-                    windows, still_open = packed([len(t) for _, t in ids], tiers)
+                    windows, still_open = packed([len(t) // 4 for _, t in ids], tiers)
                     yield rows(windows + list(at_powers(still_open)))
                     ids, held = [], 0
-        windows, still_open = packed([len(t) for _, t in ids], tiers)
+        windows, still_open = packed([len(t) // 4 for _, t in ids], tiers)
         yield rows(windows + list(at_powers(still_open)))
 
     columns = docs.select(F.col("doc_id").cast("long"), common.text_of().cast("binary").alias("text"))
