@@ -1,18 +1,19 @@
 """Document probability under a subword lattice.
 
 Pieces come from an existing vocabulary. A word, led by a blank, may be cut into pieces in many
-ways; its probability is the sum over all of them, found by a forward recursion in log space over
-its bytes. A document is its words and one end, so its log probability is the sum of theirs: the
-marginal over every segmentation of the whole text. Single bytes are pieces too, so every text has
-a probability.
-
-The vocabulary's scores (merge ranks) give the first weights, falling with the rank. Expected piece
-counts over all training words, weighted by how often each occurs, then replace them (expectation
-maximisation, ``ROUNDS`` times), with the first weights as a prior of ``PRIOR`` pieces. Words are
-counted over the whole training part; counts stay distributed. Only the pieces' weights (as many as
-the vocabulary has) and the ``COMMON`` most frequent words of at most ``SHORT`` bytes are broadcast;
-counts of all other words are joined. In training alone, words beyond ``LONG`` bytes count as parts
-of that length.
+ways; a forward recursion in log space over its bytes sums the probability of all of them. Single
+bytes are pieces too, so every text has a probability. Each word seen in training is an arc of its
+own across the whole word, beside the pieces: with count c of N tokens, V of them distinct, it
+weighs (c - d) / N, and the pieces share the d * V / N that is left. A document is its words and one
+end, so its log probability is the sum of theirs: the marginal over every segmentation.
+
+The vocabulary's scores (merge ranks) give the pieces their first weights, falling with the rank.
+Expected piece counts over the training words then replace them (expectation maximisation,
+``ROUNDS`` times), with the first weights as a prior of ``PRIOR`` pieces; each distinct word counts
+once, since pieces are there for the words that training has not seen. Words are counted over the
+whole training part; counts stay distributed. Only the pieces' weights (as many as the vocabulary
+has) and the ``COMMON`` most frequent words of at most ``SHORT`` bytes are broadcast; counts of all
+other words are joined. In training alone, words beyond ``LONG`` bytes count as parts of that length.
 
 Null and empty texts have one token, the end. A null id counts as empty text for the fold and is
 trained on. Rows that repeat an id are documents of their own. An empty table gives an empty result;
@@ -40,6 +41,8 @@ PRIOR = 1000.0
 COMMON = 1 << 17
 SHORT = 64
 LONG = 512
+#: What each arc of a whole word gives up for the pieces.
+DISCOUNT = 0.75
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
 CACHE = 300_000
@@ -221,10 +224,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Natural log probabilities of the pieces and of the end."""
+    """Natural log probabilities of the pieces, and of the end in place of a word."""
     spark = words.sparkSession
-    ends = words.filter(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    log_weights, log_end = first, math.log(0.01)
+    leading = np.array([p.startswith(b" ") for p in pieces])
+
+    def ended(log_weights: np.ndarray, end: float) -> float:
+        # After a word comes a piece with a blank, or the end: all that is no continuation.
+        return math.log(end / (end + np.exp(log_weights[leading]).sum()))
+
+    log_weights, log_end = first, ended(first, 1 / PRIOR)
     for _ in range(rounds):
         model = spark.sparkContext.broadcast((pieces, log_weights))
 
@@ -233,17 +241,18 @@ def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: in
             lattice, total = Lattice(names, weights), np.zeros(len(names))
             for batch in batches:
                 lattice.expected(
-                    [w.as_buffer().to_pybytes() for w in batch.column("word")], batch.column("n").to_pylist(), total
+                    [w.as_buffer().to_pybytes() for w in batch.column("word")], [1] * batch.num_rows, total
                 )
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
-        found = words.filter(F.length("word") > 0).mapInArrow(run, "piece long, n double")
+        found = words.filter(F.length("word") > 0).select("word").mapInArrow(run, "piece long, n double")
         counts = np.exp(first) * PRIOR
         for piece, n in found.groupBy("piece").agg(F.sum("n")).collect():  # no more rows than the vocabulary
             counts[piece] += n
-        whole = counts.sum() + ends + 1
-        log_weights, log_end = np.log(counts / whole), math.log((ends + 1) / whole)
+        whole = counts.sum() + 1  # the end is one more word
+        log_weights = np.log(counts / whole)
+        log_end = ended(log_weights, 1 / whole)
     return log_weights, log_end
 
 
@@ -264,13 +273,14 @@ def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_wo
         words.filter(F.length("word") <= SHORT).orderBy(F.col("n").desc(), "word").limit(common_words).collect()
     )
     base_of = math.log10(tokens + 0.5 * (distinct + 1))
-    known = {bytes(r.word): (math.log10(r.n + 0.5) - base_of) for r in frequent}
+    known = {bytes(r.word): (math.log10(r.n + 0.5) - base_of, (r.n - DISCOUNT) / tokens) for r in frequent}
+    share = DISCOUNT * distinct / tokens if tokens else 1.0  # of the pieces
     model = spark.sparkContext.broadcast((pieces, log_weights, log_end, known))
 
     def run(batches):
         names, weights, end, known = model.value
         lattice, cache = Lattice(names, weights), {}
-        ten = math.log(10)
+        ten, log10 = math.log(10), math.log10
         for batch in batches:
             n_rows = batch.num_rows
             for at in range(0, n_rows, 256):
@@ -280,27 +290,23 @@ def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_wo
                     cache.clear()
                 new = list({w for c in counted for w in c if w not in cache})
                 cache.update(zip(new, (lattice.log_probabilities(new) / ten).tolist()))
+                cache[b""] = end / ten
                 out = [[] for _ in range(5)]
                 for count in counted:
-                    total, base, hits, rest = end / ten, 0.0, 0, []
-                    count_known = known.get
+                    count[b""] = 1
+                    total, base, hits, rest = 0.0, 0.0, 0, []
                     for word, n in count.items():
-                        total += n * cache[word]
-                        value = count_known(word)
-                        if value is None:
-                            rest.append({"word": word, "n": n})
-                        else:
-                            base += n * value
+                        pieces_ = cache[word]
+                        if arc := known.get(word):
+                            base += n * arc[0]
                             hits += n
-                    value = count_known(b"")
-                    if value is None:
-                        rest.append({"word": b"", "n": 1})
-                    else:
-                        base, hits = base + value, hits + 1
-                    for column, value in zip(out, (sum(count.values()) + 1, hits, base, total, rest)):
+                            total += n * log10(arc[1] + share * 10**pieces_)
+                        else:
+                            rest.append({"word": word, "n": n, "pieces": pieces_})
+                    for column, value in zip(out, (sum(count.values()), hits, base, total, rest)):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                         pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+                         pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("pieces", pa.float64())]))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("doc_id"), part.column("held_out"),
                      *[pa.array(c, k) for c, k in zip(out, kinds)]],
@@ -310,21 +316,27 @@ def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_wo
     scored = common.saved(
         rows.mapInArrow(
             run, "key long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double,"
-            " rest array<struct<word: binary, n: long>>"
+            " rest array<struct<word: binary, n: long, pieces: double>>"
         ),
         "scored",
     )
-    rest = scored.select("key", F.explode("rest").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))
+    rest = scored.select("key", F.explode("rest").alias("r")).select(
+        "key", "r.word", F.col("r.n").alias("times"), "r.pieces"
+    )
+    seen, times = F.col("n").isNotNull(), F.col("times")
+    arc = F.log10((F.col("n") - DISCOUNT) / float(tokens or 1) + share * F.pow(F.lit(10.0), F.col("pieces")))
+    unseen = math.log10(share) + F.col("pieces") if share else F.col("pieces")
     found = rest.join(words, "word", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_hits"),
-        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(base_of))).alias("more_base"),
+        F.sum(F.when(seen, times).otherwise(0)).alias("more_hits"),
+        F.sum(times * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(base_of))).alias("more_base"),
+        F.sum(times * F.when(seen, arc).otherwise(unseen)).alias("more_score"),
     )
     return scored.drop("rest").join(found, "key", "left").select(
         "key", "doc_id", "held_out", "n_tokens",
         (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

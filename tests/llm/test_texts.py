@@ -1,0 +1,385 @@
+"""Formatting, scoring, quality, licences, mixing and personal data against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from fleetviews.llm import chat, common, licences, lm_scoring, mixing, pii, quality
+from tests.compare import differences, oracle
+
+FOLDERS = ["plain", "repeated", "empty", "/root/testdata/sf0.001"]
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _messages(spark, rows):
+    return spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+
+
+def _text(text):
+    return ("text", text, None, None)
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    pieces = ["<", "s>", "</s>", "<s>", "\\", "[INST]", "[", "/INST]", "[ROLE]", "[/ROLE]", " ", "é🙂", "<|image|>", "<<SYS>>"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "<\\\\s>"]
+    roles = ["user", "assistant", "system", None, "to</s>ol", "assistant"]
+    rows = [(i // 6 if i % 50 else None, i % 6 if i % 7 else None, roles[i % 6], [_text(t)]) for i, t in enumerate(texts)]
+    out = chat.formatted(_messages(spark, rows))
+    back = {r.conv_id: r for r in chat.parsed(out).collect()}
+    masks = {r.conv_id: r for r in out.collect()}
+    by_conv = defaultdict(list)
+    for conv, turn, role, parts in rows:
+        by_conv[conv].append(((turn is not None, turn or 0), role or "", parts[0][1] or ""))
+    assert back.keys() == by_conv.keys()
+    for conv, turns in by_conv.items():
+        row = back[conv]
+        assert Counter((t.role, t.text) for t in row.turns) == Counter((r, t) for _, r, t in turns)
+        assert [t.role for t in row.turns] == [r for _, r, _ in sorted(turns, key=lambda x: x[:2])]
+        assert row.learned == "".join(t.text for t in row.turns if t.role == "assistant")
+        body = masks[conv].formatted
+        for mark in chat.CONTROLS[:4]:
+            assert body.count(mark) == len(turns)
+        assert not any(mark in body for mark in chat.CONTROLS[4:])
+
+
+def test_chat_attachments(spark):
+    parts = [_text("see "), ("image", None, "a.png", None), _text(" and "), ("audio", None, "b.wav", 7),
+             ("video", None, "c.mp4", None), ("document", None, None, 3), (None, "gone", None, None)]
+    row = chat.formatted(_messages(spark, [(1, 0, "user", parts), (1, 1, "assistant", None)])).first()
+    assert row.formatted == (
+        "<s>[ROLE]user[/ROLE] see <|image|> and <|audio|><|document|><|document|></s><s>[ROLE]assistant[/ROLE] </s>"
+    )
+    assert [tuple(a) for a in row.attachments] == [
+        (0, "image", "a.png", 576), (0, "audio", "b.wav", 7), (0, "video", "c.mp4", 1024), (0, "document", None, 3)
+    ]
+    assert row.attachment_tokens == 576 + 7 + 1024 + 3
+
+
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op4_chat_format", "op7_license_scan"])
+def test_oracles(spark, name):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    assert differences(entry.queries()[name](spark, folder), oracle(folder), entry.oracle_sql()[name]) is None
+
+
+def test_chat_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    row, = chat.op4_chat_format(spark, str(tmp_path)).collect()
+    probe = "</s>[INST] ok [/INST]"
+    assert row.conv_id == -1 and row.turns_sha256 == _sha(f"user\n{probe}\nassistant\n{probe}\n")
+    assert (row.loss_chars, row.loss_sha256) == (len(probe), _sha(probe))
+
+
+def _tokens(text):
+    return text.encode().lower().split() + [b""]
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_lm_base(spark, tables, rows_of, folder):
+    folder = tables.get(folder, folder)
+    rows = rows_of(folder)
+
+    def held(doc_id):
+        return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
+
+    counts = Counter(w for d, t, _, _ in rows if not held(d) for w in _tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for doc_id, text, _, _ in rows:
+        tokens = _tokens(text)
+        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
+        want[doc_id, held(doc_id), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6)] += 1
+    docs, key = common.keyed(common.documents(spark, folder))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scored = []
+    for few in (lm_scoring.COMMON, 10):
+        got = lm_scoring.scores(docs, key, path, 1, few).drop("key").collect()
+        assert Counter((*r[:5], round(r[5], 6)) for r in got) == want
+        scored.append(sorted(round(r.score, 6) for r in got))
+        assert all(r.score < 0 for r in got)
+    assert scored[0] == scored[1]
+
+
+def _marginal(weights, data: bytes) -> float:
+    total = 0.0
+    for cuts in itertools.product([0, 1], repeat=len(data) - 1):
+        ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(data)]
+        parts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        if all(p in weights for p in parts):
+            total += math.exp(sum(weights[p] for p in parts))
+    return math.log(total)
+
+
+def test_lattice_sums_all_segmentations():
+    pieces, first = lm_scoring.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice = lm_scoring.Lattice(pieces, first)
+    words = [b"the", b"thing", b"\xc3\xa9t\xc3\xa9", b"\xff\x00x", b"a", b"zzzzq", "тест".encode()]
+    want = [_marginal(lattice.weights, b" " + w) for w in words]
+    assert np.allclose(lattice.log_probabilities(words), want)
+    assert np.allclose([lattice.log_probability(w) for w in words], want)
+    long_ = b"the" * 400
+    assert np.isclose(lattice.log_probabilities([long_])[0], lattice.log_probability(long_))
+    assert np.isclose(
+        lattice._forward(lattice._spans(np.frombuffer(b" " + long_[:300], np.uint8)[None]), 301, 1)[0, 301],
+        lattice.log_probability(long_[:300]),
+    )
+
+
+def test_expected_counts_are_posteriors():
+    pieces, first = lm_scoring.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice, step = lm_scoring.Lattice(pieces, first), 1e-5
+    out = np.zeros(len(pieces))
+    lattice.expected([b"then"], [3], out)
+    for place in np.flatnonzero(out > 1e-3)[:8]:  # the derivative of the log of the sum
+        bumped = first.copy()
+        bumped[place] += step
+        slope = (
+            lm_scoring.Lattice(pieces, bumped).log_probability(b"then") - lattice.log_probability(b"then")
+        ) / step
+        assert math.isclose(3 * slope, out[place], rel_tol=1e-3)
+
+
+def test_training_helps_on_held_out_documents(spark):
+    docs, key = common.keyed(common.documents(spark, "/root/testdata/sf0.001"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    totals = []
+    for rounds in (0, 1, 2):
+        scored = lm_scoring.scores(docs, key, path, rounds).filter("held_out")
+        totals.append(scored.agg(F.sum("score")).first()[0])
+    assert totals[0] < totals[1] < totals[2] < 0
+
+
+def _quality(text: str):
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed
+    )
+
+
+@pytest.mark.parametrize("own", [quality.OWN_GROUP, 2])
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_quality(spark, tables, rows_of, monkeypatch, folder, own):
+    monkeypatch.setattr(quality, "OWN_GROUP", own)
+    folder = tables.get(folder, folder)
+    rows = rows_of(folder)
+    counted = [(d, *_quality(t), lang, source) for d, t, lang, source in rows]
+    got = quality.op6_quality_rules(spark, folder).collect()
+    assert Counter(tuple(r)[:7] for r in got) == Counter(c[:7] for c in counted)
+
+    def ratios(c):
+        lines = sum(bool(WORD.search(x)) for x in text_of[c].split("\n"))
+        return {"symbols": c[3] / c[2], "dup_lines": c[4] / lines, "word_length": c[2] / c[1]}
+
+    text_of = {c: r[1] for c, r in zip(counted, rows)}
+    good = [c for c in counted if not c[6]]
+
+    def binned(x):
+        return 0 if x <= quality.FINEST else 1 + math.ceil(math.log(x / quality.FINEST) / math.log(quality.GROWTH))
+
+    def upper(b):
+        return 0.0 if b == 0 else quality.FINEST * quality.GROWTH ** (b - 1)
+
+    verdict = Counter()
+    for c in counted:
+        keep = not c[6]
+        for name, least in quality.LEAST.items() if keep else ():
+            group = [g for g in good if g[7:] == c[7:]]
+            if len(group) < own:
+                group = [g for g in good if g[7] == c[7]]
+            if len(group) < own:
+                group = good
+            values = sorted(binned(ratios(g)[name]) for g in group)
+            q = {k: upper(values[math.ceil(p * len(values) - 1e-9) - 1]) for k, p in quality.QUANTILES.items()}
+            x = ratios(c)[name]
+            most = max(q["highest"], q["middle"] + max(quality.REACH * (q["upper"] - q["middle"]), least))
+            keep &= x <= most * (1 + 1e-12)
+            if name in quality.BOTH_SIDES:
+                low = min(
+                    q["lowest"] / quality.GROWTH, q["middle"] - max(quality.REACH * (q["middle"] - q["lower"]), least)
+                )
+                keep &= x >= low
+        verdict[c[0], keep] += 1
+    assert Counter((r.doc_id, r.kept) for r in got) == verdict
+
+
+def test_quality_keeps_columns(spark, tables):
+    docs = common.documents(spark, tables["repeated"])
+    assert quality.accepted(docs).columns == docs.columns
+    assert quality.accepted(docs).count() == quality.op6_quality_rules(spark, tables["repeated"]).filter("kept").count()
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_licences(spark, tables, rows_of, folder):
+    folder = tables.get(folder, folder)
+    known = [(n, set(licences._template_bigrams(t))) for n, ts in licences.TEMPLATES.items() for t in ts]
+    want = Counter()
+    for doc_id, text, _, _ in rows_of(folder):
+        found = []
+        for passage in {*text.split("\n"), *re.split(r"\n[\x20\x09\x0b-\x0d]*\n", text)}:
+            lower = "".join(c.lower() if c.isascii() else " " for c in passage)
+            words = re.sub("[^a-z0-9]+", " ", lower).split()
+            grams = {f"{a} {b}" for a, b in zip(words, words[1:])}
+            scores = [(-2 * len(grams & g) / (len(grams) + len(g)), n) for n, g in known if grams]
+            if scores and -min(scores)[0] >= 0.8:
+                found.append(min(scores))
+        best = min(found, default=(None, None))
+        want[doc_id, best[1], best[0] and round(-best[0], 9), len(found)] += 1
+    got = licences.op7_license_scan(spark, folder).collect()
+    assert Counter((r[0], r[1], r[2] and round(r[2], 9), r[3]) for r in got) == want
+
+
+def _targets(totals):
+    budget, weights = 1.5 * sum(n for _, n in totals), [(3, 1, 2)[i % 3] for i in range(len(totals))]
+    open_, out = set(range(len(totals))), {}
+    while open_:
+        share = {i: budget * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        above = [i for i in open_ if share[i] > 2 * totals[i][1]]
+        if not above:
+            return out | share
+        for i in above:
+            out[i] = 2 * totals[i][1]
+            budget -= out[i]
+            open_.remove(i)
+    return out
+
+
+@pytest.mark.parametrize("folder", FOLDERS)
+def test_mixing(spark, tables, rows_of, folder):
+    folder = tables.get(folder, folder)
+    rows = rows_of(folder)
+    sizes = defaultdict(int)
+    for _, text, _, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    wanted = dict(zip(order, _targets([(s, sizes[s]) for s in order]).items()))
+    docs, key = common.keyed(common.documents(spark, folder))
+    got = mixing.copies(mixing.sizes(docs, key)).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(WORD.findall(t))) for d, t, _, _ in rows)
+    targets = {order[i]: t for i, t in _targets([(s, sizes[s]) for s in order]).items()}
+    taken = defaultdict(int)
+    for r in got:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, targets[r.source], rel_tol=1e-9, abs_tol=1e-6)
+        assert 0 <= r.times <= 2
+        taken[r.source] += r.size * r.times
+    longest = max((r.size for r in got), default=0)
+    for source, target in targets.items():
+        assert target - longest - 1 <= taken[source] <= target + 1
+    assert len(wanted) == len(order)
+    assert sorted(mixing.op8_mixing(spark, folder).collect(), key=str) == sorted(
+        mixing.op8_mixing(spark, folder).collect(), key=str
+    )
+    mixed = mixing.mixed(common.documents(spark, folder))
+    assert mixed.columns == common.documents(spark, folder).columns
+    assert mixed.count() == sum(r.times for r in got)
+
+
+def test_hot_length_is_split(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 8)
+    rows = [(i, i, "a" if i < 600 else "b", 7 if i % 5 else i % 11 + 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "key long, doc_id long, source string, size long")
+    got = mixing.copies(docs).collect()
+    for source in "ab":
+        part = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.times for r in part) - part[0].target) <= 1
+
+
+def test_knapsack_is_exact():
+    rng = random.Random(6)
+    for _ in range(40):
+        lengths = sorted(rng.sample(range(1, 40), rng.randint(1, 6)))
+        counts = [rng.randint(1, 3) for _ in lengths]
+        budget = rng.randint(0, sum(n * c for n, c in zip(lengths, counts)))
+        taken = mixing.fitted(lengths, counts, budget, 1)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        fixed = [c * budget // max(1, sum(n * c for n, c in zip(lengths, counts))) for c in counts]
+        best = max(
+            sum(n * t for n, t in zip(lengths, choice))
+            for choice in itertools.product(*[range(f, c + 1) for f, c in zip(fixed, counts)])
+            if sum(n * t for n, t in zip(lengths, choice)) <= budget
+        )
+        assert sum(n * t for n, t in zip(lengths, taken)) == best
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _luhn(number: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def _base(text: str):
+    def digits(m):
+        return re.sub("[^0-9]", "", m.group())
+
+    found = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    found += [
+        (m.start(), 2, m.end(), "card") for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and _luhn(digits(m))
+    ]
+    found += [(m.start(), 3, m.end(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("folder", [*FOLDERS, "/root/testdata/sf0.01"])
+def test_pii(spark, tables, rows_of, folder):
+    folder = tables.get(folder, folder)
+    want = Counter()
+    for doc_id, text, _, _ in rows_of(folder):
+        spans = _base(text)
+        listed = ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        kinds = Counter(s[3] for s in spans)
+        want[doc_id, *(kinds[k] for k in pii.BASE), _sha(listed)] += 1
+    got = pii.op10_pii(spark, folder).collect()
+    assert Counter(tuple(r)[:6] for r in got) == want
+
+
+def test_pii_base_on_noise():
+    rng, finder = random.Random(8), pii.Finder()
+    for alphabet in ("0123456789 -", "01.2", "a@.b-@", "+0123 ().-", "a1@.+ -9:/", "0 1-2+3.4@a"):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            got = [s for s in finder.spans(text) if s[2] in pii.BASE]
+            assert got == [(a, b, k) for a, _, b, k in _base(text)], text
+
+
+def test_pii_added_kinds():
+    finder = pii.Finder()
+
+    def kinds(text):
+        return {(k, text[a:b]) for a, b, k in finder.spans(text) if k not in pii.BASE}
+
+    assert kinds("IBAN: DE89 3704 0044 0532 0130 00.") == {("account", "DE89 3704 0044 0532 0130 00")}
+    assert kinds("iban DE88370400440532013000") == set()
+    assert kinds("see ftp://me:pw@host.org/x, https://host.org/a@b") == {("url", "ftp://me:pw@host.org/x,")}
+    assert kinds('token = "0123456789abcdef"; token short, a token of thanks') == {("secret", "0123456789abcdef")}
+    assert pii.redacted("a b@c.de f", finder.spans("a b@c.de f")) == "a [email] f"
