@@ -45,8 +45,9 @@ LONG = 512
 DISCOUNT = 0.75
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
-CACHE = 300_000
 CELLS = 400_000
+#: Probabilities below this are added up as logarithms.
+TINY = 1e-250
 
 
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -78,13 +79,16 @@ class Lattice:
         self.weights = {p: float(w) for p, w in zip(pieces, log_weights)}
         self.longest = max(map(len, pieces))
         self.powers = np.array([pow(self.BASE, i, 1 << 64) for i in range(LONG + 2)], np.uint64)
-        self.tables = {}
+        # A piece's code has its leading bits set here; most substrings are sorted out by them.
+        self.sieve, self.tables = np.zeros(1 << 22, bool), {}
         for length in sorted({len(p) for p in pieces}):
             places = np.array([i for i, p in enumerate(pieces) if len(p) == length])
             matrix = np.frombuffer(b"".join(pieces[i] for i in places), np.uint8).reshape(-1, length)
             codes = self._prefixes(matrix)[:, -1]
             order = np.argsort(codes)
-            self.tables[length] = (codes[order], log_weights[places[order]], places[order])
+            self.tables[length] = (codes[order], places[order])
+            self.sieve[codes >> np.uint64(42)] = True
+        self.log_weights = log_weights
 
     def _prefixes(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), words.shape[1] + 1), np.uint64)
@@ -92,16 +96,27 @@ class Lattice:
             out[:, at + 1] = out[:, at] * np.uint64(self.BASE) + words[:, at] + np.uint64(1)
         return out
 
-    def _spans(self, words: np.ndarray):
-        """By length: the log weight of every substring (minus infinity for none) and its place."""
-        prefixes, n, out = self._prefixes(words), words.shape[1], {}
-        for length, (codes, weights, places) in self.tables.items():
+    def _hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length: rows, starts and pieces of all substrings that are pieces."""
+        prefixes, n = self._prefixes(words), words.shape[1]
+        for length, (codes, places) in self.tables.items():
             if length <= n:
                 code = prefixes[:, length:] - prefixes[:, : n + 1 - length] * self.powers[length]
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[at] == code
+                rows, starts = np.nonzero(self.sieve[code >> np.uint64(42)])
+                found = code[rows, starts]
+                at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+                hit = codes[at] == found
                 if hit.any():
-                    out[length] = (np.where(hit, weights[at], -np.inf), np.where(hit, places[at], -1))
+                    yield length, rows[hit], starts[hit], places[at[hit]]
+
+    def _spans(self, words: np.ndarray):
+        """By length: the log weight of every substring (minus infinity for none) and its piece."""
+        out = {}
+        for length, rows, starts, pieces in self._hits(words):
+            shape = (len(words), words.shape[1] + 1 - length)
+            weights, which = np.full(shape, -np.inf), np.full(shape, -1)
+            weights[rows, starts], which[rows, starts] = self.log_weights[pieces], pieces
+            out[length] = (weights, which)
         return out
 
     @staticmethod
@@ -184,15 +199,43 @@ class Lattice:
                 times.append(count)
         times = np.array(times, float)
         for places, matrix in self._by_length(parts):
-            n, spans = matrix.shape[1], self._spans(matrix)
-            forward, backward = (f(spans, n, len(matrix)) for f in (self._forward, self._backward))
-            whole = forward[:, n, None]
-            for length, (weights, pieces) in spans.items():
-                share = np.exp(forward[:, : n + 1 - length] + weights + backward[:, length:] - whole)
-                hit = pieces >= 0
-                out += np.bincount(
-                    pieces[hit], (share * times[places, None])[hit], minlength=len(out)
-                )
+            whole = self._add_expected(matrix, times[places], out)
+            if (rest := whole < TINY).any():
+                self._add_expected_logs(matrix[rest], times[places][rest], out)
+
+    def _add_expected(self, matrix: np.ndarray, times: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """In plain numbers, for the words that are not too improbable for them; returns probabilities."""
+        rows_, n = matrix.shape
+        hits = list(self._hits(matrix))
+        dense = {}
+        for length, rows, starts, pieces in hits:
+            dense[length] = np.zeros((n + 1 - length, rows_))
+            dense[length][starts, rows] = np.exp(self.log_weights[pieces])
+        forward, backward = np.zeros((n + 1, rows_)), np.zeros((n + 1, rows_))
+        forward[0] = backward[n] = 1
+        for end in range(1, n + 1):
+            for length, weights in dense.items():
+                if length <= end:
+                    forward[end] += weights[end - length] * forward[end - length]
+        for start in range(n - 1, -1, -1):
+            for length, weights in dense.items():
+                if start + length <= n:
+                    backward[start] += weights[start] * backward[start + length]
+        whole = forward[n]
+        share = np.divide(times, whole, out=np.zeros(rows_), where=whole >= TINY)
+        for length, rows, starts, pieces in hits:
+            part = forward[starts, rows] * dense[length][starts, rows] * backward[starts + length, rows] * share[rows]
+            out += np.bincount(pieces, part, minlength=len(out))
+        return whole
+
+    def _add_expected_logs(self, matrix: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
+        n, spans = matrix.shape[1], self._spans(matrix)
+        forward, backward = (f(spans, n, len(matrix)) for f in (self._forward, self._backward))
+        whole = forward[:, n, None]
+        for length, (weights, pieces) in spans.items():
+            share = np.exp(forward[:, : n + 1 - length] + weights + backward[:, length:] - whole)
+            hit = pieces >= 0
+            out += np.bincount(pieces[hit], (share * times[:, None])[hit], minlength=len(out))
 
 
 def _words(text) -> list[bytes]:
@@ -200,7 +243,8 @@ def _words(text) -> list[bytes]:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over a binary column ``text``; the empty word is the end of a document."""
+    """word, n over the binary column ``text``: all words, and how often training has them. The empty
+    word is the end of a document."""
 
     def run(batches):
         held: Counter[bytes] = Counter()
@@ -211,16 +255,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.update(_words(text))
-                held[b""] += 1
+            for text, held_out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
+                words = _words(text)
+                held.update(dict.fromkeys(words, 0) if held_out else words)
+                held[b""] += not held_out
                 if len(held) >= HELD_WORDS:
                     yield batch_of()
                     held.clear()
         if held:
             yield batch_of()
 
-    return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = texts.select("text", "held_out").mapInArrow(run, "word binary, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -256,6 +302,23 @@ def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: in
     return log_weights, log_end
 
 
+def _with_pieces(words: DataFrame, model) -> DataFrame:
+    """word, n and the common logarithm of the probability that the pieces give the word."""
+
+    def run(batches):
+        names, weights, end = model.value
+        lattice = Lattice(names, weights)
+        for batch in batches:
+            found = [w.as_buffer().to_pybytes() for w in batch.column("word")]
+            logs = lattice.log_probabilities(found)
+            logs[[i for i, w in enumerate(found) if not w]] = end
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(logs / math.log(10))], ["word", "n", "pieces"]
+            )
+
+    return words.mapInArrow(run, "word binary, n long, pieces double")
+
+
 def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_words: int = COMMON) -> DataFrame:
     """One row per row of ``docs``: key, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -265,71 +328,61 @@ def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_wo
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT).alias("held_out"),
         common.text_of().cast("binary").alias("text"),
     )
-    words = common.saved(word_counts(rows.filter("NOT held_out")), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counted = common.saved(word_counts(rows), "words")
+    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     pieces, first = vocabulary(path)
-    log_weights, log_end = trained(words, pieces, first, rounds)
-    frequent = (
-        words.filter(F.length("word") <= SHORT).orderBy(F.col("n").desc(), "word").limit(common_words).collect()
-    )
+    model = spark.sparkContext.broadcast((pieces, *trained(counted.filter("n > 0"), pieces, first, rounds)))
+    words = common.saved(_with_pieces(counted, model), "word-pieces")
     base_of = math.log10(tokens + 0.5 * (distinct + 1))
-    known = {bytes(r.word): (math.log10(r.n + 0.5) - base_of, (r.n - DISCOUNT) / tokens) for r in frequent}
     share = DISCOUNT * distinct / tokens if tokens else 1.0  # of the pieces
-    model = spark.sparkContext.broadcast((pieces, log_weights, log_end, known))
+    n = F.col("n")
+    words = words.select(
+        "word",
+        (n > 0).alias("seen"),
+        (F.log10(n + 0.5) - F.lit(base_of)).alias("base"),
+        F.when(n > 0, F.log10((n - DISCOUNT) / float(tokens or 1) + share * F.pow(F.lit(10.0), F.col("pieces"))))
+        .otherwise(math.log10(share or 1.0) + F.col("pieces")).alias("score"),
+        "n",
+    )
+    frequent = words.filter((F.length("word") <= SHORT) & (n > 0)).orderBy(n.desc(), "word").limit(common_words)
+    known = spark.sparkContext.broadcast({bytes(r.word): (r.base, r.score) for r in frequent.collect()})
 
     def run(batches):
-        names, weights, end, known = model.value
-        lattice, cache = Lattice(names, weights), {}
-        ten, log10 = math.log(10), math.log10
+        find = known.value.get
         for batch in batches:
-            n_rows = batch.num_rows
-            for at in range(0, n_rows, 256):
-                part = batch.slice(at, 256)
-                counted = [Counter(_words(t)) for t in part.column("text")]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({w for c in counted for w in c if w not in cache})
-                cache.update(zip(new, (lattice.log_probabilities(new) / ten).tolist()))
-                cache[b""] = end / ten
-                out = [[] for _ in range(5)]
-                for count in counted:
-                    count[b""] = 1
-                    total, base, hits, rest = 0.0, 0.0, 0, []
-                    for word, n in count.items():
-                        pieces_ = cache[word]
-                        if arc := known.get(word):
-                            base += n * arc[0]
-                            hits += n
-                            total += n * log10(arc[1] + share * 10**pieces_)
-                        else:
-                            rest.append({"word": word, "n": n, "pieces": pieces_})
-                    for column, value in zip(out, (sum(count.values()), hits, base, total, rest)):
-                        column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                         pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("pieces", pa.float64())]))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("doc_id"), part.column("held_out"),
-                     *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                    ["key", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "rest"],
-                )
+            out = [[] for _ in range(5)]
+            for text in batch.column("text"):
+                count = Counter(_words(text))
+                count[b""] = 1
+                total, base, hits, rest = 0.0, 0.0, 0, []
+                for word, times in count.items():
+                    if arc := find(word):
+                        base += times * arc[0]
+                        total += times * arc[1]
+                        hits += times
+                    else:
+                        rest.append({"word": word, "times": times})
+                for column, value in zip(out, (count.total(), hits, base, total, rest)):
+                    column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(),
+                     pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("key", "doc_id", "held_out")), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+                ["key", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "rest"],
+            )
 
     scored = common.saved(
         rows.mapInArrow(
             run, "key long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double,"
-            " rest array<struct<word: binary, n: long, pieces: double>>"
+            " rest array<struct<word: binary, times: long>>"
         ),
         "scored",
     )
-    rest = scored.select("key", F.explode("rest").alias("r")).select(
-        "key", "r.word", F.col("r.n").alias("times"), "r.pieces"
-    )
-    seen, times = F.col("n").isNotNull(), F.col("times")
-    arc = F.log10((F.col("n") - DISCOUNT) / float(tokens or 1) + share * F.pow(F.lit(10.0), F.col("pieces")))
-    unseen = math.log10(share) + F.col("pieces") if share else F.col("pieces")
-    found = rest.join(words, "word", "left").groupBy("key").agg(
-        F.sum(F.when(seen, times).otherwise(0)).alias("more_hits"),
-        F.sum(times * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(base_of))).alias("more_base"),
-        F.sum(times * F.when(seen, arc).otherwise(unseen)).alias("more_score"),
+    times = F.col("times")
+    found = scored.select("key", F.inline("rest")).join(words, "word").groupBy("key").agg(
+        F.sum(F.when(F.col("seen"), times).otherwise(0)).alias("more_hits"),
+        F.sum(times * F.col("base")).alias("more_base"),
+        F.sum(times * F.col("score")).alias("more_score"),
     )
     return scored.drop("rest").join(found, "key", "left").select(
         "key", "doc_id", "held_out", "n_tokens",
