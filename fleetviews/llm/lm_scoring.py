@@ -109,44 +109,32 @@ class Lattice:
                 if hit.any():
                     yield length, rows[hit], starts[hit], places[at[hit]]
 
-    def _spans(self, words: np.ndarray):
-        """By length: the log weight of every substring (minus infinity for none) and its piece."""
+    def _logs(self, hits, n: int, rows: int) -> dict[int, np.ndarray]:
+        """By length the log weight of every substring, minus infinity for none; one column a word."""
         out = {}
-        for length, rows, starts, pieces in self._hits(words):
-            shape = (len(words), words.shape[1] + 1 - length)
-            weights, which = np.full(shape, -np.inf), np.full(shape, -1)
-            weights[rows, starts], which[rows, starts] = self.log_weights[pieces], pieces
-            out[length] = (weights, which)
+        for length, places, starts, pieces in hits:
+            out[length] = np.full((n + 1 - length, rows), -np.inf)
+            out[length][starts, places] = self.log_weights[pieces]
         return out
 
     @staticmethod
-    def _sum(terms: list[np.ndarray]) -> np.ndarray:
-        if len(terms) == 1:
-            return terms[0]
-        terms = np.stack(terms)
-        most = terms.max(0)
-        safe = np.where(np.isfinite(most), most, 0.0)
-        with np.errstate(divide="ignore"):
-            return safe + np.log(np.exp(terms - safe).sum(0))
-
-    def _forward(self, spans, n: int, rows: int) -> np.ndarray:
-        out = np.full((rows, n + 1), -np.inf)
-        out[:, 0] = 0
+    def _forward(logs: dict[int, np.ndarray], n: int, rows: int) -> np.ndarray:
+        out = np.full((n + 1, rows), -np.inf)
+        out[0] = 0
         for end in range(1, n + 1):
-            terms = [w[:, end - length] + out[:, end - length] for length, (w, _) in spans.items() if length <= end]
-            if terms:
-                out[:, end] = self._sum(terms)
+            for length, weights in logs.items():
+                if length <= end:
+                    np.logaddexp(out[end], weights[end - length] + out[end - length], out=out[end])
         return out
 
-    def _backward(self, spans, n: int, rows: int) -> np.ndarray:
-        out = np.full((rows, n + 1), -np.inf)
-        out[:, n] = 0
+    @staticmethod
+    def _backward(logs: dict[int, np.ndarray], n: int, rows: int) -> np.ndarray:
+        out = np.full((n + 1, rows), -np.inf)
+        out[n] = 0
         for start in range(n - 1, -1, -1):
-            terms = [
-                w[:, start] + out[:, start + length] for length, (w, _) in spans.items() if start + length <= n
-            ]
-            if terms:
-                out[:, start] = self._sum(terms)
+            for length, weights in logs.items():
+                if start + length <= n:
+                    np.logaddexp(out[start], weights[start] + out[start + length], out=out[start])
         return out
 
     @staticmethod
@@ -170,8 +158,8 @@ class Lattice:
             out[i] = self.log_probability(words[i])
         short = [i for i, w in enumerate(words) if len(w) < LONG]
         for places, matrix in self._by_length(b" " + words[i] for i in short):
-            n = matrix.shape[1]
-            out[np.array(short)[places]] = self._forward(self._spans(matrix), n, len(matrix))[:, n]
+            rows, n = matrix.shape
+            out[np.array(short)[places]] = self._forward(self._logs(self._hits(matrix), n, rows), n, rows)[n]
         return out
 
     def log_probability(self, word: bytes) -> float:
@@ -229,13 +217,13 @@ class Lattice:
         return whole
 
     def _add_expected_logs(self, matrix: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
-        n, spans = matrix.shape[1], self._spans(matrix)
-        forward, backward = (f(spans, n, len(matrix)) for f in (self._forward, self._backward))
-        whole = forward[:, n, None]
-        for length, (weights, pieces) in spans.items():
-            share = np.exp(forward[:, : n + 1 - length] + weights + backward[:, length:] - whole)
-            hit = pieces >= 0
-            out += np.bincount(pieces[hit], (share * times[:, None])[hit], minlength=len(out))
+        rows_, n = matrix.shape
+        hits = list(self._hits(matrix))
+        logs = self._logs(hits, n, rows_)
+        forward, backward = self._forward(logs, n, rows_), self._backward(logs, n, rows_)
+        for length, rows, starts, pieces in hits:
+            part = forward[starts, rows] + logs[length][starts, rows] + backward[starts + length, rows] - forward[n, rows]
+            out += np.bincount(pieces, np.exp(part) * times[rows], minlength=len(out))
 
 
 def _words(text) -> list[bytes]:
