@@ -19,7 +19,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, no executor holds it."""
     path = work_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,8 +7,8 @@ occurrence stays. Three steps find them:
    equal windows share it. Runs of windows with the same least hash become segments. Hashes that
    occur once in the corpus cannot belong to a repeat; the others are marked in a bitmap of fixed
    size, and only their segments leave the scan.
-2. *Copies.* Equal segments are one content with its first occurrence; windows of every later
-   occurrence are repeats.
+2. *Copies.* Equal segments (by both their least hash and a hash of their bytes, 128 bits in all)
+   are one content with its first occurrence; windows of every later occurrence are repeats.
 3. *Index.* Different contents with the same hash may still share windows. Whole hash groups go
    together into an index: the Burrows-Wheeler transform of their contents, compressed to its
    runs, with the suffix positions at run heads. Common prefixes are compared at run heads only;
@@ -44,9 +44,9 @@ BITS = 1 << 27
 DOC_BITS = 1 << 24
 BLOCK = 1 << 18
 #: Bytes and contents of one index, and contents beyond which a hash group is not indexed.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 INDEX_CONTENTS = 16_000
-GROUP = 4_000
+GROUP = 2_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -138,7 +138,7 @@ def _repeated_hashes(rows: DataFrame, length: int) -> DataFrame:
     return found.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-SEGMENT = "hash long, content binary, key long, start long, n long, inner boolean, bytes binary"
+SEGMENT = "hash long, content long, key long, start long, n long, inner boolean, bytes binary"
 
 
 def _segments(rows: DataFrame, length: int, shared) -> DataFrame:
@@ -174,7 +174,7 @@ def _segments(rows: DataFrame, length: int, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(least[first].view(np.int64)),
-                        pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
+                        pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
                         pa.array(keys[row[own]]),
                         pa.array(offset[own] + first - starts[own]),
                         pa.array(n.astype(np.int64)),
@@ -312,6 +312,17 @@ def _indexed(contents: DataFrame, length: int, width: int) -> DataFrame:
     return dealt.select("hash", "key", "start", "inner", "bytes").mapInArrow(run, MARK)
 
 
+def _of_hashes(contents: DataFrame, hashes) -> DataFrame:
+    """The rows whose hash is in the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            hit = common.in_bitmap(hashes.value, BITS, batch.column("hash").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(hit))
+
+    return contents.mapInArrow(run, "hash long, key long, start long, inner boolean, bytes binary")
+
+
 def _windowed(contents: DataFrame, length: int) -> DataFrame:
     """The same, window by window, for hash groups too large for one index."""
 
@@ -349,14 +360,20 @@ def marks(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFram
     copies = segments.select("hash", "content", "key", "start", "n").join(copied, ["hash", "content"]).filter(
         "key != first_key OR start != first_start"
     )
-    large = common.saved(
-        contents.groupBy("hash").agg(F.count("*").alias("size")).filter(F.col("size") > group).select("hash"), "large"
+    # Groups of one content without an inner repeat are done; their bytes stay where they are.
+    groups = common.saved(
+        contents.groupBy("hash").agg(F.count("*").alias("size"), F.max("inner").alias("inner"))
+        .filter("size > 1 OR inner"),
+        "groups",
     )
+    open_ = spark.sparkContext.broadcast(common.bitmap(groups, "hash", BITS))
+    large = groups.filter(F.col("size") > group).select("hash")
+    several = _of_hashes(contents.select("hash", "key", "start", "inner", "bytes"), open_)
     found = copies.select("key", "start", "n").unionAll(
-        _indexed(contents.join(large, "hash", "left_anti"), length, width)
+        _indexed(several.join(large, "hash", "left_anti"), length, width)
     )
     if not large.isEmpty():
-        found = found.unionAll(_windowed(contents.join(large, "hash", "left_semi"), length))
+        found = found.unionAll(_windowed(several.join(large, "hash", "left_semi"), length))
     return found
 
 
