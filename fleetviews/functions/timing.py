@@ -20,6 +20,7 @@ PRESET_DURATIONS = {
     "48h": timedelta(hours=48),
 }
 # End of fixed values.
+MOST_SECONDS = (2**63 - 1) // 1_000_000
 
 
 def parse_duration(text: str | timedelta) -> timedelta:
@@ -33,13 +34,18 @@ def parse_duration(text: str | timedelta) -> timedelta:
 
 
 def duration_column(text: Column) -> Column:
-    """The same for a column of texts, as a day-time interval; NULL when invalid."""
+    """The same for a column of texts, as a day-time interval; NULL when invalid, or longer than an
+    interval can be (2 ** 63 microseconds)."""
     clean = F.lower(F.trim(text))
     amount = F.regexp_extract(clean, DURATION_PATTERN, 1)
     unit = F.regexp_extract(clean, DURATION_PATTERN, 2)
     factor = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])[unit]
-    seconds = F.try_to_number(F.nullif(amount, F.lit("")), F.lit("9" * 12)).cast("bigint") * factor
-    return F.when(seconds.isNotNull(), F.make_dt_interval(secs=seconds.cast("decimal(18,6)")))
+    seconds = F.try_multiply(F.nullif(amount, F.lit("")).try_cast("bigint"), factor)
+    rest = F.pmod(seconds, F.lit(86400))
+    days = ((seconds - rest) / 86400).cast("int")
+    return F.when(
+        seconds <= MOST_SECONDS, F.make_dt_interval(days=days, secs=rest.cast("decimal(18,6)"))
+    )
 
 
 def preset_duration(text: str | None) -> timedelta | None:

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timing import interval
-from ..schemas import SENSORS
+from ..schemas import SENSOR_UNITS, SENSORS
 from .skew import PARTS, oversized, with_parts
 
 TWO_MINUTES = timedelta(minutes=2)
@@ -40,7 +40,7 @@ def interval_join(
     ``max_group_rows`` also splits single (key, bin) groups that hold more right rows
     than that: the right rows of such a group are dealt into as many parts as needed
     and the left rows are repeated for each. Groups that stay below pass unchanged. It
-    is meant for batches and costs one counting pass, which runs at once.
+    is meant for batches and costs one counting pass.
     Column names other than ``key`` must differ between the two sides.
     """
     width = max(1, math.ceil(span.total_seconds() * 1_000_000 / bins_per_span))
@@ -192,6 +192,27 @@ def unified_alerts_with_context(
     )
 
 
+def alerts_with_long_context(
+    events: DataFrame, telemetry: DataFrame, span: timedelta = TWO_MINUTES,
+    units: dict[str, str] = SENSOR_UNITS, **tuning,
+) -> DataFrame:
+    """The same rows from the two streams: one per alert, preceding reading and metric.
+
+    A reading travels to the join once, and is unfolded into its metrics afterwards.
+    """
+    joined = interval_join(
+        _alert_side(events), _reading_side(telemetry), "vehicle_id", "alert_time", "metric_time", span, **tuning
+    )
+    metrics = F.array(*[
+        F.struct(F.lit(m).alias("metric_type"), F.col(m).alias("metric_value"), F.lit(units.get(m)).alias("unit"))
+        for m in SENSORS
+    ])
+    return joined.select(
+        "vehicle_id", "event_type", "severity", "description", "alert_time", F.inline(metrics), "metric_time",
+        (F.col("alert_time") - F.col("metric_time")).alias("time_before_alert"),
+    )
+
+
 def events_of_vehicles_in(events: DataFrame, region_view: DataFrame) -> DataFrame:
     """Events whose vehicle occurs in a region view.
 

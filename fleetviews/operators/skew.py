@@ -4,35 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Most oversized groups that are listed for a broadcast: a few megabytes at any data size.
-LISTED = 100_000
 PARTS = "_parts"
 
 
-def oversized(df: DataFrame, on: list[str], max_rows: int) -> DataFrame | None:
+def oversized(df: DataFrame, on: list[str], max_rows: int) -> DataFrame:
     """Groups of ``on`` with more than ``max_rows`` rows, and into how many parts to cut each.
 
-    The counting reads only the group columns and combines on the map side; it runs at
-    once. The list is marked for broadcast when it is short enough, which its length
-    establishes; a longer one is returned as a plain DataFrame, to be joined whichever
-    way its size allows. None when no group is oversized.
+    The counting reads only the group columns and combines on the map side. Nothing runs
+    here: how the list is joined is decided when its size has been measured.
     """
-    groups = (
+    return (
         df.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > max_rows)
         .select(*on, F.ceil(F.col("_rows") / F.lit(max_rows)).cast("int").alias(PARTS))
     )
-    listed = groups.limit(LISTED + 1).collect()
-    if not listed:
-        return None
-    if len(listed) > LISTED:
-        return groups
-    return F.broadcast(df.sparkSession.createDataFrame(listed, groups.schema))
 
 
-def with_parts(df: DataFrame, groups: DataFrame | None, on: list[str]) -> DataFrame:
+def with_parts(df: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
     """Adds the number of parts of each row's group, one where it is not oversized."""
-    if groups is None:
-        return df.withColumn(PARTS, F.lit(1))
     return df.join(groups, on, "left").withColumn(PARTS, F.coalesce(PARTS, F.lit(1)))

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import severity_rank
 
-ADHOC_MAX = 1000
-
 
 def descending(column: str) -> Column:
     return F.col(column).desc_nulls_first()
@@ -57,7 +55,3 @@ def latest_windows(windows: DataFrame, k: int) -> DataFrame:
     return windows.orderBy(
         descending("window_end"), ascending("vehicle_id"), *tie_breakers(windows, used)
     ).limit(k)
-
-
-def clamped(limit: int, most: int = ADHOC_MAX) -> int:
-    return max(1, min(limit, most))

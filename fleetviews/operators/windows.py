@@ -157,11 +157,13 @@ def consecutive_runs(
     A run is numbered by how many breaks precede it. That running count is built in
     two levels: inside a (key, time chunk) window, and over the per-chunk totals, of
     which there are as many as chunks, not rows. Runs may cross any number of chunks.
+    Of readings with equal times, those that fail the condition come first, unless
+    ``tie_breaker`` orders them.
     ``max_chunk_rows`` cuts (key, chunk) groups that hold more rows into shorter chunks;
-    it is meant for batches and costs one counting pass, which runs at once.
+    it is meant for batches and costs one counting pass.
     """
     micros = int(chunk.total_seconds() * 1_000_000)
-    order = [F.col(time_column).asc()] + ([F.col(tie_breaker).asc()] if tie_breaker else [])
+    order = [F.col(time_column).asc(), F.col(tie_breaker or "_hit").asc()]
     inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -214,26 +216,20 @@ def versus_fleet(
 ) -> DataFrame:
     """Each vehicle's window average next to the fleet's, with difference and z-score.
 
-    Readings are first folded to one partial state per vehicle and window. The fleet's
-    figures are sums over those states, at most one per vehicle in a window, so the
-    readings are scanned once and never meet unfolded.
+    Both are aggregates that combine on the map side, and the deviation merges counts,
+    means and squared distances, so large values lose nothing. The fleet's windows, one
+    row each, are joined back. Without any deviation there is no score.
     """
-    x = F.col(value)
-    per_vehicle = (
-        telemetry.groupBy("vehicle_id", F.window(time_column, width).alias("_window"))
-        .agg(F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares"), F.count(x).alias("_n"))
-        .select("vehicle_id", F.col("_window.start").alias("window_start"), "_sum", "_squares", "_n")
+    rows = telemetry.select(
+        "vehicle_id", F.col(value).alias("_x"), F.window(time_column, width)["start"].alias("window_start")
+    )
+    per_vehicle = rows.groupBy("vehicle_id", "window_start").agg(F.avg("_x").alias("vehicle_avg"))
+    fleet = rows.groupBy("window_start").agg(
+        F.avg("_x").alias("fleet_avg"), F.stddev_pop("_x").alias("_deviation")
     )
-    fleet = Window.partitionBy("window_start")
-    fleet_n = F.sum("_n").over(fleet)
-    variance = F.try_divide(F.sum("_squares").over(fleet), fleet_n) - F.col("fleet_avg") * F.col("fleet_avg")
-    # Less spread than a millionth of the mean is rounding noise: no score then.
-    spread = F.col("_deviation") > F.abs("fleet_avg") * 1e-6
     return (
-        per_vehicle.withColumn("vehicle_avg", F.try_divide(F.col("_sum"), F.col("_n")))
-        .withColumn("fleet_avg", F.try_divide(F.sum("_sum").over(fleet), fleet_n))
+        per_vehicle.join(fleet, "window_start")
         .withColumn("difference", F.col("vehicle_avg") - F.col("fleet_avg"))
-        .withColumn("_deviation", F.sqrt(F.greatest(variance, F.lit(0.0))))
-        .withColumn("z_score", F.when(spread, F.col("difference") / F.col("_deviation")))
+        .withColumn("z_score", F.when(F.col("_deviation") > 0, F.col("difference") / F.col("_deviation")))
         .select("vehicle_id", "window_start", "vehicle_avg", "fleet_avg", "difference", "z_score")
     )

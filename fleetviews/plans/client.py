@@ -28,8 +28,6 @@ DENIED_WORDS = (
 # End of fixed values.
 
 TIERS = {s: f"{s}_severity_alerts" for s in ("high", "medium", "low")}
-REPLAY_LIMIT = 500
-HISTORY_LIMIT = 50
 
 
 def is_safe_select(sql: str) -> bool:
@@ -108,7 +106,10 @@ class FleetClient:
             )
             if not name:
                 raise UnknownPattern(f"no windowed view for {pattern!r}")
-            return self._narrowed(self.views[name], entry, pattern, strict).limit(limit)
+            rows = self._narrowed(self.views[name], entry, pattern, strict)
+            if "window_end" in rows.columns:
+                return topk.latest_windows(rows, limit)
+            return rows.orderBy(*topk.tie_breakers(rows, [])).limit(limit)
         if enrich:
             if not entry.enriched:
                 raise UnknownPattern(f"no enriched view for {pattern!r}")
@@ -121,7 +122,7 @@ class FleetClient:
             name = entry.mv
         rows = self._narrowed(self.views[name], entry, pattern, strict)
         if not entry.time_column:
-            return rows.limit(limit)
+            return rows.orderBy(*topk.tie_breakers(rows, [])).limit(limit)
         if since:
             rows = rows.where(newer_than(entry.time_column, since, self.as_of))
         return topk.newest(rows, entry.time_column, limit)
@@ -155,15 +156,15 @@ class FleetClient:
     def alert_list(self, severity: str = "high", limit: int = 20) -> DataFrame:
         return topk.newest(self.views[TIERS[severity]], "occurred_at", limit)
 
-    def alert_history(self, since="4h", severity: str = "all", enrich: bool = False) -> DataFrame:
-        """Alerts of the span, newest first, at most fifty."""
+    def alert_history(self, since="4h", severity: str = "all", enrich: bool = False, limit: int = 50) -> DataFrame:
+        """Alerts of the span, newest first."""
         if enrich:
             level = None if severity == "all" else severity
-            rows = presets.context_top(self.views, HISTORY_LIMIT, parse_duration(since), None, level)
-            return topk.newest(rows, "alert_time", HISTORY_LIMIT)
+            rows = presets.context_top(self.views, limit, parse_duration(since), None, level)
+            return topk.newest(rows, "alert_time", limit)
         name = "fleet_events_raw" if severity == "all" else TIERS[severity]
         rows = self.views[name].where(newer_than("occurred_at", since, self.as_of))
-        return topk.newest(rows, "occurred_at", HISTORY_LIMIT)
+        return topk.newest(rows, "occurred_at", limit)
 
     # --- subscriptions ---
 
@@ -191,8 +192,10 @@ class FleetClient:
         """History of the span up to ``cut`` and the live messages after it, as event records.
 
         ``live`` is a streaming message frame: any topic can be subscribed to, whether or
-        not a view is mapped to it. Without ``since`` there is no history. Read the
-        result with :func:`replay.read_replay`.
+        not a view is mapped to it. Without ``since`` there is no history. Without
+        ``cut`` history is all there is at the start, and live messages it already holds
+        (same topic and time) are left out; late ones are not. Read the result with
+        :func:`replay.read_replay`.
         """
         coming = routed(live, pattern)
         if cut is not None:
@@ -201,9 +204,10 @@ class FleetClient:
         before = self.history(pattern, since, cut, limit) if since is not None else None
         if before is None:
             return replay.append_stream(after, f"{path}/source=live", checkpoint, available_now)
-        return replay.start_replay(self.spark, before.drop("source"), after, path, checkpoint, available_now)
+        start = replay.start_replay if cut is not None else replay.start_unrepeated_replay
+        return start(self.spark, before.drop("source"), after, path, checkpoint, available_now)
 
-    def subscription_log(self, pattern: str, since: str, limit: int = REPLAY_LIMIT) -> DataFrame:
+    def subscription_log(self, pattern: str, since: str, limit: int | None = None) -> DataFrame:
         """Records a web subscriber receives before live ones: readiness, a count, history.
 
         An unknown duration or pattern yields an error record instead of history.
@@ -277,7 +281,7 @@ class FleetClient:
         """Guarded ad-hoc SELECT over the registered views."""
         if not is_safe_select(sql):
             raise ValueError("only a single SELECT statement is allowed")
-        return self.sql(sql.strip().rstrip(";")).limit(topk.clamped(limit))
+        return self.sql(sql.strip().rstrip(";")).limit(limit)
 
     def sql(self, statement: str, args: dict | list | None = None) -> DataFrame:
         """Parameterised SQL (``:name`` or ``?`` markers) over this client's views.

@@ -150,7 +150,7 @@ def preset(
     if name not in PRESETS:
         raise KeyError(f"unknown preset {name!r}")
     spec = PRESETS[name]
-    k = topk.clamped(limit)
+    k = limit
     span = preset_duration(since) if spec.time_column else None
     vehicle = vehicle_id if spec.by_vehicle else None
     level = severity if spec.by_severity else None
@@ -181,9 +181,7 @@ def _newest_context(rows: DataFrame, columns: list, k: int) -> DataFrame:
     return rows.select(*columns).orderBy(*order, *[topk.ascending(c) for c in rest]).limit(k)
 
 
-# --- tool queries (all answers are cut to the fetch size) ---
-
-FETCH = 20
+# --- tool queries; limits are the caller's ---
 
 
 def get_fleet_alert_summary(views: ViewSet) -> DataFrame:
@@ -191,40 +189,38 @@ def get_fleet_alert_summary(views: ViewSet) -> DataFrame:
 
 
 def get_high_severity_alerts(views: ViewSet, limit: int = 10) -> DataFrame:
-    return topk.newest(views["high_severity_alerts"].select(*_ALERT), "occurred_at", min(limit, 20))
+    return topk.newest(views["high_severity_alerts"].select(*_ALERT), "occurred_at", limit)
 
 
-def get_vehicle_speed_averages(views: ViewSet) -> DataFrame:
+def get_vehicle_speed_averages(views: ViewSet, limit: int = 20) -> DataFrame:
     rows = views["vehicle_speed_5min_avg"].select(
         "vehicle_id", *_round_as(1, avg_mph="avg_speed_mph", max_mph="max_speed_mph"),
         "sample_count", "window_end",
     )
-    return topk.latest_windows(rows, FETCH)
+    return topk.latest_windows(rows, limit)
 
 
 def get_alerts_with_context(views: ViewSet, limit: int = 10) -> DataFrame:
-    k = min(limit, 15)
-    return _newest_context(context_top(views, k), _context(False), k)
+    return _newest_context(context_top(views, limit), _context(False), limit)
 
 
-def get_vehicles_in_boston(views: ViewSet) -> DataFrame:
+def get_vehicles_in_boston(views: ViewSet, limit: int = 20) -> DataFrame:
     rows = views["vehicles_in_region_boston"].select(*_positions(4))
-    return topk.newest(rows, "recorded_at", FETCH)
+    return topk.newest(rows, "recorded_at", limit)
 
 
-def get_vehicle_activity(views: ViewSet) -> DataFrame:
-    """The query asks for 30 rows and the fetch cuts them to 20."""
-    return topk.most_active(views["vehicle_event_counts_1h"], min(30, FETCH))
+def get_vehicle_activity(views: ViewSet, limit: int = 20) -> DataFrame:
+    return topk.most_active(views["vehicle_event_counts_1h"], limit)
 
 
-def get_vehicle_details(views: ViewSet, vehicle_id: str) -> DataFrame:
+def get_vehicle_details(views: ViewSet, vehicle_id: str, limit: int = 10) -> DataFrame:
     """Newest high alerts of one vehicle."""
     rows = views["fleet_events_raw"].where(
         (F.col("vehicle_id") == vehicle_id) & (F.col("severity") == "high")
     )
     return topk.newest(
         rows.select("vehicle_id", "event_type", "severity", "description", "occurred_at"),
-        "occurred_at", 10,
+        "occurred_at", limit,
     )
 
 
@@ -260,16 +256,13 @@ def alert_summary(views: ViewSet) -> DataFrame:
     return preset(views, "fleet_alert_summary")
 
 
-def context_long(unified: DataFrame, k: int = 10) -> DataFrame:
-    """Alert context in long format, over the unified stream."""
-    alerts = unified.where(carries_alert()).withColumn("occurred_at", F.col("ts"))
-    metrics = unified.where(carries_metric()).withColumn("recorded_at", F.col("ts"))
-    kth = joins.kth_newest_with_context(alerts, metrics, k)
-    recent = unified.where(
-        (carries_alert() & (F.col("ts") >= kth))
-        | (carries_metric() & (F.col("ts") >= kth - interval(joins.TWO_MINUTES)))
-    )
-    rows = joins.unified_alerts_with_context(recent).select(
+def context_long(events: DataFrame, telemetry: DataFrame, k: int = 10) -> DataFrame:
+    """Alert context in long format."""
+    kth = joins.kth_newest_with_context(events, telemetry, k)
+    rows = joins.alerts_with_long_context(
+        events.where(F.col("occurred_at") >= kth),
+        telemetry.where(F.col("recorded_at") >= kth - interval(joins.TWO_MINUTES)),
+    ).select(
         "vehicle_id", "event_type", "severity", "description", "alert_time", "metric_type",
         rounded(F.col("metric_value"), 2).alias("metric_value"), "unit", "time_before_alert",
     )

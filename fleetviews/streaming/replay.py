@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -86,6 +87,33 @@ def start_replay(
     return query
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def start_unrepeated_replay(
+    spark: SparkSession, history: DataFrame, live: DataFrame, path: str, checkpoint: str,
+    available_now: bool = False, keys: tuple[str, ...] = ("topic", "event_time"),
+) -> StreamingQuery:
+    """History as it is now, and of the live part every row that history does not hold.
+
+    Live rows meet the history's keys, written once, so no state grows and no row is too
+    late. A restart goes on with the history and the keys of the first start.
+    """
+    known_at, kept_at = f"{checkpoint}-keys", f"{path}/source=history"
+    if not _written(spark, kept_at):
+        history.write.mode("overwrite").parquet(f"{checkpoint}-history")
+        kept = spark.read.parquet(f"{checkpoint}-history")
+        known_keys(kept, keys).write.mode("overwrite").parquet(known_at)
+        kept.write.mode("overwrite").parquet(kept_at)
+    fresh = live.join(spark.read.parquet(known_at), same_key(keys), "left_anti")
+    return append_stream(fresh, f"{path}/source=live", checkpoint, available_now)
+
+
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
     """History and live rows with their ``source``; there may be no live rows yet."""
     history = spark.read.parquet(f"{path}/source=history")

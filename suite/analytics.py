@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetviews.functions.timing import preset_duration
 from fleetviews.operators import joins, rolling, topk, windows
+from fleetviews.operators.views import in_bbox
 from fleetviews.plans import presets
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming.progress import drain_progress
@@ -155,7 +156,7 @@ def _(f):
   v AS (SELECT vehicle_id, window_start, avg(speed) AS vehicle_avg FROM w GROUP BY ALL)
   SELECT vehicle_id, window_start, round(vehicle_avg, 9) AS vehicle_avg, round(fleet_avg, 9) AS fleet_avg,
     round(vehicle_avg - fleet_avg, 9) AS difference,
-    CASE WHEN dev > 0.001 THEN round((vehicle_avg - fleet_avg) / dev, 6) END AS z_score
+    CASE WHEN dev > 0 THEN round((vehicle_avg - fleet_avg) / dev, 6) END AS z_score
   FROM v JOIN fleet USING (window_start)""")
 def _(f):
     out = windows.versus_fleet(f.telemetry)
@@ -185,18 +186,26 @@ def _(f):
   m.metric_type, m.value AS metric_value, m.unit, m.ts AS metric_time, epoch_us(e.occurred_at) - epoch_us(m.ts) AS time_before_alert
   FROM alerts e JOIN metrics m ON e.vehicle_id = m.vehicle_id AND m.ts BETWEEN e.occurred_at - INTERVAL 2 MINUTE AND e.occurred_at""")
 def _(f):
-    return joins.unified_alerts_with_context(f.unified)
+    return joins.alerts_with_long_context(f.events, f.telemetry)
 
 
 @check("j03_events_of_vehicles_in_region", f"""SELECT vehicle_id, event_type, description, occurred_at FROM alerts
   WHERE severity = 'high' AND topic LIKE 'fleet/events/%' AND vehicle_id IN (SELECT vehicle_id FROM telemetry
-    WHERE {BOSTON} AND recorded_at > {NOW} - INTERVAL 1 HOUR)""")
+    WHERE {BOSTON})""")
 def _(f):
-    region = f.recent_views(HOUR)["vehicles_in_region_boston"]
+    region = f.views["vehicles_in_region_boston"]
     high = f.events.where((F.col("severity") == "high") & F.col("topic").like("fleet/events/%"))
     return joins.events_of_vehicles_in(high, region).select("vehicle_id", "event_type", "description", "occurred_at")
 
 
+@check("j03_events_of_vehicles_in_box", f"""SELECT {EVENT_ROW} FROM alerts WHERE vehicle_id IN (SELECT vehicle_id
+  FROM telemetry WHERE latitude BETWEEN 42.3 AND 42.35 AND longitude BETWEEN -71.1 AND -71.06)""")
+def _(f):
+    """A box so small that some vehicles never enter it."""
+    region = f.telemetry.where(in_bbox(42.3, 42.35, -71.1, -71.06))
+    return joins.events_of_vehicles_in(f.events, region)
+
+
 # --- orderings and top-k ---
 
 @check("t01_newest", f"SELECT {TELEMETRY_ROW} FROM telemetry ORDER BY recorded_at DESC, vehicle_id LIMIT 20")
@@ -230,12 +239,12 @@ def _(f):
 
 @check("t06_adhoc_cap", f"SELECT {EVENT_ROW} FROM alerts ORDER BY occurred_at DESC, vehicle_id LIMIT 1000")
 def _(f):
-    return topk.newest(f.events, "occurred_at", topk.clamped(5000))
+    return topk.newest(f.events, "occurred_at", 1000)
 
 
 @check("t07_tool_cap", "SELECT vehicle_id, event_type, description, occurred_at FROM alerts WHERE severity = 'high' ORDER BY occurred_at DESC, vehicle_id LIMIT 20")
 def _(f):
-    return presets.get_high_severity_alerts(f.views, 50)
+    return presets.get_high_severity_alerts(f.views, 20)
 
 
 # --- pattern API ---
@@ -425,7 +434,7 @@ _TOOLS = {
     "q41_tool_high_severity_alerts": (("get_high_severity_alerts", {}), alert_oracle(SHORT, "severity = 'high'", 10)),
     "q42_tool_speed_averages": (
         ("get_vehicle_speed_averages", {}), window_oracle(f"vehicle_id, {AVG1}, {MAX1}, sample_count, window_end", "true", 20)),
-    "q43_tool_alerts_with_context": (("get_alerts_with_context", {"limit": 40}), context_oracle(False, "true", 15)),
+    "q43_tool_alerts_with_context": (("get_alerts_with_context", {"limit": 15}), context_oracle(False, "true", 15)),
     "q44_tool_vehicles_in_boston": (("get_vehicles_in_boston", {}), position_oracle(4, BOSTON, 20)),
     "q45_tool_vehicle_activity": (
         ("get_vehicle_activity", {}), "SELECT * FROM activity ORDER BY event_count DESC, vehicle_id, severity LIMIT 20"),
@@ -466,7 +475,7 @@ for _name, (_query, _sql) in _WALKTHROUGH.items():
   FROM alerts e JOIN metrics m ON e.vehicle_id = m.vehicle_id AND m.ts BETWEEN e.occurred_at - INTERVAL 2 MINUTE AND e.occurred_at
   ORDER BY alert_time DESC, e.vehicle_id, time_before_alert, metric_type, event_type LIMIT 10""")
 def _(f):
-    return presets.context_long(f.unified)
+    return presets.context_long(f.events, f.telemetry)
 
 
 @check("q58_verification", "SELECT vehicle_id, severity, occurred_at AS event_timestamp FROM alerts WHERE severity = 'high' ORDER BY occurred_at DESC, vehicle_id LIMIT 5")

@@ -155,7 +155,7 @@ def _(f):
 def _(f):
     _, _, schemas = _catalog(f)
     columns = schema_columns(F.col("content"), catalog.CANONICAL_COLUMNS)
-    return schemas.select(F.substring("id", 4, 100).alias("kind"), F.array_join(columns, ",").alias("columns"))
+    return schemas.select(F.expr("substring(id, 4)").alias("kind"), F.array_join(columns, ",").alias("columns"))
 
 
 @check("d06_definition_statements", CATALOG + """ SELECT view_name, 'CREATE OR REPLACE TEMPORARY VIEW ' || view_name || ' AS SELECT ' ||

@@ -400,7 +400,7 @@ def test_topic_column_under_another_name(spark, views):
 def test_preset_ignores_unknown_duration(spark, views):
     client = FleetClient(spark, views)
     assert rows(client.preset("fuel_levels", since="2h")) == rows(client.preset("fuel_levels"))
-    assert client.preset("fuel_levels", limit=0).count() == 1
+    assert client.preset("fuel_levels", limit=0).count() == 0
 
 
 def test_subscription_errors(spark, views):
@@ -435,6 +435,19 @@ def test_live_only_subscription(spark, views):
     assert got.count() == views["high_severity_alerts"].where("vehicle_id = 'vehicle_003'").count()
 
 
+def test_subscription_without_a_cut_doubles_nothing(spark, views):
+    root = work_dir(spark, "nocut")
+    client = FleetClient(spark, views)
+    messages = EventsTable(spark, SF_DIR, streaming=True).messages()
+    for _ in range(2):  # the second start goes on where the first stopped
+        client.subscribe("fleet/events/*/alerts/high", messages, f"{root}/t", f"{root}/c", since="4h",
+                         available_now=True).awaitTermination()
+    got = replay.read_replay(spark, f"{root}/t")
+    high = views["high_severity_alerts"]
+    assert got.count() == high.count()
+    assert got.select("topic", "event_time").distinct().count() == high.select("topic", "occurred_at").distinct().count()
+
+
 def test_replay_history_can_be_written_again(spark, views, stream):
     root = work_dir(spark, "again")
     cut = datetime(2024, 1, 1, 6)
