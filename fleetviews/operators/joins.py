@@ -222,3 +222,27 @@ def events_of_vehicles_in(events: DataFrame, region_view: DataFrame) -> DataFram
     """
     vehicles = region_view.select("vehicle_id").distinct()
     return events.join(vehicles, "vehicle_id", "left_semi")
+
+
+def in_regions(positions: DataFrame, regions: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Every position beside each region of a table that it lies in.
+
+    ``regions`` has ``region`` and an inclusive box: ``min_lat``, ``max_lat``, ``min_lon``,
+    ``max_lon``. A region is listed under the cells of a grid that its box touches, a position is in
+    one cell, and the two meet on the cell, so only regions nearby are tested. A position without
+    coordinates, or in no region, gives no row. ``cell`` is in degrees: about the size of a common
+    region.
+    """
+
+    def number(degrees: str) -> Column:
+        return F.floor(F.col(degrees) / F.lit(cell))
+
+    boxes = regions.where("min_lat <= max_lat AND min_lon <= max_lon")
+    listed = boxes.select(
+        "region", "min_lat", "max_lat", "min_lon", "max_lon",
+        F.explode(F.sequence(number("min_lat"), number("max_lat"))).alias("_row"),
+    )
+    listed = listed.withColumn("_column", F.explode(F.sequence(number("min_lon"), number("max_lon"))))
+    placed = positions.withColumns({"_row": number("latitude"), "_column": number("longitude")})
+    inside = F.expr("latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon")
+    return placed.join(listed, ["_row", "_column"]).where(inside).select(*positions.columns, "region")

@@ -7,6 +7,7 @@ A message frame has the envelope columns of ``schemas.MESSAGE``: ``topic``, ``ts
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -24,19 +25,35 @@ TIME_TO_LIVE = timedelta(seconds=300)
 # End of fixed values.
 
 CORRUPT = "_corrupt_record"
+_LINES = T.StructType([*MESSAGE.fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def _envelopes(lines: DataFrame) -> DataFrame:
+    """Message rows of parsed lines. A line that is not JSON, or whose envelope has a field of the
+    wrong type, keeps nothing but its text, as ``value``: no topic leads it anywhere but to
+    :func:`dead_letters`.
+    """
+    fields = [f for f in MESSAGE.fieldNames() if f != "value"]
+    # Naming every field keeps a narrower query from reading, and judging, less of the line.
+    missing = [F.col(f).isNull() for f in MESSAGE.fieldNames()]
+    bad = F.col(CORRUPT).isNotNull() & reduce(Column.__or__, missing)
+    return lines.select(
+        *[F.when(~bad, F.col(f)).alias(f) for f in fields],
+        F.when(bad, F.col(CORRUPT)).otherwise(F.col("value")).alias("value"),
+    )
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Batch of JSON-lines message files."""
-    return spark.read.schema(MESSAGE).json(path)
+    return _envelopes(spark.read.schema(_LINES).option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
 def stream_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same folder as a stream; the trigger bound is the back-pressure knob."""
-    reader = spark.readStream.schema(MESSAGE)
+    reader = spark.readStream.schema(_LINES).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    return _envelopes(reader.json(path))
 
 
 def kafka_messages(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:
@@ -80,24 +97,35 @@ def stream_name() -> Column:
 def decoded(messages: DataFrame, body: T.StructType) -> DataFrame:
     """Body fields as columns, envelope columns kept, undecodable text in ``_corrupt_record``.
 
-    A body that is not JSON, or whose fields have the wrong type, leaves its text there.
+    A field of the wrong type is NULL and the others stay. A body that is no JSON object at all
+    leaves its text there.
     """
-    schema = T.StructType([*body.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = F.from_json("value", body)
     others = [c for c in messages.columns if c != "value"]
     # Exploding a one-element array pins the parsed body to a column. As a plain
     # expression it would be repeated, and every message parsed again, in each filter
-    # on the corrupt text.
+    # on a body field.
     out = messages.select(*others, "value", F.explode(F.array(parsed)).alias("_body"))
-    # A missing body decodes to nothing at all; it is as undecodable as bad text.
-    bad = F.when(F.col("_body").isNull(), F.coalesce("value", F.lit("")))
     return out.select(
         *[F.col(f"_body.{f.name}").alias(f.name) for f in body.fields],
         *others,
-        F.coalesce(F.col(f"_body.{CORRUPT}"), bad).alias(CORRUPT),
+        F.when(_undecodable(), F.coalesce("value", F.lit(""))).alias(CORRUPT),
     )
 
 
+def _undecodable() -> Column:
+    """Whether a body is missing or anything but a JSON object."""
+    return F.json_object_keys("value").isNull()
+
+
+def dead_letters(messages: DataFrame) -> DataFrame:
+    """What no typed source takes, in one pass: unreadable lines (without a topic), and messages of
+    the three streams whose body cannot be decoded."""
+    of_stream = stream_name().isNotNull() & _undecodable()
+    lost = messages.where(F.col("topic").isNull() | of_stream)
+    return lost.withColumn("value", F.coalesce("value", F.lit("")))
+
+
 def split_dead_letters(decoded_messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, dead letters). Dead letters keep their envelope and original text."""
     bad = F.col(CORRUPT).isNotNull()
@@ -117,7 +145,8 @@ def split_expired(
 
 
 def typed_source(messages: DataFrame, stream: str) -> DataFrame:
-    """One of the three typed streams out of a message frame (good rows only)."""
+    """One of the three typed streams out of a message frame; what it leaves out is in
+    :func:`dead_letters`."""
     pattern, body = STREAMS[stream]
     good, _ = split_dead_letters(decoded(routed(messages, pattern), body))
     return good

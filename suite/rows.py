@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetviews.functions import topics, values
+from fleetviews.functions.values import JSON_TIMES
 from fleetviews.functions.timing import (
     duration_column, epoch_millis_to_iso, interval, micros_between, moment, newer_than,
 )
-from fleetviews.operators import rolling, sets, views
+from fleetviews.operators import joins, rolling, sets, views
 from fleetviews.operators.views import all_of, equals
 from fleetviews.schemas import SENSORS, TELEMETRY_BODY, valid_event, valid_telemetry
 from fleetviews.sources import messages, sinks
@@ -66,7 +67,7 @@ def _(f):
 
 
 def damaged(frame):
-    """Telemetry messages of which some are cut short, mistyped or empty."""
+    """Telemetry messages of which some are cut short, mistyped in a field, or empty."""
     turn = F.col("seq") % 50
     value = (
         F.when(turn == 7, F.expr("left(value, length(value) - 3)"))
@@ -76,19 +77,38 @@ def damaged(frame):
     return messages.routed(frame, "fleet/telemetry/>").withColumn("value", value)
 
 
-@check("s07_dead_letters", "SELECT topic, recorded_at AS ts, count(*) AS n FROM telemetry WHERE seq % 50 IN (7, 9, 11) GROUP BY ALL")
+@check("s07_dead_letters", "SELECT topic, recorded_at AS ts, count(*) AS n FROM telemetry WHERE seq % 50 IN (7, 11) GROUP BY ALL")
 def _(f):
     _, dead = messages.split_dead_letters(messages.decoded(damaged(f.table.messages()), TELEMETRY_BODY))
     return dead.groupBy("topic", "ts").agg(F.count("value").alias("n"))
 
 
-@check("s07_good_rows", f"""SELECT vehicle_id, {SENSOR_LIST}, latitude, longitude, topic, recorded_at AS ts
-  FROM telemetry WHERE seq % 50 NOT IN (7, 9, 11)""")
+@check("s07_good_rows", f"""SELECT vehicle_id, {SENSOR_LIST.replace("speed", "CASE WHEN seq % 50 <> 9 THEN speed END AS speed", 1)},
+  latitude, longitude, topic, recorded_at AS ts FROM telemetry WHERE seq % 50 NOT IN (7, 11)""")
 def _(f):
+    """A mistyped field is NULL; the rest of its row stays."""
     good, _ = messages.split_dead_letters(messages.decoded(damaged(f.table.messages()), TELEMETRY_BODY))
     return good.drop("headers", "seq")
 
 
+@check("s07_unreadable_lines", """SELECT 'good' AS part, topic, recorded_at AS ts, vehicle_id AS body FROM telemetry WHERE seq % 50 NOT IN (3, 5, 7, 11)
+  UNION ALL SELECT 'dead', NULL, NULL, 'line ' || seq FROM telemetry WHERE seq % 50 = 3
+  UNION ALL SELECT 'dead', NULL, NULL, '{"topic":"' || topic || '","ts":"soon"}' FROM telemetry WHERE seq % 50 = 5
+  UNION ALL SELECT 'dead', topic, recorded_at, NULL FROM telemetry WHERE seq % 50 IN (7, 11)""")
+def _(f):
+    """Message files of which some lines are no JSON or have a time that is none: no line is lost."""
+    folder, turn = f.work("s07_lines"), F.col("seq") % 50
+    frame = damaged(f.table.messages())
+    line = F.to_json(F.struct("topic", "ts", "headers", "value"), JSON_TIMES)
+    soon = F.concat(F.lit('{"topic":"'), "topic", F.lit('","ts":"soon"}'))
+    line = F.when(turn == 3, F.concat(F.lit("line "), "seq")).when(turn == 5, soon).otherwise(line)
+    frame.select(line.alias("line")).write.text(folder)
+    read = messages.read_messages(f.spark, folder)
+    good = messages.typed_source(read, "telemetry").select(F.lit("good").alias("part"), "topic", "ts", F.col("vehicle_id").alias("body"))
+    body = F.when(F.col("topic").isNull(), F.col("value")).alias("body")
+    return good.unionByName(messages.dead_letters(read).select(F.lit("dead").alias("part"), "topic", "ts", body))
+
+
 @check("s08_expired_messages", """SELECT 'fresh' AS part, topic, seq FROM alerts WHERE seq % 400 <= 300
   UNION ALL SELECT 'expired', topic, seq FROM alerts WHERE seq % 400 > 300""")
 def _(f):
@@ -217,6 +237,22 @@ def _(f):
     return f.telemetry.select("vehicle_id", "recorded_at", F.array_join(views.region_of(), ",").alias("regions"))
 
 
+# Boxes that overlap, that share an edge with a cell, and that no reading is in.
+REGION_ROWS = (("boston", 42.2, 42.5, -71.2, -70.9), ("west", 42.0, 42.3, -71.5, -71.0), ("far", 10.0, 12.0, 20.0, 21.0),
+               ("square", 42.5, 42.75, -71.0, -70.75))
+
+
+@check("p13_region_table", f"""SELECT vehicle_id, recorded_at, latitude, longitude, region FROM telemetry
+  JOIN (VALUES {", ".join(map(str, REGION_ROWS))}) r(region, min_lat, max_lat, min_lon, max_lon)
+    ON latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon""")
+def _(f):
+    regions = f.spark.createDataFrame(
+        REGION_ROWS, "region string, min_lat double, max_lat double, min_lon double, max_lon double"
+    )
+    found = joins.in_regions(f.telemetry, regions, cell=0.25)
+    return found.select("vehicle_id", "recorded_at", "latitude", "longitude", "region")
+
+
 @check("p15_vehicle_high_alerts", f"SELECT {EVENT_ROW} FROM alerts WHERE vehicle_id = 'vehicle_003' AND severity = 'high'")
 def _(f):
     return views.vehicle_high_alerts(f.events, "vehicle_003")

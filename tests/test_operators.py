@@ -73,6 +73,19 @@ def test_bbox_corners_and_limits(spark):
     assert [r[0] for r in df.orderBy("vehicle_id").select(views.region_of()).collect()] == [["boston"], ["boston"], [], []]
 
 
+def test_region_table(spark):
+    edges = [-0.5, 0.0, 0.25, 0.5, 1.0, 1.5, 2.0]
+    points = [(f"v{i}", T0, 1.0, 0.0, x, y) for i, (x, y) in enumerate([(a, b) for a in edges for b in edges])]
+    boxes = [("a", 0.0, 1.0, 0.0, 1.0), ("b", 0.5, 0.5, -1.0, 3.0), ("c", -0.5, -0.1, 0.25, 2.0), ("none", 1.0, 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame([*points, ("n", T0, 1.0, 0.0, None, 0.5)], READING)
+    regions = spark.createDataFrame(boxes, "region string, min_lat double, max_lat double, min_lon double, max_lon double")
+    want = sorted((p[0], r[0]) for p in points for r in boxes if r[1] <= p[4] <= r[2] and r[3] <= p[5] <= r[4])
+    for cell in (0.25, 0.3, 1.0, 10.0):
+        found = joins.in_regions(df, regions, cell)
+        assert found.columns == [*df.columns, "region"]
+        assert sorted((r["vehicle_id"], r["region"]) for r in found.collect()) == want
+
+
 def test_oversized_groups(spark):
     df = spark.range(60).selectExpr("id % 6 AS k", "id AS v")
     assert skew.oversized(df, ["k"], 10).isEmpty()
