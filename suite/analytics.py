@@ -208,9 +208,19 @@ def _(f):
 
 # --- orderings and top-k ---
 
-@check("t01_newest", f"SELECT {TELEMETRY_ROW} FROM telemetry ORDER BY recorded_at DESC, vehicle_id LIMIT 20")
+def placed(rows):
+    """Numbers rows as they come: a limited order comes in one partition."""
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+def place_sql(order):
+    return f"row_number() OVER (ORDER BY {order}) AS place"
+
+
+@check("t01_newest", f"""SELECT {TELEMETRY_ROW}, {place_sql("recorded_at DESC, vehicle_id")} FROM telemetry
+  ORDER BY recorded_at DESC, vehicle_id LIMIT 20""")
 def _(f):
-    return topk.newest(f.telemetry, "recorded_at")
+    return placed(topk.newest(f.telemetry, "recorded_at"))
 
 
 @check("t02_by_severity", """SELECT severity, alert_count, affected_vehicles, row_number() OVER (ORDER BY CASE severity
@@ -222,19 +232,22 @@ def _(f):
     return ordered.withColumn("place", severity_rank(F.col("severity")))
 
 
-@check("t03_most_active", "SELECT * FROM activity ORDER BY event_count DESC, vehicle_id, severity LIMIT 12")
+@check("t03_most_active", f"""SELECT *, {place_sql("event_count DESC, vehicle_id, severity")} FROM activity
+  ORDER BY event_count DESC, vehicle_id, severity LIMIT 12""")
 def _(f):
-    return topk.most_active(f.recent_views(HOUR)["vehicle_event_counts_1h"], 12)
+    return placed(topk.most_active(f.recent_views(HOUR)["vehicle_event_counts_1h"], 12))
 
 
-@check("t04_latest_windows", f"SELECT {WINDOW_ROW} FROM windows ORDER BY window_end DESC, vehicle_id LIMIT 25")
+@check("t04_latest_windows", f"""SELECT {WINDOW_ROW}, {place_sql("window_end DESC, vehicle_id")} FROM windows
+  ORDER BY window_end DESC, vehicle_id LIMIT 25""")
 def _(f):
-    return six(topk.latest_windows(f.views["vehicle_speed_5min_avg"], 25), "avg_speed_mph")
+    return six(placed(topk.latest_windows(f.views["vehicle_speed_5min_avg"], 25)), "avg_speed_mph")
 
 
-@check("t05_oldest_first", f"SELECT {EVENT_ROW} FROM alerts ORDER BY occurred_at, vehicle_id LIMIT 500")
+@check("t05_oldest_first", f"""SELECT {EVENT_ROW}, {place_sql("occurred_at, vehicle_id")} FROM alerts
+  ORDER BY occurred_at, vehicle_id LIMIT 500""")
 def _(f):
-    return topk.oldest_first(f.events, "occurred_at", 500)
+    return placed(topk.oldest_first(f.events, "occurred_at", 500))
 
 
 @check("t06_adhoc_cap", f"SELECT {EVENT_ROW} FROM alerts ORDER BY occurred_at DESC, vehicle_id LIMIT 1000")
