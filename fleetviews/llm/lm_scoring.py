@@ -7,6 +7,13 @@ own across the whole word, beside the pieces: with count c of N tokens, V of the
 weighs (c - d) / N, and the pieces share the d * V / N that is left. A document is its words and one
 end, so its log probability is the sum of theirs: the marginal over every segmentation.
 
+A document also has a class, as words of one language keep together. The classes are the up to
+``CLASSES`` languages with most training documents, and one for all languages. In a class with N_k
+tokens, V_k of them distinct, the arc of a word counted c_k times weighs (c_k - d) / N_k, and the
+d * V_k / N_k that is left goes to the pieces (``TO_PIECES`` of it) and to the lattice of all languages.
+The class is not read from the document: its score is the log of the mean of its probabilities under
+all classes, so it is the marginal over class and segmentation.
+
 The vocabulary's scores (merge ranks) give the pieces their first weights, falling with the rank.
 Expected piece counts over the training words then replace them (expectation maximisation,
 ``ROUNDS`` times), with the first weights as a prior of ``PRIOR`` pieces; each distinct word counts
@@ -16,8 +23,9 @@ has) and the ``COMMON`` most frequent words of at most ``SHORT`` bytes are broad
 other words are joined. In training alone, words beyond ``LONG`` bytes count as parts of that length.
 
 Null and empty texts have one token, the end. A null id counts as empty text for the fold and is
-trained on. Rows that repeat an id are documents of their own. An empty table gives an empty result;
-without training rows every count is zero. Other columns do not matter.
+trained on. A document without a language trains the class of all. Rows that repeat an id are documents
+of their own. An empty table gives an empty result; without training rows every count is zero. Other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common
 
@@ -43,6 +51,9 @@ SHORT = 64
 LONG = 512
 #: What each arc of a whole word gives up for the pieces.
 DISCOUNT = 0.75
+#: Languages that are classes of their own; the model grows with them.
+CLASSES = 16
+TO_PIECES = 0.75
 #: Distinct words that a task holds before it passes their counts on.
 HELD_WORDS = 200_000
 CELLS = 400_000
@@ -230,31 +241,53 @@ def _words(text) -> list[bytes]:
     return text.as_buffer().to_pybytes().lower().split()  # bytes: A-Z only, the six spaces only
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n over the binary column ``text``: all words, and how often training has them. The empty
-    word is the end of a document."""
+def classes(rows: DataFrame, most: int = CLASSES) -> list[str]:
+    """The languages of most training documents, ``most`` of them."""
+    found = rows.filter("NOT held_out AND lang IS NOT NULL").groupBy("lang").count()
+    return [r.lang for r in found.orderBy(F.col("count").desc(), "lang").limit(most).collect()]
 
-    def run(batches):
-        held: Counter[bytes] = Counter()
 
-        def batch_of():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"]
-            )
+def word_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """word, n and n_class over the binary column ``text``: all words, how often training has them, and
+    how often in each language. The empty word is the end of a document."""
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def run(batches):
+        # One counter a language, the last for all others and for words that are only looked up.
+        held: list[Counter[bytes]] = [Counter() for _ in range(len(place) + 1)]
+
+        def batches_of():
+            for i, counter in enumerate(held):
+                if counter:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(list(counter), pa.binary()),
+                            pa.array([i] * len(counter), pa.int32()),
+                            pa.array(list(counter.values()), pa.int64()),
+                        ],
+                        ["word", "class", "n"],
+                    )
+                    counter.clear()
 
         for batch in batches:
-            for text, held_out in zip(batch.column("text"), batch.column("held_out").to_pylist()):
+            columns = (batch.column("text"), batch.column("held_out").to_pylist(), batch.column("lang").to_pylist())
+            for text, held_out, lang in zip(*columns):
                 words = _words(text)
-                held.update(dict.fromkeys(words, 0) if held_out else words)
-                held[b""] += not held_out
-                if len(held) >= HELD_WORDS:
-                    yield batch_of()
-                    held.clear()
-        if held:
-            yield batch_of()
-
-    counted = texts.select("text", "held_out").mapInArrow(run, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+                if held_out:
+                    held[-1].update(dict.fromkeys([*words, b""], 0))
+                else:
+                    counter = held[place.get(lang, -1)]
+                    counter.update(words)
+                    counter[b""] += 1
+                if sum(map(len, held)) >= HELD_WORDS:
+                    yield from batches_of()
+        yield from batches_of()
+
+    counted = rows.select("text", "held_out", "lang").mapInArrow(run, "word binary, class int, n long")
+    by_class = [F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)) for i in range(len(langs))]
+    return counted.groupBy("word").agg(
+        F.sum("n").alias("n"), F.array(*by_class).cast("array<bigint>").alias("n_class")
+    )
 
 
 def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -291,7 +324,7 @@ def trained(words: DataFrame, pieces: list[bytes], first: np.ndarray, rounds: in
 
 
 def _with_pieces(words: DataFrame, model) -> DataFrame:
-    """word, n and the common logarithm of the probability that the pieces give the word."""
+    """``words`` with the common logarithm of the probability that the pieces give the word."""
 
     def run(batches):
         names, weights, end = model.value
@@ -301,83 +334,113 @@ def _with_pieces(words: DataFrame, model) -> DataFrame:
             logs = lattice.log_probabilities(found)
             logs[[i for i, w in enumerate(found) if not w]] = end
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(logs / math.log(10))], ["word", "n", "pieces"]
+                [*(batch.column(c) for c in ("word", "n", "n_class")), pa.array(logs / math.log(10))],
+                ["word", "n", "n_class", "pieces"],
             )
 
-    return words.mapInArrow(run, "word binary, n long, pieces double")
+    return words.select("word", "n", "n_class").mapInArrow(
+        run, "word binary, n long, n_class array<bigint>, pieces double"
+    )
 
 
-def scores(docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_words: int = COMMON) -> DataFrame:
+def _word_scores(totals: list[tuple[int, int]]) -> list[Column]:
+    """Common logarithm of a word's probability over all languages and in each class, from n, n_class and
+    pieces; ``totals`` has tokens and distinct tokens in that order."""
+    (tokens, distinct), *parts = totals
+    n, by_pieces = F.col("n"), F.pow(F.lit(10.0), F.col("pieces"))
+    share = DISCOUNT * distinct / tokens if tokens else 1.0  # of the pieces
+    every = F.when(n > 0, (n - DISCOUNT) / float(tokens or 1)).otherwise(0.0) + share * by_pieces
+    # Unseen words stay logarithms, since the probability of a long one is no number any more.
+    unseen = F.col("pieces") + math.log10(share or 1.0)
+    out = [F.when(n > 0, F.log10(every)).otherwise(unseen)]
+    unseen_part = F.col("pieces") + math.log10(TO_PIECES + (1 - TO_PIECES) * share)
+    for place, (tokens_k, distinct_k) in enumerate(parts):
+        n_k, left = F.col("n_class")[place], DISCOUNT * distinct_k / tokens_k
+        arc = F.when(n_k > 0, (n_k - DISCOUNT) / float(tokens_k)).otherwise(0.0)
+        seen = F.log10(arc + left * ((1 - TO_PIECES) * every + TO_PIECES * by_pieces))
+        out.append(F.when(n > 0, seen).otherwise(unseen_part + math.log10(left)))
+    return out
+
+
+def scores(
+    docs: DataFrame, key: str, path: str, rounds: int = ROUNDS, common_words: int = COMMON, most_classes: int = CLASSES
+) -> DataFrame:
     """One row per row of ``docs``: key, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(key).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % FOLDS == HELD_OUT).alias("held_out"),
+        F.col("lang").cast("string").alias("lang"),
         common.text_of().cast("binary").alias("text"),
     )
-    counted = common.saved(word_counts(rows), "words")
-    tokens, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    langs = classes(rows, most_classes)
+    counted = common.saved(word_counts(rows, langs), "words")
+
+    def total(n: Column) -> Column:
+        return F.struct(F.coalesce(F.sum(n), F.lit(0)).alias("tokens"), F.count_if(n > 0).alias("distinct"))
+
+    parts = [F.col("n"), *[F.col("n_class")[i] for i in range(len(langs))]]
+    totals = [tuple(x) for x in counted.agg(*[total(n).alias(f"total_{i}") for i, n in enumerate(parts)]).first()]
+    tokens, distinct = totals[0]
     pieces, first = vocabulary(path)
     model = spark.sparkContext.broadcast((pieces, *trained(counted.filter("n > 0"), pieces, first, rounds)))
     words = common.saved(_with_pieces(counted, model), "word-pieces")
-    base_of = math.log10(tokens + 0.5 * (distinct + 1))
-    share = DISCOUNT * distinct / tokens if tokens else 1.0  # of the pieces
     n = F.col("n")
-    words = words.select(
-        "word",
-        (n > 0).alias("seen"),
-        (F.log10(n + 0.5) - F.lit(base_of)).alias("base"),
-        F.when(n > 0, F.log10((n - DISCOUNT) / float(tokens or 1) + share * F.pow(F.lit(10.0), F.col("pieces"))))
-        .otherwise(math.log10(share or 1.0) + F.col("pieces")).alias("score"),
-        "n",
-    )
+    base = F.log10(n + 0.5) - F.lit(math.log10(tokens + 0.5 * (distinct + 1)))
+    in_class = _word_scores(totals)
     frequent = words.filter((F.length("word") <= SHORT) & (n > 0)).orderBy(n.desc(), "word").limit(common_words)
-    known = spark.sparkContext.broadcast({bytes(r.word): (r.base, r.score) for r in frequent.collect()})
+    listed = frequent.select("word", F.array(base, *in_class).alias("scores")).collect()
+    known = spark.sparkContext.broadcast(
+        ({bytes(r.word): i for i, r in enumerate(listed)},
+         np.array([r.scores for r in listed]).reshape(len(listed), 1 + len(in_class)))
+    )
 
     def run(batches):
-        find = known.value.get
+        index, values = known.value
         for batch in batches:
             out = [[] for _ in range(5)]
             for text in batch.column("text"):
                 count = Counter(_words(text))
                 count[b""] = 1
-                total, base, hits, rest = 0.0, 0.0, 0, []
-                for word, times in count.items():
-                    if arc := find(word):
-                        base += times * arc[0]
-                        total += times * arc[1]
-                        hits += times
-                    else:
-                        rest.append({"word": word, "times": times})
-                for column, value in zip(out, (count.total(), hits, base, total, rest)):
+                places = [(index.get(word, -1), times) for word, times in count.items()]
+                rest = [{"word": w, "times": t} for (i, t), w in zip(places, count) if i < 0]
+                found = np.array([p for p in places if p[0] >= 0], np.int64).reshape(-1, 2)
+                base_sum, *sums = (found[:, 1] @ values[found[:, 0]]).tolist()
+                for column, value in zip(out, (count.total(), int(found[:, 1].sum()), base_sum, sums, rest)):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(),
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()),
                      pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("key", "doc_id", "held_out")), *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                ["key", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "rest"],
+                ["key", "doc_id", "held_out", "n_tokens", "hits", "base", "scores", "rest"],
             )
 
     scored = common.saved(
-        rows.mapInArrow(
-            run, "key long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double,"
-            " rest array<struct<word: binary, times: long>>"
+        rows.drop("lang").mapInArrow(
+            run, "key long, doc_id long, held_out boolean, n_tokens long, hits long, base double,"
+            " scores array<double>, rest array<struct<word: binary, times: long>>"
         ),
         "scored",
     )
     times = F.col("times")
     found = scored.select("key", F.inline("rest")).join(words, "word").groupBy("key").agg(
-        F.sum(F.when(F.col("seen"), times).otherwise(0)).alias("more_hits"),
-        F.sum(times * F.col("base")).alias("more_base"),
-        F.sum(times * F.col("score")).alias("more_score"),
+        F.sum(F.when(n > 0, times).otherwise(0)).alias("more_hits"),
+        F.sum(times * base).alias("more_base"),
+        *[F.sum(times * score).alias(f"more_{i}") for i, score in enumerate(in_class)],
     )
-    return scored.drop("rest").join(found, "key", "left").select(
+    of_class = [
+        F.col("scores")[i] + F.coalesce(F.col(f"more_{i}"), F.lit(0.0)) for i in range(len(in_class))
+    ]
+    joined = scored.drop("rest").join(found, "key", "left").select("*", F.array(*of_class).alias("of_class"))
+    best = F.array_max("of_class")
+    beside = F.aggregate("of_class", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - best))
+    return joined.select(
         "key", "doc_id", "held_out", "n_tokens",
         (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        (best + F.log10(beside / float(len(in_class)))).alias("score"),
     )
 
 

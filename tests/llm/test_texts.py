@@ -159,6 +159,53 @@ def test_expected_counts_are_posteriors():
         assert math.isclose(3 * slope, out[place], rel_tol=1e-3)
 
 
+@pytest.mark.parametrize("most", [16, 2, 0])
+@pytest.mark.parametrize("folder", FOLDERS[:2] + FOLDERS[3:])
+def test_lm_score_is_the_marginal_over_classes(spark, tables, rows_of, folder, most):
+    folder = tables.get(folder, folder)
+    rows = rows_of(folder)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, first = lm_scoring.vocabulary(path)
+    lattice = lm_scoring.Lattice(pieces, first)
+    leading = sum(math.exp(x) for p, x in zip(pieces, first) if p.startswith(b" "))
+    end = math.log(1e-3 / (1e-3 + leading))
+
+    def held(doc_id):
+        return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
+
+    train = [(_tokens(t), lang) for d, t, lang, _ in rows if not held(d)]
+    langs = Counter(lang for _, lang in train if lang is not None)
+    chosen = sorted(langs, key=lambda x: (-langs[x], x))[:most]
+    every = Counter(w for words, _ in train for w in words)
+    parts = [Counter(w for words, of in train if of == lang for w in words) for lang in chosen]
+
+    def probabilities(word):
+        data = word.encode() if isinstance(word, str) else word
+        by_pieces = math.exp(lattice.log_probability(data) if data else end)
+
+        def spread(counts, rest):
+            n = counts.total()
+            return max(counts[word] - 0.75, 0) / n + 0.75 * len(counts) / n * rest
+
+        whole = spread(every, by_pieces)
+        return [whole, *[spread(part, 0.25 * whole + 0.75 * by_pieces) for part in parts]]
+
+    known = {}
+    want = Counter()
+    for doc_id, text, _, _ in rows:
+        sums = [0.0] * (1 + len(chosen))
+        for word in _tokens(text):
+            if word not in known:
+                known[word] = [math.log10(p) if p else -math.inf for p in probabilities(word)]
+            sums = [a + b for a, b in zip(sums, known[word])]
+        if max(sums) > -math.inf:  # else the brute force underflows
+            total = max(sums) + math.log10(sum(10 ** (x - max(sums)) for x in sums) / len(sums))
+            want[doc_id, round(total, 4)] += 1
+    docs, key = common.keyed(common.documents(spark, folder))
+    got = lm_scoring.scores(docs, key, path, 0, 50, most).collect()
+    assert not want - Counter((r.doc_id, round(r.score, 4)) for r in got) and want
+
+
 def test_training_helps_on_held_out_documents(spark):
     docs, key = common.keyed(common.documents(spark, "/root/testdata/sf0.001"))
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -384,3 +431,9 @@ def test_pii_added_kinds():
     assert kinds("see ftp://me:pw@host.org/x, https://host.org/a@b") == {("url", "ftp://me:pw@host.org/x,")}
     assert kinds('token = "0123456789abcdef"; token short, a token of thanks') == {("secret", "0123456789abcdef")}
     assert pii.redacted("a b@c.de f", finder.spans("a b@c.de f")) == "a [email] f"
+
+
+def test_pii_addresses_with_very_long_parts():
+    zeros = "0" * 5000
+    assert [s[2] for s in pii.Finder().spans(f"{zeros}1.2.3.4")] == ["ip"]
+    assert not pii.Finder().spans(f"1{zeros}.2.3.4")
