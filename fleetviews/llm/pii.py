@@ -113,7 +113,8 @@ class Finder:
         if start >= done["dotted"]:
             if dotted := _DOTTED.match(text, start):
                 done["dotted"] = dotted.end()
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in dotted.group().split(".")):
+                parts = [x.lstrip("0") for x in dotted.group().split(".")]
+                if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
                     found.append((start, dotted.end(), "ip"))
             else:  # no later digit of this run begins a match either
                 end = start + 1
