@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +21,8 @@ from ..operators.windows import unified_speed_avg, vehicle_speed_avg
 from .viewset import ViewSet
 
 WINDOW_WIDTH = timedelta(minutes=5)
+# How far back the newest rows are looked for, step by step, before everything is read.
+STRETCHES = tuple(timedelta(hours=8**n) for n in range(6))
 
 
 def _round_as(places: int, **names: str) -> list[Column]:
@@ -103,6 +105,47 @@ PRESETS: dict[str, Preset] = {
 }
 
 
+def _stretches(views: ViewSet) -> list[datetime]:
+    """Lower bounds of ever longer stretches before "now", where that is an instant."""
+    now = views.as_of or datetime.now(timezone.utc)
+    if not isinstance(now, datetime):
+        return []
+    if now.tzinfo:
+        now = now.astimezone(timezone.utc).replace(tzinfo=None)
+    return [now - span for span in STRETCHES]
+
+
+def _holds(rows: DataFrame, k: int) -> bool:
+    return rows.limit(k).count() >= k
+
+
+def newest_windows(views: ViewSet, k: int, vehicle_id: str | None = None) -> DataFrame:
+    """Speed windows among which are the k newest: those of the shortest stretch that has k.
+
+    Windows that a bound could cut are left out of their stretch. Each stretch is eight times
+    the one before, so a search reads little more than what it ends with, and nothing older.
+    """
+    def windows(of: ViewSet) -> DataFrame:
+        return of["vehicle_speed_5min_avg"].where(all_of(equals("vehicle_id", vehicle_id)))
+
+    for since in _stretches(views):
+        rows = windows(views.newer(since)).where(F.col("window_start") > moment(since))
+        if _holds(rows, k):
+            return rows
+    return windows(views)
+
+
+def _newest_stretch(views: ViewSet, k: int, kept: Column) -> tuple[DataFrame, DataFrame]:
+    """Alerts that pass ``kept`` and readings of the shortest stretch with k alerts that have context."""
+    for since in _stretches(views):
+        narrow = views.newer(since - joins.TWO_MINUTES)
+        alerts = narrow["fleet_events_raw"].where(kept & (F.col("occurred_at") > moment(since)))
+        readings = narrow["fleet_telemetry_raw"]
+        if _holds(joins.alerts_that_have_context(alerts, readings).select("occurred_at"), k):
+            return alerts, readings
+    return views["fleet_events_raw"].where(kept), views["fleet_telemetry_raw"]
+
+
 def context_top(
     views: ViewSet,
     k: int,
@@ -116,23 +159,25 @@ def context_top(
     ``pattern`` keeps alerts whose own topic it covers.
     """
     bound = moment(views.as_of) - interval(since) if since else None
-    events = views["fleet_events_raw"].where(all_of(
+    kept = all_of(
         equals("vehicle_id", vehicle_id),
         equals("severity", severity),
         F.col("occurred_at") > bound if since else None,
         topic_matches(F.col("topic"), pattern) if pattern else None,
-    ))
-    telemetry = views["fleet_telemetry_raw"].where(all_of(
+    )
+    if since:
+        events, telemetry = views["fleet_events_raw"].where(kept), views["fleet_telemetry_raw"]
+    else:
+        events, telemetry = _newest_stretch(views, k, kept)
+    telemetry = telemetry.where(all_of(
         equals("vehicle_id", vehicle_id),
         F.col("recorded_at") > bound - interval(joins.TWO_MINUTES) if since else None,
     ))
     return joins.newest_alerts_with_context(events, telemetry, k, max_group_rows=views.max_group_rows)
 
 
-def _recent_windows(views: ViewSet, since: timedelta | None) -> DataFrame:
+def _recent_windows(views: ViewSet, since: timedelta) -> DataFrame:
     """Speed windows ending after the bound, aggregated from only their own readings."""
-    if since is None:
-        return views["vehicle_speed_5min_avg"]
     bound = moment(views.as_of) - interval(since)
     inside = F.col("recorded_at") > bound - interval(WINDOW_WIDTH)
     return vehicle_speed_avg(views["fleet_telemetry_raw"].where(inside)).where(F.col("window_end") > bound)
@@ -161,7 +206,10 @@ def preset(
         rows = context_top(views, k, span, vehicle, level)
         return _newest_context(rows, spec.columns(), k)
     if spec.view == "vehicle_speed_5min_avg":
-        rows = _recent_windows(views, span).where(all_of(equals("vehicle_id", vehicle)))
+        if span:
+            rows = _recent_windows(views, span).where(all_of(equals("vehicle_id", vehicle)))
+        else:
+            rows = newest_windows(views, k, vehicle)
         return topk.latest_windows(rows.select(*spec.columns()), k)
     bound = moment(views.as_of) - interval(span) if span else None
     rows = views[spec.view].where(all_of(
@@ -193,7 +241,7 @@ def get_high_severity_alerts(views: ViewSet, limit: int = 10) -> DataFrame:
 
 
 def get_vehicle_speed_averages(views: ViewSet, limit: int = 20) -> DataFrame:
-    rows = views["vehicle_speed_5min_avg"].select(
+    rows = newest_windows(views, limit).select(
         "vehicle_id", *_round_as(1, avg_mph="avg_speed_mph", max_mph="max_speed_mph"),
         "sample_count", "window_end",
     )
@@ -245,7 +293,7 @@ def newest_speeds(views: ViewSet) -> DataFrame:
 
 
 def newest_speed_windows(views: ViewSet) -> DataFrame:
-    rows = views["vehicle_speed_5min_avg"].select(
+    rows = newest_windows(views, 20).select(
         "vehicle_id", "window_start", "window_end",
         *_round_as(2, avg_mph="avg_speed_mph", max_mph="max_speed_mph"), "sample_count",
     )
@@ -256,8 +304,9 @@ def alert_summary(views: ViewSet) -> DataFrame:
     return preset(views, "fleet_alert_summary")
 
 
-def context_long(events: DataFrame, telemetry: DataFrame, k: int = 10) -> DataFrame:
+def context_long(views: ViewSet, k: int = 10) -> DataFrame:
     """Alert context in long format."""
+    events, telemetry = _newest_stretch(views, k, F.lit(True))
     kth = joins.kth_newest_with_context(events, telemetry, k)
     rows = joins.alerts_with_long_context(
         events.where(F.col("occurred_at") >= kth),
@@ -281,7 +330,7 @@ def activity_heatmap(views: ViewSet) -> DataFrame:
 
 
 def readme_windows(views: ViewSet) -> DataFrame:
-    rows = views["vehicle_speed_5min_avg"].select(
+    rows = newest_windows(views, 20).select(
         "vehicle_id", "window_start", "window_end", *_round_as(2, avg_mph="avg_speed_mph"), "sample_count"
     )
     return topk.latest_windows(rows, 20)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.timing import moment
 from ..operators import joins, rolling, views, windows
 
 # View -> the views it reads. Order is creation order; teardown is the reverse.
@@ -57,6 +60,14 @@ class ViewSet:
         def routing(view, source: Source) -> Callable[[], DataFrame]:
             return lambda: view(source() if callable(source) else source, time_column)
 
+        def bounded(source: Source, since: datetime) -> Source:
+            return lambda: (source() if callable(source) else source).where(F.col(time_column) > moment(since))
+
+        self._routing = routing
+        # The three sources with a strict lower bound on their time.
+        self._newer_sources: Callable[[datetime], tuple[Source, ...]] = lambda since: tuple(
+            bounded(source, since) for source in (telemetry, events, commands)
+        )
         self.as_of = as_of
         self.max_group_rows = max_group_rows
         self._built: dict[str, DataFrame] = {}
@@ -88,12 +99,26 @@ class ViewSet:
 
         ``since`` (exclusive) and ``until`` bound what the adapter scans.
         """
-        return cls(
-            lambda: table.telemetry(since, until),
-            lambda: table.events(since, until),
-            lambda: table.commands(since, until),
-            as_of,
-        )
+        def sources(bound) -> tuple[Source, ...]:
+            return (
+                lambda: table.telemetry(bound, until),
+                lambda: table.events(bound, until),
+                lambda: table.commands(bound, until),
+            )
+
+        found = cls(*sources(since), as_of)
+        found._newer_sources = lambda bound: sources(max(since, bound) if since else bound)
+        return found
+
+    def newer(self, since: datetime) -> "ViewSet":
+        """The same views over rows after ``since`` only, bounded where the sources are read."""
+        other = copy.copy(self)
+        other._built, other._makers = {}, dict(self._makers)
+        other.dependencies = dict(self.dependencies)
+        shapes = (views.telemetry_raw, views.events_raw, views.commands_raw)
+        for name, shape, source in zip(ROUTING, shapes, self._newer_sources(since)):
+            other._makers[name] = self._routing(shape, source)
+        return other
 
     def names(self) -> list[str]:
         return list(self.dependencies)

@@ -488,7 +488,7 @@ for _name, (_query, _sql) in _WALKTHROUGH.items():
   FROM alerts e JOIN metrics m ON e.vehicle_id = m.vehicle_id AND m.ts BETWEEN e.occurred_at - INTERVAL 2 MINUTE AND e.occurred_at
   ORDER BY alert_time DESC, e.vehicle_id, time_before_alert, metric_type, event_type LIMIT 10""")
 def _(f):
-    return presets.context_long(f.events, f.telemetry)
+    return presets.context_long(f.views)
 
 
 @check("q58_verification", "SELECT vehicle_id, severity, occurred_at AS event_timestamp FROM alerts WHERE severity = 'high' ORDER BY occurred_at DESC, vehicle_id LIMIT 5")

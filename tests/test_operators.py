@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fleetviews.functions import timing, values
 from fleetviews.operators import joins, rolling, sets, skew, topk, views, windows
-from fleetviews.schemas import valid_event
+from fleetviews.plans import presets
+from fleetviews.plans.viewset import ViewSet
+from fleetviews.schemas import SENSORS, valid_event
 
 T0 = datetime(2024, 1, 1, 12)
 READING = "vehicle_id string, recorded_at timestamp, speed double, engine_temp double, latitude double, longitude double"
@@ -317,3 +319,49 @@ def test_long_context_equals_the_unfolded_join(spark):
     assert got.count() == 15
     assert {r.metric_value for r in got.where("metric_type = 'speed'").collect()} == {0.0, 1.0, 2.0}
     assert {(r.metric_value, r.unit is None) for r in got.where("metric_type = 'fuel_level'").collect()} == {(None, False)}
+
+
+def _fleet(spark, minutes):
+    """One reading and one alert of two vehicles at each of the given minutes before noon."""
+    noon = datetime(2024, 1, 1, 12)
+    readings, alerts = [], []
+    for i, ago in enumerate(minutes):
+        at = noon - timedelta(minutes=ago)
+        for name in ("a", "b"):
+            readings.append((name, at, float(i)))
+            alerts.append((name, at, "high", f"t/{i}"))
+    reading = "vehicle_id string, ts timestamp_ntz, speed double"
+    alert = "vehicle_id string, ts timestamp_ntz, severity string, topic string"
+    telemetry = spark.createDataFrame(readings, reading).withColumn("ts", F.col("ts").cast("timestamp"))
+    events = spark.createDataFrame(alerts, alert).withColumn("ts", F.col("ts").cast("timestamp"))
+    none = F.lit(None)
+    telemetry = telemetry.withColumns({
+        "topic": F.lit("t"), **{c: none.cast("double") for c in (*SENSORS, "latitude", "longitude") if c != "speed"},
+    })
+    events = events.withColumns({c: none.cast("string") for c in ("event_type", "description", "payload")})
+    return ViewSet(telemetry, events, events.limit(0), noon)
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 7, 40])
+def test_newest_rows_are_found_backwards(spark, k):
+    """The stretch that is read gives what everything gives, bounds, gaps and rows of the future included."""
+    minutes = [-30, 0, 2, 59, 60, 61, 300, 478, 480, 483, 10_000, 900_000, 90_000_000]
+    fleet = _fleet(spark, minutes)
+    want = topk.latest_windows(fleet["vehicle_speed_5min_avg"], k).collect()
+    assert topk.latest_windows(presets.newest_windows(fleet, k), k).collect() == want
+    one = fleet["vehicle_speed_5min_avg"].where("vehicle_id = 'b'")
+    assert topk.latest_windows(presets.newest_windows(fleet, k, "b"), k).collect() == topk.latest_windows(one, k).collect()
+    want = topk.newest(fleet["alerts_with_context"], "alert_time", k).collect()
+    assert topk.newest(presets.context_top(fleet, k), "alert_time", k).collect() == want
+
+
+def test_newest_rows_bound_the_scan(spark, tmp_path):
+    fleet = _fleet(spark, range(0, 600, 10))
+    for name in ("fleet_telemetry_raw", "fleet_events_raw"):
+        fleet[name].withColumnRenamed("recorded_at", "ts").withColumnRenamed("occurred_at", "ts").write.parquet(
+            f"{tmp_path}/{name}"
+        )
+    telemetry, events = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("fleet_telemetry_raw", "fleet_events_raw"))
+    stored = ViewSet(telemetry, events, events.limit(0), datetime(2024, 1, 1, 12))
+    plan = presets.newest_windows(stored, 3)._jdf.queryExecution().toString()
+    assert "GreaterThan(ts,2024-01-01" in plan
