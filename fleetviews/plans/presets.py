@@ -110,8 +110,7 @@ def _stretches(views: ViewSet) -> list[datetime]:
     now = views.as_of or datetime.now(timezone.utc)
     if not isinstance(now, datetime):
         return []
-    if now.tzinfo:
-        now = now.astimezone(timezone.utc).replace(tzinfo=None)
+    now = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
     return [now - span for span in STRETCHES]
 
 
