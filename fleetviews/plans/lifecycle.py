@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import work_dir
 from ..sources.sinks import append_stream, batch_schema, current_rows, save_view, stored, update_stream
@@ -36,8 +36,15 @@ def persist_view(spark: SparkSession, view: DataFrame, name: str, root: str | No
     return spark.read.parquet(path)
 
 
+DROPS = StructType([StructField("generation", IntegerType())])
+
+
 class LiveViews:
-    """Streaming views as running queries, each with its own table and checkpoint."""
+    """Streaming views as running queries, each with its own table and checkpoint.
+
+    Dropping a view begins a new generation of both. Drops are written below the root, so
+    a new session over the same root does not find dropped rows again.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
@@ -48,22 +55,30 @@ class LiveViews:
         self._generation: dict[str, int] = {}
 
     def _folder(self, name: str) -> str:
-        return f"{self.root}/{name}/gen-{self._generation.get(name, 0)}"
+        if name not in self._generation:
+            drops = stored(self.spark, f"{self.root}/{name}/drops", DROPS)
+            self._generation[name] = drops.agg(F.coalesce(F.max("generation"), F.lit(0))).first()[0]
+        return f"{self.root}/{name}/gen-{self._generation[name]}"
 
     def start(self, name: str, view: DataFrame, keys: list[str] | None = None,
-              available_now: bool = False, day_of: str | None = None) -> StreamingQuery:
+              available_now: bool = False, day_of: str | None = None,
+              state_partitions: int | None = None) -> StreamingQuery:
         """Start maintaining a view; returns at once. A running view is left alone.
 
         With ``keys`` the view changes rows in place (update mode), without it only
         appends. ``day_of`` names a time among the keys by whose day an update table is
-        partitioned.
+        partitioned. ``state_partitions`` is the width of the view's state, fixed by its
+        first start: give it where the cluster may still be small then.
         """
         running = self._queries.get(name)
         if running is not None and running.isActive:
             return running
         folder = self._folder(name)
         args = (view, f"{folder}/table", f"{folder}/checkpoint", available_now)
-        query = update_stream(*args, day_of) if keys else append_stream(*args)
+        if keys:
+            query = update_stream(*args, day_of, state_partitions)
+        else:
+            query = append_stream(*args, state_partitions)
         schema = batch_schema(view.schema, day_of) if keys else view.schema
         self._queries[name], self._keys[name], self._schemas[name] = query, keys, schema
         return query
@@ -93,7 +108,10 @@ class LiveViews:
         self._queries.pop(name, None)
         self._keys.pop(name, None)
         self._schemas.pop(name, None)
-        self._generation[name] = self._generation.get(name, 0) + 1
+        self._folder(name)
+        self._generation[name] += 1
+        dropped = self.spark.createDataFrame([(self._generation[name],)], DROPS)
+        dropped.write.mode("append").parquet(f"{self.root}/{name}/drops")
 
     def ensure(self, wanted: dict[str, tuple[DataFrame, list[str] | None]]) -> list[str]:
         """Start what is not running; returns the started names."""

@@ -73,10 +73,12 @@ def save_view(view: DataFrame, path: str, time_column: str | None = None, mode:
     dated.hint("rebalance", DAY).write.mode(mode).partitionBy(DAY).parquet(path)
 
 
-def append_stream(view: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def append_stream(
+    view: DataFrame, path: str, checkpoint: str, available_now: bool = False, state_partitions: int | None = None
+) -> StreamingQuery:
     """Stateless or append-mode view into a Parquet table; the file sink is exactly-once."""
     writer = view.writeStream.format("parquet").outputMode("append").option("path", path)
-    return started(view, writer.option("checkpointLocation", checkpoint), available_now)
+    return started(view, writer.option("checkpointLocation", checkpoint), available_now, state_partitions)
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str, day_of: str | None = None) -> None:
@@ -97,7 +99,8 @@ def write_batch(df: DataFrame, batch_id: int, path: str, day_of: str | None = No
 
 
 def update_stream(
-    view: DataFrame, path: str, checkpoint: str, available_now: bool = False, day_of: str | None = None
+    view: DataFrame, path: str, checkpoint: str, available_now: bool = False, day_of: str | None = None,
+    state_partitions: int | None = None,
 ) -> StreamingQuery:
     """Changed rows of an aggregate view after each batch; read with :func:`current_rows`."""
     writer = (
@@ -105,7 +108,7 @@ def update_stream(
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, batch_id: write_batch(df, batch_id, path, day_of))
     )
-    return started(view, writer, available_now)
+    return started(view, writer, available_now, state_partitions)
 
 
 def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -87,6 +87,27 @@ def test_many_small_batches_equal_one(spark, views):
     assert state_rows(query.recentProgress[-2:]) < state_rows(query.recentProgress)
 
 
+def test_dropped_rows_stay_dropped_in_a_new_session(spark, stream):
+    first = LiveViews(spark)
+    alerts = stream["high_severity_alerts"]
+    first.start("alerts", alerts, available_now=True, state_partitions=3).awaitTermination()
+    assert first.read("alerts").count() > 0
+    first.drop("alerts")
+    # Another object over the same root stands for a new session.
+    later = LiveViews(spark, first.root)
+    later.start("alerts", alerts.where("false"), available_now=True).awaitTermination()
+    assert later.read("alerts").count() == 0
+    later.drop("alerts")
+    assert LiveViews(spark, first.root)._folder("alerts").endswith("gen-2")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    view = live.live_speed_avg(stream["fleet_telemetry_raw"])
+    query = first.start("speed", view, ["vehicle_id", "window_start"], True, state_partitions=3)
+    query.awaitTermination()
+    operators = [o for p in query.recentProgress for o in p["stateOperators"]]
+    assert {o["numShufflePartitions"] for o in operators} == {3}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == width
+
+
 def test_update_table_keeps_the_last_batch(spark):
     path = work_dir(spark, "update")
     frame = lambda *r: spark.createDataFrame(r, "k string, n long")
