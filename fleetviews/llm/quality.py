@@ -5,10 +5,11 @@ of values in bins that grow by ``GROWTH``, so a quantile is right to that factor
 merge by adding counts, in any order to the same result: partial ones combine on the map side, and
 those of a language, and of all languages, are merged from the small ones, for groups too small to
 judge by themselves. (Spark's KLL sketches draw random bits, so a rerun could judge otherwise.) A
-group's threshold for a ratio is a fence above (and for word length also below)
-its middle: the 0.99 quantile, or the median plus ``REACH`` times the distance to the 0.75
-quantile, whichever is further, and at least ``LEAST`` from the median, so that a group whose
-documents are all alike loses none. Thresholds are joined to the counts and filter them.
+group's threshold for a ratio is a fence above (and for word length also below) its middle: the
+median plus ``REACH`` times the distance to the 0.75 quantile, and at least ``LEAST`` from the
+median, so that a group whose documents are all alike loses none. Outer quantiles do not move the
+fence: they are junk's own values where a group holds more than a hundredth of it. Thresholds are
+joined to the counts and filter them.
 
 The fixed part is ``base_failed`` (too few words, or too much repetition); it does not enter the
 sketches. Null and empty texts have no words and fail it. Null languages and sources are groups
@@ -35,6 +36,7 @@ LEAST = {"symbols": 0.10, "dup_lines": 0.30, "word_length": 3.0}
 #: Bins of the sketches: their relative width, and the value up to which all is one bin.
 GROWTH = 1.02
 FINEST = 1e-6
+#: Quantiles read from the sketches; the outer two are for looking at and bound nothing.
 QUANTILES = {"lowest": 0.01, "lower": 0.25, "middle": 0.5, "upper": 0.75, "highest": 0.99}
 #: Ratios whose low values are judged too.
 BOTH_SIDES = ("word_length",)
@@ -153,11 +155,11 @@ def _thresholds(judged: DataFrame) -> DataFrame:
     bounds = []
     for name, least in LEAST.items():
         reach = F.greatest(REACH * (F.col("q.upper") - F.col("q.middle")), F.lit(least))
-        most = F.greatest(F.col("q.highest"), F.col("q.middle") + reach)
+        most = F.col("q.middle") + reach
         bounds.append(F.max(F.when(F.col("ratio") == name, most)).alias(f"most_{name}"))
         if name in BOTH_SIDES:
             reach = F.greatest(REACH * (F.col("q.middle") - F.col("q.lower")), F.lit(least))
-            low = F.least(F.col("q.lowest") / GROWTH, F.col("q.middle") - reach)
+            low = F.col("q.middle") - reach
             bounds.append(F.max(F.when(F.col("ratio") == name, low)).alias(f"least_{name}"))
     return levels.groupBy("lang", "source").agg(*bounds).withColumnsRenamed({"lang": "lang_", "source": "source_"})
 
