@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pii, quality, repeats, simhash
+from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repeats, simhash
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_mixing,
         packing.op9_packing,
         pii.op10_pii,
+        pieces.op13_sentencepiece,
     )
 }
 ORACLES = {
