@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repeats, simhash
+from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repeats, simhash, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_mixing,
         packing.op9_packing,
         pii.op10_pii,
+        vector_codes.op12_vector_codes,
         pieces.op13_sentencepiece,
     )
 }
@@ -24,4 +25,5 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op7_license_scan": licences.OP7_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
