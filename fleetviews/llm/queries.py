@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repeats, simhash, vector_codes
+from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repair, repeats, simhash, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_mixing,
         packing.op9_packing,
         pii.op10_pii,
+        repair.op11_conversation_repair,
         vector_codes.op12_vector_codes,
         pieces.op13_sentencepiece,
     )
