@@ -74,7 +74,7 @@ class Vocabulary:
         cut = not any(inside.search(piece) for piece in self.score)
         self.stretches = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if cut else "(?s).+").findall
         self._merges: dict[int, tuple | None] = {}
-        self._pairs: dict[int, bool] = {}
+        self._fit = Fits(self)
         self._surface = [n.replace(MARK, " ").encode() for n in self.name]
         for i, b in self.byte.items():
             self._surface[i] = bytes([b])
@@ -126,24 +126,13 @@ class Vocabulary:
 
     def _table(self, text: str) -> list[int]:
         """The ids of characters that pieces have, from the unique last piece of every prefix."""
-        last, size = [-1] * (len(text) + 1), [0] * (len(text) + 1)
-        pairs = self._pairs
+        last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
+        fit = self._fit
         for end, (piece, length) in self.automaton.iter(text):
-            place = end + 1
-            if size[place]:
-                continue
-            start = place - length
-            if start:
-                key = last[start] << 32 | piece
-                fits = pairs.get(key)
-                if fits is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    fits = pairs[key] = self.stands(last[start], piece)
-            else:
-                fits = self.merges(piece) is not None
-            if fits:
-                last[place], size[place] = piece, length
+            end += 1
+            # The longest that ends here comes first; what fits is unique.
+            if not size[end] and fit[last[end - length] << 32 | piece if length < end else -1 - piece]:
+                last[end], size[end] = piece, length
         out, place = [], len(text)
         while place:
             out.append(last[place])
@@ -227,6 +216,23 @@ def _repaired(raw: bytes) -> str:
     return "".join(out)
 
 
+class Fits(dict):
+    """Whether a piece goes with the one in front of it (both in one number), or stands alone (negative)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        if key < 0:
+            found = self.vocabulary.merges(-1 - key) is not None
+        else:
+            found = self.vocabulary.stands(key >> 32, key & 0xFFFFFFFF)
+        self[key] = found
+        return found
+
+
 class Stretches(dict):
     """Ids by stretch, in two generations, so that frequent stretches outlive rare ones."""
 
@@ -256,8 +262,10 @@ def _known(path: str) -> Stretches:
     return Stretches(vocabulary(path))
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ``ids`` of every text, by the model file at ``path``."""
+def encoded(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
+    """doc_id and ``ids`` of every text, by the model file at ``path``; with ``back`` also the ``text`` that
+    the ids decode to, by the same worker."""
+    names = ["doc_id", "ids", "text"][: 2 + back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = vocabulary(path), _known(path)
@@ -267,9 +275,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ids = [words.ids(t, known) for t in part.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                texts = [pa.array(map(words.decode, ids), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, *texts], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>{', text string' * back}")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -294,7 +304,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return decoded(encoded(docs, path), path).select(
+    return encoded(docs, path, back=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

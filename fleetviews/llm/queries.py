@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repair, repeats, simhash, vector_codes
+from . import (
+    chat, exact_dedup, licences, lm_scoring, mixing, packing, pieces, pii, quality, repair, repeats, simhash, vector_codes,
+)
 
 QUERIES = {
     f.__name__: f

@@ -63,6 +63,12 @@ def test_decoding_any_ids_equals_library(library):
         assert vocabulary.decode(np.array(ids, np.int32)) == library.decode(ids), ids
 
 
+def test_ids_of_a_table_decode(spark, library):
+    rows = [(1, library.encode("Über  all\n")), (2, []), (None, None), (2, [203, 1, 259])]
+    got = pieces.decoded(spark.createDataFrame(rows, "doc_id long, ids array<int>"), PATH).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(i, library.decode(x or [])) for i, x in rows]
+
+
 def _merged(text: str, score: dict[str, float]) -> list[str]:
     symbols = list(text)
     while len(symbols) > 1:
