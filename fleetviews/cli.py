@@ -72,13 +72,13 @@ def live_messages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return messages.stream_messages(spark, args.messages)
 
 
-def follow(events: DataFrame, checkpoint: str, once: bool) -> None:
-    """Print the records of a stream of rendered events as they come."""
+def show(batch: DataFrame, _batch_id: int = 0) -> None:
+    for row in batch.toLocalIterator():
+        print(row["event"], flush=True)
 
-    def show(batch: DataFrame, _batch_id: int) -> None:
-        for row in batch.toLocalIterator():
-            print(row["event"], flush=True)
 
+def follow(events: DataFrame, checkpoint: str, once: bool) -> None:
+    """Print the records of a stream of rendered events as they come."""
     writer = events.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint)
     started(events, writer, once).awaitTermination()
 
@@ -199,14 +199,10 @@ def answer(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
         rows = live.alert_watch(views_over(spark, args, streaming=True)["fleet_events_raw"], args.severity)
         follow(replay.rendered(rows, "live", live.ALERT_TREE, "occurred_at", form), args.checkpoint, args.once)
         return None
-    past = client.history(args.pattern, args.since, args.cut, form=form) if args.since else None
-    if past is not None:
-        for row in past.toLocalIterator():
-            print(row["event"])
-    coming = messages.routed(live_messages(spark, args), args.pattern)
-    if args.cut:
-        coming = replay.live_slice(coming, "ts", args.cut)
-    follow(replay.rendered_messages(coming, form=form), args.checkpoint, args.once)
+    client.subscribe(
+        args.pattern, live_messages(spark, args), f"{args.checkpoint}-log", args.checkpoint, args.cut, args.since,
+        available_now=args.once, form=form, deliver=show,
+    ).awaitTermination()
     return None
 
 

@@ -9,13 +9,14 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timing import newer_than, parse_duration, preset_duration
+from ..functions.timing import moment, newer_than, parse_duration, preset_duration
 from ..functions.topics import rebuilt_topic, topic_matches
 from ..operators import rolling, topk
 from ..operators.views import all_of, equals
+from ..sources import sinks
 from ..sources.messages import routed
 from ..streaming import live as live_views
-from ..streaming import readiness, replay
+from ..streaming import readiness, replay, subscription
 from . import presets
 from .registry import Mapping, Registry, UnknownPattern
 from .viewset import ViewSet
@@ -30,6 +31,8 @@ _FORBIDDEN = re.compile(
     rf"""\b(?:{'|'.join(CALLS)})\b|\b(?:{'|'.join(FILE_FORMATS)})`?\s*\.\s*`|\br['"]|--|/\*""", re.IGNORECASE
 )
 
+#: Records of a web subscriber; ``step`` orders the kinds.
+LOG = "type string, body string, step int, batch long, event_time timestamp"
 TIERS = {s: f"{s}_severity_alerts" for s in ("high", "medium", "low")}
 
 
@@ -174,6 +177,14 @@ class FleetClient:
 
     # --- subscriptions ---
 
+    def _replayable(self, pattern: str) -> Mapping | None:
+        """The entry whose view can be replayed for a pattern: it exists and has a time."""
+        try:
+            entry = self.registry.resolve(pattern)
+        except UnknownPattern:
+            return None
+        return entry if entry.time_column else None
+
     def history(self, pattern: str, since: str | timedelta, cut=None, limit: int | None = None,
                 form: str = "json") -> DataFrame | None:
         """Event records of the span, oldest first.
@@ -182,11 +193,8 @@ class FleetClient:
         nothing to replay and a subscription is live only.
         """
         span = parse_duration(since)
-        try:
-            entry = self.registry.resolve(pattern)
-        except UnknownPattern:
-            return None
-        if not entry.time_column:
+        entry = self._replayable(pattern)
+        if entry is None:
             return None
         rows = self._narrowed(self.views[entry.mv], entry, pattern, True)
         past = replay.history_slice(rows, entry.time_column, span, cut, self.as_of, limit)
@@ -194,69 +202,121 @@ class FleetClient:
 
     def subscribe(self, pattern: str, live: DataFrame, path: str, checkpoint: str, cut=None,
                   since: str | timedelta | None = None, limit: int | None = None,
-                  available_now: bool = False) -> StreamingQuery:
-        """History of the span up to ``cut`` and the live messages after it, as event records.
+                  available_now: bool = False, form: str = "json",
+                  deliver: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+        """History of the span and the live messages after it, as event records.
 
         ``live`` is a streaming message frame: any topic can be subscribed to, whether or
-        not a view is mapped to it. Without ``since`` there is no history. Without
-        ``cut`` history is all there is at the start, and live messages it already holds
-        (same topic and time) are left out; late ones are not. Read the result with
-        :func:`replay.read_replay`.
+        not a view is mapped to it. ``since`` bounds both parts; without it, or without a
+        view that has a time, there is no history, and ``cut`` is where live begins. With
+        it, history is what the view holds at the first start (up to ``cut``), and each of
+        its rows keeps one live message from coming again, see :mod:`..streaming.subscription`:
+        what arrives late, or while history is read, is live. ``limit`` shortens history
+        only. Read the result with :func:`replay.read_replay`.
         """
         coming = routed(live, pattern)
-        if cut is not None:
-            coming = replay.live_slice(coming, "ts", cut)
-        after = replay.rendered_messages(coming).drop("source")
-        before = self.history(pattern, since, cut, limit) if since is not None else None
-        if before is None:
+        entry = self._replayable(pattern) if since is not None else None
+        if entry is None:
+            if cut is not None:
+                coming = replay.live_slice(coming, "ts", cut)
+            after = replay.rendered_messages(coming, form=form).drop("source")
+            if deliver:
+                def on_batch(batch: DataFrame, _id: int) -> None:
+                    deliver(batch)
+
+                writer = after.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+                return sinks.started(after, writer, available_now)
             return replay.append_stream(after, f"{path}/source=live", checkpoint, available_now)
-        start = replay.start_replay if cut is not None else replay.start_unrepeated_replay
-        return start(self.spark, before.drop("source"), after, path, checkpoint, available_now)
-
-    def subscription_log(self, pattern: str, since: str, limit: int | None = None) -> DataFrame:
-        """Records a web subscriber receives before live ones: readiness, a count, history.
+        rows = self._narrowed(self.views[entry.mv], entry, pattern, True)
+        if cut is not None:
+            rows = rows.where(F.col(entry.time_column) <= moment(cut))
+        fields = subscription.shared_fields(entry.pattern, rows.columns)
+        past = replay.rendered(rows, "history", entry.pattern, entry.time_column, form,
+                               subscription.content_of_row(fields))
+        after = replay.rendered_messages(coming, form=form, content=subscription.content_of_message(fields))
+        return subscription.Subscription(self.spark, path, checkpoint).start(
+            past.drop("source"), after.drop("source"), parse_duration(since), self.as_of,
+            lambda records: topk.oldest_first(records, "event_time", limit).drop("content"),
+            available_now, deliver,
+        )
 
-        An unknown duration or pattern yields an error record instead of history.
-        """
+    def _log_head(self, pattern: str, since: str | None) -> tuple[list[tuple], str | None]:
+        """The first records of a web subscriber as (type, body, step), and why there is no history."""
         report = self.backfill_status()
         head = [("backfill_status", f"ready={str(report['ready']).lower()}", 0)]
         if not report["ready"] and report["table_exists"]:
             head.append(("status", "Backfill in progress: history may be incomplete", 1))
-        span = preset_duration(since)
+        if since is None:
+            return head, None
         try:
             entry = self.registry.resolve(pattern)
         except UnknownPattern:
             entry = None
         error = None
-        if span is None:
+        if preset_duration(since) is None:
             error = f'Unknown duration "{since}"'
         elif entry is None:
             error = f'Topic "{pattern}" not found in registry: live only'
         elif not entry.time_column:
             error = f'Topic "{pattern}" has no time column: live only'
-        schema = "type string, body string, step int"
+        return head + ([("error", error, 2)] if error else []), error
+
+    def _log_of(self, head: list[tuple], history: DataFrame | None) -> DataFrame:
+        """Head records, and history between its start and its end with their count."""
+        log = self.spark.createDataFrame(head, LOG)
+        if history is None:
+            return log
+        counted = history.agg(F.concat(F.lit("count="), F.count(F.lit(1))).alias("body"))
+        for kind, step in (("history_start", 2), ("history_done", 4)):
+            log = log.unionByName(
+                counted.select(F.lit(kind).alias("type"), "body", F.lit(step).alias("step")), allowMissingColumns=True
+            )
+        return log.unionByName(
+            history.select(F.lit("history").alias("type"), F.col("event").alias("body"), F.lit(3).alias("step"),
+                           "event_time"),
+            allowMissingColumns=True,
+        )
+
+    def subscription_log(self, pattern: str, since: str, limit: int | None = None) -> DataFrame:
+        """Records a web subscriber receives before live ones: readiness, a count, history.
+
+        An unknown duration or pattern yields an error record instead of history.
+        """
+        head, error = self._log_head(pattern, since)
         if error:
-            return self.spark.createDataFrame([*head, ("error", error, 2)], schema)
-        rows = replay.history_slice(
-            self._narrowed(self.views[entry.mv], entry, pattern, True),
-            entry.time_column, span, None, self.as_of, limit,
+            return self.spark.createDataFrame([h[:3] for h in head], "type string, body string, step int")
+        history = self.history(pattern, preset_duration(since), None, limit)
+        return self._log_of([(*h, None, None) for h in head], history).select("type", "body", "step", "event_time").orderBy(
+            "step", "event_time", "body"
         )
-        events = replay.rendered(rows, "history", entry.pattern, entry.time_column)
-        history = events.select(F.lit("history").alias("type"), F.col("event").alias("body"),
-                                F.lit(3).alias("step"), "event_time")
-        counted = events.agg(F.count(F.lit(1)).alias("n"))
-
-        def count_record(kind: str, step: int) -> DataFrame:
-            return counted.select(F.lit(kind).alias("type"), F.concat(F.lit("count="), "n").alias("body"),
-                                  F.lit(step).alias("step"))
-
-        return (
-            self.spark.createDataFrame(head, schema)
-            .unionByName(count_record("history_start", 2))
-            .unionByName(history, allowMissingColumns=True)
-            .unionByName(count_record("history_done", 4), allowMissingColumns=True)
-            .orderBy("step", "event_time", "body")
+
+    def web_subscription(self, pattern: str, live: DataFrame, path: str, checkpoint: str,
+                         since: str | None = None, limit: int | None = None,
+                         available_now: bool = False) -> StreamingQuery:
+        """A web subscriber's whole log: status, history between its counts, then live records.
+
+        Read it with :meth:`web_records`. A duration that is not on the list, or a pattern without
+        history, leaves an error record and a live subscription. Starting again goes on with the log.
+        """
+        head, error = self._log_head(pattern, since)
+        head.append(("status", "Live messages follow", 5))
+        span = None if error or since is None else preset_duration(since)
+        self.spark.createDataFrame(head, "type string, body string, step int").coalesce(1).write.mode(
+            "ignore").parquet(f"{checkpoint}-head")
+        return self.subscribe(pattern, live, path, checkpoint, None, span, limit, available_now)
+
+    def web_records(self, path: str, checkpoint: str) -> DataFrame:
+        """The log of :meth:`web_subscription` so far, in order: type, body, step, batch, event_time."""
+        log = subscription.Subscription(self.spark, path, checkpoint)
+        head = [tuple(r) for r in self.spark.read.parquet(f"{checkpoint}-head").collect()]
+        replayed = not any(kind == "error" for kind, _, _ in head) and subscription.written(
+            self.spark, f"{path}/source=history")
+        records = self._log_of([(*h, None, None) for h in head], log.history() if replayed else None)
+        live = log.live().select(
+            F.lit("live").alias("type"), F.col("event").alias("body"), F.lit(6).alias("step"),
+            F.col(sinks.BATCH).alias("batch"), "event_time",
         )
+        return records.unionByName(live, allowMissingColumns=True).orderBy("step", "batch", "event_time", "body")
 
     def alert_watch(self, live_events: DataFrame, severity: str = "high") -> DataFrame:
         """Streaming alerts of a severity, as event records."""

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timing import interval, moment, parse_duration
@@ -45,8 +44,13 @@ def live_slice(stream: DataFrame, time_column: str, cut) -> DataFrame:
     return stream.where(F.col(time_column) > moment(cut))
 
 
-def rendered(view: DataFrame, source: str, pattern: str, time_column: str, form: str = "json") -> DataFrame:
-    """Rows as emitted events; a view without a topic gets one rebuilt from the pattern."""
+def rendered(
+    view: DataFrame, source: str, pattern: str, time_column: str, form: str = "json", content: Column | None = None,
+) -> DataFrame:
+    """Rows as emitted events; a view without a topic gets one rebuilt from the pattern.
+
+    ``content`` is carried along under that name.
+    """
     topic = rebuilt_topic(pattern, view.columns)
     render = event_json if form == "json" else event_line
     return view.select(
@@ -54,10 +58,13 @@ def rendered(view: DataFrame, source: str, pattern: str, time_column: str, form:
         topic.alias("topic"),
         F.col(time_column).alias("event_time"),
         render(view, source, topic, F.col(time_column)).alias("event"),
+        *([content.alias("content")] if content is not None else []),
     )
 
 
-def rendered_messages(frame: DataFrame, source: str = "live", form: str = "json") -> DataFrame:
+def rendered_messages(
+    frame: DataFrame, source: str = "live", form: str = "json", content: Column | None = None
+) -> DataFrame:
     """Messages as emitted events, with whatever their body holds as payload."""
     topic, time = F.col("topic"), F.col("ts")
     if form == "json":
@@ -65,7 +72,8 @@ def rendered_messages(frame: DataFrame, source: str = "live", form: str = "json"
     else:
         event = message_line(source, topic, time, F.col("value"))
     return frame.select(
-        F.lit(source).alias("source"), "topic", time.alias("event_time"), event.alias("event")
+        F.lit(source).alias("source"), "topic", time.alias("event_time"), event.alias("event"),
+        *([content.alias("content")] if content is not None else []),
     )
 
 
@@ -87,37 +95,10 @@ def start_replay(
     return query
 
 
-def _written(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
-def start_unrepeated_replay(
-    spark: SparkSession, history: DataFrame, live: DataFrame, path: str, checkpoint: str,
-    available_now: bool = False, keys: tuple[str, ...] = ("topic", "event_time"),
-) -> StreamingQuery:
-    """History as it is now, and of the live part every row that history does not hold.
-
-    Live rows meet the history's keys, written once, so no state grows and no row is too
-    late. A restart goes on with the history and the keys of the first start.
-    """
-    known_at, kept_at = f"{checkpoint}-keys", f"{path}/source=history"
-    if not _written(spark, kept_at):
-        history.write.mode("overwrite").parquet(f"{checkpoint}-history")
-        kept = spark.read.parquet(f"{checkpoint}-history")
-        known_keys(kept, keys).write.mode("overwrite").parquet(known_at)
-        kept.write.mode("overwrite").parquet(kept_at)
-    fresh = live.join(spark.read.parquet(known_at), same_key(keys), "left_anti")
-    return append_stream(fresh, f"{path}/source=live", checkpoint, available_now)
-
-
 def read_replay(spark: SparkSession, path: str) -> DataFrame:
     """History and live rows with their ``source``; there may be no live rows yet."""
     history = spark.read.parquet(f"{path}/source=history")
-    live = stored(spark, f"{path}/source=live", history.schema)
+    live = stored(spark, f"{path}/source=live", history.schema).select(*history.columns)
     return tagged(history, "history").unionByName(tagged(live, "live"))
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from fleetviews.functions.timing import moment
 from fleetviews.operators.joins import TWO_MINUTES
 from fleetviews.operators import rolling, views, windows
+from fleetviews.plans.client import FleetClient
 from fleetviews.plans.lifecycle import LiveViews
+from fleetviews.plans.viewset import ViewSet
 from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
@@ -292,3 +294,93 @@ def _(f):
 def _(f):
     table = _maintained(f, "r17", f.live["high_engine_temp_vehicles"])
     return rolling.freshness(table, "recorded_at", AS_OF).drop("lag")
+
+
+# --- subscriptions fed in several batches ---
+
+def _in_batches(f, name, parts):
+    """A message stream that brings each part of the table's messages in a batch of its own."""
+    folder = f.work(name)
+    for i, part in enumerate(parts):
+        part.drop("seq").write.parquet(f"{folder}/{i:03}")
+    schema = f.table.messages().drop("seq").schema
+    return f.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def _payload(records, *more):
+    fields = ("vehicle_id", "event_type", "description")
+    return records.select(
+        *more, "topic", "event_time", *[F.get_json_object("event", f"$.payload.{n}").alias(n) for n in fields]
+    )
+
+
+SPAN = f"occurred_at > {NOW} - INTERVAL 4 HOUR"
+RECORD_ROW = "topic, occurred_at AS event_time, vehicle_id, event_type, description"
+#: Batches of the tests below: up to ten, everything again, and every sixth alert a third time.
+REPEATED = f"""SELECT topic, occurred_at, vehicle_id, event_type, description FROM alerts
+    WHERE severity = 'high' AND occurred_at <= TIMESTAMP '2024-01-01 10:00:00' AND {SPAN}
+  UNION ALL SELECT topic, occurred_at, vehicle_id, event_type, description FROM alerts
+    WHERE severity = 'high' AND seq % 6 = 2 AND {SPAN}"""
+
+
+def _repeating(f, name):
+    rows = f.table.messages()
+    return _in_batches(f, name, [
+        rows.where(F.col("ts") <= moment("2024-01-01 10:00:00")), rows, rows.where(F.col("seq") % 6 == 2),
+    ])
+
+
+@check("q06_subscribe_without_cut", f"""SELECT 'history' AS source, {RECORD_ROW} FROM alerts WHERE severity = 'high' AND {SPAN}
+  UNION ALL SELECT 'live', {RECORD_ROW} FROM ({REPEATED})""")
+def _(f):
+    """Messages of the view come by again, some twice more: of each history key one stays away."""
+    root = f.work("q06n")
+    f.client.subscribe(
+        "fleet/events/*/alerts/high", _repeating(f, "q06m"), f"{root}/t", f"{root}/c", since="4h", available_now=True
+    ).awaitTermination()
+    return _payload(replay.read_replay(f.spark, f"{root}/t"), "source")
+
+
+@check("r06_late_rows_are_live", f"""SELECT CASE WHEN occurred_at <= {CUT_SQL} AND seq % 6 <> 2 THEN 'history' ELSE 'live' END AS source, {RECORD_ROW}
+  FROM alerts WHERE severity = 'high' AND {SPAN}""")
+def _(f):
+    """A third of the alerts up to the cut arrive after history was read; they are live, none is lost."""
+    root = f.work("r06l")
+    known = ViewSet(*[messages.typed_source(f.table.messages().where(F.col("seq") % 6 != 2), s)
+                      for s in ("telemetry", "events", "commands")], as_of=AS_OF)
+    rows = f.table.messages()
+    coming = _in_batches(f, "r06lm", [rows.where(F.col("seq") % 6 != 2), rows.where(F.col("seq") % 6 == 2)])
+    FleetClient(f.spark, known).subscribe(
+        "fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", CUT, "4h", available_now=True
+    ).awaitTermination()
+    return _payload(replay.read_replay(f.spark, f"{root}/t"), "source")
+
+
+@check("x03_spent_keys", f"SELECT {RECORD_ROW} FROM ({REPEATED})")
+def _(f):
+    """The one-shot policy as a stream that stops and starts between batches."""
+    root, coming = f.work("x03s"), _repeating(f, "x03m")
+    for _run in range(2):
+        f.client.subscribe(
+            "fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", since="4h", limit=1, available_now=True
+        ).awaitTermination()
+    return _payload(replay.read_replay(f.spark, f"{root}/t").where("source = 'live'"))
+
+
+@check("q07_web_records", f""", h AS (SELECT {RECORD_ROW} FROM alerts WHERE severity = 'high' AND {SPAN}),
+  l AS (SELECT {RECORD_ROW} FROM ({REPEATED}))
+  SELECT 'history' AS type, 3 AS step, * FROM h UNION ALL SELECT 'live', 6, * FROM l
+  UNION ALL SELECT type, step, body, NULL, NULL, NULL, NULL FROM (VALUES ('backfill_status', 0, 'ready=true'),
+    ('status', 5, 'Live messages follow')) v(type, step, body)
+  UNION ALL SELECT type, step, 'count=' || n, NULL, NULL, NULL, NULL
+    FROM (SELECT count(*) AS n FROM h), (VALUES ('history_start', 2), ('history_done', 4)) v(type, step)""")
+def _(f):
+    """Every record of a web subscriber's log; what has no topic shows its body there."""
+    root = f.work("q07w")
+    args = f"{root}/t", f"{root}/c"
+    f.client.web_subscription(
+        "fleet/events/*/alerts/high", _repeating(f, "q07m"), *args, since="4h", available_now=True
+    ).awaitTermination()
+    log = f.client.web_records(*args).withColumnRenamed("body", "event")
+    topic = F.coalesce(F.get_json_object("event", "$.topic"), F.col("event")).alias("topic")
+    return _payload(log.select("type", "step", "event_time", "event", topic), "type", "step")

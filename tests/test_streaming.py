@@ -13,10 +13,11 @@ from fleetviews.operators import joins
 from fleetviews.operators import views as ops
 from fleetviews.plans.client import is_safe_select
 from fleetviews.plans.lifecycle import LiveViews, drop_registered, ensure_views, persist_view
+from fleetviews.functions.values import JSON_TIMES
 from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
-from fleetviews.streaming import live, readiness, replay
+from fleetviews.streaming import live, readiness, replay, subscription
 from fleetviews.streaming.progress import drain_progress, event_time_lag, query_samples, state_rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -482,17 +483,106 @@ def test_live_only_subscription(spark, views):
     assert got.count() == views["high_severity_alerts"].where("vehicle_id = 'vehicle_003'").count()
 
 
-def test_subscription_without_a_cut_doubles_nothing(spark, views):
+def _in_files(spark, path, parts):
+    """A stream that brings each frame of ``parts`` in a batch of its own."""
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.option("timestampFormat", JSON_TIMES["timestampFormat"]).json(f"{path}/{i:03}")
+    return messages.stream_messages(spark, f"{path}/*", max_files_per_trigger=1)
+
+
+@pytest.mark.parametrize("since, limit, first", [("30m", None, 3), ("24h", 5, 5), ("24h", None, 65)])
+def test_subscription_brings_nothing_of_the_view_again(spark, views, since, limit, first):
+    """Span and limit bound the whole subscription: what history leaves out does not come back as live."""
     root = work_dir(spark, "nocut")
     client = FleetClient(spark, views)
-    messages = EventsTable(spark, SF_DIR, streaming=True).messages()
+    coming = EventsTable(spark, SF_DIR, streaming=True).messages()
     for _ in range(2):  # the second start goes on where the first stopped
-        client.subscribe("fleet/events/*/alerts/high", messages, f"{root}/t", f"{root}/c", since="4h",
+        client.subscribe("fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", since=since, limit=limit,
+                         available_now=True).awaitTermination()
+        got = replay.read_replay(spark, f"{root}/t").groupBy("source").count().collect()
+        assert [tuple(r) for r in got] == [("history", first)]
+
+
+def _alert(minute, vehicle="vehicle_001", description="d", second=0):
+    body = {"vehicle_id": vehicle, "event_type": "low_fuel", "severity": "high", "description": description}
+    return (f"fleet/events/{vehicle}/alerts/high", datetime(2024, 1, 1, 11, minute, second), None, json.dumps(body))
+
+
+def test_spent_keys_over_batches_and_restarts(spark):
+    """A history key keeps one message back, in whatever batch it comes; late and changed ones are live."""
+    root = work_dir(spark, "ledger")
+    frame = lambda *rows: spark.createDataFrame(list(rows), MESSAGE)
+    known = frame(_alert(1), _alert(2), _alert(3), _alert(3, description="other"), _alert(0))
+    views = ViewSet(*[messages.typed_source(known, s) for s in ("telemetry", "events", "commands")], as_of=T0)
+    client = FleetClient(spark, views)
+    batches = [
+        frame(_alert(1), _alert(20)),                       # a repeat, a new one
+        frame(_alert(1), _alert(2), _alert(2)),             # its key is spent; one of two copies is kept back
+        frame(_alert(3, description="third"), _alert(4)),   # same instant, other content; late and unknown
+    ]
+    more = [
+        frame(_alert(2), _alert(3)),                        # spent before the restart; not yet spent
+        frame(_alert(0), _alert(0, second=30), (_alert(0)[0], datetime(2024, 1, 1, 10, 59), None, "{}")),
+    ]
+    for i, part in enumerate(batches):
+        part.coalesce(1).write.json(f"{root}/m/{i:03}")
+    for again in (False, True):
+        if again:
+            for i, part in enumerate(more):
+                part.coalesce(1).write.json(f"{root}/m/{len(batches) + i:03}")
+        coming = messages.stream_messages(spark, f"{root}/m/*", max_files_per_trigger=1)
+        client.subscribe("fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", since="3570s",
                          available_now=True).awaitTermination()
     got = replay.read_replay(spark, f"{root}/t")
-    high = views["high_severity_alerts"]
-    assert got.count() == high.count()
-    assert got.select("topic", "event_time").distinct().count() == high.select("topic", "occurred_at").distinct().count()
+    live_rows = sorted(
+        (r.event_time.minute, r.event_time.second, json.loads(r.event)["payload"]["description"])
+        for r in got.where("source = 'live'").collect()
+    )
+    # Minute 0 is outside the span: neither history nor live.
+    assert live_rows == [(1, 0, "d"), (2, 0, "d"), (2, 0, "d"), (3, 0, "third"), (4, 0, "d"), (20, 0, "d")]
+    assert got.where("source = 'history'").count() == 4
+
+
+def test_repeated_batch_keeps_the_same_records(spark):
+    """A batch that is run again after a failure finds the ledger as it was."""
+    log = subscription.Subscription(spark, work_dir(spark, "again"), work_dir(spark, "again-c"))
+    record = lambda minute: ("t", datetime(2024, 1, 1, 11, minute), "e", "")
+    rows = lambda *minutes: spark.createDataFrame([record(m) for m in minutes], subscription.STORED)
+    log._past(rows(1, 2), F.lit(datetime(2024, 1, 1)), lambda r: r.drop("content"))
+    for batch_id, minutes in ((0, (1, 1, 5)), (1, (1, 2, 2)), (1, (1, 2, 2)), (0, (1, 1, 5)), (2, (1, 2))):
+        log._write(rows(*minutes), batch_id)
+    got = [(r._batch_id, r.event_time.minute) for r in log.live().collect()]
+    assert sorted(got) == [(0, 1), (0, 5), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_web_log_in_order(spark, views):
+    root = work_dir(spark, "web")
+    client = FleetClient(spark, views)
+    rows_of = EventsTable(spark, SF_DIR).messages().drop("seq")
+    fresh = spark.createDataFrame([_alert(30, "vehicle_009", "new")], MESSAGE)
+    coming = _in_files(spark, f"{root}/m", [rows_of.where("ts < '2024-01-01 11:30:00'"), rows_of, fresh])
+    args = ("fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", "4h")
+    client.web_subscription(*args, available_now=True).awaitTermination()
+    log = client.web_records(f"{root}/t", f"{root}/c").collect()
+    kinds = [r["type"] for r in log]
+    n = views["high_severity_alerts"].where("occurred_at > '2024-01-01 08:00:00'").count()
+    before = views["high_severity_alerts"].where(
+        "occurred_at > '2024-01-01 08:00:00' AND occurred_at < '2024-01-01 11:30:00'").count()
+    # The second file brings the first one's rows again: each key keeps back one message only.
+    assert kinds == ["backfill_status", "history_start", *["history"] * n, "history_done", "status", *["live"] * (before + 1)]
+    assert log[1]["body"] == f"count={n}" and json.loads(log[-1]["body"])["payload"]["description"] == "new"
+    times = [r["event_time"] for r in log if r["type"] == "history"]
+    assert times == sorted(times)
+
+
+def test_web_log_without_history(spark, views):
+    root = work_dir(spark, "web-error")
+    client = FleetClient(spark, views)
+    coming = EventsTable(spark, SF_DIR, streaming=True).messages()
+    client.web_subscription("fleet/events/*/alerts/high", coming, f"{root}/t", f"{root}/c", "3h",
+                            available_now=True).awaitTermination()
+    kinds = [r["type"] for r in client.web_records(f"{root}/t", f"{root}/c").collect()]
+    assert kinds == ["backfill_status", "error", "status", *["live"] * 65]
 
 
 def test_replay_history_can_be_written_again(spark, views, stream):
