@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import work_dir
-from ..sources.sinks import append_stream, batch_schema, current_rows, save_view, stored, update_stream
+from ..sources.keyed import EVERY, KeyedTable, keyed_stream
+from ..sources.sinks import append_stream, save_view, stored
 from .viewset import ROUTING, ViewSet
 
 
@@ -50,7 +51,7 @@ class LiveViews:
         self.spark = spark
         self.root = root or work_dir(spark, "live")
         self._queries: dict[str, StreamingQuery] = {}
-        self._keys: dict[str, list[str] | None] = {}
+        self._tables: dict[str, KeyedTable | None] = {}
         self._schemas: dict[str, StructType] = {}
         self._generation: dict[str, int] = {}
 
@@ -62,11 +63,11 @@ class LiveViews:
 
     def start(self, name: str, view: DataFrame, keys: list[str] | None = None,
               available_now: bool = False, day_of: str | None = None,
-              state_partitions: int | None = None) -> StreamingQuery:
+              state_partitions: int | None = None, compact_every: int = EVERY) -> StreamingQuery:
         """Start maintaining a view; returns at once. A running view is left alone.
 
-        With ``keys`` the view changes rows in place (update mode), without it only
-        appends. ``day_of`` names a time among the keys by whose day an update table is
+        With ``keys`` the view changes rows in place (update mode) in a :class:`KeyedTable`, whose
+        deltas are folded after ``compact_every`` batches; without it only appends. ``day_of`` names a time among the keys by whose day an update table is
         partitioned. ``state_partitions`` is the width of the view's state, fixed by its
         first start: give it where the cluster may still be small then.
         """
@@ -74,19 +75,21 @@ class LiveViews:
         if running is not None and running.isActive:
             return running
         folder = self._folder(name)
-        args = (view, f"{folder}/table", f"{folder}/checkpoint", available_now)
-        if keys:
-            query = update_stream(*args, day_of, state_partitions)
+        path, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
+        table = KeyedTable(self.spark, path, keys, view.schema, day_of, compact_every) if keys else None
+        if table:
+            query = keyed_stream(view, table, checkpoint, available_now, state_partitions)
         else:
-            query = append_stream(*args, state_partitions)
-        schema = batch_schema(view.schema, day_of) if keys else view.schema
-        self._queries[name], self._keys[name], self._schemas[name] = query, keys, schema
+            query = append_stream(view, path, checkpoint, available_now, state_partitions)
+        self._queries[name], self._tables[name], self._schemas[name] = query, table, view.schema
         return query
 
     def read(self, name: str, first_day: Column | None = None) -> DataFrame:
         """Rows so far; none before the first batch."""
-        path, keys, schema = f"{self._folder(name)}/table", self._keys[name], self._schemas[name]
-        return current_rows(self.spark, path, keys, first_day, schema) if keys else stored(self.spark, path, schema)
+        table = self._tables[name]
+        if table:
+            return table.read(first_day)
+        return stored(self.spark, f"{self._folder(name)}/table", self._schemas[name])
 
     def running(self) -> list[str]:
         return [name for name, query in self._queries.items() if query.isActive]
@@ -106,7 +109,7 @@ class LiveViews:
         """Stop a view and forget its rows: the next start begins with an empty table."""
         self.stop(name)
         self._queries.pop(name, None)
-        self._keys.pop(name, None)
+        self._tables.pop(name, None)
         self._schemas.pop(name, None)
         self._folder(name)
         self._generation[name] += 1

@@ -20,7 +20,8 @@ from ..functions.topics import build_topic
 from ..operators.rolling import all_ready
 from ..schemas import CONNECTOR_STATUS, MESSAGE
 from ..sources.messages import header
-from ..sources.sinks import BATCH, batch_schema, current_rows, started, stored, to_messages, write_batch
+from ..sources.keyed import EVERY, KeyedTable
+from ..sources.sinks import BATCH, batch_schema, started, stored, to_messages, write_batch
 
 # How a marker is recognised and where readiness is announced.
 MARKER_HEADER = "x-backfill-sentinel"
@@ -78,41 +79,25 @@ def _missing(error: AnalysisException) -> bool:
 
 
 class StatusTable:
-    """Connector status, keyed by connector, as an append-only table read latest-first.
+    """Connector status, keyed by connector: a :class:`KeyedTable` that one writer fills.
 
-    An upsert appends a version; readers see the newest of each connector. A version
+    An upsert is a version; readers see the newest of each connector. A version
     written again under the same number replaces itself.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, every: int = EVERY):
+        self._table = KeyedTable(spark, path, ["connector_name"], CONNECTOR_STATUS, every=every)
 
     def upsert(self, rows: DataFrame, version: int) -> None:
-        (
-            rows.select(*[F.col(f.name).cast(f.dataType) for f in CONNECTOR_STATUS.fields])
-            .withColumn("connector", F.col("connector_name"))
-            .withColumn(BATCH, F.lit(version).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("connector", BATCH).parquet(self.path)
-        )
+        self._table.write(rows.select(*[F.col(f.name).cast(f.dataType) for f in CONNECTOR_STATUS.fields]), version)
 
     def read(self) -> DataFrame | None:
         """Newest row of each connector; None when there is no table."""
-        try:
-            rows = current_rows(self.spark, self.path, ["connector_name"])
-        except AnalysisException as error:
-            if _missing(error):
-                return None
-            raise
-        return rows.select(*CONNECTOR_STATUS.fieldNames())
+        return self._table.read() if self._table.exists() else None
 
     def create(self) -> None:
         """The table without rows, unless it exists."""
-        if self.read() is None:
-            empty = self.spark.createDataFrame([], CONNECTOR_STATUS)
-            empty.withColumn("connector", F.col("connector_name")).withColumn(
-                BATCH, F.lit(0).cast("bigint")
-            ).write.mode("ignore").parquet(self.path)
+        self._table.create()
 
 
 def status_report(read: Callable[[], DataFrame | None], connector: str | None = None) -> dict:

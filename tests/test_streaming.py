@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from fleetviews import FleetClient, Registry, ViewSet, work_dir
 from fleetviews.operators import joins
@@ -17,6 +19,7 @@ from fleetviews.functions.values import JSON_TIMES
 from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
+from fleetviews.sources.keyed import KeyedTable
 from fleetviews.streaming import live, readiness, replay, subscription
 from fleetviews.streaming.progress import drain_progress, event_time_lag, query_samples, state_rows
 
@@ -118,6 +121,70 @@ def test_update_table_keeps_the_last_batch(spark):
     assert sorted(map(tuple, sinks.current_rows(spark, path, ["k"]).collect())) == [("a", 7), ("b", 1)]
 
 
+def _files(path):
+    return sum(len([n for n in names if n.startswith("part-")]) for _, _, names in os.walk(path))
+
+
+@pytest.mark.parametrize("day_of", [None, "t"])
+def test_folded_table_equals_its_batches(spark, day_of):
+    """Many small batches, some run again: rows as if never folded, files bounded."""
+    path, rng, want = work_dir(spark, "keyed"), random.Random(1), {}
+    schema = T.StructType.fromDDL("k string, t timestamp, n long")
+    times = [T0, T0 + timedelta(days=1), T0 + timedelta(days=400)] + ([None] if day_of else [])
+    table = KeyedTable(spark, path, ["k", "t"], schema, day_of, every=5)
+    most = 0
+    for batch_id in range(36):
+        changed = {(rng.choice("abc"), rng.choice(times)): rng.randrange(1000) for _ in range(2)}
+        frame = spark.createDataFrame([(*k, n) for k, n in changed.items()], schema).coalesce(1)
+        for _ in range(1 + (batch_id % 7 == 0)):
+            table.write(frame, batch_id)
+        if batch_id % 20 == 9:  # a new writer goes on, and a batch that is folded already changes nothing
+            table = KeyedTable(spark, path, ["k", "t"], schema, day_of, every=5)
+            table.write(frame.withColumn("n", F.lit(-1).cast("long")), table.manifest().through)
+        want |= changed
+        most = max(most, _files(path))
+        if batch_id % 6 == 5:
+            assert {(r.k, r.t): r.n for r in table.read().collect()} == want
+    assert table.manifest().through >= 28 and table.manifest().version >= 5
+    assert most <= 3 * (5 + 2) * (4 if day_of else 1) + 3 * 4 * 4 + 3
+    if day_of:
+        assert table.read(F.to_date(F.lit("2025-01-01"))).select("t").distinct().count() == 1
+
+
+def test_reader_keeps_its_snapshot(spark):
+    """What a reader planned before a fold still reads after it."""
+    path = work_dir(spark, "snapshot")
+    schema = T.StructType.fromDDL("k string, n long")
+    table = KeyedTable(spark, path, ["k"], schema, every=3)
+    put = lambda batch_id: table.write(spark.createDataFrame([("a", batch_id), (f"b{batch_id}", 0)], schema), batch_id)
+    for batch_id in range(6):
+        put(batch_id)
+    before = table.read()
+    for batch_id in range(6, 10):
+        put(batch_id)
+    assert before.where("k = 'a'").first()["n"] == 5 and before.count() == 7
+    assert table.read().where("k = 'a'").first()["n"] == 9
+
+
+def test_failed_fold_leaves_the_table_as_it_was(spark, monkeypatch):
+    path = work_dir(spark, "broken")
+    schema = T.StructType.fromDDL("k string, n long")
+    table = KeyedTable(spark, path, ["k"], schema, every=2)
+    put = lambda batch_id: table.write(spark.createDataFrame([("a", batch_id)], schema), batch_id)
+    put(0), put(1)
+
+    def lost(_manifest):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(table, "_publish", lost)
+        with pytest.raises(OSError):
+            put(2)
+    assert table.read().first()["n"] == 2 and table.manifest().version == -1
+    put(2), put(3)
+    assert table.read().first()["n"] == 3 and table.manifest().through == 1
+
+
 def test_update_table_by_day(spark):
     path = work_dir(spark, "daily")
     frame = lambda *r: spark.createDataFrame(r, "k string, t timestamp, n long")
