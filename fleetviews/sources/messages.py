@@ -28,7 +28,17 @@ CORRUPT = "_corrupt_record"
 _LINES = T.StructType([*MESSAGE.fields, T.StructField(CORRUPT, T.StringType())])
 
 
-def _envelopes(lines: DataFrame) -> DataFrame:
+#: Where a message lies in its folder: files by age, then name, then block. Rows of a block are numbered when
+#: a batch is at hand, see ``readiness.numbered``.
+POSITION = "position"
+
+
+def _position() -> Column:
+    place = [F.col(f"_metadata.{n}") for n in ("file_modification_time", "file_path", "file_block_start")]
+    return F.struct(*place).alias(POSITION)
+
+
+def _envelopes(lines: DataFrame, position: bool = False) -> DataFrame:
     """Message rows of parsed lines. A line that is not JSON, or whose envelope has a field of the
     wrong type, keeps nothing but its text, as ``value``: no topic leads it anywhere but to
     :func:`dead_letters`.
@@ -40,20 +50,24 @@ def _envelopes(lines: DataFrame) -> DataFrame:
     return lines.select(
         *[F.when(~bad, F.col(f)).alias(f) for f in fields],
         F.when(bad, F.col(CORRUPT)).otherwise(F.col("value")).alias("value"),
+        *([_position()] if position else []),
     )
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Batch of JSON-lines message files."""
-    return _envelopes(spark.read.schema(_LINES).option("columnNameOfCorruptRecord", CORRUPT).json(path))
+def read_messages(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """Batch of JSON-lines message files; ``position`` adds where each message lies."""
+    lines = spark.read.schema(_LINES).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return _envelopes(lines, position)
 
 
-def stream_messages(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_messages(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, position: bool = False
+) -> DataFrame:
     """The same folder as a stream; the trigger bound is the back-pressure knob."""
     reader = spark.readStream.schema(_LINES).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _envelopes(reader.json(path))
+    return _envelopes(reader.json(path), position)
 
 
 def kafka_messages(spark: SparkSession, servers: str, topics: str, **options: str) -> DataFrame:

@@ -11,15 +11,15 @@ import time
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from ..functions.timing import moment
 from ..functions.topics import build_topic
 from ..operators.rolling import all_ready
 from ..schemas import CONNECTOR_STATUS, MESSAGE
-from ..sources.messages import header
+from ..sources.messages import POSITION, header
 from ..sources.keyed import EVERY, KeyedTable
 from ..sources.sinks import BATCH, batch_schema, started, stored, to_messages, write_batch
 
@@ -28,10 +28,12 @@ MARKER_HEADER = "x-backfill-sentinel"
 MARKER_VALUE = "backfill-complete"
 MARKER_TOPIC = "fleet/system/sentinel"
 READY_HEADER = ("x-event", "connector-ready")
-READY_MESSAGE = (
-    "All historical events processed. All materialized views current. Safe to query."
-)
 # End of fixed values.
+READY_MESSAGE = "History is complete and every view holds it: queries see all of it."
+ARRIVAL = "arrival"
+
+#: Batches whose totals are kept, in a ring of folders.
+STATES = 4
 
 log = logging.getLogger(__name__)
 
@@ -59,6 +61,16 @@ def business(messages: DataFrame) -> DataFrame:
     return messages.where(~is_marker())
 
 
+def numbered(batch: DataFrame) -> DataFrame:
+    """A batch of messages with ``arrival`` in place of their position: one order over all batches.
+
+    Files count by age, name and block, and rows within a block as they are read. However a stream is cut
+    into batches, the same files give the same order.
+    """
+    row = F.monotonically_increasing_id()
+    return batch.withColumn(ARRIVAL, F.struct(f"{POSITION}.*", row.alias("row"))).drop(POSITION)
+
+
 def boundary_counts(messages: DataFrame, order: str) -> DataFrame:
     """One row: marker time, events before the first marker, all events, extra markers.
 
@@ -74,6 +86,10 @@ def boundary_counts(messages: DataFrame, order: str) -> DataFrame:
     )
 
 
+def _literal(value) -> Column:
+    return F.struct(*[_literal(v) for v in value]) if isinstance(value, Row) else F.lit(value)
+
+
 def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
@@ -116,7 +132,7 @@ def status_report(read: Callable[[], DataFrame | None], connector: str | None =
         rows = [r.asDict() for r in table.orderBy("connector_name").toLocalIterator()]
         if not rows:
             return {"ready": False, "connectors": [], "table_exists": True,
-                    "message": "Connector has not reported status yet"}
+                    "message": "No connector has written a status so far"}
         verdict = all_ready(table).first()
         return {"ready": verdict["ready"], "connectors": rows, "table_exists": True}
     except Exception as error:
@@ -178,14 +194,19 @@ class Connector:
     the barrier. Each write is addressed by batch number, so a batch repeated after a
     failure changes nothing.
 
-    ``views`` maps a name to a function from business messages to the view's rows;
-    ``order`` is the column that orders messages within the stream. ``cache_batches``
+    ``views`` maps a name to a function from business messages to the view's rows.
+    ``order`` is the column that says which messages lie before the marker; by default the
+    ``arrival`` of messages read with their position, which does not depend on how the stream
+    is cut into batches. With an event time, messages that arrive late are counted before it.
+    Totals run along: a batch starts from the state its predecessor left. The order of every
+    message is kept until the first marker is known, since only then it shows which of them
+    lie before it; later markers are duplicates. ``cache_batches``
     keeps a batch while its views are written: worth it for many views over small live
     batches, not for a backlog that arrives as one large batch.
     """
 
     def __init__(self, spark: SparkSession, name: str, root: str,
-                 views: dict[str, Callable[[DataFrame], DataFrame]], order: str,
+                 views: dict[str, Callable[[DataFrame], DataFrame]], order: str = ARRIVAL,
                  cache_batches: bool = False):
         self.spark, self.name, self.root, self.views, self.order = spark, name, root, views, order
         self.cache_batches = cache_batches
@@ -199,56 +220,75 @@ class Connector:
     def announcements(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/ready").drop(BATCH)
 
-    def _log(self) -> DataFrame | None:
+    def _state(self, batch_id: int | None = None) -> Row | None:
+        """Running totals after a batch, or after the last one."""
+        slot = "" if batch_id is None else f"/slot={batch_id % STATES}"
         try:
-            return self.spark.read.parquet(f"{self.root}/log")
+            rows = self.spark.read.parquet(f"{self.root}/log{slot}")
         except AnalysisException as error:
             if _missing(error):
                 return None
             raise
+        if batch_id is not None:
+            rows = rows.where(F.col(BATCH) == batch_id)
+        return rows.orderBy(F.col(BATCH).desc()).first()
 
     def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
         if self.cache_batches:
             batch = batch.persist()
         try:
+            seen = business(batch).drop(POSITION)
             for name, build in self.views.items():
-                write_batch(build(business(batch)), batch_id, f"{self.root}/views/{name}")
-            write_batch(boundary_counts(batch, self.order), batch_id, f"{self.root}/log")
+                write_batch(build(seen), batch_id, f"{self.root}/views/{name}")
+            self._count(numbered(batch) if POSITION in batch.columns else batch, batch_id)
         finally:
             if self.cache_batches:
                 batch.unpersist()
         self._report(batch_id)
 
+    def _count(self, batch: DataFrame, batch_id: int) -> None:
+        """The state after a batch, from the one before it and the batch's own rows."""
+        last = self._state(batch_id - 1)
+        first = last["first"] if last else None
+        places = batch.select(F.col(self.order).alias("place"), is_marker().alias("marker"), "ts")
+        if first is None:
+            path = f"{self.root}/arrivals/{BATCH}={batch_id}"
+            places.write.mode("overwrite").parquet(path)
+            places = self.spark.read.parquet(path)
+        kind = places.schema["place"].dataType
+        before = F.lit(False) if first is None else F.col("place") < _literal(first["place"]).cast(kind)
+        found = places.agg(
+            F.count_if(~F.col("marker")).alias("total"),
+            F.count_if("marker").alias("markers"),
+            F.count_if(~F.col("marker") & before).alias("before"),
+            F.min(F.when(F.col("marker"), F.struct("place", "ts"))).alias("first"),
+        ).first()
+        n_before = found["before"] + (last["before"] if last else 0)
+        if first is None and found["first"] is not None:
+            first = found["first"]
+            known = self.spark.read.parquet(f"{self.root}/arrivals").where(F.col(BATCH) <= batch_id)
+            n_before = known.where(~F.col("marker") & (F.col("place") < _literal(first["place"]).cast(kind))).count()
+        state = (
+            batch_id, found["total"] + (last["total"] if last else 0),
+            found["markers"] + (last["markers"] if last else 0), n_before, first,
+        )
+        schema = StructType.fromDDL(f"{BATCH} long, total long, markers long, before long").add(
+            "first", StructType([StructField("place", kind), StructField("ts", TimestampType())]))
+        self.spark.createDataFrame([state], schema).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/log/slot={batch_id % STATES}")
+
     def _report(self, batch_id: int) -> None:
-        """Status from the per-batch log: one short row per batch."""
-        history = self._log()
-        if history is None:
+        """Status after a batch."""
+        state, last = self._state(batch_id), self._state(batch_id - 1)
+        if state is None:
             return
-        batches = history.where(F.col(BATCH) <= batch_id)
-        marked = batches.where(F.col("sentinel_detected_at").isNotNull())
-        first = marked.agg(F.min(BATCH)).first()[0]
-        totals = batches.agg(
-            F.sum("total_events_consumed").alias("total"),
-            F.sum(F.when(F.col(BATCH) < first, F.col("total_events_consumed"))
-                  .when(F.col(BATCH) == first, F.col("events_before_sentinel"))).alias("before")
-            if first is not None else F.lit(0).alias("before"),
-            F.min(F.when(F.col(BATCH) == first, F.col("sentinel_detected_at"))).alias("at")
-            if first is not None else F.lit(None).cast("timestamp").alias("at"),
-            (F.sum("duplicate_markers") + F.greatest(F.count("sentinel_detected_at") - 1, F.lit(0))).alias("extra"),
-        )
-        extra = totals.first()["extra"]
-        if extra:
-            log.warning("%s: %d further boundary markers ignored", self.name, extra)
-        row = totals.select(
-            F.lit(self.name).alias("connector_name"),
-            F.lit(first is not None).alias("is_ready"),
-            F.col("at").alias("sentinel_detected_at"),
-            F.col("before").alias("events_before_sentinel"),
-            F.col("total").alias("total_events_consumed"),
-            F.current_timestamp().alias("last_updated"),
-        )
-        self.status.upsert(row, batch_id)
-        if first == batch_id:
+        first, markers = state["first"], state["markers"]
+        if markers > max(1, last["markers"] if last else 0):
+            log.warning("%s: %d further boundary markers ignored", self.name, markers - 1)
+        row = (self.name, first is not None, first["ts"] if first else None, state["before"], state["total"])
+        status = self.spark.createDataFrame([(*row, None)], CONNECTOR_STATUS)
+        self.status.upsert(status.withColumn("last_updated", F.current_timestamp()), batch_id)
+        if first is not None and not (last and last["first"] is not None):
             self._announce(batch_id)
 
     def _announce(self, version: int) -> None:
@@ -260,13 +300,11 @@ class Connector:
         self._schemas = {
             name: batch_schema(build(business(messages)).schema) for name, build in self.views.items()
         }
-        history = self._log()
-        if history is not None:
-            last = history.agg(F.max(BATCH)).first()[0]
-            self._report(last)
-            table = self.status.read()
-            if readiness_metadata(table, self.name):
-                self._announce(last)
+        state = self._state()
+        if state is not None:
+            self._report(state[BATCH])
+            if state["first"] is not None:
+                self._announce(state[BATCH])
         writer = messages.writeStream.foreachBatch(self._on_batch).option(
             "checkpointLocation", f"{self.root}/checkpoint"
         )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fleetviews.functions.timing import moment
 from fleetviews.operators.joins import TWO_MINUTES
@@ -235,6 +236,45 @@ def _(f):
     return readiness.boundary_counts(rows, "ts")
 
 
+@check("a11_boundary_by_arrival", f"""SELECT n AS files_a_batch, true AS is_ready, TIMESTAMP '{MARKER_AT}' AS sentinel_detected_at,
+    count(*) FILTER (seq % 4 < 2) AS events_before_sentinel, count(*) AS total_events_consumed
+  FROM base, (VALUES (0), (7), (2)) v(n) GROUP BY n""")
+def _(f):
+    """Messages arrive in four files whose event times overlap, the marker between the second and the
+    third: however many files a batch takes, what lies before it is what arrived before it."""
+    source = f.work("a11")
+    rows = f.table.messages()
+    for part in range(4):
+        if part == 2:
+            sinks.publish(readiness.marker(f.spark, MARKER_AT), f"{source}/2-marker")
+        sinks.publish(rows.where(F.col("seq") % 4 == part).drop("seq").coalesce(1), f"{source}/{part}-rows")
+    answers = []
+    for files in (0, 7, 2):
+        connector = readiness.Connector(f.spark, "fleet_events", f.work(f"a11-{files}"), {})
+        coming = messages.stream_messages(f.spark, f"{source}/*/*", files or None, position=True)
+        connector.start(coming, available_now=True).awaitTermination()
+        answers.append(connector.status.read().select(
+            F.lit(files).alias("files_a_batch"), "is_ready", "sentinel_detected_at", "events_before_sentinel",
+            "total_events_consumed",
+        ))
+    return reduce(DataFrame.unionByName, answers)
+
+
+@check("s12_folded_view", f"SELECT {WINDOW_ROW} FROM windows")
+def _(f):
+    """A tumbling view over twelve batches, folded after every third: the rows are those of one batch."""
+    rows = f.table.messages()
+    coming = _in_batches(f, "s12m", [rows.where(F.col("seq") % 12 == i) for i in range(12)])
+    telemetry = views.telemetry_raw(messages.typed_source(coming, "telemetry"))
+    running = LiveViews(f.spark, f.work("s12f"))
+    # The batches overlap in time by the whole day, so nothing may count as late.
+    view = live.live_speed_avg(telemetry, delay="2 days")
+    running.start(
+        "speeds", view, ["vehicle_id", "window_start"], True, "window_start", compact_every=3
+    ).awaitTermination()
+    return six(running.read("speeds"), "avg_speed_mph")
+
+
 @check("s19_marked_messages", "SELECT (SELECT count(*) FROM base) AS business, 1::BIGINT AS markers")
 def _(f):
     rows = f.table.messages().drop("seq").unionByName(readiness.marker(f.spark, MARKER_AT))

@@ -362,6 +362,28 @@ def test_connector_over_restarts(spark, cached):
     batch = messages.read_messages(spark, source).where(F.col("ts") > T0 + timedelta(seconds=5))
     connector._on_batch(batch, 2)
     assert rows(connector.view("alerts")) == before
+    assert connector._state(2)["total"] == 5 and connector._state(2)["markers"] == 2
+
+
+@pytest.mark.parametrize("order, before", [("arrival", 5), ("ts", 6)])
+def test_boundary_does_not_depend_on_batches(spark, order, before):
+    """Files in turn, with a late and an early message on both sides of the marker."""
+    source = work_dir(spark, "cuts")
+    for entries in ([(1, False), (9, False)], [(2, False)], [(3, False), (4, False), (5, True), (0, False)],
+                    [(6, False)], [(4, False), (7, True)], [(8, False)]):
+        write_messages(spark, source, *entries)
+    answers = set()
+    for files in (None, 3, 2, 1):
+        connector = readiness.Connector(
+            spark, "cut", work_dir(spark, "cut"),
+            {"alerts": lambda m: ops.events_raw(messages.typed_source(m, "events"))}, order)
+        coming = messages.stream_messages(spark, source, files, position=True)
+        connector.start(coming, available_now=True).awaitTermination()
+        state = connector.status.read().first()
+        assert connector.view("alerts").count() == 9
+        answers.add((state["is_ready"], state["sentinel_detected_at"], state["events_before_sentinel"],
+                     state["total_events_consumed"], connector._state()["markers"]))
+    assert answers == {(True, T0 + timedelta(seconds=5), before, 9, 2)}
 
 
 def test_boundary_without_marker(spark):
