@@ -212,6 +212,7 @@ class Connector:
         self.cache_batches = cache_batches
         self.status = StatusTable(spark, f"{root}/status")
         self._schemas: dict[str, StructType] = {}
+        self._known: Row | None = None
 
     def view(self, name: str) -> DataFrame:
         """Rows of a view so far. Once started, a view that got no rows yet is empty."""
@@ -222,6 +223,8 @@ class Connector:
 
     def _state(self, batch_id: int | None = None) -> Row | None:
         """Running totals after a batch, or after the last one."""
+        if self._known is not None and self._known[BATCH] == batch_id:
+            return self._known
         slot = "" if batch_id is None else f"/slot={batch_id % STATES}"
         try:
             rows = self.spark.read.parquet(f"{self.root}/log{slot}")
@@ -240,15 +243,16 @@ class Connector:
             seen = business(batch).drop(POSITION)
             for name, build in self.views.items():
                 write_batch(build(seen), batch_id, f"{self.root}/views/{name}")
-            self._count(numbered(batch) if POSITION in batch.columns else batch, batch_id)
+            last = self._state(batch_id - 1)
+            state = self._count(numbered(batch) if POSITION in batch.columns else batch, batch_id, last)
         finally:
             if self.cache_batches:
                 batch.unpersist()
-        self._report(batch_id)
+        self._report(state, last)
+        self._known = state
 
-    def _count(self, batch: DataFrame, batch_id: int) -> None:
+    def _count(self, batch: DataFrame, batch_id: int, last: Row | None) -> Row:
         """The state after a batch, from the one before it and the batch's own rows."""
-        last = self._state(batch_id - 1)
         first = last["first"] if last else None
         places = batch.select(F.col(self.order).alias("place"), is_marker().alias("marker"), "ts")
         if first is None:
@@ -268,7 +272,7 @@ class Connector:
             first = found["first"]
             known = self.spark.read.parquet(f"{self.root}/arrivals").where(F.col(BATCH) <= batch_id)
             n_before = known.where(~F.col("marker") & (F.col("place") < _literal(first["place"]).cast(kind))).count()
-        state = (
+        state = Row(BATCH, "total", "markers", "before", "first")(
             batch_id, found["total"] + (last["total"] if last else 0),
             found["markers"] + (last["markers"] if last else 0), n_before, first,
         )
@@ -276,12 +280,11 @@ class Connector:
             "first", StructType([StructField("place", kind), StructField("ts", TimestampType())]))
         self.spark.createDataFrame([state], schema).coalesce(1).write.mode("overwrite").parquet(
             f"{self.root}/log/slot={batch_id % STATES}")
+        return state
 
-    def _report(self, batch_id: int) -> None:
-        """Status after a batch."""
-        state, last = self._state(batch_id), self._state(batch_id - 1)
-        if state is None:
-            return
+    def _report(self, state: Row, last: Row | None) -> None:
+        """Status after a batch, whose predecessor left ``last``."""
+        batch_id = state[BATCH]
         first, markers = state["first"], state["markers"]
         if markers > max(1, last["markers"] if last else 0):
             log.warning("%s: %d further boundary markers ignored", self.name, markers - 1)
@@ -302,7 +305,7 @@ class Connector:
         }
         state = self._state()
         if state is not None:
-            self._report(state[BATCH])
+            self._report(state, state)
             if state["first"] is not None:
                 self._announce(state[BATCH])
         writer = messages.writeStream.foreachBatch(self._on_batch).option(

@@ -16,7 +16,7 @@ from fleetviews.plans.viewset import ViewSet
 from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
-from fleetviews.streaming import live, readiness, replay
+from fleetviews.streaming import live, readiness, replay, stored
 from .analytics import CONTEXT_ROW, HOPPING, WINDOW_ROW, six
 from .base import NOW, check
 from .rows import EVENT_ROW, damaged
@@ -424,3 +424,36 @@ def _(f):
     log = f.client.web_records(*args).withColumnRenamed("body", "event")
     topic = F.coalesce(F.get_json_object("event", "$.topic"), F.col("event")).alias("topic")
     return _payload(log.select("type", "step", "event_time", "event", topic), "type", "step")
+
+
+# --- rows that come late ---
+
+def _scattered(f, name):
+    """Messages in five batches, each from all over the day: most rows are hours behind the newest."""
+    rows = f.table.messages()
+    return _in_batches(f, name, [rows.where(F.col("seq") % 5 == i) for i in (3, 0, 4, 1, 2)])
+
+
+def _typed(coming, kind):
+    return {"events": views.events_raw, "telemetry": views.telemetry_raw}[kind](messages.typed_source(coming, kind))
+
+
+@check("r04_context_of_late_rows", f"SELECT {CONTEXT_ROW} FROM context")
+def _(f):
+    """The interval join over stored rows: no pair is lost or doubled by the order of arrival."""
+    coming, context = _scattered(f, "r04m"), stored.StoredContext(f.spark, f.work("r04s"))
+    context.start(_typed(coming, "events"), _typed(coming, "telemetry"), available_now=True).awaitTermination()
+    return context.read()
+
+
+@check("r20_once_with_late_copies", "SELECT vehicle_id, occurred_at, event_type FROM alerts")
+def _(f):
+    """Every alert comes twice within its batch and once more in a later one."""
+    rows = f.table.messages()
+    parts = [rows.where(F.col("seq") % 3 == i) for i in range(3)]
+    coming = _in_batches(f, "r20m", [parts[0].unionAll(parts[0]), parts[1].unionAll(parts[0]), parts[2].unionAll(parts[1])])
+    stream, root = _typed(coming, "events").select("vehicle_id", "occurred_at", "event_type"), f.work("r20l")
+    stored.start_once_per_key(
+        stream, ["vehicle_id", "occurred_at"], "occurred_at", f"{root}/t", f"{root}/c", available_now=True
+    ).awaitTermination()
+    return stored.once_rows(f.spark, f"{root}/t", stream)

@@ -20,7 +20,7 @@ from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
 from fleetviews.sources.keyed import KeyedTable
-from fleetviews.streaming import live, readiness, replay, subscription
+from fleetviews.streaming import live, readiness, replay, stored, subscription
 from fleetviews.streaming.progress import drain_progress, event_time_lag, query_samples, state_rows
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -51,6 +51,31 @@ def test_whole_stream_join_equals_batch(spark, views, stream):
     assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < state_rows(query.recentProgress)
 
 
+def test_late_rows_find_their_context(spark):
+    """Arrivals in any order, equal rows, null times and a batch run again: the pairs of the batch join."""
+    rng = random.Random(6)
+    topic = lambda kind: f"fleet/{kind}/v/x"
+    entries = []
+    for _ in range(120):
+        at = T0 + timedelta(seconds=rng.randrange(0, 9000))
+        body = {"vehicle_id": rng.choice("vw"), "severity": "high", "event_type": "e", "speed": 1.0}
+        entries.append((topic(rng.choice(["events", "telemetry", "telemetry"])), at, None, json.dumps(body)))
+    entries += entries[:10] + [(topic("events"), None, None, entries[0][3]), (topic("telemetry"), None, None, entries[0][3])]
+    rng.shuffle(entries)
+    frame = lambda part: spark.createDataFrame(part, MESSAGE)
+    parts = [entries[i::4] for i in range(4)]
+    typed = lambda m: (ops.events_raw(messages.typed_source(m, "events")), ops.telemetry_raw(messages.typed_source(m, "telemetry")))
+    root = work_dir(spark, "late")
+    context = stored.StoredContext(spark, f"{root}/context")
+    context.start(*typed(_in_files(spark, f"{root}/m", map(frame, parts))), available_now=True).awaitTermination()
+    want = rows(joins.alerts_with_context(*typed(frame(entries))))
+    assert rows(context.read()) == want and len(want) > 20
+    kept = spark.read.schema(context._schema).parquet(f"{root}/context/rows")
+    again = kept.where(f"{sinks.BATCH} = 2").drop(sinks.BATCH)
+    context._on_batch(spark.createDataFrame(again.collect(), again.schema), 2)
+    assert rows(context.read()) == want
+
+
 def test_unified_stream_joins_itself(spark, views):
     unified = EventsTable(spark, SF_DIR).unified()
     coming = live.watermarked(EventsTable(spark, SF_DIR, streaming=True).unified(), "ts")
