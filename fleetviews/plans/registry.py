@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.topics import is_wild, pattern_regex, pattern_regex_column
 from ..schemas import REGISTRY_MAPPING
+from . import topic_table
 
 
 @dataclass(frozen=True)
@@ -66,8 +67,7 @@ class Registry:
     def position_of(self, pattern: Column) -> Column:
         """The same choice for a column of patterns: position of the entry, or NULL.
 
-        The entries compile into one expression over the row, so resolving any number
-        of patterns is a projection, with no join against the registry.
+        The entries compile into one expression over the row: for streams, and a handful of entries.
         """
         regex = pattern_regex_column(pattern)
         tests = []
@@ -80,7 +80,13 @@ class Registry:
         return F.coalesce(*tests)
 
     def resolved(self, patterns: DataFrame, column: str = "pattern") -> DataFrame:
-        """Adds the chosen entry's ``mapped_pattern``, ``mv`` and ``time_column``."""
+        """Adds the chosen entry's ``mapped_pattern``, ``mv`` and ``time_column``.
+
+        A batch meets the entries as a table, however many there are; a stream, which cannot be folded to
+        its distinct patterns, gets them as an expression.
+        """
+        if not patterns.isStreaming:
+            return topic_table.resolved(self.to_df(patterns.sparkSession), patterns, column)
         position = self.position_of(F.col(column))
         picked = F.get(
             F.array(*[

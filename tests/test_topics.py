@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetviews.functions import topics
-from fleetviews.plans import catalog
+from fleetviews.plans import catalog, topic_table
 from fleetviews.plans.registry import Mapping, Registry, UnknownPattern
 from fleetviews.plans.viewset import ViewSet
 from fleetviews.schemas import CATALOG_EVENT, CATALOG_EVENT_VERSION, CATALOG_SCHEMA_VERSION
@@ -58,6 +59,45 @@ def test_resolution_table(spark, pattern, expected):
     assert frame.first()["mapped_pattern"] == expected
 
 
+def test_table_resolves_like_the_registry(spark):
+    """Random entries and patterns, with empty, odd and repeated levels, against one pattern at a time."""
+    rng = random.Random(8)
+    words = ("a", "b", "x", "y", "", "*", "*", ">", "a*b", "a.b", "x>")
+    text = lambda: "/".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+    registry = Registry([Mapping(text(), f"v{i}", rng.choice([None, "t"])) for i in range(60)])
+    asked = sorted({text() for _ in range(900)})
+    frame = spark.createDataFrame([(t,) for t in asked] + [(asked[5],), (None,)], "pattern string")
+    got = registry.resolved(frame).collect()
+    assert len(got) == len(asked) + 2
+
+    def expected(pattern):
+        try:
+            m = registry.resolve(pattern)
+            return m.pattern, m.mv, m.time_column
+        except UnknownPattern:
+            return None, None, None
+
+    found = 0
+    for row in got:
+        if row["pattern"] is None:
+            assert row["mv"] is None
+        else:
+            assert tuple(row)[1:] == expected(row["pattern"]), row
+            found += row["mv"] is not None
+    assert found > 300
+
+
+def test_large_registry_has_no_expression_per_entry(spark):
+    entries = spark.range(5000).select(
+        F.col("id").alias("position"), F.format_string("site/%d/line/*/m%d", F.col("id") % 700, F.col("id")).alias("pattern"),
+        F.concat(F.lit("v"), "id").alias("mv"), F.lit("t").alias("time_column"))
+    asked = spark.range(4000).select(F.format_string("site/%d/line/7/m%d", F.col("id") % 700, F.col("id")).alias("pattern"))
+    got = topic_table.resolved(entries, asked)
+    assert got.where(F.col("mv") == F.concat(F.lit("v"), F.regexp_extract("pattern", "m([0-9]+)$", 1))).count() == 4000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and len(plan) < 20_000 and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_registry_round_trip_and_listing(spark):
     extra = Mapping("fleet/telemetry/*/position", "vehicle_speeds", None, spatial={"boston": "vehicles_in_region_boston"})
     repeated = Mapping("fleet/events/*", "other_view", "occurred_at")
