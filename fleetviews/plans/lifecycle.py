@@ -63,20 +63,23 @@ class LiveViews:
 
     def start(self, name: str, view: DataFrame, keys: list[str] | None = None,
               available_now: bool = False, day_of: str | None = None,
-              state_partitions: int | None = None, compact_every: int = EVERY) -> StreamingQuery:
+              state_partitions: int | None = None, compact_every: int = EVERY, feed: bool = False) -> StreamingQuery:
         """Start maintaining a view; returns at once. A running view is left alone.
 
         With ``keys`` the view changes rows in place (update mode) in a :class:`KeyedTable`, whose
         deltas are folded after ``compact_every`` batches; without it only appends. ``day_of`` names a time among the keys by whose day an update table is
         partitioned. ``state_partitions`` is the width of the view's state, fixed by its
-        first start: give it where the cluster may still be small then.
+        first start: give it where the cluster may still be small then. ``feed`` keeps the changes
+        of a keyed view, see :meth:`changes`.
         """
         running = self._queries.get(name)
         if running is not None and running.isActive:
             return running
         folder = self._folder(name)
         path, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
-        table = KeyedTable(self.spark, path, keys, view.schema, day_of, compact_every) if keys else None
+        table = KeyedTable(self.spark, path, keys, view.schema, day_of, compact_every, feed=feed) if keys else None
+        if table and feed:
+            table.open_feed()
         if table:
             query = keyed_stream(view, table, checkpoint, available_now, state_partitions)
         else:
@@ -91,6 +94,10 @@ class LiveViews:
             return table.read(first_day)
         return stored(self.spark, f"{self._folder(name)}/table", self._schemas[name])
 
+    def changes(self, name: str, max_files: int | None = None) -> DataFrame:
+        """The change feed of a keyed view that was started with one, as a stream."""
+        return self._tables[name].change_feed(max_files)
+
     def running(self) -> list[str]:
         return [name for name, query in self._queries.items() if query.isActive]
 

@@ -10,11 +10,16 @@ the number of files depends on the days and on ``every``, not on how long the ta
 
 One stream writes a table. A batch that is run again replaces its delta; one that the base already
 holds changes nothing.
+
+A row can also be taken back: a batch writes its key with ``gone`` set. Readers do not see it, and the next
+fold forgets it. With a feed, every batch also writes what it changed, as images before and after, in a
+folder that only grows: a stream over it is a change feed, and that stream's checkpoint the position in it.
 """
 
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -40,12 +45,13 @@ class KeyedTable:
     """Rows by key, each as the last batch that changed it wrote it.
 
     ``rows`` is their schema. With ``day_of``, a time among the keys, the table is partitioned by its day.
+    ``gone`` names a boolean among the rows that takes a key back.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], rows: T.StructType,
-                 day_of: str | None = None, every: int = EVERY):
+                 day_of: str | None = None, every: int = EVERY, gone: str | None = None, feed: bool = False):
         self.spark, self.path, self.keys, self.rows = spark, path, keys, rows
-        self.day_of, self.every = day_of, every
+        self.day_of, self.every, self.gone, self.feed = day_of, every, gone, feed
         self._last: Manifest | None = None
 
     def _stored(self, folder: str, schema: T.StructType | str) -> DataFrame | None:
@@ -86,7 +92,13 @@ class KeyedTable:
         if self.day_of:
             rows = rows.withColumn(DAY, F.to_date(self.day_of))
         slot = batch_id % (RING * (self.every + 2))
+        if self.feed:
+            rows = rows.persist()
+            self._changes(changed if not self.day_of else rows, batch_id).write.mode("overwrite").parquet(
+                f"{self.path}/changes/{BATCH}={batch_id}")
         rows.write.mode("overwrite").partitionBy(*[DAY] * bool(self.day_of)).parquet(f"{self.path}/delta/slot={slot}")
+        if self.feed:
+            rows.unpersist()
         # The batch itself may be run again, those before it never are.
         if batch_id - 1 - self._last.through >= self.every:
             self.fold(batch_id - 1)
@@ -104,7 +116,7 @@ class KeyedTable:
                 continue
             parts = tuple((d, slots[d]) for d in moved if d in slots)
             rows = behind.where(self._on(moved)) if self.day_of else behind
-            whole = self._folded(self._base(parts).unionByName(rows)).withColumn("slot", F.lit(slot))
+            whole = self._standing(self._folded(self._base(parts).unionByName(rows))).withColumn("slot", F.lit(slot))
             names = [DAY, "slot"] if self.day_of else ["slot"]
             (
                 whole.hint("rebalance", *names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -154,13 +166,63 @@ class KeyedTable:
         last = rows.groupBy(*self.keys, *days).agg(F.max(F.struct(BATCH, *rest)).alias("_last"))
         return last.select(*self.keys, *[F.col(f"_last.{c}").alias(c) for c in rest], *days, F.col(f"_last.{BATCH}").alias(BATCH))
 
-    def read(self, first_day: Column | None = None, batches: bool = False) -> DataFrame:
-        """The state now; ``first_day`` bounds which days are read at all, ``batches`` keeps the last batch."""
+    def _standing(self, rows: DataFrame) -> DataFrame:
+        return rows.where(~F.coalesce(F.col(self.gone), F.lit(False))) if self.gone else rows
+
+    def read(self, first_day: Column | None = None, before: int | None = None) -> DataFrame:
+        """The state now; ``first_day`` bounds which days are read at all. ``before`` leaves out what a batch
+        and later ones wrote; for the writer, whose base never holds the batch it is at."""
         state = self.manifest()
-        rows = self._base(state.parts).unionByName(self._deltas(state))
+        deltas = self._deltas(state)
+        if before is not None:
+            deltas = deltas.where(F.col(BATCH) < before)
+        rows = self._base(state.parts).unionByName(deltas)
         if first_day is not None:
             rows = rows.where(F.col(DAY) >= first_day)
-        return self._folded(rows).select(*self.rows.names, *[BATCH] * batches)
+        return self._standing(self._folded(rows)).select(*self.rows.names)
+
+    # --- change feed ---
+
+    def _images(self) -> list[str]:
+        return [c for c in self.rows.names if c not in self.keys and c != self.gone]
+
+    def _changes(self, changed: DataFrame, batch_id: int) -> DataFrame:
+        """What a batch changes: keys, ``kind`` (insert, update, retract) and the images on both sides."""
+        image = F.struct(*self._images())
+        first = changed.agg(F.min(DAY)).scalar() if self.day_of else None
+        old = self.read(first, batch_id).select(
+            *[F.col(k).alias(f"_{k}") for k in self.keys], image.alias("before"), F.lit(True).alias("_known"))
+        gone = F.coalesce(F.col(self.gone), F.lit(False)) if self.gone else F.lit(False)
+        new = changed.select(*self.keys, F.when(~gone, image).alias("after"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys])
+        both = new.join(old, same, "left")
+        kind = (
+            F.when(F.col("after").isNull(), F.when(F.col("_known"), "retract"))
+            .when(F.col("_known").isNull(), "insert")
+            .when(~F.col("after").eqNullSafe(F.col("before")), "update")
+        )
+        return both.select(*self.keys, kind.alias("kind"), "before", "after").where("kind IS NOT NULL")
+
+    def changes_schema(self) -> T.StructType:
+        image = T.StructType([self.rows[c] for c in self._images()])
+        return T.StructType([
+            *[self.rows[k] for k in self.keys], T.StructField("kind", T.StringType()),
+            T.StructField("before", image), T.StructField("after", image), T.StructField(BATCH, T.LongType()),
+        ])
+
+    def change_feed(self, max_files: int | None = None) -> DataFrame:
+        """The changes as a stream, each once; a consumer's checkpoint remembers how far it got.
+
+        The feed's folder must be there: :meth:`open_feed` makes it before the first batch.
+        """
+        reader = self.spark.readStream.schema(self.changes_schema())
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.parquet(f"{self.path}/changes")
+
+    def open_feed(self) -> None:
+        fields = [f for f in self.changes_schema().fields if f.name != BATCH]
+        self.spark.createDataFrame([], T.StructType(fields)).write.mode("ignore").parquet(f"{self.path}/changes/{BATCH}=-1")
 
 
 def keyed_stream(view: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = False,

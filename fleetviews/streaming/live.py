@@ -7,10 +7,12 @@ spreads, and rolling results that age without input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.timing import interval, moment, parse_duration
 from ..functions.topics import topic_matches
@@ -18,6 +20,7 @@ from ..operators.joins import TWO_MINUTES, alerts_with_context
 from ..operators.rolling import HOUR, fleet_alert_summary, vehicle_event_counts
 from ..operators.views import all_of, severity_is
 from ..operators.windows import FIVE_MINUTES, vehicle_speed_avg
+from ..sources.keyed import KeyedTable
 from ..sources.sinks import started
 
 DELAY = "10 minutes"
@@ -92,6 +95,47 @@ def rolling_event_counts(spark: SparkSession, path: str, as_of=None, span=HOUR)
     return vehicle_event_counts(rolling_rows(spark, path, as_of, span), as_of, span)
 
 
+def rolling_table(
+    spark: SparkSession, path: str, build: Callable[..., DataFrame] = fleet_alert_summary,
+    keys: tuple[str, ...] = ("severity",), feed: bool = False,
+) -> KeyedTable:
+    """The table that :func:`start_rolling_view` keeps; its columns are those of ``build``."""
+    no_rows = spark.createDataFrame([], "vehicle_id string, severity string, occurred_at timestamp")
+    rows = StructType([*build(no_rows).schema.fields, StructField("gone", BooleanType())])
+    return KeyedTable(spark, path, list(keys), rows, gone="gone", feed=feed)
+
+
+def start_rolling_view(
+    ticks: DataFrame, source: str, table: KeyedTable, checkpoint: str,
+    build: Callable[..., DataFrame] = fleet_alert_summary, span=HOUR, available_now: bool = False,
+) -> StreamingQuery:
+    """A rolling view that is kept: its rows change and leave as time passes, without new input.
+
+    ``ticks`` is a stream with a ``timestamp``, such as Spark's rate source; the newest tick of a batch is
+    its "now". Each batch builds the view over the span's rows of the rolling table ``source``, whose hours
+    bound what is read, and writes what differs from the state before it: new and changed rows, and the
+    keys that no row supports any more as gone. Distinct vehicles are counted anew and therefore exact.
+    """
+    spark = ticks.sparkSession
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        now = batch.agg(F.max("timestamp")).first()[0]
+        if now is None:
+            return
+        current = build(rolling_rows(spark, source, F.lit(now), span), F.lit(now), span)
+        measures = [c for c in current.columns if c not in table.keys]
+        was = table.read(before=batch_id).select(*table.keys, F.struct(*measures).alias("_was"))
+        both = current.select(*table.keys, F.struct(*measures).alias("_is")).join(was, table.keys, "full")
+        differs = both.where(~F.col("_is").eqNullSafe(F.col("_was")))
+        table.write(
+            differs.select(*table.keys, *[F.col(f"_is.{c}").alias(c) for c in measures], F.col("_is").isNull().alias("gone")),
+            batch_id,
+        )
+
+    writer = ticks.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return started(ticks, writer, available_now)
+
+
 def change_feed(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """New rows of an append view's table as a stream, to trigger a consumer."""
     return spark.readStream.schema(schema or spark.read.parquet(path).schema).parquet(path)

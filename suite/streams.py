@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetviews.functions.timing import moment
 from fleetviews.operators.joins import TWO_MINUTES
@@ -457,3 +457,56 @@ def _(f):
         stream, ["vehicle_id", "occurred_at"], "occurred_at", f"{root}/t", f"{root}/c", available_now=True
     ).awaitTermination()
     return stored.once_rows(f.spark, f"{root}/t", stream)
+
+
+# --- kept views and their changes ---
+
+TICKS = ("2024-01-01 11:00:00", "2024-01-01 12:00:00", "2024-01-01 12:20:00", "2024-01-01 12:45:00", "2024-01-01 14:00:00")
+
+
+@check("r03_rows_leave_by_time", f"""SELECT t AS as_of, severity, count(*) AS alert_count, count(DISTINCT vehicle_id) AS affected_vehicles
+  FROM alerts, (VALUES {', '.join(f"(TIMESTAMP '{t}')" for t in TICKS)}) v(t) WHERE occurred_at > t - INTERVAL 1 HOUR GROUP BY ALL""")
+def _(f):
+    """The rolling summary after each tick; no alert arrives between ticks, and the last one empties it.
+
+    A tick's "now" bounds the hour from below only, as the view does.
+    """
+    source, folder = _rolling_table(f, "r03t"), f.work("r03k")
+    table, states = live.rolling_table(f.spark, f"{folder}/table"), []
+    for i, at in enumerate(TICKS):
+        f.spark.range(1).select(moment(at).alias("timestamp")).write.parquet(f"{folder}/ticks/{i}")
+        ticks = f.spark.readStream.schema("timestamp timestamp").parquet(f"{folder}/ticks/*")
+        live.start_rolling_view(ticks, source, table, f"{folder}/checkpoint", available_now=True).awaitTermination()
+        state = f"{folder}/state/{i}"
+        table.read().select(moment(at).alias("as_of"), "severity", "alert_count", "affected_vehicles").write.parquet(state)
+        states.append(f.spark.read.parquet(state))
+    return reduce(DataFrame.unionByName, states)
+
+
+@check("r19_row_versions", """, b AS (SELECT vehicle_id, time_bucket(INTERVAL 5 MINUTE, recorded_at, TIMESTAMP '1970-01-01') AS window_start,
+    seq % 3 AS batch, count(*) AS n FROM telemetry GROUP BY ALL),
+  v AS (SELECT vehicle_id, window_start, batch, sum(n) OVER w AS after, sum(n) OVER w - n AS before FROM b
+    WINDOW w AS (PARTITION BY vehicle_id, window_start ORDER BY batch))
+  SELECT vehicle_id, window_start, row_number() OVER w AS version, CASE WHEN before = 0 THEN 'insert' ELSE 'update' END AS kind,
+    CAST(nullif(before, 0) AS BIGINT) AS before, CAST(after AS BIGINT) AS after FROM v
+    WINDOW w AS (PARTITION BY vehicle_id, window_start ORDER BY batch)""")
+def _(f):
+    """A consumer of a tumbling view's changes: every version of every window once, although it stops between."""
+    rows = f.table.messages()
+    root, batches = f.work("r19v"), f.work("r19m")
+    running = LiveViews(f.spark, root)
+    for i in range(3):
+        rows.where(F.col("seq") % 3 == i).drop("seq").write.parquet(f"{batches}/{i}")
+        schema = rows.drop("seq").schema
+        coming = f.spark.readStream.schema(schema).parquet(f"{batches}/*")
+        view = live.live_speed_avg(_typed(coming, "telemetry"), delay="2 days")
+        running.start("speeds", view, ["vehicle_id", "window_start"], True, "window_start", compact_every=1, feed=True
+                      ).awaitTermination()
+        sinks.append_stream(
+            running.changes("speeds"), f"{root}/consumed", f"{root}/position", available_now=True
+        ).awaitTermination()
+    versions = Window.partitionBy("vehicle_id", "window_start").orderBy(sinks.BATCH)
+    return f.spark.read.parquet(f"{root}/consumed").select(
+        "vehicle_id", "window_start", "kind", F.col("before.sample_count").alias("before"),
+        F.col("after.sample_count").alias("after"), F.row_number().over(versions).alias("version"),
+    )

@@ -191,6 +191,49 @@ def test_reader_keeps_its_snapshot(spark):
     assert table.read().where("k = 'a'").first()["n"] == 9
 
 
+def test_changes_of_a_keyed_table(spark):
+    """Insert, update, retract and insert again; equal rows and batches run again change nothing."""
+    path = work_dir(spark, "changes")
+    schema = T.StructType.fromDDL("k string, n long, gone boolean")
+    table = KeyedTable(spark, path, ["k"], schema, every=2, gone="gone", feed=True)
+    table.open_feed()
+    frame = lambda *r: spark.createDataFrame(list(r), schema)
+    batches = [
+        frame(("a", 1, False), ("b", 1, False)), frame(("a", 2, False), ("b", 1, False)), frame(("a", None, True)),
+        frame(("z", None, True)), frame(("a", 3, False), (None, 5, False)), frame((None, 6, False)),
+    ]
+    for batch_id, rows_ in enumerate(batches):
+        for _ in range(1 + batch_id % 2):
+            table.write(rows_, batch_id)
+    sinks.append_stream(table.change_feed(1), f"{path}-out", f"{path}-c", available_now=True).awaitTermination()
+    value = lambda image: image["n"] if image else None
+    got = sorted((r[sinks.BATCH], r["k"] or "", r["kind"], value(r["before"]), value(r["after"]))
+                 for r in spark.read.parquet(f"{path}-out").collect())
+    assert got == [(0, "a", "insert", None, 1), (0, "b", "insert", None, 1), (1, "a", "update", 1, 2),
+                   (2, "a", "retract", 2, None), (4, "", "insert", None, 5), (4, "a", "insert", None, 3),
+                   (5, "", "update", 5, 6)]
+    assert {r["k"]: r["n"] for r in table.read().collect()} == {"a": 3, "b": 1, None: 6}
+
+
+def test_rolling_view_empties_by_ticks(spark, views):
+    root = work_dir(spark, "ticks")
+    alerts = spark.createDataFrame(
+        [("v", "high", T0), ("w", "high", T0 + timedelta(minutes=30)), ("v", "low", T0 + timedelta(minutes=10))],
+        "vehicle_id string, severity string, occurred_at timestamp")
+    alerts.withColumn("event_hour", F.date_trunc("hour", "occurred_at")).write.partitionBy("event_hour").parquet(f"{root}/s")
+    table, seen = live.rolling_table(spark, f"{root}/t", feed=True), []
+    table.open_feed()
+    for i, minutes in enumerate((40, 59, 61, 75, 200)):
+        spark.createDataFrame([(T0 + timedelta(minutes=minutes),)], "timestamp timestamp").write.parquet(f"{root}/ticks/{i}")
+        ticks = spark.readStream.schema("timestamp timestamp").parquet(f"{root}/ticks/*")
+        live.start_rolling_view(ticks, f"{root}/s", table, f"{root}/c", available_now=True).awaitTermination()
+        seen.append({r["severity"]: (r["alert_count"], r["affected_vehicles"]) for r in table.read().collect()})
+    both = {"high": (2, 2), "low": (1, 1)}
+    assert seen == [both, both, {"high": (1, 1), "low": (1, 1)}, {"high": (1, 1)}, {}]
+    kinds = [r["kind"] for r in spark.read.parquet(f"{root}/t/changes").orderBy(sinks.BATCH, "severity").collect()]
+    assert kinds == ["insert", "insert", "update", "retract", "retract"]
+
+
 def test_failed_fold_leaves_the_table_as_it_was(spark, monkeypatch):
     path = work_dir(spark, "broken")
     schema = T.StructType.fromDDL("k string, n long")
