@@ -262,12 +262,10 @@ def test_quality(spark, tables, rows_of, monkeypatch, folder, own):
             values = sorted(binned(ratios(g)[name]) for g in group)
             q = {k: upper(values[math.ceil(p * len(values) - 1e-9) - 1]) for k, p in quality.QUANTILES.items()}
             x = ratios(c)[name]
-            most = max(q["highest"], q["middle"] + max(quality.REACH * (q["upper"] - q["middle"]), least))
+            most = q["middle"] + max(quality.REACH * (q["upper"] - q["middle"]), least)
             keep &= x <= most * (1 + 1e-12)
             if name in quality.BOTH_SIDES:
-                low = min(
-                    q["lowest"] / quality.GROWTH, q["middle"] - max(quality.REACH * (q["middle"] - q["lower"]), least)
-                )
+                low = q["middle"] - max(quality.REACH * (q["middle"] - q["lower"]), least)
                 keep &= x >= low
         verdict[c[0], keep] += 1
     assert Counter((r.doc_id, r.kept) for r in got) == verdict
