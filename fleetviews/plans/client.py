@@ -13,6 +13,7 @@ from ..functions.timing import moment, newer_than, parse_duration, preset_durati
 from ..functions.topics import rebuilt_topic, topic_matches
 from ..operators import rolling, topk
 from ..operators.views import all_of, equals
+from ..session import work_dir
 from ..sources import sinks
 from ..sources.messages import routed
 from ..streaming import live as live_views
@@ -372,8 +373,15 @@ class FleetClient:
     def is_ready(self) -> bool:
         return self.readiness_metadata is not None
 
-    def wait_for_ready(self, timeout: float = 600.0, pause: float = 1.0) -> dict:
-        return readiness.wait_for_ready(self._status, self.connector, timeout, pause)
+    def wait_for_ready(self, timeout: float = 600.0, pause: float = 1.0, announcements: DataFrame | None = None) -> dict:
+        """Metadata when the connector is ready: at once where the status says so, else woken by the stream of
+        ``announcements``; without one the status is looked at again after each pause."""
+        if announcements is None:
+            return readiness.wait_for_ready(self._status, self.connector, timeout, pause)
+        known = self.readiness_metadata
+        return known or readiness.wait_for_announcement(
+            announcements, self.connector, work_dir(self.spark, "waiter"), timeout
+        )
 
     def query_new_view(self, maintained: StreamingQuery, read: Callable[[], DataFrame],
                        timeout: float = 30.0) -> DataFrame:

@@ -45,6 +45,18 @@ def query_samples(spark: SparkSession, progress: list, total_rows: int) -> DataF
     return samples.withColumn("sample_time", F.to_timestamp("sample_time"))
 
 
+def drained(spark: SparkSession, progress: list, total_rows: int) -> DataFrame:
+    """Drain progress of a running query over a backlog of ``total_rows``, from its own progress reports: a
+    row for the backlog before the first batch and one after each batch that read rows."""
+    reports = [r for r in progress if r["numInputRows"]]
+    if not reports:
+        return drain_progress(spark.createDataFrame([], "sample_time timestamp, depth long"))
+    after = query_samples(spark, reports, total_rows).withColumn(
+        "sample_time", F.col("sample_time") + F.make_dt_interval(secs=F.lit(1e-6)))
+    start = spark.createDataFrame([(reports[0]["timestamp"], total_rows)], "sample_time string, depth bigint")
+    return drain_progress(start.withColumn("sample_time", F.to_timestamp("sample_time")).unionByName(after))
+
+
 def state_rows(progress: list) -> int:
     """Largest number of state rows any report of a query mentions."""
     return max(

@@ -7,6 +7,7 @@ data, lets every view finish what came before it, and only then reports ready.
 from __future__ import annotations
 
 import logging
+import threading
 import time
 from collections.abc import Callable
 
@@ -170,6 +171,40 @@ def wait_for_ready(
         time.sleep(min(pause, left))
 
 
+def wait_for_announcement(announcements: DataFrame, connector: str, checkpoint: str, timeout: float = 600.0) -> dict:
+    """Readiness metadata as soon as a stream of messages announces the connector; TimeoutError otherwise.
+
+    The caller sleeps until the stream's batch with the announcement wakes it. Announcements that were made
+    before are on the stream too, so it does not matter who comes first.
+    """
+    woken, found = threading.Event(), []
+    topic = F.concat_ws("/", F.lit("system"), F.lit("connector"), F.lit(connector), F.lit("ready"))
+    own = announcements.where((F.col("topic") == topic) & (header(READY_HEADER[0]) == READY_HEADER[1]))
+    body = F.from_json("value", "sentinel_detected_at timestamp, historical_events_processed long, total_events_consumed long")
+
+    def on_batch(batch: DataFrame, _batch_id: int) -> None:
+        first = batch.orderBy("ts").select(F.inline(F.array(body))).first()
+        if first is not None:
+            found.append(first)
+            woken.set()
+
+    query = own.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()
+    try:
+        woken.wait(timeout)
+        if not found and query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+    if not found:
+        raise TimeoutError(f"connector {connector!r} not announced within {timeout}s")
+    return {
+        "sentinel_detected_at": found[0]["sentinel_detected_at"],
+        "historical_events": found[0]["historical_events_processed"],
+        "total_events": found[0]["total_events_consumed"],
+        "source": "announcement",
+    }
+
+
 def readiness_messages(status: DataFrame) -> DataFrame:
     """Readiness events of the connectors that are ready, as messages."""
     ready = status.where("is_ready").select(
@@ -219,7 +254,13 @@ class Connector:
         return stored(self.spark, f"{self.root}/views/{name}", self._schemas.get(name)).drop(BATCH)
 
     def announcements(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/ready").drop(BATCH)
+        return self.spark.read.parquet(f"{self.root}/ready").where(F.col(BATCH) >= 0).drop(BATCH)
+
+    def announcement_stream(self) -> DataFrame:
+        """Announcements as they are made; can be followed before the connector starts."""
+        empty = self.spark.createDataFrame([], MESSAGE)
+        empty.write.mode("ignore").parquet(f"{self.root}/ready/{BATCH}=-1")
+        return self.spark.readStream.schema(MESSAGE).parquet(f"{self.root}/ready").select(*MESSAGE.fieldNames())
 
     def _state(self, batch_id: int | None = None) -> Row | None:
         """Running totals after a batch, or after the last one."""

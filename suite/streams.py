@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 from functools import reduce
 
@@ -17,6 +18,7 @@ from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF
 from fleetviews.streaming import live, readiness, replay, stored
+from fleetviews.streaming.progress import drained
 from .analytics import CONTEXT_ROW, HOPPING, WINDOW_ROW, six
 from .base import NOW, check
 from .rows import EVENT_ROW, damaged
@@ -510,3 +512,63 @@ def _(f):
         "vehicle_id", "window_start", "kind", F.col("before.sample_count").alias("before"),
         F.col("after.sample_count").alias("after"), F.row_number().over(versions).alias("version"),
     )
+
+
+@check("a12_stream_drain", """, d AS (SELECT seq % 4 AS part, count(*) AS n FROM base GROUP BY ALL),
+  s AS (SELECT 0 AS nth, (SELECT count(*) FROM base) AS depth UNION ALL
+    SELECT part + 1, (SELECT count(*) FROM base) - sum(n) OVER (ORDER BY part) FROM d)
+  SELECT nth, CAST(depth AS BIGINT) AS depth, CAST(t.n - depth AS BIGINT) AS consumed,
+    round(CAST(t.n - depth AS DOUBLE) / t.n * 100, 6) AS percent, nth > 0 AS has_rate
+  FROM s, (SELECT count(*) AS n FROM base) t""")
+def _(f):
+    """The backlog of a stream that reads a file a batch, from what the query reports of its batches."""
+    rows, root = f.table.messages(), f.work("a12")
+    coming = _in_batches(f, "a12m", [rows.where(F.col("seq") % 4 == i) for i in range(4)])
+    query = sinks.append_stream(coming.select("topic", "ts"), f"{root}/t", f"{root}/c", available_now=True)
+    query.awaitTermination()
+    samples = drained(f.spark, query.recentProgress, rows.count())
+    order = Window.orderBy("sample_time")  # a row for each batch
+    return six(samples.select(
+        (F.row_number().over(order) - 1).alias("nth"), "depth", "consumed", "percent", (F.col("rate") > 0).alias("has_rate")
+    ), "percent")
+
+
+@check("r13_waiters", f"""SELECT who, {BEFORE} AS historical_events, count(*) AS total_events FROM base, (VALUES ('early'), ('late')) v(who) GROUP BY who
+  UNION ALL SELECT 'another connector', NULL, NULL""")
+def _(f):
+    """One waits before the connector starts, one comes when all is over, one waits for somebody else."""
+    connector = readiness.Connector(f.spark, "fleet_events", f.work("r13"), {}, order="ts")
+    ready = connector.announcement_stream()
+
+    def client(name="fleet_events"):
+        return FleetClient(f.spark, f.views, status=connector.status.read, connector=name)
+
+    with ThreadPoolExecutor(1) as pool:
+        early = pool.submit(client().wait_for_ready, 300.0, announcements=ready)
+        connector.start(_with_marker(f), available_now=True).awaitTermination()
+        found = [("early", early.result()), ("late", client().wait_for_ready(300.0, announcements=ready))]
+    try:
+        client("other").wait_for_ready(3.0, announcements=ready)
+    except TimeoutError:
+        found.append(("another connector", {"historical_events": None, "total_events": None}))
+    return f.spark.createDataFrame(
+        [(who, m["historical_events"], m["total_events"]) for who, m in found],
+        "who string, historical_events long, total_events long",
+    )
+
+
+@check("r12_r14_late_joiners", f"""SELECT 'fleet_events' AS connector, true AS is_ready, TIMESTAMP '{MARKER_AT}' AS sentinel_detected_at,
+    {BEFORE} AS historical_events, true AS all_ready, true AS table_exists FROM base
+  UNION ALL SELECT 'other', false, NULL, NULL, false, true""")
+def _(f):
+    """What clients learn from the status table after the run: their own connector's readiness, and the report."""
+    connector, found = _connected(f, "r12"), []
+    for name in ("fleet_events", "other"):
+        client = FleetClient(f.spark, f.views, status=connector.status.read, connector=name)
+        known, report = client.readiness_metadata or {}, client.backfill_status(name)
+        found.append((name, client.is_ready, known.get("sentinel_detected_at"), known.get("historical_events"),
+                      report["ready"], report["table_exists"]))
+    return f.spark.createDataFrame(
+        found, "connector string, is_ready boolean, sentinel_detected_at timestamp, historical_events long,"
+        " all_ready boolean, table_exists boolean",
+    )

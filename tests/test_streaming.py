@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -21,7 +22,7 @@ from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
 from fleetviews.sources.keyed import KeyedTable
 from fleetviews.streaming import live, readiness, replay, stored, subscription
-from fleetviews.streaming.progress import drain_progress, event_time_lag, query_samples, state_rows
+from fleetviews.streaming.progress import drain_progress, drained, event_time_lag, query_samples, state_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1, 12)
@@ -454,6 +455,38 @@ def test_boundary_does_not_depend_on_batches(spark, order, before):
     assert answers == {(True, T0 + timedelta(seconds=5), before, 9, 2)}
 
 
+def test_waiter_is_woken_by_the_announcement(spark, views):
+    source, root = work_dir(spark, "w-source"), work_dir(spark, "w-connector")
+    write_messages(spark, source, (1, False))
+    connector = readiness.Connector(
+        spark, "fleet", root, {"alerts": lambda m: ops.events_raw(messages.typed_source(m, "events"))})
+    ready = connector.announcement_stream()
+    client = lambda name="fleet": FleetClient(spark, views, status=connector.status.read, connector=name)
+    with pytest.raises(TimeoutError):
+        client().wait_for_ready(2.0, announcements=ready)
+    with ThreadPoolExecutor(1) as pool:
+        waiting = pool.submit(client().wait_for_ready, 120.0, announcements=ready)
+        run = lambda: connector.start(
+            messages.stream_messages(spark, source, position=True), available_now=True).awaitTermination()
+        run()
+        assert not waiting.done() and connector.view("alerts").count() == 1
+        write_messages(spark, source, (2, False), (3, True), (4, False))
+        run()
+        got = waiting.result()
+    assert got == {"sentinel_detected_at": T0 + timedelta(seconds=3), "historical_events": 2, "total_events": 3,
+                   "source": "announcement"}
+    assert client().wait_for_ready(5.0, announcements=ready)["source"] == "status_table"
+    with pytest.raises(TimeoutError):
+        client("other").wait_for_ready(2.0, announcements=ready)
+
+
+def test_drain_of_a_stream_without_rows(spark):
+    assert drained(spark, [], 0).count() == 0
+    reports = [{"timestamp": f"2024-01-01T00:00:0{i}.000Z", "numInputRows": n} for i, n in ((0, 6), (2, 0), (4, 2))]
+    got = [(r["depth"], r["percent"], r["rate"] > 0) for r in drained(spark, reports, 8).orderBy("sample_time").collect()]
+    assert got == [(8, 0.0, False), (2, 75.0, True), (0, 100.0, True)]
+
+
 def test_boundary_without_marker(spark):
     path = work_dir(spark, "nomarker")
     write_messages(spark, path, (1, False), (2, False))
