@@ -130,7 +130,10 @@ class FleetClient:
                 raise UnknownPattern(f"no view for region {region!r}; known: {list(entry.spatial)}")
         else:
             name = entry.mv
-        rows = self._narrowed(self.views[name], entry, pattern, strict)
+        rows = self.views[name]
+        if entry.time_column and not since and (not strict or entry.pattern == pattern):
+            rows = self.views.newest_rows(name, entry.time_column, limit)
+        rows = self._narrowed(rows, entry, pattern, strict)
         if not entry.time_column:
             return rows.orderBy(*topk.tie_breakers(rows, [])).limit(limit)
         if since:
@@ -164,7 +167,7 @@ class FleetClient:
     # --- alerts ---
 
     def alert_list(self, severity: str = "high", limit: int = 20) -> DataFrame:
-        return topk.newest(self.views[TIERS[severity]], "occurred_at", limit)
+        return topk.newest(self.views.newest_rows(TIERS[severity], "occurred_at", limit), "occurred_at", limit)
 
     def alert_history(self, since="4h", severity: str = "all", enrich: bool = False, limit: int = 50) -> DataFrame:
         """Alerts of the span, newest first."""
@@ -345,10 +348,20 @@ class FleetClient:
         return presets.TOOLS[name](self.views, **arguments)
 
     def select(self, sql: str, limit: int = 100) -> DataFrame:
-        """Guarded ad-hoc SELECT over the registered views."""
+        """Guarded ad-hoc SELECT over the registered views.
+
+        While the statement is analysed, Spark takes no path for a table, whatever format or class
+        stands before it.
+        """
         if not is_safe_select(sql):
             raise ValueError("only a single SELECT statement is allowed")
-        return self.sql(sql.strip().rstrip(";")).limit(limit)
+        files = "spark.sql.runSQLOnFiles"
+        before = self.spark.conf.get(files)
+        self.spark.conf.set(files, "false")
+        try:
+            return self.sql(sql.strip().rstrip(";")).limit(limit)
+        finally:
+            self.spark.conf.set(files, before)
 
     def sql(self, statement: str, args: dict | list | None = None) -> DataFrame:
         """Parameterised SQL (``:name`` or ``?`` markers) over this client's views.

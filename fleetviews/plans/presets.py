@@ -211,13 +211,12 @@ def preset(
             rows = newest_windows(views, k, vehicle)
         return topk.latest_windows(rows.select(*spec.columns()), k)
     bound = moment(views.as_of) - interval(span) if span else None
-    rows = views[spec.view].where(all_of(
-        F.col(spec.time_column) > bound if span else None,
-        equals("vehicle_id", vehicle),
-        equals("severity", level),
-    ))
+    asked = [F.col(spec.time_column) > bound if span else None, equals("vehicle_id", vehicle), equals("severity", level)]
+    kept = all_of(*asked) if any(c is not None for c in asked) else None
     if spec.view == "vehicle_event_counts_1h":
+        rows = views[spec.view] if kept is None else views[spec.view].where(kept)
         return topk.most_active(rows.select(*spec.columns()), k)
+    rows = views.newest_rows(spec.view, spec.time_column, k, kept)
     return topk.newest(rows.select(*spec.columns()), spec.time_column, k)
 
 
@@ -236,7 +235,8 @@ def get_fleet_alert_summary(views: ViewSet) -> DataFrame:
 
 
 def get_high_severity_alerts(views: ViewSet, limit: int = 10) -> DataFrame:
-    return topk.newest(views["high_severity_alerts"].select(*_ALERT), "occurred_at", limit)
+    rows = views.newest_rows("high_severity_alerts", "occurred_at", limit)
+    return topk.newest(rows.select(*_ALERT), "occurred_at", limit)
 
 
 def get_vehicle_speed_averages(views: ViewSet, limit: int = 20) -> DataFrame:
@@ -252,8 +252,8 @@ def get_alerts_with_context(views: ViewSet, limit: int = 10) -> DataFrame:
 
 
 def get_vehicles_in_boston(views: ViewSet, limit: int = 20) -> DataFrame:
-    rows = views["vehicles_in_region_boston"].select(*_positions(4))
-    return topk.newest(rows, "recorded_at", limit)
+    rows = views.newest_rows("vehicles_in_region_boston", "recorded_at", limit)
+    return topk.newest(rows.select(*_positions(4)), "recorded_at", limit)
 
 
 def get_vehicle_activity(views: ViewSet, limit: int = 20) -> DataFrame:
@@ -283,12 +283,12 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
 # --- walkthrough queries ---
 
 def newest_high_alerts(views: ViewSet) -> DataFrame:
-    return topk.newest(views["high_severity_alerts"].select(*_ALERT), "occurred_at", 20)
+    return get_high_severity_alerts(views, 20)
 
 
 def newest_speeds(views: ViewSet) -> DataFrame:
-    rows = views["vehicle_speeds"].select("vehicle_id", "speed_mph", "latitude", "longitude", "recorded_at")
-    return topk.newest(rows, "recorded_at", 20)
+    rows = views.newest_rows("vehicle_speeds", "recorded_at", 20)
+    return topk.newest(rows.select("vehicle_id", "speed_mph", "latitude", "longitude", "recorded_at"), "recorded_at", 20)
 
 
 def newest_speed_windows(views: ViewSet) -> DataFrame:

@@ -6,10 +6,11 @@ import copy
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.timing import moment
 from ..operators import joins, rolling, views, windows
+from ..sources.zones import ZonedView
 
 # View -> the views it reads. Order is creation order; teardown is the reverse.
 DEPENDENCIES: dict[str, tuple[str, ...]] = {
@@ -71,6 +72,7 @@ class ViewSet:
         self.as_of = as_of
         self.max_group_rows = max_group_rows
         self._built: dict[str, DataFrame] = {}
+        self._zoned: dict[str, ZonedView] = {}
         self._makers: dict[str, Callable[..., DataFrame]] = {
             "fleet_telemetry_raw": routing(views.telemetry_raw, telemetry),
             "fleet_events_raw": routing(views.events_raw, events),
@@ -113,7 +115,7 @@ class ViewSet:
     def newer(self, since: datetime) -> "ViewSet":
         """The same views over rows after ``since`` only, bounded where the sources are read."""
         other = copy.copy(self)
-        other._built, other._makers = {}, dict(self._makers)
+        other._built, other._zoned, other._makers = {}, {}, dict(self._makers)
         other.dependencies = dict(self.dependencies)
         shapes = (views.telemetry_raw, views.events_raw, views.commands_raw)
         for name, shape, source in zip(ROUTING, shapes, self._newer_sources(since)):
@@ -133,6 +135,20 @@ class ViewSet:
             self._built[name] = self._makers[name](*[self[d] for d in self.dependencies[name]])
         return self._built[name]
 
+    def save(self, name: str, path: str, time_column: str) -> ZonedView:
+        """Save a view by day with its zone map. From now on it is read from there, and its newest rows
+        without older days; views that depend on it and were not built yet read it too."""
+        zoned = ZonedView.save(self[name], path, time_column)
+        self._zoned[name], self._built[name] = zoned, zoned.read()
+        return zoned
+
+    def newest_rows(self, name: str, time_column: str, k: int, kept: Column | None = None) -> DataFrame:
+        """Rows of a view that pass, among which are the k newest; of a saved view not more than that needs."""
+        zoned = self._zoned.get(name)
+        if zoned is not None and zoned.time_column == time_column:
+            return zoned.newest_rows(k, kept)
+        return self[name] if kept is None else self[name].where(kept)
+
     def define(self, name: str, depends_on: tuple[str, ...], maker: Callable[..., DataFrame]) -> None:
         """Add a view; an existing name is an error."""
         if name in self:
@@ -166,6 +182,7 @@ class ViewSet:
         for view in dropped:
             self.dependencies.pop(view)
             self._built.pop(view, None)
+            self._zoned.pop(view, None)
             self._makers.pop(view, None)
         return dropped
 

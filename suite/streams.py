@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from fleetviews.functions.timing import moment
 from fleetviews.operators.joins import TWO_MINUTES
 from fleetviews.operators import rolling, views, windows
+from fleetviews.plans import presets
 from fleetviews.plans.client import FleetClient
 from fleetviews.plans.lifecycle import LiveViews
 from fleetviews.plans.viewset import ViewSet
@@ -572,3 +573,20 @@ def _(f):
         found, "connector string, is_ready boolean, sentinel_detected_at timestamp, historical_events long,"
         " all_ready boolean, table_exists boolean",
     )
+
+
+@check("q51_newest_speeds_by_zones", "SELECT * FROM (SELECT vehicle_id, speed AS speed_mph, latitude, longitude, recorded_at FROM telemetry ORDER BY recorded_at DESC, vehicle_id, speed, latitude, longitude LIMIT 20)")
+def _(f):
+    """The view is saved with its zone map; only the newest of it is read again."""
+    saved = ViewSet.over(f.table, AS_OF)
+    saved.save("vehicle_speeds", f.work("q51z"), "recorded_at")
+    return presets.newest_speeds(saved)
+
+
+@check("q29_high_engine_temp_by_zones", """SELECT vehicle_id, engine_temp AS engine_temp_f, recorded_at FROM telemetry
+  WHERE engine_temp > 220 AND vehicle_id = 'vehicle_008' ORDER BY recorded_at DESC LIMIT 30""")
+def _(f):
+    """With a condition, the stretch that is read grows until it holds thirty rows that pass."""
+    saved = ViewSet.over(f.table, AS_OF)
+    zoned = saved.save("high_engine_temp_vehicles", f.work("q29z"), "recorded_at")
+    return zoned.newest(30, F.col("vehicle_id") == "vehicle_008").select("vehicle_id", "engine_temp_f", "recorded_at")

@@ -9,11 +9,13 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from fleetviews import FleetClient, Registry, ViewSet, work_dir
-from fleetviews.operators import joins
+from fleetviews.operators import joins, topk
 from fleetviews.operators import views as ops
+from fleetviews.plans import presets
 from fleetviews.plans.client import is_safe_select
 from fleetviews.plans.lifecycle import LiveViews, drop_registered, ensure_views, persist_view
 from fleetviews.functions.values import JSON_TIMES
@@ -21,6 +23,7 @@ from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
 from fleetviews.sources.keyed import KeyedTable
+from fleetviews.sources.zones import ZonedView
 from fleetviews.streaming import live, readiness, replay, stored, subscription
 from fleetviews.streaming.progress import drain_progress, drained, event_time_lag, query_samples, state_rows
 
@@ -588,6 +591,57 @@ def test_guard():
     assert all(map(is_safe_select, safe)) and not any(map(is_safe_select, unsafe))
 
 
+def test_select_reads_no_file_by_any_name(spark, views):
+    client = FleetClient(spark, views)
+    classes = ("org.apache.spark.sql.execution.datasources.text.TextFileFormat",
+               "org.apache.spark.sql.execution.datasources.v2.text.TextDataSourceV2")
+    for name in classes:
+        assert spark.sql(f"SELECT * FROM `{name}`.`/etc/hostname`").count() >= 0
+        with pytest.raises(AnalysisException):
+            client.select(f"SELECT * FROM `{name}`.`/etc/hostname`")
+    assert client.select("SELECT count(*) AS n FROM fleet_events_raw").first()["n"] > 0
+    assert spark.sql(f"SELECT * FROM `{classes[0]}`.`/etc/hostname`").count() >= 0
+
+
+def _files_read(df):
+    """By the metrics of the scan."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    return run.executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+
+
+def test_newest_rows_of_a_saved_view(spark):
+    """Forty days of alerts, a few without a time: top-k like over all rows, from the newest files only."""
+    n = 4000
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 864)
+    telemetry = spark.range(n).select(
+        F.format_string("vehicle_%03d", F.col("id") % 7).alias("vehicle_id"), (F.col("id") % 90).cast("double").alias("speed"),
+        F.lit(5.0).alias("fuel_level"), (F.lit(150.0) + F.col("id") % 100).alias("engine_temp"), F.lit(30.0).alias("tire_pressure"),
+        F.lit(12.0).alias("battery_voltage"), F.lit(42.3).alias("latitude"), F.lit(-71.0).alias("longitude"),
+        F.when(F.col("id") % 1000 != 5, at).alias("ts"), F.lit("fleet/telemetry/v/metrics").alias("topic"))
+    other = EventsTable(spark, SF_DIR)
+    plain = ViewSet(telemetry, other.events(), other.commands(), as_of=AS_OF)
+    saved = ViewSet(telemetry, other.events(), other.commands(), as_of=AS_OF)
+    zoned = saved.save("vehicle_speeds", work_dir(spark, "zones"), "recorded_at")
+    saved.save("high_engine_temp_vehicles", work_dir(spark, "zones"), "recorded_at")
+    files = _files_read(zoned.read())
+    assert files >= 40
+    assert zoned.zones().agg(F.sum("rows")).first()[0] == plain["vehicle_speeds"].count()
+    for k in (0, 1, 20, 100, 3990, 5000):
+        got = saved.newest_rows("vehicle_speeds", "recorded_at", k)
+        assert rows(topk.newest(got, "recorded_at", k)) == rows(topk.newest(plain["vehicle_speeds"], "recorded_at", k))
+        if k <= 20:
+            assert _files_read(got) <= 3
+    for vehicle, since in ((None, None), ("vehicle_003", None), ("nobody", None), ("vehicle_001", "4h")):
+        ask = dict(vehicle_id=vehicle, since=since, limit=15)
+        assert rows(presets.preset(saved, "high_engine_temp", **ask)) == rows(presets.preset(plain, "high_engine_temp", **ask))
+    rare = saved.newest_rows("high_engine_temp_vehicles", "recorded_at", 15, F.col("vehicle_id") == "vehicle_003")
+    assert _files_read(rare) < files
+    assert rows(presets.newest_speeds(saved)) == rows(presets.newest_speeds(plain))
+    empty = ZonedView.save(plain["vehicle_speeds"].where("false"), work_dir(spark, "zones"), "recorded_at")
+    assert empty.newest(3).count() == 0
+
+
 def test_query_errors_and_options(spark, views):
     client = FleetClient(spark, views)
     with pytest.raises(ValueError):
