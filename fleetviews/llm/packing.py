@@ -45,6 +45,8 @@ BUFFER = 2_000_000
 STEP = 8 * 4096
 #: Words in a generation of a worker's cache.
 CACHE = 300_000
+#: Words that are encoded as one text.
+JOINED = 32
 ENDED = END.to_bytes(4, sys.byteorder)
 STOPS = frozenset([b".", b","])
 
@@ -78,13 +80,31 @@ class Encoder:
                     new.add(word[:-1])
             else:
                 new.add(word)
-        new = [*new, *STOPS.difference(known)]
-        codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update(zip(new, [array("I", code.ids).tobytes() for code in codes]))
+        new |= STOPS.difference(known)
+        # Names of special tokens are looked for first, also across blanks.
+        special = [word for word in new if b"<|" in word]
+        codes = self.tokenizer.encode_batch_fast([w.decode() for w in special], add_special_tokens=False)
+        known.update(zip(special, [array("I", code.ids).tobytes() for code in codes]))
+        known.update(self._joined(new.difference(special)))
         known.update([(word, known[word[:-1]] + known[word[-1:]]) for word in stopped])
         return [b"".join([*map(known.__getitem__, ws), ENDED]) for ws in words]
 
 
+    def _joined(self, words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids, encoded many to a text: a token belongs to the word it begins in."""
+        plain = [word.decode() for word in words]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        codes = self.tokenizer.encode_batch([" ".join(group) for group in groups], add_special_tokens=False)
+        for group, code in zip(groups, codes):
+            ids, starts = array("I", code.ids).tobytes(), [start for start, _ in code.offsets]
+            end = at = 0
+            for word in group:
+                end, first = end + len(word) + 1, at
+                while at < len(starts) and starts[at] < end:
+                    at += 1
+                yield word.encode(), ids[4 * first : 4 * at]
+
+
 def little_endian(ids: bytes) -> bytes:
     return ids if sys.byteorder == "little" else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
 
