@@ -224,25 +224,53 @@ def events_of_vehicles_in(events: DataFrame, region_view: DataFrame) -> DataFram
     return events.join(vehicles, "vehicle_id", "left_semi")
 
 
-def in_regions(positions: DataFrame, regions: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Every position beside each region of a table that it lies in.
+# Beyond this many degrees all coordinates fall into the outermost cells.
+EDGE = 720.0
+FINEST = 0.001
+REACH = 4
 
-    ``regions`` has ``region`` and an inclusive box: ``min_lat``, ``max_lat``, ``min_lon``,
-    ``max_lon``. A region is listed under the cells of a grid that its box touches, a position is in
-    one cell, and the two meet on the cell, so only regions nearby are tested. A position without
-    coordinates, or in no region, gives no row. ``cell`` is in degrees: about the size of a common
-    region.
+
+def _placed(degrees: str, level: Column, cell: float) -> Column:
+    """Number of the cell of a level that a coordinate is in. It never falls as the coordinate rises."""
+    within = F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.col(degrees)))
+    return F.floor(within / (F.lit(cell) * F.pow(F.lit(4.0), level)))
+
+
+def region_cells(regions: DataFrame, cell: float = FINEST) -> DataFrame:
+    """Regions under the cells that their boxes touch: at most ``(REACH + 2) ** 2`` rows each.
+
+    Cells of level ``n`` are ``cell * 4 ** n`` degrees wide. A box is listed on the finest level on which
+    ``REACH`` cells are as long as it, so a depot lies in cells of its own size and a continent in few.
+    A box with a null, or with a minimum above its maximum, has no cell.
     """
+    box = [c for side in ("lat", "lon") for c in (f"min_{side}", f"max_{side}")]
+    extent = F.greatest(*[
+        F.least(F.lit(EDGE), F.col(f"max_{s}")) - F.greatest(F.lit(-EDGE), F.col(f"min_{s}")) for s in ("lat", "lon")
+    ])
+    level = F.greatest(F.lit(0), F.ceil(F.log(4.0, extent / F.lit(REACH * cell)))).cast("int")
+    listed = regions.where("min_lat <= max_lat AND min_lon <= max_lon").select("region", *box, level.alias("_level"))
+    for axis, side in (("_row", "lat"), ("_column", "lon")):
+        ends = [_placed(f"{end}_{side}", F.col("_level"), cell) for end in ("min", "max")]
+        listed = listed.withColumn(axis, F.explode(F.sequence(*ends)))
+    return listed
 
-    def number(degrees: str) -> Column:
-        return F.floor(F.col(degrees) / F.lit(cell))
 
-    boxes = regions.where("min_lat <= max_lat AND min_lon <= max_lon")
-    listed = boxes.select(
-        "region", "min_lat", "max_lat", "min_lon", "max_lon",
-        F.explode(F.sequence(number("min_lat"), number("max_lat"))).alias("_row"),
-    )
-    listed = listed.withColumn("_column", F.explode(F.sequence(number("min_lon"), number("max_lon"))))
-    placed = positions.withColumns({"_row": number("latitude"), "_column": number("longitude")})
+def in_regions(positions: DataFrame, regions: DataFrame, cell: float = FINEST) -> DataFrame:
+    """Every position beside each region of a table that it lies in.
+
+    ``regions`` has ``region`` and an inclusive box: ``min_lat``, ``max_lat``, ``min_lon``,
+    ``max_lon``. Regions are listed under cells as large as they are (:func:`region_cells`). A position is
+    in one cell of each level that a region uses, and the two meet on level and cell, so it meets only
+    regions that are near for their size. A position without coordinates, or in no region, gives no row.
+    ``cell`` is the width of the finest cells in degrees; regions much smaller share those.
+    """
+    listed = region_cells(regions, cell)
+    # A handful of numbers, found when the query runs.
+    levels = listed.select(F.array_sort(F.collect_set("_level"))).scalar()
+    located = positions.where("latitude IS NOT NULL AND longitude IS NOT NULL").withColumn("_levels", levels)
+    placed = located.withColumn("_level", F.explode("_levels")).withColumns({
+        "_row": _placed("latitude", F.col("_level"), cell), "_column": _placed("longitude", F.col("_level"), cell),
+    })
     inside = F.expr("latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon")
-    return placed.join(listed, ["_row", "_column"]).where(inside).select(*positions.columns, "region")
+    met = placed.join(listed, ["_level", "_row", "_column"]).where(inside)
+    return met.select(*[placed[c] for c in positions.columns], "region")

@@ -253,6 +253,28 @@ def _(f):
     return found.select("vehicle_id", "recorded_at", "latitude", "longitude", "region")
 
 
+# A region around every third reading, from a hundred metres to some degrees wide.
+SIZED_REGIONS = ("concat('r', seq) AS region", "latitude - size AS min_lat", "latitude + size AS max_lat",
+                 "longitude - size AS min_lon", "longitude + size AS max_lon")
+
+
+@check("p13_regions_of_all_sizes", """, sized AS (
+    SELECT *, CASE seq % 15 WHEN 0 THEN 0.0005 WHEN 3 THEN 0.002 WHEN 6 THEN 0.004 WHEN 9 THEN 0.015 ELSE 0.03 END::DOUBLE AS size
+    FROM telemetry WHERE seq % 3 = 0),
+  regions AS (SELECT latitude - size AS min_lat, latitude + size AS max_lat, longitude - size AS min_lon,
+    longitude + size AS max_lon FROM sized)
+  SELECT vehicle_id, recorded_at, seq, count(*) AS regions FROM telemetry JOIN regions
+    ON latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon GROUP BY ALL""")
+def _(f):
+    """How many regions of a large table each reading is in."""
+    readings = f.table.telemetry()
+    size = F.expr("CASE seq % 15 WHEN 0 THEN 0.0005D WHEN 3 THEN 0.002D WHEN 6 THEN 0.004D WHEN 9 THEN 0.015D ELSE 0.03D END")
+    regions = readings.where("seq % 3 = 0").withColumn("size", size).selectExpr(*SIZED_REGIONS)
+    positions = readings.selectExpr("vehicle_id", "ts AS recorded_at", "seq", "latitude", "longitude")
+    found = joins.in_regions(positions, regions)
+    return found.groupBy("vehicle_id", "recorded_at", "seq").agg(F.count(F.lit(1)).alias("regions"))
+
+
 @check("p15_vehicle_high_alerts", f"SELECT {EVENT_ROW} FROM alerts WHERE vehicle_id = 'vehicle_003' AND severity = 'high'")
 def _(f):
     return views.vehicle_high_alerts(f.events, "vehicle_003")

@@ -88,6 +88,47 @@ def test_region_table(spark):
         assert sorted((r["vehicle_id"], r["region"]) for r in found.collect()) == want
 
 
+REGIONS = "region string, min_lat double, max_lat double, min_lon double, max_lon double"
+
+
+def test_region_table_of_all_sizes(spark):
+    """Boxes from a hundred metres to the whole earth and beyond, most rows at one depot."""
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    spots = [(42.36, -71.06)] * 200 + [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(100)]
+    spots += [(42.36 + rng.uniform(-1, 1) * 10.0 ** -rng.randrange(5), -71.06) for _ in range(100)]
+    points = [(f"v{i}", T0, 1.0, 0.0, x, y) for i, (x, y) in enumerate([*spots, (nan, 0.0), (1e6, 1e6), (0.0, -inf)])]
+    boxes = [("everywhere", -inf, inf, -inf, inf), ("earth", -90.0, 90.0, -180.0, 180.0), ("beyond", 1e5, 1e7, 1e5, inf)]
+    for i in range(60):
+        x, y = rng.choice(spots)
+        size = 10.0 ** rng.uniform(-4, 2)
+        boxes.append((f"r{i}", x - size * rng.random(), x + size, y - size, y + size * rng.random()))
+    boxes += [("point", 42.36, 42.36, -71.06, -71.06), ("null", None, 1.0, 0.0, 1.0)]
+    regions = spark.createDataFrame(boxes, REGIONS)
+    sizes = joins.region_cells(regions).groupBy("region").count().collect()
+    assert len(sizes) == len(boxes) - 1 and max(r["count"] for r in sizes) <= (joins.REACH + 2) ** 2
+    df = spark.createDataFrame(points, READING)
+    want = sorted(
+        (p[0], r[0]) for p in points for r in boxes
+        if r[1] is not None and r[1] <= p[4] <= r[2] and r[3] <= p[5] <= r[4]
+    )
+    assert sorted((r["vehicle_id"], r["region"]) for r in joins.in_regions(df, regions).collect()) == want
+    assert joins.in_regions(df, regions.limit(0)).isEmpty()
+
+
+def test_depots_do_not_meet_in_one_cell(spark):
+    """A thousand depots in one degree: a position is tested against those around it only."""
+    depots = spark.range(1000).selectExpr(
+        "concat('d', id) AS region", "id % 32 / 32D AS min_lat", "id % 32 / 32D + 0.002 AS max_lat",
+        "id div 32 / 32D AS min_lon", "id div 32 / 32D + 0.002 AS max_lon",
+    )
+    cells = joins.region_cells(depots)
+    assert cells.groupBy("_level", "_row", "_column").count().agg(F.max("count")).first()[0] == 1
+    positions = depots.selectExpr("min_lat + 0.001 AS latitude", "min_lon + 0.001 AS longitude", "region AS at")
+    found = joins.in_regions(positions, depots)
+    assert found.count() == 1000 and found.where("at != region").isEmpty()
+
+
 def test_oversized_groups(spark):
     df = spark.range(60).selectExpr("id % 6 AS k", "id AS v")
     assert skew.oversized(df, ["k"], 10).isEmpty()
