@@ -92,7 +92,11 @@ class LiveViews:
         table = self._tables[name]
         if table:
             return table.read(first_day)
-        return stored(self.spark, f"{self._folder(name)}/table", self._schemas[name])
+        return stored(self.spark, self.table_path(name), self._schemas[name])
+
+    def table_path(self, name: str) -> str:
+        """Where the rows of a view lie."""
+        return f"{self._folder(name)}/table"
 
     def changes(self, name: str, max_files: int | None = None) -> DataFrame:
         """The change feed of a keyed view that was started with one, as a stream."""

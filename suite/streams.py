@@ -14,6 +14,7 @@ from fleetviews.operators import rolling, views, windows
 from fleetviews.plans import presets
 from fleetviews.plans.client import FleetClient
 from fleetviews.plans.lifecycle import LiveViews
+from fleetviews.plans.live_catalog import LiveCatalog
 from fleetviews.plans.viewset import ViewSet
 from fleetviews.schemas import EVENT_BODY, TELEMETRY_BODY
 from fleetviews.sources import messages, sinks
@@ -590,3 +591,70 @@ def _(f):
     saved = ViewSet.over(f.table, AS_OF)
     zoned = saved.save("high_engine_temp_vehicles", f.work("q29z"), "recorded_at")
     return zoned.newest(30, F.col("vehicle_id") == "vehicle_008").select("vehicle_id", "engine_temp_f", "recorded_at")
+
+
+# What a new driver has to bring along: how views are made from those they read.
+MAKERS = {
+    "by_vehicle": lambda spark, rows: rows.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("n")),
+    "changes_of": lambda spark, changes: changes.select("vehicle_id", "kind", F.col("after.n").alias("n")),
+    "of_severity": lambda spark, rows, severity: rows.where(F.col("severity") == severity),
+}
+
+
+def _half_messages(f, name):
+    """A folder of messages and a function that writes one half of them into it."""
+    path, rows = f.work(name), f.table.messages()
+    arrive = lambda half: rows.where(F.col("seq") % 2 == half).drop("seq").write.mode("append").option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return path, arrive
+
+
+def _alerts(catalog, path):
+    options = {"path": path, "view": "fleet_events_raw"}
+    catalog.create("alerts", "named_view", options=options, available_now=True)
+    catalog.create("counts", "by_vehicle", ["alerts"], ["vehicle_id"], feed=True, available_now=True)
+    catalog.create("changes", "changes_of", ["counts"], available_now=True)
+
+
+@check("d09_restored_views", """, n AS (SELECT vehicle_id, count(*) FILTER (seq % 2 = 0) AS before, count(*) AS after FROM alerts GROUP BY ALL)
+  SELECT vehicle_id, before, after, (before > 0)::BIGINT + (after > before)::BIGINT AS changes FROM n""")
+def _(f):
+    """Views on views, before and after another driver has taken over from the catalog alone."""
+    path, arrive = _half_messages(f, "d09m")
+    arrive(0)
+    first = LiveCatalog(f.spark, f.work("d09"), MAKERS)
+    _alerts(first, path)
+    before = f.work("d09b")
+    first.read("counts").write.parquet(before)
+    arrive(1)
+    second = LiveCatalog(f.spark, first.root, MAKERS)
+    if second.ensure(available_now=True) != ["alerts", "counts", "changes"]:
+        raise AssertionError("restored in another order")
+    changes = second.read("changes").groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("changes"))
+    was = f.spark.read.parquet(before).select("vehicle_id", F.col("n").alias("before"))
+    both = second.read("counts").withColumnRenamed("n", "after").join(was, "vehicle_id", "left")
+    return both.join(changes, "vehicle_id", "left").select(
+        "vehicle_id", F.coalesce("before", F.lit(0)).alias("before"), "after", "changes"
+    )
+
+
+@check("d02_d08_incident_views", """SELECT 'alerts' AS name, TRUE AS wanted, (SELECT count(*) FROM alerts) AS rows
+  UNION ALL SELECT 'counts', FALSE, NULL UNION ALL SELECT 'changes', FALSE, NULL
+  UNION ALL SELECT 'incident', TRUE, (SELECT count(*) FROM alerts WHERE severity = 'high')""")
+def _(f):
+    """A view for an incident beside others; all are dropped, dependents first, and two created anew."""
+    path, arrive = _half_messages(f, "d08m")
+    arrive(0)
+    catalog = LiveCatalog(f.spark, f.work("d08"), MAKERS)
+    _alerts(catalog, path)
+    catalog.create("incident", "of_severity", ["alerts"], options={"severity": "high"}, available_now=True)
+    if catalog.drop("alerts", cascade=True) != ["incident", "changes", "counts", "alerts"]:
+        raise AssertionError("dropped in another order")
+    arrive(1)
+    catalog.create("alerts", "named_view", options={"path": path, "view": "fleet_events_raw"}, available_now=True)
+    catalog.create("incident", "of_severity", ["alerts"], options={"severity": "high"}, available_now=True)
+    rows = reduce(DataFrame.unionAll, [
+        catalog.read(name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name in ("alerts", "incident")
+    ])
+    return catalog.status().select("name", "wanted").join(rows, "name", "left")
