@@ -16,8 +16,10 @@ occurrence stays. Three steps find them:
    one pass in text order streams the matching statistics. Where they reach LENGTH the window
    occurs elsewhere; the earliest of the windows that match each other stays.
 
-A group with more than ``GROUP`` contents is not indexed in one task; its windows are grouped one by
-one, which combines on the map side and gives the same result.
+A group with more than ``GROUP`` contents is too much for one index. Its contents are routed again, like
+texts in step 1, by the least of other hashes of their GRAM-byte substrings, then by one from either end of
+the window: equal windows still meet, the others part, and steps 2 and 3 follow. Only what is in a large
+group by every one of the hashes is grouped window by window, with the same result.
 
 Null and empty texts have no bytes. Documents are ordered by id, nulls last; rows that repeat an id
 are documents of their own, in a fixed order. An empty table gives an empty result; other columns do
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +46,12 @@ BITS = 1 << 27
 #: Bits of the bitmap of documents that lose bytes.
 DOC_BITS = 1 << 24
 BLOCK = 1 << 18
-#: Bytes and contents of one index, and contents beyond which a hash group is not indexed.
+#: Bytes and contents of one index, and contents beyond which a hash group is routed again.
 INDEX_BYTES = 1 << 19
 INDEX_CONTENTS = 16_000
 GROUP = 2_000
+#: Ways of routing: a seed, and how many substrings at either end of a window count (None: all of it).
+ROUTES = ((0, None), (1, None), (2, None), (3, 8))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -105,10 +110,17 @@ class Blocks:
         data = np.frombuffer(b"".join(p for p, _, _ in parts), np.uint8)
         return data, starts, lengths, np.array([r for _, r, _ in parts]), np.array([o for _, _, o in parts])
 
-    def least(self, data, starts, lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Gram hashes, the least hash of each window, and which windows lie in one text."""
+    def least(self, data, starts, lengths, seed: int = 0, ends: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gram hashes, the least hash of each window, and which windows lie in one text.
+
+        With ``ends`` it is made of the least of that many hashes at the head and at the tail of a window.
+        """
         grams = gram_hashes(data)
-        least = _sliding(grams, self.width, np.minimum)
+        if seed:
+            grams = _mixed(grams ^ np.uint64(seed))
+        least = _sliding(grams, ends or self.width, np.minimum)
+        if ends:
+            least = _mixed(least[: len(least) - (self.width - ends)]) + least[self.width - ends :]
         edge = np.zeros(len(least) + 1, np.int8)
         np.add.at(edge, starts, 1)
         np.add.at(edge, np.minimum(starts + lengths - self.length + 1, len(least)), -1)
@@ -141,15 +153,19 @@ def _repeated_hashes(rows: DataFrame, length: int) -> DataFrame:
 SEGMENT = "hash long, content long, key long, start long, n long, inner boolean, bytes binary"
 
 
-def _segments(rows: DataFrame, length: int, shared) -> DataFrame:
-    """Runs of windows whose least hash may repeat: ``n`` windows from ``start`` on."""
+def _segments(rows: DataFrame, length: int, shared=None, seed: int = 0, ends: int | None = None) -> DataFrame:
+    """Runs of windows whose least hash may repeat: ``n`` windows from ``start`` on.
+
+    ``rows`` has key, hash, start and text. A text is what starts there in the document, and its windows
+    meet only others of the same ``hash``: none for whole documents, a group's for its contents.
+    """
 
     def run(batches):
         blocks = Blocks(length)
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys, group, base = (batch.column(c).to_numpy() for c in ("key", "hash", "start"))
             for data, starts, lengths, row, offset in blocks(_texts(batch)):
-                grams, least, inside = blocks.least(data, starts, lengths)
+                grams, least, inside = blocks.least(data, starts, lengths, seed, ends)
                 part = np.searchsorted(starts, np.arange(len(least)), "right") - 1
                 new = np.ones(len(least), bool)
                 new[1:] = (least[1:] != least[:-1]) | (part[1:] != part[:-1]) | (inside[1:] != inside[:-1])
@@ -161,22 +177,27 @@ def _segments(rows: DataFrame, length: int, shared) -> DataFrame:
                 nth = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 n = np.minimum(np.repeat(sizes, pieces) - nth * blocks.width, blocks.width)
                 first = first + nth * blocks.width
-                keep = inside[first] & common.in_bitmap(shared.value, BITS, least[first])
+                keep = inside[first]
+                if shared is not None:
+                    keep &= common.in_bitmap(shared.value, BITS, least[first])
                 first, n = first[keep], n[keep]
                 if not len(first):
                     continue
                 own = part[first]
+                hashes = least[first]
+                if seed:
+                    hashes = _mixed(hashes ^ _mixed(group[row[own]].view(np.uint64)))
                 raw = data.tobytes()
                 texts = [raw[a : a + m + length - 1] for a, m in zip(first.tolist(), n.tolist())]
                 # The same hash at a second place in the segment: its windows may repeat inside it.
-                at = np.array([int(np.argmin(grams[a : a + blocks.width])) for a in first.tolist()])
+                at = np.array([int(np.argmin(grams[a : a + (ends or blocks.width)])) for a in first.tolist()])
                 inner = [t.find(t[a : a + GRAM], a + 1) >= 0 for t, a in zip(texts, at.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(least[first].view(np.int64)),
+                        pa.array(hashes.view(np.int64)),
                         pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
                         pa.array(keys[row[own]]),
-                        pa.array(offset[own] + first - starts[own]),
+                        pa.array(base[row[own]] + offset[own] + first - starts[own]),
                         pa.array(n.astype(np.int64)),
                         pa.array(inner, pa.bool_()),
                         pa.array(texts, pa.binary()),
@@ -184,7 +205,7 @@ def _segments(rows: DataFrame, length: int, shared) -> DataFrame:
                     [x.split()[0] for x in SEGMENT.split(", ")],
                 )
 
-    return rows.select("key", "text").mapInArrow(run, SEGMENT)
+    return rows.select("key", "hash", "start", "text").mapInArrow(run, SEGMENT)
 
 
 class RunIndex:
@@ -324,7 +345,7 @@ def _of_hashes(contents: DataFrame, hashes) -> DataFrame:
 
 
 def _windowed(contents: DataFrame, length: int) -> DataFrame:
-    """The same, window by window, for hash groups too large for one index."""
+    """The same, window by window, for what no route parts."""
 
     def run(batches):
         for batch in batches:
@@ -345,36 +366,48 @@ def _windowed(contents: DataFrame, length: int) -> DataFrame:
     return later.select("key", "start", F.lit(1).cast("long").alias("n"))
 
 
-def marks(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """key, start, n: the ``n`` windows from ``start`` on also start earlier. ``rows`` has key, text (binary)."""
-    spark = rows.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = spark.sparkContext.broadcast(common.bitmap(_repeated_hashes(rows, length), "hash", BITS))
-    segments = common.saved(_segments(rows, length, shared), "segments")
+def _first_places(segments: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """The different contents of segments, each at its first place, and the marks of the other places."""
     place = F.min(F.struct("key", "start", "n", "inner", "bytes")).alias("first")
     contents = segments.groupBy("hash", "content").agg(F.count("*").alias("times"), place)
-    contents = common.saved(contents.select("hash", "content", "times", "first.*"), "contents")
+    contents = common.saved(contents.select("hash", "content", "times", "first.*"), f"contents-{step}")
     copied = contents.filter("times > 1").select(
         "hash", "content", F.col("key").alias("first_key"), F.col("start").alias("first_start")
     )
     copies = segments.select("hash", "content", "key", "start", "n").join(copied, ["hash", "content"]).filter(
         "key != first_key OR start != first_start"
     )
-    # Groups of one content without an inner repeat are done; their bytes stay where they are.
-    groups = common.saved(
-        contents.groupBy("hash").agg(F.count("*").alias("size"), F.max("inner").alias("inner"))
-        .filter("size > 1 OR inner"),
-        "groups",
-    )
-    open_ = spark.sparkContext.broadcast(common.bitmap(groups, "hash", BITS))
-    large = groups.filter(F.col("size") > group).select("hash")
-    several = _of_hashes(contents.select("hash", "key", "start", "inner", "bytes"), open_)
-    found = copies.select("key", "start", "n").unionAll(
-        _indexed(several.join(large, "hash", "left_anti"), length, width)
-    )
-    if not large.isEmpty():
-        found = found.unionAll(_windowed(several.join(large, "hash", "left_semi"), length))
-    return found
+    return contents.select("hash", "key", "start", "inner", "bytes"), copies.select("key", "start", "n")
+
+
+def marks(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """key, start, n: the ``n`` windows from ``start`` on also start earlier. ``rows`` has key, text (binary)."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(common.bitmap(_repeated_hashes(rows, length), "hash", BITS))
+    zero = F.lit(0).cast("long")
+    rows = rows.select("key", zero.alias("hash"), zero.alias("start"), "text")
+    found = []
+    for step, (seed, ends) in enumerate(ROUTES):
+        segments = common.saved(_segments(rows, length, shared if step == 0 else None, seed, ends), f"segments-{step}")
+        contents, copies = _first_places(segments, step)
+        # Groups of one content without an inner repeat are done; their bytes stay where they are.
+        groups = common.saved(
+            contents.groupBy("hash").agg(F.count("*").alias("size"), F.max("inner").alias("inner"))
+            .filter("size > 1 OR inner"),
+            f"groups-{step}",
+        )
+        open_ = spark.sparkContext.broadcast(common.bitmap(groups, "hash", BITS))
+        large = groups.filter(F.col("size") > group).select("hash")
+        several = _of_hashes(contents, open_)
+        found += [copies, _indexed(several.join(large, "hash", "left_anti"), length, width)]
+        if large.isEmpty():
+            break
+        rest = several.join(large, "hash", "left_semi")
+        rows = rest.select("key", "hash", "start", F.col("bytes").alias("text"))
+    else:
+        found.append(_windowed(rest, length))
+    return reduce(DataFrame.unionAll, found)
 
 
 OUT = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -98,6 +98,38 @@ def test_repeated_passages_of_the_sample(spark, rows_of):
     assert got == {r[0]: int(g.sum()) for r, g in zip(rows, gone)}
 
 
+@pytest.mark.parametrize("group", [0, 3, 40])
+def test_large_groups_are_routed_again(spark, group):
+    """A passage in changing surroundings makes one large group by the first hash; rows by other routes are exact."""
+    rng = random.Random(group)
+    letters = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    core, tail, texts = letters(70), letters(25), []
+    for i in range(60):
+        around = [letters(40), core, rng.choice((tail, letters(25))), letters(30)]
+        texts.append(b"".join(around) + rng.choice((b"", b"a" * 130, core * 2, b"".join(around[1:]))))
+    texts += [texts[5], b"", texts[7][:99], b"a" * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text binary")
+    flags = _brute_repeats(texts)
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for r in repeats.marks(rows, repeats.LENGTH, group).collect():
+        gone[r["key"]][r["start"] : r["start"] + r["n"] + repeats.LENGTH - 1] = True
+    assert all((a == b).all() for a, b in zip(gone, flags)) and 0 < sum(map(sum, flags))
+
+
+def test_routes_agree_on_equal_windows():
+    """Whatever the route, equal windows have equal hashes, wherever they lie."""
+    rng = random.Random(9)
+    window = bytes(rng.randrange(256) for _ in range(repeats.LENGTH))
+    texts = [bytes(rng.randrange(256) for _ in range(n)) + window + bytes(n) for n in (0, 3, 50, 200)]
+    blocks = repeats.Blocks(repeats.LENGTH)
+    for route in repeats.ROUTES:
+        (data, starts, lengths, _, _), = blocks(texts)
+        _, least, inside = blocks.least(data, starts, lengths, *route)
+        places = [int(s) + n for s, n in zip(starts, (0, 3, 50, 200))]
+        assert len({int(least[at]) for at in places}) == 1 and all(inside[at] for at in places)
+        assert len(least) == len(data) - repeats.LENGTH + 1
+
+
 def test_run_index_matches():
     rng = random.Random(3)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(25)]
