@@ -3,6 +3,11 @@
 Every stage takes all that the one before kept and returns the columns of documents; the last
 returns the pieces of the packed sequences. ``run`` writes each stage's result as Parquet in the
 shared folder and reads it again, so that a lost executor costs a stage at most.
+
+A null text is an empty one; the quality rules reject texts of fewer than 20 words, so neither goes
+further. A null source is a source, weighed last. Rows that repeat an id, or have none, are rows of their
+own; of equal or near texts the longest or first stays, as the operators state. An empty table gives no
+pieces. Other columns, whatever their names, are kept up to packing.
 """
 
 from __future__ import annotations
