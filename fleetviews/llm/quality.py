@@ -3,13 +3,22 @@
 Each document gets counts; ratios of them go into quantile sketches per language and source: counts
 of values in bins that grow by ``GROWTH``, so a quantile is right to that factor. Such sketches
 merge by adding counts, in any order to the same result: partial ones combine on the map side, and
-those of a language, and of all languages, are merged from the small ones, for groups too small to
-judge by themselves. (Spark's KLL sketches draw random bits, so a rerun could judge otherwise.) A
-group's threshold for a ratio is a fence above (and for word length also below) its middle: the
-median plus ``REACH`` times the distance to the 0.75 quantile, and at least ``LEAST`` from the
-median, so that a group whose documents are all alike loses none. Outer quantiles do not move the
-fence: they are junk's own values where a group holds more than a hundredth of it. Thresholds are
-joined to the counts and filter them.
+those of a language, and of all languages, are merged from the small ones. (Spark's KLL sketches
+draw random bits, so a rerun could judge otherwise.)
+
+A sketch gives an upper fence, the higher of two marks. The first is the median plus ``REACH`` times
+its distance to the 0.75 quantile. The second is the sketch's change point: the bin after which two
+classes, split there, differ most (the largest variance between them), if the split explains at least
+``CHANGE`` of all variance. Most documents have no symbols and no line twice, so that quartiles of
+those ratios are 0; there the change point decides. Where neither says anything (no distance, no
+split), the sketch has no fence. For word length there is a lower fence too, by the quartile below.
+
+Fences of small groups lean on larger ones, smoothly: a language's is the mean of its own, weighted
+with its documents, and that of all, weighted as ``PRIOR`` documents; a source's leans on its
+language's in the same way, and that of all on the median plus ``FIRST``, so that those constants fade as
+the table grows. A group without a fence takes its parent's, all documents the largest value. A group
+only widens what its parent allows: a source of clean documents isn't cut for being even, and a
+source where symbols are usual keeps its own. Thresholds are joined to the counts and filter them.
 
 The fixed part is ``base_failed`` (too few words, or too much repetition); it does not enter the
 sketches. Null and empty texts have no words and fail it. Null languages and sources are groups
@@ -28,16 +37,19 @@ from . import common
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-#: Documents that a group needs for thresholds of its own.
-OWN_GROUP = 500
 REACH = 8.0
-#: Least distance of a threshold from the median, by ratio.
-LEAST = {"symbols": 0.10, "dup_lines": 0.30, "word_length": 3.0}
+#: Part of the variance that a change point must explain: halfway from what the best split of evenly
+#: spread values explains (3/4) to two separate values (1).
+CHANGE = 0.875
+#: Documents that the fence of the parent counts for.
+PRIOR = 200
+#: Distance of the fence of no documents from their median, by ratio.
+FIRST = {"symbols": 0.10, "dup_lines": 0.30, "word_length": 3.0}
 #: Bins of the sketches: their relative width, and the value up to which all is one bin.
-GROWTH = 1.02
+GROWTH = 1.005
 FINEST = 1e-6
-#: Quantiles read from the sketches; the outer two are for looking at and bound nothing.
-QUANTILES = {"lowest": 0.01, "lower": 0.25, "middle": 0.5, "upper": 0.75, "highest": 0.99}
+#: Quantiles read from the sketches.
+QUANTILES = {"lower": 0.25, "middle": 0.5, "upper": 0.75}
 #: Ratios whose low values are judged too.
 BOTH_SIDES = ("word_length",)
 SYMBOLS = "#*$%&|<>"
@@ -111,21 +123,48 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def _quantiles(bins: DataFrame, *by: str) -> DataFrame:
-    """Per group and ratio: documents, and the quantiles of QUANTILES, each the upper end of its bin."""
+def _fences(bins: DataFrame, *by: str) -> DataFrame:
+    """Per group and ratio: documents, median, end values, and the fences (NULL where there is none)."""
     group = Window.partitionBy(*by, "ratio")
-    below = F.sum("n").over(group.orderBy("bin"))
-    merged = bins.groupBy(*by, "ratio", "bin").agg(F.sum("n").alias("n"))
-    ranked = merged.withColumn("below", below).withColumn("total", F.sum("n").over(group))
+    upto = group.orderBy("bin")
+    whole = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     value = F.when(F.col("bin") == 0, 0.0).otherwise(FINEST * F.pow(F.lit(GROWTH), F.col("bin") - 1))
-    return ranked.groupBy(*by, "ratio").agg(
+    ranked = (
+        bins.groupBy(*by, "ratio", "bin").agg(F.sum("n").alias("n"))
+        .withColumn("value", value)
+        .withColumn("below", F.sum("n").over(upto))
+        .withColumn("mass", F.sum(F.col("n") * F.col("value")).over(upto))
+        .withColumn("total", F.sum("n").over(group))
+        .withColumn("all_mass", F.last("mass").over(whole))
+        .withColumn("squares", F.sum(F.col("n") * F.col("value") * F.col("value")).over(whole))
+    )
+    above = F.col("total") - F.col("below")
+    apart = F.try_divide(F.col("mass"), F.col("below")) - F.try_divide(F.col("all_mass") - F.col("mass"), above)
+    between = F.when(above > 0, F.col("below") * above * apart * apart / F.col("total"))
+    marks = ranked.groupBy(*by, "ratio").agg(
         F.max("total").alias("total"),
-        *[F.min(F.when(F.col("below") >= p * F.col("total"), value)).alias(name) for name, p in QUANTILES.items()],
+        F.min("value").alias("bottom"),
+        F.max("value").alias("top"),
+        F.max(F.struct(between.alias("between"), F.col("value"))).alias("split"),
+        F.max(F.col("squares") - F.col("all_mass") * F.col("all_mass") / F.col("total")).alias("variance"),
+        *[F.min(F.when(F.col("below") >= p * F.col("total"), F.col("value"))).alias(q) for q, p in QUANTILES.items()],
+    )
+    change = F.when(F.col("split.between") >= CHANGE * F.col("variance"), F.col("split.value"))
+    rise, fall = F.col("upper") - F.col("middle"), F.col("middle") - F.col("lower")
+    return marks.select(
+        *by, "ratio", "total", "middle", "bottom", "top",
+        F.greatest(F.when(rise > 0, F.col("middle") + REACH * rise), change).alias("high"),
+        F.when(fall > 0, F.col("middle") - REACH * fall).alias("low"),
     )
 
 
-def _thresholds(judged: DataFrame) -> DataFrame:
-    """Bounds of every ratio per (lang, source)."""
+def _leaning(own: Column, total: Column, parent: Column) -> Column:
+    """The mean of a group's fence and its parent's; the parent's where the group has none."""
+    return F.coalesce((total * own + PRIOR * parent) / (total + PRIOR), parent)
+
+
+def thresholds(judged: DataFrame) -> DataFrame:
+    """lang_, source_ and the bounds of every ratio, from the counts of ``judged``."""
     ratios = F.explode(F.map_from_arrays(
         F.array(*[F.lit(name) for name in _ratios()]), F.array(*_ratios().values())
     )).alias("ratio", "value")
@@ -137,31 +176,25 @@ def _thresholds(judged: DataFrame) -> DataFrame:
         .groupBy("lang", "source", "ratio", bin_.cast("long").alias("bin")).agg(F.count("*").alias("n")),
         "sketches",
     )
+    first = F.element_at(F.create_map(*[F.lit(x) for pair in FIRST.items() for x in pair]), F.col("ratio"))
+    every = _fences(bins).select(
+        F.col("ratio").alias("ratio_"),
+        _leaning(F.coalesce("high", "top"), F.col("total"), F.col("middle") + first).alias("most_"),
+        _leaning(F.coalesce("low", "bottom"), F.col("total"), F.col("middle") - first).alias("least_"),
+    )
 
-    def level(found: DataFrame, name: str) -> DataFrame:
-        marks = F.struct("total", *QUANTILES).alias(name)
-        return found.select(*[c for c in ("lang", "source", "ratio") if c in found.columns], marks)
-
-    own = level(_quantiles(bins, "lang", "source"), "own")
-    languages = level(_quantiles(bins, "lang"), "language").withColumnsRenamed({"lang": "lang_", "ratio": "ratio_"})
-    every = level(_quantiles(bins), "every")
-    levels = own.join(
-        languages, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("ratio") == F.col("ratio_"))
-    ).drop("lang_", "ratio_").join(every, "ratio")
-    chosen = F.when(F.col("own.total") >= OWN_GROUP, F.col("own")).when(
-        F.col("language.total") >= OWN_GROUP, F.col("language")
-    ).otherwise(F.col("every"))
-    levels = levels.select("lang", "source", "ratio", chosen.alias("q"))
-    bounds = []
-    for name, least in LEAST.items():
-        reach = F.greatest(REACH * (F.col("q.upper") - F.col("q.middle")), F.lit(least))
-        most = F.col("q.middle") + reach
-        bounds.append(F.max(F.when(F.col("ratio") == name, most)).alias(f"most_{name}"))
-        if name in BOTH_SIDES:
-            reach = F.greatest(REACH * (F.col("q.middle") - F.col("q.lower")), F.lit(least))
-            low = F.col("q.middle") - reach
-            bounds.append(F.max(F.when(F.col("ratio") == name, low)).alias(f"least_{name}"))
-    return levels.groupBy("lang", "source").agg(*bounds).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    def widened(groups: DataFrame, parents: DataFrame, match: Column) -> DataFrame:
+        most = F.greatest(F.col("most_"), _leaning(F.col("high"), F.col("total"), F.col("most_")))
+        least = F.least(F.col("least_"), _leaning(F.col("low"), F.col("total"), F.col("least_")))
+        kept = [c for c in ("lang", "source", "ratio") if c in groups.columns]
+        return groups.join(parents, match).select(*kept, most.alias("most"), least.alias("least"))
+
+    same = F.col("ratio") == F.col("ratio_")
+    languages = widened(_fences(bins, "lang"), every, same).toDF("lang_", "ratio_", "most_", "least_")
+    own = widened(_fences(bins, "lang", "source"), languages, same & F.col("lang").eqNullSafe(F.col("lang_")))
+    bounds = [F.max(F.when(F.col("ratio") == name, F.col("most"))).alias(f"most_{name}") for name in FIRST]
+    bounds += [F.max(F.when(F.col("ratio") == name, F.col("least"))).alias(f"least_{name}") for name in BOTH_SIDES]
+    return own.groupBy("lang", "source").agg(*bounds).withColumnsRenamed({"lang": "lang_", "source": "source_"})
 
 
 def verdicts(docs: DataFrame, key: str) -> DataFrame:
@@ -172,7 +205,7 @@ def verdicts(docs: DataFrame, key: str) -> DataFrame:
         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
     ratios = _ratios()
-    limits = _thresholds(rows.filter("NOT base_failed"))
+    limits = thresholds(rows.filter("NOT base_failed"))
     fits = F.lit(True)
     for name, ratio in ratios.items():
         fits = fits & (ratio <= F.col(f"most_{name}"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -11,39 +10,14 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fleetviews.llm import quality
 from .test_dedup import _brute_print, _order
 from .test_packing import _ids
-from .test_texts import WORD, _quality, _targets
+from .test_texts import WORD, _kept, _targets
 
 
 def _accepted(rows):
-    """The quality rules where no group of language and source is large enough for fences of its own."""
-    counted = [(r, _quality(r[1] or "")) for r in rows]
-    good = [(r, c) for r, c in counted if not c[5]]
-
-    def ratios(row, c):
-        lines = sum(bool(WORD.search(x)) for x in row[1].split("\n"))
-        return {"symbols": c[2] / c[1], "dup_lines": c[3] / lines, "word_length": c[1] / c[0]}
-
-    def middle_and_quartiles(name):
-        found = []
-        for x in (ratios(r, c)[name] for r, c in good):
-            found.append(0 if x <= quality.FINEST else 1 + math.ceil(math.log(x / quality.FINEST) / math.log(quality.GROWTH)))
-        found.sort()
-        bins = {k: found[math.ceil(p * len(found) - 1e-9) - 1] for k, p in quality.QUANTILES.items()}
-        return {k: 0.0 if b == 0 else quality.FINEST * quality.GROWTH ** (b - 1) for k, b in bins.items()}
-
-    kept = list(good)
-    for name, least in quality.LEAST.items() if good else ():
-        q = middle_and_quartiles(name)
-        most = q["middle"] + max(quality.REACH * (q["upper"] - q["middle"]), least)
-        low = q["middle"] - max(quality.REACH * (q["middle"] - q["lower"]), least)
-        kept = [
-            (r, c) for r, c in kept
-            if ratios(r, c)[name] <= most * (1 + 1e-12) and (name not in quality.BOTH_SIDES or ratios(r, c)[name] >= low)
-        ]
-    return [r for r, _ in kept]
+    kept = _kept([(r[1] or "", r[3], r[2]) for r in rows])
+    return [r for r, keep in zip(rows, kept) if keep]
 
 
 def _without_copies(rows):
@@ -72,7 +46,7 @@ def test_pipeline(spark, tables, monkeypatch, folder):
 
     def watched(name, stage):
         def call(spark, docs, sf_dir):
-            seen[name] = docs.select("doc_id", "text", "source").collect()
+            seen[name] = docs.select("doc_id", "text", "source", "lang").collect()
             out = stage(spark, docs, sf_dir)
             assert name == "packing" or out.columns == docs.columns
             return out
@@ -106,7 +80,7 @@ def test_pipeline(spark, tables, monkeypatch, folder):
     # Every id of every document that the mix took lies in one piece.
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want, got = Counter(), Counter()
-    for doc_id, text, _ in mixed:
+    for doc_id, text, *_ in mixed:
         want[doc_id] += len(_ids(tokenizer, text or ""))
     for p in pieces:
         got[p.doc_id] += p.length

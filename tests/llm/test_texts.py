@@ -227,48 +227,77 @@ def _quality(text: str):
     )
 
 
-@pytest.mark.parametrize("own", [quality.OWN_GROUP, 2])
+def _fence(values):
+    """high, low, median and end values of a group's binned values."""
+    def mark(p):
+        return values[math.ceil(p * len(values) - 1e-9) - 1]
+
+    values, n = sorted(values), len(values)
+    lower, middle, upper = mark(0.25), mark(0.5), mark(0.75)
+    mean = sum(values) / n
+    best = (-1.0, 0.0)
+    for k in range(1, n):
+        if values[k - 1] < values[k]:
+            a, b = sum(values[:k]) / k, sum(values[k:]) / (n - k)
+            best = max(best, (k * (n - k) * (a - b) ** 2 / n, values[k - 1]))
+    highs = [middle + quality.REACH * (upper - middle)] if upper > middle else []
+    if best[0] >= 0 and best[0] >= quality.CHANGE * sum((v - mean) ** 2 for v in values):
+        highs.append(best[1])
+    low = middle - quality.REACH * (middle - lower) if lower < middle else None
+    return max(highs, default=None), low, middle, values[0], values[-1]
+
+
+def _kept(rows):
+    """The verdict on each of (text, lang, source)."""
+    counted = [(_quality(t), t, (lang, source)) for t, lang, source in rows]
+    prior = quality.PRIOR
+
+    def ratio(c, text, name):
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        return {"symbols": c[2] / c[1], "dup_lines": c[3] / lines, "word_length": c[1] / c[0]}[name]
+
+    def binned(x):
+        if x <= quality.FINEST:
+            return 0.0
+        return quality.FINEST * quality.GROWTH ** math.ceil(math.log(x / quality.FINEST) / math.log(quality.GROWTH))
+
+    def leaning(own, n, parent):
+        return parent if own is None else (n * own + prior * parent) / (n + prior)
+
+    bounds = {}
+    for name, first in quality.FIRST.items():
+        groups = defaultdict(list)
+        for c, text, group in counted:
+            if not c[5]:
+                for at in ((), group[:1], group):
+                    groups[at].append(binned(ratio(c, text, name)))
+        for at in sorted(groups, key=len):
+            n, (high, low, middle, bottom, top) = len(groups[at]), _fence(groups[at])
+            if at:
+                most, least = bounds[name, at[:-1]]
+                bounds[name, at] = max(most, leaning(high, n, most)), min(least, leaning(low, n, least))
+            else:
+                high, low = top if high is None else high, bottom if low is None else low
+                bounds[name, at] = leaning(high, n, middle + first), leaning(low, n, middle - first)
+
+    def fits(c, text, group, name):
+        most, least = bounds[name, group]
+        x = ratio(c, text, name)
+        return x <= most and (name not in quality.BOTH_SIDES or x >= least)
+
+    return [not c[5] and all(fits(c, t, group, name) for name in quality.FIRST) for c, t, group in counted]
+
+
+@pytest.mark.parametrize("prior", [quality.PRIOR, 2])
 @pytest.mark.parametrize("folder", FOLDERS)
-def test_quality(spark, tables, rows_of, monkeypatch, folder, own):
-    monkeypatch.setattr(quality, "OWN_GROUP", own)
+def test_quality(spark, tables, rows_of, monkeypatch, folder, prior):
+    monkeypatch.setattr(quality, "PRIOR", prior)
     folder = tables.get(folder, folder)
     rows = rows_of(folder)
-    counted = [(d, *_quality(t), lang, source) for d, t, lang, source in rows]
     got = quality.op6_quality_rules(spark, folder).collect()
-    assert Counter(tuple(r)[:7] for r in got) == Counter(c[:7] for c in counted)
-
-    def ratios(c):
-        lines = sum(bool(WORD.search(x)) for x in text_of[c].split("\n"))
-        return {"symbols": c[3] / c[2], "dup_lines": c[4] / lines, "word_length": c[2] / c[1]}
-
-    text_of = {c: r[1] for c, r in zip(counted, rows)}
-    good = [c for c in counted if not c[6]]
-
-    def binned(x):
-        return 0 if x <= quality.FINEST else 1 + math.ceil(math.log(x / quality.FINEST) / math.log(quality.GROWTH))
-
-    def upper(b):
-        return 0.0 if b == 0 else quality.FINEST * quality.GROWTH ** (b - 1)
-
-    verdict = Counter()
-    for c in counted:
-        keep = not c[6]
-        for name, least in quality.LEAST.items() if keep else ():
-            group = [g for g in good if g[7:] == c[7:]]
-            if len(group) < own:
-                group = [g for g in good if g[7] == c[7]]
-            if len(group) < own:
-                group = good
-            values = sorted(binned(ratios(g)[name]) for g in group)
-            q = {k: upper(values[math.ceil(p * len(values) - 1e-9) - 1]) for k, p in quality.QUANTILES.items()}
-            x = ratios(c)[name]
-            most = q["middle"] + max(quality.REACH * (q["upper"] - q["middle"]), least)
-            keep &= x <= most * (1 + 1e-12)
-            if name in quality.BOTH_SIDES:
-                low = q["middle"] - max(quality.REACH * (q["middle"] - q["lower"]), least)
-                keep &= x >= low
-        verdict[c[0], keep] += 1
-    assert Counter((r.doc_id, r.kept) for r in got) == verdict
+    assert Counter(tuple(r)[:7] for r in got) == Counter((d, *_quality(t)) for d, t, _, _ in rows)
+    kept = _kept([r[1:] for r in rows])
+    assert Counter((r.doc_id, r.kept) for r in got) == Counter((r[0], k) for r, k in zip(rows, kept))
 
 
 def test_quality_keeps_columns(spark, tables):
