@@ -9,8 +9,9 @@ hash of the row key: those with the smallest hashes, found by counts of hash ran
 length has to be ranked as a whole, however many documents share it.
 
 One task sees the lengths of one source: d different lengths add up to more than d * d / 2 words,
-so they are at most the square root of twice the source's size. The list of sources goes through
-the driver and is refused beyond ``MAX_SOURCES``; a mix is configured by source.
+so they are at most the square root of twice the source's size. Sources stay a table, however many
+there are: their order, which decides their weights, comes from range partitions and the row counts
+of those, and each round of sharing again is one aggregation whose few sums the driver reads.
 
 Null and empty texts have size 0 and are never taken. Null is a source of its own, last in order.
 Rows that repeat an id are documents of their own. An empty table gives an empty result. Other
@@ -32,7 +33,6 @@ MOST_EPOCHS = 2
 #: Open budget, in words, that dynamic programming closes.
 WINDOW = 8192
 SEED = 17
-MAX_SOURCES = 100_000
 #: Documents per hash range, about.
 RANGE = 256
 
@@ -45,21 +45,43 @@ def sizes(docs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def targets(totals: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS) -> list[float]:
-    """The target of each source: its weight's part of the budget, at most ``most`` times its size;
-    what is above is shared again among the others by weight."""
-    budget = share * sum(size for _, size in totals)
-    weight = [weights[i % len(weights)] for i in range(len(totals))]
-    target, open_ = [0.0] * len(totals), set(range(len(totals)))
-    while open_:
-        whole = sum(weight[i] for i in open_)
-        part = {i: budget * weight[i] / whole for i in open_}
-        above = {i for i in open_ if part[i] > most * totals[i][1]}
-        for i in above or open_:
-            target[i] = float(most * totals[i][1]) if above else part[i]
-            budget -= target[i] if above else 0
-        open_ = open_ - above if above else set()
-    return target
+def targets(totals: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS) -> DataFrame:
+    """``totals`` (no_source, source, source_size) with the target of each source: its weight's part
+    of the budget, at most ``most`` times its size; what is above is shared again among the others by
+    weight, until no target is above."""
+    order = ["no_source", "source"]
+    placed = common.saved(
+        totals.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "sources"
+    )
+    before = F.sum("n_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row a partition, so this window is as small as the list of tasks.
+    starts = placed.groupBy("part").agg(F.count("*").alias("n_part")).select(
+        "part", F.coalesce(before, F.lit(0)).alias("start")
+    )
+    place = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
+    weighed = common.saved(
+        placed.join(F.broadcast(starts), "part").select(*order, "source_size", weight.alias("weight")), "weights"
+    )
+
+    def above(level: float | None) -> Column:
+        return F.lit(False) if level is None else F.col("weight") * F.lit(level) > most * F.col("source_size")
+
+    level, full = None, -1
+    while True:
+        found = weighed.agg(
+            F.sum("source_size").alias("size"),
+            F.count_if(above(level)).alias("full"),
+            F.sum(F.when(above(level), most * F.col("source_size"))).alias("given"),
+            F.sum(F.when(~above(level), F.col("weight"))).alias("open"),
+        ).first()
+        if not found.open or found.full == full:
+            break
+        level, full = (share * found.size - (found.given or 0)) / found.open, found.full
+    target = F.when(above(level), (most * F.col("source_size")).cast("double"))
+    return weighed.select(
+        *order, "source_size", target.otherwise(F.col("weight") * F.lit(level).cast("double")).alias("target")
+    )
 
 
 def fitted(lengths: list[int], counts: list[int], budget: int, seed: int, window: int = WINDOW) -> list[int]:
@@ -112,7 +134,6 @@ def _chance(seed: int) -> Column:
 
 def copies(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed=SEED) -> DataFrame:
     """``rows`` (key, doc_id, source, size) with source_size, target and the times each is taken."""
-    spark = rows.sparkSession
     # Nulls get a name of their own beside the source, so that joins need no null-safe keys.
     rows = common.saved(
         rows.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit(""))),
@@ -120,15 +141,8 @@ def copies(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed
     )
     group = ["no_source", "source"]
     lengths = common.saved(rows.groupBy(*group, "size").agg(F.count("*").alias("n")), "lengths")
-    found = lengths.groupBy(*group).agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(MAX_SOURCES + 1)
-    totals = sorted((r.no_source, r.source, r.source_size) for r in found.collect())
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = targets([(s, n) for _, s, n in totals], weights, share, most)
-    plan = spark.createDataFrame(
-        [(*row, target) for row, target in zip(totals, wanted)],
-        "no_source boolean, source string, source_size long, target double",
-    )
+    totals = lengths.groupBy(*group).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    plan = targets(totals, weights, share, most)
 
     def fit(lots: pd.DataFrame) -> pd.DataFrame:
         lots = lots.sort_values("size")
@@ -139,7 +153,7 @@ def copies(rows: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_EPOCHS, seed
         return lots[["no_source", "source", "size", "n", "source_size", "target"]].assign(epochs=epochs, extra=taken)
 
     chosen = common.saved(
-        lengths.join(F.broadcast(plan), group).groupBy(*group).applyInPandas(
+        lengths.join(plan, group).groupBy(*group).applyInPandas(
             fit, "no_source boolean, source string, size long, n long, source_size long, target double,"
             " epochs long, extra long"
         ),
