@@ -6,10 +6,12 @@ decides where the address, number or account ends, and validates it. No parser l
 that an anchor does not lead to.
 
 Base kinds (email, ip, card, phone) are leftmost and do not overlap within their kind; a match
-that fails its check is passed over whole. Added kinds: ``account`` (an IBAN after a cue, check
-digits 97), ``url`` (an address that carries a user's password) and ``secret`` (a quoted or
-bare value of 16 or more letters and digits after ``token``, ``secret``, ``password`` or
-``api_key`` and ``=`` or ``:``). Added spans never change base spans.
+that fails its check is passed over whole. Added kinds: ``account`` (an IBAN up to three words after
+a cue, as long as its country's are, check digits 97), ``url`` (an address that carries a user's
+password) and ``secret`` (a quoted or bare value of 16 or more characters after ``token``, ``secret``,
+``password`` or ``api_key``, their name's other parts and ``=`` or ``:``; slashes and plus signs belong to
+it if it has digits, upper and lower case; or an access key that its own prefix tells). Added spans never
+change base spans.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Rows are judged
 one by one, so repeated rows give repeated results and an empty table an empty one; other
@@ -32,15 +34,30 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "url", "secret")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey")
 ACCOUNT_CUES = ("iban",)
+KEY_CUES = ("AKIA", "ASIA")
+# Characters of an IBAN by country, from the public registry of ISO 13616.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _DOTTED = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"\W{1,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"\W{1,4}(?:[^\W\d_]{1,20}\W{1,4}){0,3}?(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,28}))")
 _USERINFO = re.compile(r"://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+[^\s\"'<>]*")
-_SECRET = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-]{16,})")
+_NAMED = r"(?:[_-][A-Za-z0-9]{1,16}){0,3}[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
+_SECRET = re.compile(_NAMED + r"([A-Za-z0-9_\-]{16,})")
+_SECRET_MIXED = re.compile(_NAMED + r"([A-Za-z0-9_\-/+]{16,}={0,2})")
+_KEY = re.compile(r"[0-9A-Z]{16}(?![A-Za-z0-9])")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
 
@@ -56,6 +73,8 @@ def automaton() -> ahocorasick.Automaton:
     for cue in ACCOUNT_CUES:
         for form in {cue, cue.upper(), cue.capitalize()}:
             found.add_word(form, ("account", len(form)))
+    for cue in KEY_CUES:
+        found.add_word(cue, ("key", len(cue)))
     found.make_automaton()
     return found
 
@@ -75,6 +94,11 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _varied(text: str) -> bool:
+    """Has a slash or plus sign, digits, upper and lower case."""
+    return all(any(test(c) for c in text) for test in ("/+".__contains__, str.isdigit, str.isupper, str.islower))
+
+
 class Finder:
     """All spans of a text; keeps no state between texts."""
 
@@ -94,9 +118,11 @@ class Finder:
             elif kind == "scheme":
                 self._url(text, start, found, done)
             elif kind == "secret":
-                self._cued(text, last + 1, _SECRET, "secret", lambda value: True, found, done)
+                self._secret(text, last + 1, found, done)
+            elif kind == "key":
+                self._key(text, start, found, done)
             else:
-                self._cued(text, last + 1, _IBAN, "account", iban, found, done)
+                self._account(text, last + 1, found, done)
         found.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
         return found
 
@@ -141,11 +167,34 @@ class Finder:
             found.append((start, rest.end(), "url"))
 
     @staticmethod
-    def _cued(text, at, form, kind, valid, found, done) -> None:
-        value = form.match(text, at)
-        if value and value.start(1) >= done[kind] and valid(value.group(1)):
-            done[kind] = value.end(1)
-            found.append((value.start(1), value.end(1), kind))
+    def _secret(text, at, found, done) -> None:
+        wide = _SECRET_MIXED.match(text, at)
+        value = wide if wide and _varied(wide.group(1)) else _SECRET.match(text, at)
+        if value and value.start(1) >= done["secret"]:
+            done["secret"] = value.end(1)
+            found.append((value.start(1), value.end(1), "secret"))
+
+    @staticmethod
+    def _key(text, at, found, done) -> None:
+        bare = at == 0 or not (text[at - 1].isascii() and text[at - 1].isalnum())
+        if bare and at >= done["secret"] and (rest := _KEY.match(text, at + 4)):
+            done["secret"] = rest.end()
+            found.append((at, rest.end(), "secret"))
+
+    @staticmethod
+    def _account(text, at, found, done) -> None:
+        cue = _IBAN.match(text, at)
+        if not cue or cue.start(1) < done["account"]:
+            return
+        start, left = cue.start(1), IBAN_LENGTHS.get(cue.group(1)[:2], 0)
+        end = start
+        while left and end < cue.end(1):
+            left -= text[end] != " "
+            end += 1
+        if left or end == start or text[end : end + 1].isalnum() or not iban(text[start:end]):
+            return
+        done["account"] = end
+        found.append((start, end, "account"))
 
 
 def _listed(spans: list[tuple[int, int, str]]) -> str:
