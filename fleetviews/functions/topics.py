@@ -10,6 +10,12 @@ import re
 
 from pyspark.sql import Column, functions as F
 
+#: Streams by the word that names them in a topic: routing view and time column.
+STREAMS = {
+    "telemetry": {"view": "fleet_telemetry_raw", "time": "recorded_at"},
+    "events": {"view": "fleet_events_raw", "time": "occurred_at"},
+    "commands": {"view": "fleet_commands_raw", "time": "issued_at"},
+}
 ONE_LEVEL, REST = "*", ">"
 _REGEX_SPECIALS = r"([\\.\[\]{}()*+\-?^$|&#~ ])"
 
@@ -97,24 +103,20 @@ def event_identifier(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9_]", "_")
 
 
+def _of_stream(pattern: Column, field: str) -> Column:
+    """A field of the first stream of ``STREAMS`` that the pattern names, else of the first of all."""
+    named = [F.when(pattern.contains(word), F.lit(stream[field])) for word, stream in STREAMS.items()]
+    return F.coalesce(*named, F.lit(next(iter(STREAMS.values()))[field]))
+
+
 def inferred_time_column(pattern: Column) -> Column:
     """Time column of the stream a pattern speaks about; telemetry when unclear."""
-    return (
-        F.when(pattern.contains("telemetry"), F.lit("recorded_at"))
-        .when(pattern.contains("events"), F.lit("occurred_at"))
-        .when(pattern.contains("commands"), F.lit("issued_at"))
-        .otherwise(F.lit("recorded_at"))
-    )
+    return _of_stream(pattern, "time")
 
 
 def base_view(pattern: Column) -> Column:
     """Routing view a pattern reads from; telemetry when unclear."""
-    return (
-        F.when(pattern.contains("telemetry"), F.lit("fleet_telemetry_raw"))
-        .when(pattern.contains("events"), F.lit("fleet_events_raw"))
-        .when(pattern.contains("commands"), F.lit("fleet_commands_raw"))
-        .otherwise(F.lit("fleet_telemetry_raw"))
-    )
+    return _of_stream(pattern, "view")
 
 
 def build_topic(*parts: Column | str) -> Column:
