@@ -329,7 +329,9 @@ def _indexed(contents: DataFrame, length: int, width: int) -> DataFrame:
         if block:
             yield marked(block)
 
-    dealt = contents.repartition(width, "hash").sortWithinPartitions("hash", "key", "start")
+    # Dealt by a hash of the hash: a repartition by the column itself is left out behind a join on it,
+    # whose partitions adaptive execution may cut inside a group.
+    dealt = contents.repartition(width, F.xxhash64("hash")).sortWithinPartitions("hash", "key", "start")
     return dealt.select("hash", "key", "start", "inner", "bytes").mapInArrow(run, MARK)
 
 
