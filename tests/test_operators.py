@@ -280,6 +280,24 @@ def test_conditions(spark):
     assert df.where(views.all_of(views.equals("vehicle_id", "a"), views.severity_is("low"))).count() == 0
 
 
+def test_parts_of_groups_do_not_grow_with_the_square(spark):
+    """Left rows are repeated a bounded number of times, but a group with most of the rows has many parts."""
+    left = spark.range(1).select(F.lit("a").alias("k"), F.lit(0).alias("_bin"))
+    on = ["k", "_bin"]
+    for n in (100, 1000):
+        right = spark.range(n * 20).selectExpr("concat('g', id % 20) AS k", "0 AS _bin", "id")
+        lefts, _ = joins._split_hot_groups(right.select(*on).distinct(), right, on, 2)
+        assert lefts.count() == 20 * joins.SMALL_PARTS
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        right = spark.range(1000).selectExpr("'a' AS k", "0 AS _bin", "id")
+        lefts, rights = joins._split_hot_groups(left, right, on, 2)
+        assert lefts.count() == 40 and rights.select("_part").distinct().count() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+
+
 def test_one_bucket_with_most_rows_is_split(spark):
     """A third of all readings in one (vehicle, bin): adaptive execution cuts the partition."""
     small = {
