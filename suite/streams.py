@@ -342,13 +342,20 @@ def _(f):
 
 # --- subscriptions fed in several batches ---
 
+# Rows of a message file, where a part has more than one.
+BATCH_FILE_ROWS = 100_000
+
+
 def _in_batches(f, name, parts):
     """A message stream that brings each part of the table's messages in a batch of its own."""
     folder = f.work(name)
+    # Every part has as many files, so that many files are one part, however large the table is.
+    sizes = reduce(DataFrame.unionAll, [part.select(F.count(F.lit(1)).alias("n")) for part in parts])
+    files = max(1, sizes.agg(F.min("n")).first()[0] // BATCH_FILE_ROWS)
     for i, part in enumerate(parts):
-        part.drop("seq").write.parquet(f"{folder}/{i:03}")
+        part.drop("seq").repartition(files).write.parquet(f"{folder}/{i:03}")
     schema = f.table.messages().drop("seq").schema
-    return f.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return f.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
 
 
 def _payload(records, *more):
