@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timing import interval
 from ..schemas import SENSOR_UNITS, SENSORS
+from .covers import boxes_around
 from .skew import PARTS, ROWS, oversized, with_parts
 
 TWO_MINUTES = timedelta(minutes=2)
@@ -290,7 +291,9 @@ def region_cells(regions: DataFrame, cell: float = FINEST) -> DataFrame:
     return listed
 
 
-def in_regions(positions: DataFrame, regions: DataFrame, cell: float = FINEST) -> DataFrame:
+def in_regions(
+    positions: DataFrame, regions: DataFrame, cell: float = FINEST, counted: str | None = None
+) -> DataFrame:
     """Every position beside each region of a table that it lies in.
 
     ``regions`` has ``region`` and an inclusive box: ``min_lat``, ``max_lat``, ``min_lon``,
@@ -298,7 +301,14 @@ def in_regions(positions: DataFrame, regions: DataFrame, cell: float = FINEST) -
     in one cell of each level that a region uses, and the two meet on level and cell, so it meets only
     regions that are near for their size. A position without coordinates, or in no region, gives no row.
     ``cell`` is the width of the finest cells in degrees; regions much smaller share those.
+
+    With ``counted``, a position in any region gives one row, beside the number of its regions under that name.
+    Such pairs are counted and not formed (:func:`boxes_around`): they grow with the square of the tables.
     """
+    if counted:
+        around = boxes_around(positions, regions)
+        same_place = (F.col("latitude").cast("double") == around["lat"]) & (F.col("longitude").cast("double") == around["lon"])
+        return positions.join(around, same_place).select(*[positions[c] for c in positions.columns], around["n"].alias(counted))
     listed = region_cells(regions, cell)
     # A handful of numbers, found when the query runs.
     levels = listed.select(F.array_sort(F.collect_set("_level"))).scalar()

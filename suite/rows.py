@@ -271,8 +271,8 @@ def _(f):
     size = F.expr("CASE seq % 15 WHEN 0 THEN 0.0005D WHEN 3 THEN 0.002D WHEN 6 THEN 0.004D WHEN 9 THEN 0.015D ELSE 0.03D END")
     regions = readings.where("seq % 3 = 0").withColumn("size", size).selectExpr(*SIZED_REGIONS)
     positions = readings.selectExpr("vehicle_id", "ts AS recorded_at", "seq", "latitude", "longitude")
-    found = joins.in_regions(positions, regions)
-    return found.groupBy("vehicle_id", "recorded_at", "seq").agg(F.count(F.lit(1)).alias("regions"))
+    found = joins.in_regions(positions, regions, counted="regions")
+    return found.groupBy("vehicle_id", "recorded_at", "seq").agg(F.sum("regions").alias("regions"))
 
 
 @check("p15_vehicle_high_alerts", f"SELECT {EVENT_ROW} FROM alerts WHERE vehicle_id = 'vehicle_003' AND severity = 'high'")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetviews.functions import timing, values
-from fleetviews.operators import joins, rolling, sets, skew, topk, views, windows
+from fleetviews.operators import covers, joins, rolling, sets, skew, topk, views, windows
 from fleetviews.plans import presets
 from fleetviews.plans.viewset import ViewSet
 from fleetviews.schemas import SENSORS, valid_event
@@ -115,6 +116,42 @@ def test_region_table_of_all_sizes(spark):
     )
     assert sorted((r["vehicle_id"], r["region"]) for r in joins.in_regions(df, regions).collect()) == want
     assert joins.in_regions(df, regions.limit(0)).isEmpty()
+    counts = joins.in_regions(df, regions, counted="regions")
+    assert counts.columns == [*df.columns, "regions"]
+    assert {r["vehicle_id"]: r["regions"] for r in counts.collect()} == Counter(v for v, _ in want)
+    assert joins.in_regions(df, regions.limit(0), counted="regions").isEmpty()
+
+
+@pytest.mark.parametrize("points_of_a_slab", [20, 150, 20_000])
+def test_regions_counted(spark, monkeypatch, points_of_a_slab):
+    """Positions on edges and corners of boxes, on the same spots, and none; repeated boxes count each time."""
+    monkeypatch.setattr(covers, "SLAB_POINTS", points_of_a_slab)
+    rng = random.Random(5)
+    some = [-0.0, 0.0, 0.5, 1.0, 1.5, float("nan"), float("inf"), -float("inf"), *[rng.uniform(-1, 3) for _ in range(30)]]
+    points = [(f"v{i}", T0, 1.0, 0.0, rng.choice(some), rng.choice(some)) for i in range(300)]
+    points += [points[0], ("n", T0, 1.0, 0.0, None, 0.5), (None, None, None, None, 0.5, 0.5)]
+    boxes = [(f"r{i}", *(rng.choice(some) for _ in range(4))) for i in range(150)]
+    boxes += [boxes[0], (None, 0.0, 1.0, 0.0, 1.0), ("null", 0.0, None, 0.0, 1.0), ("point", 0.5, 0.5, 0.5, 0.5)]
+    df, regions = spark.createDataFrame(points, READING), spark.createDataFrame(boxes, REGIONS)
+    pairs = df.join(regions, F.expr("latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon"))
+    want = Counter(r["vehicle_id"] for r in pairs.collect())
+    found = joins.in_regions(df, regions, counted="n")
+    got = found.groupBy("vehicle_id").agg(F.sum("n").alias("n")).collect()
+    assert {r["vehicle_id"]: r["n"] for r in got} == want and None in want
+
+
+def test_counted_regions_form_no_pairs(spark, tmp_path):
+    """Four thousand positions, each in four thousand boxes: positions and boxes are never joined."""
+    df = spark.range(4000).selectExpr("id", "id / 4000D AS latitude", "id * 7 % 4000 / 4000D AS longitude")
+    regions = df.selectExpr(
+        "string(id) AS region", "latitude - 2 AS min_lat", "latitude + 2 AS max_lat", "longitude - 2 AS min_lon",
+        "longitude + 2 AS max_lon",
+    )
+    found = joins.in_regions(df, regions, counted="regions")
+    assert found.where("regions = 4000").count() == 4000
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = [line for line in plan if "Join" in line]
+    assert joined and not any(column in line for line in joined for column in ("min_", "max_"))
 
 
 def test_depots_do_not_meet_in_one_cell(spark):
