@@ -493,3 +493,22 @@ def test_intervals_as_microseconds(spark):
     out = comparable(df.select("i", (F.lit(timedelta(microseconds=1)) * F.col("n")).alias("x")))
     assert out.schema["x"].dataType.typeName() == "long"
     assert [r["x"] for r in out.orderBy("i").collect()] == spans
+
+
+@pytest.mark.parametrize("reach, bins, block_rows", [(7, 2, 3), (7, 1, 1), (7, 3, 512), (0, 2, 4), (1, 2, 2)])
+def test_folded_join_holds_the_pairs(spark, reach, bins, block_rows):
+    """Equal rows and times, ends of spans, missing keys and times, in blocks that groups do not fit into."""
+    rng = random.Random(reach * 100 + bins)
+    at = lambda: rng.choice([None, *[datetime(1969, 12, 31, 23, 59, 59) + timedelta(seconds=1, microseconds=i - 12) for i in range(24)]])
+    some = lambda n: [(rng.choice(["a", "b", None]), at(), rng.randint(0, 2)) for _ in range(n)]
+    left = spark.createDataFrame(some(60), "k string, lt timestamp, l int")
+    right = spark.createDataFrame(some(90), "k string, rt timestamp, r int")
+    sides = (left, right, "k", "lt", "rt", timedelta(microseconds=reach), bins)
+    folded = joins.folded_interval_join(*sides, block_rows)
+    sizes = folded.agg(F.max(F.size(joins.LEFTS)), F.max(F.size(joins.RIGHTS))).first()
+    assert max(sizes) <= block_rows
+    want = joins.interval_join(*sides, apart="d")
+    got = joins.unfolded(folded, apart="d")
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(got.select(*want.columns).collect()) == Counter(want.collect())
+    assert want.count() > 0

@@ -7,6 +7,7 @@ import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -19,7 +20,7 @@ from fleetviews.plans import presets
 from fleetviews.plans.client import is_safe_select
 from fleetviews.plans.lifecycle import LiveViews, drop_registered, ensure_views, persist_view
 from fleetviews.functions.values import JSON_TIMES
-from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE
+from fleetviews.schemas import CONNECTOR_STATUS, MESSAGE, SENSORS
 from fleetviews.sources import messages, sinks
 from fleetviews.sources.events_table import AS_OF, EventsTable
 from fleetviews.sources.keyed import KeyedTable
@@ -859,5 +860,33 @@ def test_context_across_the_cut(spark, views, stream):
     assert rows(got) == rows(views["alerts_with_context"].select(*got.columns))
 
 
+def test_stored_context_does_not_grow_with_the_pairs(spark, stream):
+    """Rows of one vehicle within one span: four times the rows are sixteen times the pairs."""
+    size = {}
+    for n in (150, 600):
+        rng = random.Random(n)
+        moments = lambda: [(rng.randrange(100_000_000),) for _ in range(n)]
+        at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01 05:00:00").cast("timestamp")) + F.col("at"))
+        vehicle, some = F.lit("vehicle_001").alias("vehicle_id"), (F.col("at") % 100).cast("double")
+        events = spark.createDataFrame(moments(), "at long").select(
+            vehicle, F.lit("low_fuel").alias("event_type"), F.lit("high").alias("severity"),
+            F.col("at").cast("string").alias("description"), at.alias("occurred_at"))
+        telemetry = spark.createDataFrame(moments(), "at long").select(
+            vehicle, *[some.alias(c) for c in SENSORS], at.alias("recorded_at"))
+        root = work_dir(spark, "dense")
+        replay.context_then_live(
+            spark, (events, telemetry),
+            (stream["fleet_events_raw"].where("false"), stream["fleet_telemetry_raw"].where("false")),
+            datetime(2024, 1, 1, 6), f"{root}/t", f"{root}/c", available_now=True,
+        ).awaitTermination()
+        got = replay.read_replay(spark, f"{root}/t").drop("source")
+        want = joins.alerts_with_context(events, telemetry)
+        assert got.columns == want.columns
+        told = [frame.agg(F.count("*"), F.sum(F.hash(*want.columns).cast("long"))).first() for frame in (got, want)]
+        assert told[0] == told[1] and told[0][0] > n * n / 3
+        size[n] = sum(f.stat().st_size for f in Path(f"{root}/t/source=history").glob("*.parquet"))
+    assert size[600] < 8 * size[150]
+
+
 def test_registry_is_default(spark, views):
     assert FleetClient(spark, views).registry.mappings == Registry().mappings
