@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timing import interval
-from ..operators.joins import TWO_MINUTES, alerts_with_context
+from ..operators.joins import LEFTS, RIGHTS, TWO_MINUTES, alerts_with_context, folded_alerts_with_context, unfolded_context
 from ..operators.sets import known_keys, same_key
 from ..sources.sinks import BATCH, batch_schema, started, stored, write_batch
 
@@ -42,7 +42,10 @@ def _in_hours(hours: list[int]) -> Column:
 
 class StoredContext:
     """Alerts with the readings before them, kept up from two streams; every pair appears once, in the
-    batch that brought the later arrival of the two, however late either comes by its own time."""
+    batch that brought the later arrival of the two, however late either comes by its own time.
+
+    A batch stores its pairs folded, as they grow with the square of the rows; :meth:`read` gives the pairs.
+    """
 
     def __init__(self, spark: SparkSession, path: str, span: timedelta = TWO_MINUTES):
         self.spark, self.path, self.span = spark, path, span
@@ -62,7 +65,10 @@ class StoredContext:
         both = side(events, "alert", "reading", telemetry, "occurred_at").unionByName(
             side(telemetry, "reading", "alert", events, "recorded_at"))
         self._schema = T.StructType([*both.schema.fields, T.StructField(BATCH, T.LongType())])
-        self._pairs = batch_schema(alerts_with_context(events, telemetry, self.span).schema)
+        folded = folded_alerts_with_context(events, telemetry, self.span).schema
+        # Tables of an earlier layout hold pairs; a row has the columns of one layout, and those of the other are null.
+        pairs = alerts_with_context(events, telemetry, self.span).schema
+        self._pairs = batch_schema(T.StructType([*pairs.fields, folded[LEFTS], folded[RIGHTS]]))
         writer = both.writeStream.foreachBatch(self._on_batch).option("checkpointLocation", f"{self.path}/checkpoint")
         return started(both, writer, available_now)
 
@@ -83,12 +89,15 @@ class StoredContext:
         known = readings.where((F.col(BATCH) <= batch_id) & near_alerts)
         earlier = alerts.where((F.col(BATCH) < batch_id) & near_readings)
         own = [BATCH, HOUR]
-        pairs = alerts_with_context(new_alerts.drop(*own), known.drop(*own), self.span).unionByName(
-            alerts_with_context(earlier.drop(*own), new_readings.drop(*own), self.span))
+        pairs = folded_alerts_with_context(new_alerts.drop(*own), known.drop(*own), self.span).unionByName(
+            folded_alerts_with_context(earlier.drop(*own), new_readings.drop(*own), self.span))
         write_batch(pairs, batch_id, f"{self.path}/pairs")
 
     def read(self) -> DataFrame:
-        return stored(self.spark, f"{self.path}/pairs", self._pairs).drop(BATCH)
+        rows = stored(self.spark, f"{self.path}/pairs", self._pairs).drop(BATCH)
+        folded = rows.where("alert_time IS NULL").select("vehicle_id", LEFTS, RIGHTS)
+        pairs = rows.where("alert_time IS NOT NULL").drop(LEFTS, RIGHTS)
+        return unfolded_context(folded).unionByName(pairs)
 
 
 def start_once_per_key(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -81,6 +82,32 @@ def test_late_rows_find_their_context(spark):
     assert rows(context.read()) == want
 
 
+def test_late_rows_do_not_store_a_row_a_pair(spark):
+    """Two batches of one vehicle within one span: four times the rows are sixteen times the pairs."""
+    typed = lambda m: (ops.events_raw(messages.typed_source(m, "events")), ops.telemetry_raw(messages.typed_source(m, "telemetry")))
+    size = {}
+    for n in (150, 600):
+        rng = random.Random(n)
+        body = json.dumps({"vehicle_id": "v", "severity": "high", "event_type": "e", "speed": 1.0})
+        frame = lambda: spark.createDataFrame([
+            (f"fleet/{kind}/v/x", T0 + timedelta(microseconds=rng.randrange(100_000_000)), None, body)
+            for kind in ("events", "telemetry") for _ in range(n)
+        ], MESSAGE)
+        parts, root = [frame(), frame()], work_dir(spark, "late-dense")
+        context = stored.StoredContext(spark, f"{root}/context")
+        context.start(*typed(_in_files(spark, f"{root}/m", parts)), available_now=True).awaitTermination()
+        got, want = context.read(), joins.alerts_with_context(*typed(parts[0].unionByName(parts[1])))
+        assert got.columns == want.columns
+        told = [f.agg(F.count("*"), F.sum(F.hash(*want.columns).cast("long"))).first() for f in (got, want)]
+        assert told[0] == told[1] and told[0][0] > n * n
+        size[n] = sum(f.stat().st_size for f in Path(f"{root}/context/pairs").rglob("*.parquet"))
+    assert size[600] < 8 * size[150]
+    # A batch that an earlier layout wrote holds pairs.
+    before = want.limit(40).localCheckpoint()
+    sinks.write_batch(before, 7, f"{root}/context/pairs")
+    assert Counter(context.read().collect()) == Counter(want.collect()) + Counter(before.collect())
+
+
 def test_unified_stream_joins_itself(spark, views):
     unified = EventsTable(spark, SF_DIR).unified()
     coming = live.watermarked(EventsTable(spark, SF_DIR, streaming=True).unified(), "ts")
