@@ -512,3 +512,14 @@ def test_folded_join_holds_the_pairs(spark, reach, bins, block_rows):
     assert sorted(got.columns) == sorted(want.columns)
     assert Counter(got.select(*want.columns).collect()) == Counter(want.collect())
     assert want.count() > 0
+
+
+def test_one_group_is_unfolded_in_many_tasks(spark):
+    """All rows of one key in one bin, stored in one file."""
+    n = 3000
+    sides = [spark.range(n).selectExpr("'hot' AS k", f"timestamp_micros(1704110400000000 + id) AS {t}", f"id AS {v}")
+             for t, v in (("lt", "l"), ("rt", "r"))]
+    got = joins.unfolded(joins.folded_interval_join(*sides, "k", "lt", "rt").coalesce(1))
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n * (n + 1) // 2
+    assert max(tasks) < 0.6 * sum(tasks)
